@@ -192,7 +192,7 @@ def document_table(documents: DataFrame, scratch: Scratch, *, key: str, text: st
 # ---- postings ----------------------------------------------------------------------------------------------------
 
 def prefixes(owner: np.ndarray, value: np.ndarray, n_docs: int, table: np.ndarray, floor: int) -> tuple[np.ndarray, ...]:
-    """Of each document's adaptive prefix: owner, shingle, level (least l whose prefix has it), and each document's l."""
+    """Of each document's adaptive prefix: owner, shingle, rank in 256ths of the prefix, class; and each document's l and n."""
     cls = np.maximum(table[value >> np.uint64(64 - TABLE_BITS)], floor)
     order = np.lexsort((value, cls, owner))
     owner, value, cls = owner[order], value[order], cls[order]
@@ -205,12 +205,12 @@ def prefixes(owner: np.ndarray, value: np.ndarray, n_docs: int, table: np.ndarra
     ell = 1 + (cost >= 4) + (cost >= 16).astype(int) + (cost >= 64)
     ell = np.minimum(np.minimum(ell, MAX_MATCH), np.maximum(1, required(n)))
     keep = rank < slack[owner] + ell[owner]
-    level = np.maximum(1, rank - slack[owner] + 1)
-    return owner[keep], value[keep], level[keep].astype(np.uint8), cls[keep], ell.astype(np.uint8), n
+    owner, rank = owner[keep], rank[keep]
+    return owner, value[keep], (rank * 256 // (slack + ell)[owner]).astype(np.uint8), cls[keep], ell.astype(np.uint8), n
 
 
 def shared_postings(documents: DataFrame, table: np.ndarray, n_rows: int, scratch: Scratch, *, text: str) -> DataFrame:
-    """tok, node, n, lev, ell for each prefix shingle that two nodes or more have (or a part of a frequent one's nodes).
+    """tok, node, n, part, ell for each prefix shingle that two nodes or more have (or a part of a frequent one's nodes).
 
     Prefixes travel as binary columns, dealt by shingle; shingles of a frequent class are dealt by
     shingle and node, so that no task gets all of them.
@@ -221,7 +221,7 @@ def shared_postings(documents: DataFrame, table: np.ndarray, n_rows: int, scratc
     frequent = max(usual + 1, int(np.ceil(np.log2(max(64, n_rows / 1000)))) )
     shared = sc.broadcast((table, usual, frequent))
     groups = max(16, 4 * parts)
-    fields = [("grp", pa.int32()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("lev", pa.binary())]
+    fields = [("grp", pa.int32()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("part", pa.binary())]
     names = [f[0] for f in fields]
 
     def send(batches):
@@ -231,13 +231,13 @@ def shared_postings(documents: DataFrame, table: np.ndarray, n_rows: int, scratc
         size = 0
 
         def flush():
-            node, n, ell, tok, lev, cls = (np.concatenate(c) for c in zip(*held, strict=True))
+            node, n, ell, tok, part, cls = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
             key = mix(tok)
             key = np.where(cls >= frequent, mix(key ^ (node.view(np.uint64) & np.uint64(63))), key)
             grp = (key % np.uint64(groups)).astype(np.int32)
             order = np.lexsort((node, grp))
-            node, n, ell, tok, lev, grp = (a[order] for a in (node, n, ell, tok, lev, grp))
+            node, n, ell, tok, part, grp = (a[order] for a in (node, n, ell, tok, part, grp))
             cuts = np.searchsorted(grp, np.arange(groups + 1))
             for g in range(groups):
                 a, b = cuts[g], cuts[g + 1]
@@ -245,7 +245,7 @@ def shared_postings(documents: DataFrame, table: np.ndarray, n_rows: int, scratc
                     continue
                 own = np.flatnonzero(np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]])) + a
                 count = np.diff(np.append(own, b)).astype(np.uint32)
-                body = [node[own], (n[own].astype(np.uint32) << np.uint32(3)) | ell[own], count, tok[a:b].astype(np.uint32), (tok[a:b] >> np.uint64(32)).astype(np.uint16), lev[a:b]]
+                body = [node[own], (n[own].astype(np.uint32) << np.uint32(3)) | ell[own], count, tok[a:b].astype(np.uint32), (tok[a:b] >> np.uint64(32)).astype(np.uint16), part[a:b]]
                 yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in body)], names=names)
 
         for b in batches:
@@ -258,8 +258,8 @@ def shared_postings(documents: DataFrame, table: np.ndarray, n_rows: int, scratc
                         seen.add(x)
                         fresh[i] = True
                 keep = fresh[owner]
-                owner, value, lev, cls, ell, n = prefixes(owner[keep], value[keep], len(s), table, usual)
-                held.append((ids[owner], n[owner], ell[owner], value >> np.uint64(16), lev, cls))
+                owner, value, part, cls, ell, n = prefixes(owner[keep], value[keep], len(s), table, usual)
+                held.append((ids[owner], n[owner], ell[owner], value >> np.uint64(16), part, cls))
                 size += len(owner)
                 if size > 2_000_000:
                     yield from flush()
@@ -273,25 +273,25 @@ def shared_postings(documents: DataFrame, table: np.ndarray, n_rows: int, scratc
         by: dict[int, list[tuple]] = {}
         for b in batches:
             for g, *raw in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-                node, sizes, count, low, high, lev = (np.frombuffer(r, t) for r, t in zip(raw, (np.int64, np.uint32, np.uint32, np.uint32, np.uint16, np.uint8), strict=True))
+                node, sizes, count, low, high, part = (np.frombuffer(r, t) for r, t in zip(raw, (np.int64, np.uint32, np.uint32, np.uint32, np.uint16, np.uint8), strict=True))
                 tok = low.astype(np.int64) | (high.astype(np.int64) << 32)
-                by.setdefault(g, []).append((tok, np.repeat(node, count), np.repeat(sizes, count), lev))
+                by.setdefault(g, []).append((tok, np.repeat(node, count), np.repeat(sizes, count), part))
         for got in by.values():
-            tok, node, sizes, lev = (np.concatenate(c) for c in zip(*got, strict=True))
+            tok, node, sizes, part = (np.concatenate(c) for c in zip(*got, strict=True))
             order = np.lexsort((node, tok))
-            tok, node, sizes, lev = tok[order], node[order], sizes[order], lev[order]
+            tok, node, sizes, part = tok[order], node[order], sizes[order], part[order]
             new = np.ones(len(tok), bool)
             new[1:] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])
-            tok, node, sizes, lev = tok[new], node[new], sizes[new], lev[new]
+            tok, node, sizes, part = tok[new], node[new], sizes[new], part[new]
             same = tok[1:] == tok[:-1]
             two = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             two |= table[tok >> (48 - TABLE_BITS)] >= frequent
             if two.any():
-                yield pa.RecordBatch.from_arrays([pa.array(tok[two]), pa.array(node[two]), pa.array((sizes[two] >> 3).astype(np.int32)), pa.array(lev[two].astype(np.int32)), pa.array((sizes[two] & 7).astype(np.int32))], names=["tok", "node", "n", "lev", "ell"])
+                yield pa.RecordBatch.from_arrays([pa.array(tok[two]), pa.array(node[two]), pa.array((sizes[two] >> 3).astype(np.int32)), pa.array(part[two].astype(np.int32)), pa.array((sizes[two] & 7).astype(np.int32))], names=["tok", "node", "n", "part", "ell"])
 
     docs = documents.select(F.col(text).alias("_text"))
-    sent = docs.mapInArrow(send, "grp int, nodes binary, sizes binary, counts binary, low binary, high binary, lev binary")
-    return scratch.put(sent.repartition("grp").mapInArrow(meet, "tok long, node long, n int, lev int, ell int"), "shared")
+    sent = docs.mapInArrow(send, "grp int, nodes binary, sizes binary, counts binary, low binary, high binary, part binary")
+    return scratch.put(sent.repartition("grp").mapInArrow(meet, "tok long, node long, n int, part int, ell int"), "shared")
 
 
 def node_sets(documents: DataFrame, nodes: DataFrame, scratch: Scratch, *, text: str) -> DataFrame:
@@ -321,12 +321,17 @@ def node_sets(documents: DataFrame, nodes: DataFrame, scratch: Scratch, *, text:
 
 # ---- links and components ------------------------------------------------------------------------------------------
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def checked(documents: DataFrame, pairs: DataFrame, scratch: Scratch, *, text: str) -> DataFrame:
     """The pairs (x, y) whose sets really have the similarity."""
+    pairs = scratch.put(pairs, "pairs")
+    sets = node_sets(documents, pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), scratch, text=text)
+    scratch.release_shuffles()
     with_y = pairs.join(sets.select(F.col("node").alias("y"), F.col("items").alias("iy")), "y")
     both = with_y.join(sets.select(F.col("node").alias("x"), F.col("items").alias("ix")), "x")
     common = F.size(F.array_intersect("ix", "iy"))
-    return both.where(DEN * common >= NUM * (F.size("ix") + F.size("iy") - common)).select("x", "y")
+    links = scratch.put(both.where(DEN * common >= NUM * (F.size("ix") + F.size("iy") - common)).select("x", "y"), "links")
+    scratch.drop(sets)
+    return links
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -349,31 +354,62 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         mark = now
 
 
+def promising(shared: DataFrame) -> DataFrame:
+    """x, y of the pairs whose count `c` of shared prefix shingles can still reach the similarity.
+
+    The document whose prefix ends first in the common order shares with the other one only what both prefixes
+    show and what stands after its own prefix. So the overlap is at most c + max(n - prefix length), and it must be
+    ceil(75 (nx + ny) / 175); the smaller l is needed in any case.
+    """
+    after = lambda n, ell: F.expr(f"({NUM} * {n} + {DEN - 1}) div {DEN} - {ell}")
+    overlap = F.expr(f"({NUM} * (nx + ny) + {NUM + DEN - 1}) div {NUM + DEN}")
+    need = F.greatest(F.least("ex", "ey"), overlap - F.greatest(after("nx", "ex"), after("ny", "ey")))
+    return shared.where(F.col("c") >= need).select("x", "y")
+
+
 def sized(pairs: DataFrame) -> DataFrame:
     return pairs.where((DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx")))
 
 
+def ranked(post: DataFrame) -> DataFrame:
+    """Adds a lower bound of each shingle's rank in its document, and how central the document is: its share of shared shingles."""
+    length = F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + ell")
+    share = post.groupBy("node").agg((F.count("*") * 1000 / F.first(length)).cast("int").alias("central"))
+    return post.withColumn("rank", (F.col("part") * length / 256).cast("int")).drop("part").join(share, "node")
+
+
 def leader_pairs(post: DataFrame) -> DataFrame:
-    """Each shingle's nodes with its smallest and its largest node."""
-    lead = post.groupBy("tok").agg(F.min(F.struct("node", "n")).alias("a"), F.max(F.struct("node", "n")).alias("b")).where("a.node <> b.node")
-    both = post.join(lead, "tok").select("node", "n", F.explode(F.array("a", "b")).alias("l"))
-    pairs = both.select(F.col("l.node").alias("x"), F.col("l.n").alias("nx"), F.col("node").alias("y"), F.col("n").alias("ny")).where("x <> y")
-    return sized(pairs).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    """Each shingle's nodes with its most central and its smallest node, where the shingles they meet at are enough."""
+    lead = post.groupBy("tok").agg(F.max(F.struct("central", "node", "n", "ell")).alias("a"), F.min(F.struct("node", "n", "ell")).alias("b"))
+    both = post.join(lead, "tok").select("node", "n", "ell", F.explode(F.array(F.struct("a.node", "a.n", "a.ell"), "b")).alias("l"))
+    pairs = both.select(F.col("l.node").alias("x"), F.col("l.n").alias("nx"), F.col("l.ell").alias("ex"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("ell").alias("ey")).where("x <> y")
+    met = sized(pairs).groupBy("x", "y", "nx", "ny", "ex", "ey").agg(F.count("*").alias("c"))
+    return promising(met).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def cross_pairs(post: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of different components that share as many prefix shingles as the smaller l of the two."""
+    """Pairs of different components that share enough prefix shingles.
+
+    A pair of known sizes needs an overlap of o = ceil(75 (nx + ny) / 175), so it already shares l shingles among
+    the first n - o + l of each; only those are joined. All shared prefix shingles of what is left are then counted.
+    """
     known = post.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = known.groupBy("tok", "comp").agg(F.count("*").alias("c"))
-    major = sizes.groupBy("tok").agg(F.max(F.struct("c", "comp")).alias("m"), F.count("*").alias("k")).where("k > 1").select("tok", F.col("m.comp").alias("major"))
+    sizes = known.groupBy("tok", "comp").agg(F.count("*").alias("k"))
+    major = sizes.groupBy("tok").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("tok", F.col("m.comp").alias("major"))
     live = known.join(major, "tok")
-    left = live.where("comp <> major").select("tok", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("lev").alias("lx"), F.col("ell").alias("ex"), F.col("comp").alias("cx"))
-    right = live.select("tok", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("lev").alias("ly"), F.col("ell").alias("ey"), F.col("comp").alias("cy"), (F.col("comp") == F.col("major")).alias("in_major"))
-    pairs = sized(left.join(right, "tok").where("cx <> cy and (in_major or x < y)"))
+    left = live.where("comp <> major").select("tok", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("ell").alias("ex"), F.col("comp").alias("cx"), F.col("rank").alias("rx"))
+    right = live.select("tok", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("ell").alias("ey"), F.col("comp").alias("cy"), F.col("rank").alias("ry"), (F.col("comp") == F.col("major")).alias("in_major"))
+    overlap = F.expr(f"({NUM} * (nx + ny) + {NUM + DEN - 1}) div {NUM + DEN}")
     least = F.least("ex", "ey")
-    pairs = pairs.where((F.col("lx") <= least) & (F.col("ly") <= least))
-    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), least.alias("need"))
-    return pairs.groupBy("x", "y", "need").agg(F.count("*").alias("c")).where("c >= need").select("x", "y")
+    early = (F.col("rx") < F.col("nx") - overlap + least) & (F.col("ry") < F.col("ny") - overlap + least)
+    pairs = sized(left.join(right, "tok").where("cx <> cy and (in_major or x < y)").where(early))
+    turned = F.col("x") > F.col("y")  # one order, so that a pair's shingles are counted together
+    swap = lambda a, b, name: F.when(turned, F.col(b)).otherwise(F.col(a)).alias(name)
+    pairs = pairs.select(swap("x", "y", "x"), swap("y", "x", "y"), swap("nx", "ny", "nx"), swap("ny", "nx", "ny"), swap("ex", "ey", "ex"), swap("ey", "ex", "ey"))
+    some = pairs.groupBy("x", "y", "nx", "ny", "ex", "ey").agg(F.count("*").alias("few")).where(F.col("few") >= least).drop("few")
+    prefix = post.groupBy("node").agg(F.collect_list("tok").alias("toks"))
+    both = some.join(prefix.select(F.col("node").alias("x"), F.col("toks").alias("tx")), "x").join(prefix.select(F.col("node").alias("y"), F.col("toks").alias("ty")), "y")
+    return promising(both.withColumn("c", F.size(F.array_intersect("tx", "ty"))))
 
 
 def join(documents: DataFrame, *, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
@@ -383,13 +419,11 @@ def join(documents: DataFrame, *, key: str = "doc_id", text: str = "text", scrat
     n_rows = docs.count()
     post = shared_postings(documents, table, n_rows, scratch, text=text)
     scratch.release_shuffles()
-    sets = node_sets(documents, post.select("node").distinct(), scratch, text=text)
-    scratch.release_shuffles()
-    links = scratch.put(verified(leader_pairs(post), sets), "links")
+    post = scratch.put(ranked(post), "ranked")
+    links = checked(documents, leader_pairs(post), scratch, text=text)
     comps = components(links, scratch)
     scratch.release_shuffles()
-    more = scratch.put(verified(cross_pairs(post, comps), sets), "links")
-    scratch.drop(sets, post)
+    more = checked(documents, cross_pairs(post, comps), scratch, text=text)
     comps = components(links.unionByName(more), scratch)
     known = docs.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = known.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
