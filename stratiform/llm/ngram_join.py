@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, give_back, slices
 
 WORDS, NUM, DEN = 5, 75, 100
 MAX_MATCH = 4  # the longest l; any cap is exact, as l = 1 is
@@ -50,7 +50,7 @@ _powers: list[np.ndarray] = []
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 3 << 20)
+        size = max(n, 3 << 19)
         one = np.ones(1, np.uint64)
         _powers[:] = [np.cumprod(np.concatenate([one, np.full(size, b)])) for b in (_BASE, _INVERSE)]
     return _powers[0], _powers[1]
@@ -151,7 +151,7 @@ def document_table(documents: DataFrame, scratch: Scratch, *, key: str, text: st
             return pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(body, pa.binary()), none, none, pa.nulls(256, pa.int32())], names=["grp", "payload", "doc_id", "node", "n"])
 
         for b in batches:
-            for s in slices(b, "_text", 2 << 20):
+            for s in slices(b, "_text", 1 << 20):
                 owner, value = shingles(s.column("_text"))
                 n = len(s)
                 rows = pa.nulls(n, pa.binary())
@@ -160,11 +160,13 @@ def document_table(documents: DataFrame, scratch: Scratch, *, key: str, text: st
                 made += n
                 held.append((value >> np.uint64(64 - TABLE_BITS)).astype(np.uint32))
                 size += len(value)
-                if size > 8_000_000:
+                if size > 4_000_000:
                     yield groups()
                     size = 0
+            give_back()
         if size:
             yield groups()
+        give_back()
 
     def add_up(batches):
         counts: dict[int, np.ndarray] = {}
@@ -249,7 +251,7 @@ def shared_postings(documents: DataFrame, table: np.ndarray, n_rows: int, scratc
                 yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in body)], names=names)
 
         for b in batches:
-            for s in slices(b, "_text", 2 << 20):
+            for s in slices(b, "_text", 1 << 20):
                 owner, value = shingles(s.column("_text"))
                 ids = node_ids(owner, value, len(s))
                 fresh = np.zeros(len(s), bool)
@@ -261,11 +263,13 @@ def shared_postings(documents: DataFrame, table: np.ndarray, n_rows: int, scratc
                 owner, value, part, cls, ell, n = prefixes(owner[keep], value[keep], len(s), table, usual)
                 held.append((ids[owner], n[owner], ell[owner], value >> np.uint64(16), part, cls))
                 size += len(owner)
-                if size > 2_000_000:
+                if size > 1_200_000:
                     yield from flush()
                     size = 0
+            give_back()
         if size:
             yield from flush()
+        give_back()
 
     def meet(batches):
         _, _, frequent = shared.value
@@ -288,6 +292,7 @@ def shared_postings(documents: DataFrame, table: np.ndarray, n_rows: int, scratc
             two |= table[tok >> (48 - TABLE_BITS)] >= frequent
             if two.any():
                 yield pa.RecordBatch.from_arrays([pa.array(tok[two]), pa.array(node[two]), pa.array((sizes[two] >> 3).astype(np.int32)), pa.array(part[two].astype(np.int32)), pa.array((sizes[two] & 7).astype(np.int32))], names=["tok", "node", "n", "part", "ell"])
+        give_back()
 
     docs = documents.select(F.col(text).alias("_text"))
     sent = docs.mapInArrow(send, "grp int, nodes binary, sizes binary, counts binary, low binary, high binary, part binary")
@@ -300,7 +305,7 @@ def node_sets(documents: DataFrame, nodes: DataFrame, scratch: Scratch, *, text:
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            for s in slices(b, "_text", 2 << 20):
+            for s in slices(b, "_text", 1 << 20):
                 owner, value = shingles(s.column("_text"))
                 ids = node_ids(owner, value, len(s))
                 n = np.bincount(owner, minlength=len(s))
@@ -312,11 +317,12 @@ def node_sets(documents: DataFrame, nodes: DataFrame, scratch: Scratch, *, text:
                 keep = fresh[owner]
                 ends = np.concatenate([[0], np.cumsum(n[fresh])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[fresh]), pa.ListArray.from_arrays(pa.array(ends), pa.array(value[keep].view(np.int64)))], names=["node", "items"])
+            give_back()
 
     count = nodes.count()
     sets = documents.select(F.col(text).alias("_text")).mapInArrow(run, "node long, items array<long>")
     named = F.broadcast(nodes) if count <= BROADCAST_NODES else nodes
-    return scratch.put(sets.join(named, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "items")
+    return scratch.put(sets.join(named, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "items", "uncompressed")  # hashes don't shrink
 
 
 # ---- links and components ------------------------------------------------------------------------------------------
@@ -371,16 +377,26 @@ def sized(pairs: DataFrame) -> DataFrame:
     return pairs.where((DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx")))
 
 
-def ranked(post: DataFrame) -> DataFrame:
-    """Adds a lower bound of each shingle's rank in its document, and how central the document is: its share of shared shingles."""
+def ranked(post: DataFrame, scratch: Scratch, rounds: int = 1) -> DataFrame:
+    """Adds a lower bound of each shingle's rank in its document, and `top`, the most that a document can share.
+
+    A prefix shingle that no other node has is in no overlap, so top = n - such shingles. A node whose top is under its
+    required overlap has no link; without it others' shingles may stand alone, hence the rounds.
+    """
     length = F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + ell")
-    share = post.groupBy("node").agg((F.count("*") * 1000 / F.first(length)).cast("int").alias("central"))
-    return post.withColumn("rank", (F.col("part") * length / 256).cast("int")).drop("part").join(share, "node")
+    post = post.withColumn("rank", (F.col("part") * length / 256).cast("int")).drop("part")
+    for _ in range(rounds):
+        top = post.groupBy("node", "n", "ell").agg((F.col("n") - length + F.count("*")).cast("int").alias("top"))
+        able = top.where(F.col("top") >= F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}")).select("node", "top")
+        kept = post.drop("top").join(able, "node")
+        shared = kept.groupBy("tok").count().where("count > 1").select("tok")
+        post = scratch.put(kept.join(shared, "tok"), "able")
+    return post
 
 
 def leader_pairs(post: DataFrame) -> DataFrame:
-    """Each shingle's nodes with its most central and its smallest node, where the shingles they meet at are enough."""
-    lead = post.groupBy("tok").agg(F.max(F.struct("central", "node", "n", "ell")).alias("a"), F.min(F.struct("node", "n", "ell")).alias("b"))
+    """Each shingle's nodes with the node that can share most and the smallest node, where the shingles they meet at are enough."""
+    lead = post.groupBy("tok").agg(F.max(F.struct("top", "node", "n", "ell")).alias("a"), F.min(F.struct("node", "n", "ell")).alias("b"))
     both = post.join(lead, "tok").select("node", "n", "ell", F.explode(F.array(F.struct("a.node", "a.n", "a.ell"), "b")).alias("l"))
     pairs = both.select(F.col("l.node").alias("x"), F.col("l.n").alias("nx"), F.col("l.ell").alias("ex"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("ell").alias("ey")).where("x <> y")
     met = sized(pairs).groupBy("x", "y", "nx", "ny", "ex", "ey").agg(F.count("*").alias("c"))
@@ -390,23 +406,24 @@ def leader_pairs(post: DataFrame) -> DataFrame:
 def cross_pairs(post: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs of different components that share enough prefix shingles.
 
-    A pair of known sizes needs an overlap of o = ceil(75 (nx + ny) / 175), so it already shares l shingles among
-    the first n - o + l of each; only those are joined. All shared prefix shingles of what is left are then counted.
+    A pair of known sizes needs an overlap of o = ceil(75 (nx + ny) / 175), so it already shares a shingle among
+    the first n - o + 1 of each; only those are joined. All shared prefix shingles of the pairs that meet so are then
+    counted, against l and against the overlap that is still possible.
     """
     known = post.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = known.groupBy("tok", "comp").agg(F.count("*").alias("k"))
     major = sizes.groupBy("tok").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("tok", F.col("m.comp").alias("major"))
     live = known.join(major, "tok")
-    left = live.where("comp <> major").select("tok", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("ell").alias("ex"), F.col("comp").alias("cx"), F.col("rank").alias("rx"))
-    right = live.select("tok", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("ell").alias("ey"), F.col("comp").alias("cy"), F.col("rank").alias("ry"), (F.col("comp") == F.col("major")).alias("in_major"))
+    left = live.where("comp <> major").select("tok", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("ell").alias("ex"), F.col("comp").alias("cx"), F.col("rank").alias("rx"), F.col("top").alias("tx"))
+    right = live.select("tok", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("ell").alias("ey"), F.col("comp").alias("cy"), F.col("rank").alias("ry"), F.col("top").alias("ty"), (F.col("comp") == F.col("major")).alias("in_major"))
     overlap = F.expr(f"({NUM} * (nx + ny) + {NUM + DEN - 1}) div {NUM + DEN}")
-    least = F.least("ex", "ey")
-    early = (F.col("rx") < F.col("nx") - overlap + least) & (F.col("ry") < F.col("ny") - overlap + least)
-    pairs = sized(left.join(right, "tok").where("cx <> cy and (in_major or x < y)").where(early))
+    early = (F.col("rx") <= F.col("nx") - overlap) & (F.col("ry") <= F.col("ny") - overlap)
+    able = (F.col("tx") >= overlap) & (F.col("ty") >= overlap)
+    pairs = sized(left.join(right, "tok").where("cx <> cy and (in_major or x < y)").where(early & able))
     turned = F.col("x") > F.col("y")  # one order, so that a pair's shingles are counted together
     swap = lambda a, b, name: F.when(turned, F.col(b)).otherwise(F.col(a)).alias(name)
     pairs = pairs.select(swap("x", "y", "x"), swap("y", "x", "y"), swap("nx", "ny", "nx"), swap("ny", "nx", "ny"), swap("ex", "ey", "ex"), swap("ey", "ex", "ey"))
-    some = pairs.groupBy("x", "y", "nx", "ny", "ex", "ey").agg(F.count("*").alias("few")).where(F.col("few") >= least).drop("few")
+    some = pairs.distinct()
     prefix = post.groupBy("node").agg(F.collect_list("tok").alias("toks"))
     both = some.join(prefix.select(F.col("node").alias("x"), F.col("toks").alias("tx")), "x").join(prefix.select(F.col("node").alias("y"), F.col("toks").alias("ty")), "y")
     return promising(both.withColumn("c", F.size(F.array_intersect("tx", "ty"))))
@@ -419,7 +436,8 @@ def join(documents: DataFrame, *, key: str = "doc_id", text: str = "text", scrat
     n_rows = docs.count()
     post = shared_postings(documents, table, n_rows, scratch, text=text)
     scratch.release_shuffles()
-    post = scratch.put(ranked(post), "ranked")
+    post = ranked(post, scratch)
+    scratch.release_shuffles()
     links = checked(documents, leader_pairs(post), scratch, text=text)
     comps = components(links, scratch)
     scratch.release_shuffles()
