@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import give_back, slices
 
 # Kinds of HTML elements and common class words.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "canvas", "audio", "video", "select", "xmp"}
@@ -338,6 +338,7 @@ def extract(pages: DataFrame, model: ContentModel, *, html: str = "html", keep:
             for s in slices(b, "_html", 2 << 20):
                 texts = shared.value.extract(s.column("_html").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(s.column(k) for k in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", text string, n_chars long"
     return docs.mapInArrow(run, schema)

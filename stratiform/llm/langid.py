@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices
+from .common import fold, give_back, slices
 
 PER_LANGUAGE, MIN_CHARS, MAX_CHARS, TRAIN_SYMBOLS, BLOCK = 24, 200, 4_000, 30_000, 1024
 PAD, SPACE, OTHER = 0, 1, 2
@@ -173,6 +173,7 @@ def identify(documents: DataFrame, model: CrossParser, *, text: str = "text", ke
             for s in slices(b, "_text", 3 << 20):
                 names, score = shared.value.predict(s.column("_text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(s.column(k) for k in keep), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
     return docs.mapInArrow(run, schema)

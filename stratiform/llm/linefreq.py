@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, give_back, slices
 
 LIMIT_SHARE, LIMIT_LEAST, KEPT_SHARE, MIN_LINE_CHARS = 0.002, 10, 0.5, 8
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -107,6 +107,7 @@ def scan(documents: DataFrame, *, key: str, text: str, host: str) -> DataFrame:
                 arrays = [s.column("doc_id"), s.column("host"), pa.array(range(made, made + len(texts)), pa.int64()), *(pa.array(c, pa.int64()) for c in got[:5]), pa.array(got[5], pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
                 made += len(texts)
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "host", "row", *SCAN_COUNTS, "base_failed", "lines"])
+            give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, host string, row long, " + ", ".join(f"{n} long" for n in SCAN_COUNTS) + ", base_failed boolean, lines array<struct<line:long,times:int,chars:int>>")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, give_back, slices
 
 CAPACITY, END_ID, GROUP, CUTS = 2048, 1, 64, 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, worker long"
@@ -121,6 +121,8 @@ def pack(documents: DataFrame, *, key: str = "doc_id", text: str = "text", path:
         done.extend((*p, None, None, worker) for k in sorted(open_bins) for p in open_bins[k])
         if done:
             yield flush()
+        del encode
+        give_back()
 
     docs = documents.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
     pieces = scratch.put(docs.mapInArrow(run, SCHEMA), "pieces")

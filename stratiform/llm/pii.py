@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import give_back, slices
 
 KINDS = ["email", "ip", "card", "phone"]
 # The base patterns.
@@ -332,6 +332,7 @@ def find(documents: DataFrame, field: ShapeField, *, key: str = "doc_id", text:
                 counts = [pa.array([sum(k == kind for k, _, _ in x) for x in base], pa.int64()) for kind in KINDS]
                 sha = [hashlib.sha256(joined(x).encode()).hexdigest() for x in base]
                 yield pa.RecordBatch.from_arrays([s.column("doc_id"), *counts, pa.array(sha, pa.string()), pa.array(every, pa.string())], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, fold, labelled_sample, logistic
+from .common import fit_logistic, fold, give_back, labelled_sample, logistic
 
 PER_LABEL, MAX_CHARS, DICT_BYTES, LEVEL, PIECE = 2048, 20_000, 112_640, 3, 2048
 
@@ -108,6 +108,7 @@ def score_documents(documents: DataFrame, model: CompressionClassifier, *, text:
         for b in batches:
             s = shared.value.scores(b.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(s, pa.float64())], names=[*keep, "score"])
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", score double"
     return docs.mapInArrow(run, schema)

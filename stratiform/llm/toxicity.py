@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, labelled_sample, logistic, slices
+from .common import fit_logistic, give_back, labelled_sample, logistic, slices
 
 PER_LABEL, MAX_CHARS, LEXICON_GROUPS, LEARNED_GROUPS, LEARNED_WORDS = 2048, 20_000, 8, 8, 200
 
@@ -163,6 +163,7 @@ def score_documents(documents: DataFrame, model: ToxicityModel, *, text: str = "
             for s in slices(b, "_text"):
                 got = shared.value.scores(s.column("_text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(s.column(k) for k in keep), pa.array(got, pa.float64())], names=[*keep, "score"])
+        give_back()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", score double"
     return docs.mapInArrow(run, schema)
