@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import core, imaging
 
-def queries():
-    return {}
+MODULES = [core, imaging]
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict:
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for m in MODULES for k, s in m.SQL.items()}
