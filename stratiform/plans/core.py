@@ -40,17 +40,17 @@ hc AS (SELECT region_id, hemisphere, sum(c)::BIGINT AS count, sum(c)::DOUBLE AS
 hierarchy AS (SELECT hc.region_id, hemisphere, count, name AS region_name, acronym, parent_structure_id, depth, graph_order, n / (SELECT count(*) FROM mapped) AS confidence, {LOW} AS ci_low, {HIGH} AS ci_high FROM hc LEFT JOIN structure ON hc.region_id = structure.id)"""
 
 
-@query("g05_ontology_rollup", with_sql("structure", "cells", body=HIER + " SELECT * FROM hierarchy"))
+@query("g05_ontology_rollup", with_sql("structure", "cells", body=HIER + " SELECT * REPLACE (coalesce(parent_structure_id, -1) AS parent_structure_id) FROM hierarchy"))
 def g05(spark, d):
-    return rollup.hierarchy_counts(_mapped(spark, d), model.structure(spark, d))
+    return rollup.hierarchy_counts(_mapped(spark, d), model.structure(spark, d)).withColumn("parent_structure_id", F.coalesce("parent_structure_id", F.lit(-1)))
 
 
 @query("g01_leaf_counts", with_sql("structure", "cells", body=MAPPED + f""",
-g AS (SELECT region_id, region_name, acronym, hemisphere, count(*) AS count, count(*)::DOUBLE AS n, round(avg(area_px), 3) AS mean_area_px, round(avg(elongation), 6) AS mean_elongation, round(avg(mean_intensity), 6) AS mean_mean_intensity, any_value(parent_structure_id) AS parent_structure_id, any_value(depth) AS depth, any_value(graph_order) AS graph_order FROM mapped GROUP BY 1, 2, 3, 4)
+g AS (SELECT region_id, region_name, acronym, hemisphere, count(*) AS count, count(*)::DOUBLE AS n, round(avg(area_px), 3) AS mean_area_px, round(avg(elongation), 6) AS mean_elongation, round(avg(mean_intensity), 6) AS mean_mean_intensity, coalesce(any_value(parent_structure_id), -1) AS parent_structure_id, coalesce(any_value(depth), -1) AS depth, coalesce(any_value(graph_order), -1) AS graph_order FROM mapped GROUP BY 1, 2, 3, 4)
 SELECT * EXCLUDE (n), n / (SELECT count(*) FROM mapped) AS confidence, {LOW} AS ci_low, {HIGH} AS ci_high FROM g"""))
 def g01(spark, d):
     out = rollup.leaf_counts(_mapped(spark, d))
-    return out.withColumns({"mean_area_px": F.round("mean_area_px", 3), "mean_elongation": F.round("mean_elongation", 6), "mean_mean_intensity": F.round("mean_mean_intensity", 6)})
+    return out.withColumns({"mean_area_px": F.round("mean_area_px", 3), "mean_elongation": F.round("mean_elongation", 6), "mean_mean_intensity": F.round("mean_mean_intensity", 6), **{c: F.coalesce(c, F.lit(-1)) for c in ("parent_structure_id", "depth", "graph_order")}})
 
 
 @query("j02_attach_structure", with_sql("structure", "cells", body=MAPPED + " SELECT region_id, region_name, acronym, parent_name, hemisphere, mapping_status, count(*) AS n FROM mapped GROUP BY ALL"))
@@ -245,14 +245,14 @@ def g12(spark, d):
 
 
 @query("j13_compare_samples", with_sql("structure", "cells", body=MAPPED + """, t AS (SELECT sample, count(*) AS t FROM mapped GROUP BY 1), g AS (SELECT sample, region_id, hemisphere, region_name, acronym, depth, count(*) AS c, count(*)::DOUBLE / t AS f FROM mapped JOIN t USING (sample) WHERE region_id % 3 <> 0 OR sample <> 'A' GROUP BY sample, region_id, hemisphere, region_name, acronym, depth, t)
-SELECT region_id, hemisphere, region_name, acronym, depth, coalesce(max(c) FILTER (sample = 'A'), 0) AS count_A, coalesce(max(c) FILTER (sample = 'N'), 0) AS count_N, coalesce(max(c) FILTER (sample = 'R'), 0) AS count_R,
+SELECT region_id, hemisphere, region_name, acronym, coalesce(depth, -1) AS depth, coalesce(max(c) FILTER (sample = 'A'), 0) AS count_A, coalesce(max(c) FILTER (sample = 'N'), 0) AS count_N, coalesce(max(c) FILTER (sample = 'R'), 0) AS count_R,
   round_even(coalesce(max(f) FILTER (sample = 'A'), 0)::DOUBLE, 6) AS confidence_A, round_even(coalesce(max(f) FILTER (sample = 'N'), 0)::DOUBLE, 6) AS confidence_N, round_even(coalesce(max(f) FILTER (sample = 'R'), 0)::DOUBLE, 6) AS confidence_R FROM g GROUP BY 1, 2, 3, 4, 5"""))
 def j13(spark, d):
     m = _mapped(spark, d)
     total = m.groupBy("sample").agg(F.count("*").alias("t"))
     g = m.where("region_id % 3 <> 0 or sample <> 'A'").groupBy(F.col("sample").alias("label"), "region_id", "hemisphere", "region_name", "acronym", "depth").agg(F.count("*").alias("count"))
     g = g.join(total, g["label"] == total["sample"]).withColumn("confidence", F.col("count") / F.col("t"))
-    return compare.compare_samples(g, ["A", "N", "R"])
+    return compare.compare_samples(g, ["A", "N", "R"]).withColumn("depth", F.coalesce("depth", F.lit(-1)))
 
 
 @query("f02_f18_label_predicates", with_sql("structure", body=", p AS (SELECT s.id, s.name, s.acronym, coalesce(q.name, '') AS pn FROM structure s LEFT JOIN structure q ON s.parent_structure_id = q.id) SELECT id, CASE WHEN pn <> '' AND pn <> 'root' AND pn <> name THEN pn ELSE name END AS display, name <> 'root' AS meaningful FROM p"))

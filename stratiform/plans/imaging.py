@@ -110,7 +110,7 @@ def w09(spark, d):
 @query("w10_candidate_expansion", " WITH s AS (SELECT p_size * 8 AS z, max(p_partkey % 997) AS sc FROM part GROUP BY 1 ORDER BY sc DESC, z LIMIT 10) SELECT DISTINCT zz::INT AS z FROM (SELECT unnest(range(greatest(0, z - 3), least(527, z + 3) + 1)) AS zz FROM s)")
 def w10(spark, d):
     s = model.table(spark, d, "part").groupBy((F.col("p_size") * 8).alias("z")).agg(F.max(F.col("p_partkey") % 997).alias("sc")).orderBy(F.desc("sc"), "z").limit(10)
-    return s.select(F.explode(F.sequence(F.greatest(F.lit(0), F.col("z") - 3), F.least(F.lit(527), F.col("z") + 3))).cast("int").alias("z")).distinct()
+    return s.select(F.explode(F.sequence(F.greatest(F.lit(0), F.col("z") - 3), F.least(F.lit(527), F.col("z") + 3))).alias("z")).distinct()
 
 
 @query("m13_size_ratio", " WITH a AS (SELECT s_suppkey AS k, greatest(1, abs(s_acctbal)) AS a FROM supplier) SELECT k, round(pow(least(a, 5000.0::DOUBLE) / greatest(a, 5000.0::DOUBLE), 1.5) * greatest(0.8::DOUBLE, 0), 9) AS score FROM a")
@@ -295,11 +295,11 @@ def f13(spark, d):
     return o.select(F.col("o_orderkey").alias("k"), "z", validate.gated((F.col("o_custkey") % 500).cast("int"), F.col("z")).alias("chosen"))
 
 
-@query("f16_sampling_mode", " SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'single' WHEN 1 THEN 'merged' WHEN 2 THEN 'merged' END AS mode, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 7 END AS n FROM part")
+@query("f16_sampling_mode", " SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'single' WHEN 1 THEN 'merged' WHEN 2 THEN 'merged' END AS mode, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 5 WHEN 2 THEN 7 ELSE 0 END AS n FROM part")
 def f16(spark, d):
     k = F.col("p_partkey") % 4
     m = validate.sampling_mode(F.when(k == 0, "Single").when(k == 1, "merge5").when(k == 2, "merged").otherwise("odd"), F.when(k == 2, 7))
-    return model.table(spark, d, "part").select(F.col("p_partkey").alias("k"), m.alias("s")).select("k", "s.mode", "s.n")
+    return model.table(spark, d, "part").select(F.col("p_partkey").alias("k"), m.alias("s")).select("k", "s.mode", F.coalesce("s.n", F.lit(0)).alias("n"))
 
 
 @query("f23_config_issues", """WITH c AS (SELECT p_partkey AS id, p_partkey % 4 AS a, p_partkey % 5 AS b, p_partkey % 3 AS e FROM part)
@@ -356,9 +356,9 @@ def r02(spark, d):
     return progress.with_percent(progress.latest(_lines(spark, d))).select("job_id", "phase", "percent")
 
 
-@query("e04_progress_parse", " SELECT 'job' || (user_id % 20) AS job_id, event_id AS seq, CASE WHEN event_id % 7 <> 0 THEN event_id % 6 + 1 END::INT AS step, CASE WHEN event_id % 7 <> 0 AND event_id % 2 = 0 THEN event_id % 50 END::INT AS slices_done FROM events")
+@query("e04_progress_parse", " SELECT 'job' || (user_id % 20) AS job_id, event_id AS seq, CASE WHEN event_id % 7 <> 0 THEN event_id % 6 + 1 ELSE -1 END::INT AS step, CASE WHEN event_id % 7 <> 0 AND event_id % 2 = 0 THEN event_id % 50 ELSE -1 END::INT AS slices_done FROM events")
 def e04(spark, d):
-    return progress.parsed(_lines(spark, d)).select("job_id", "seq", "step", "slices_done")
+    return progress.parsed(_lines(spark, d)).select("job_id", "seq", F.coalesce("step", F.lit(-1)).alias("step"), F.coalesce("slices_done", F.lit(-1)).alias("slices_done"))
 
 
 @query("r04_stale_tasks", " SELECT event_id AS task_id FROM events WHERE event_id % 4 = 0 OR epoch(TIMESTAMP '2024-01-20 00:00:00') - floor(epoch(ts)) <= 3600 * 24 ORDER BY ts DESC, event_id LIMIT 50")

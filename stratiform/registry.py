@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import core, imaging
+from .plans import core, imaging, kernels
 
-MODULES = [core, imaging]
+MODULES = [core, imaging, kernels]
 
 
 def queries() -> dict:
