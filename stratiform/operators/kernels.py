@@ -76,7 +76,8 @@ def label_components(mask: np.ndarray) -> np.ndarray:
         for sl, sr in (((slice(1, None), slice(None)), (slice(None, -1), slice(None))), ((slice(None), slice(1, None)), (slice(None), slice(None, -1)))):
             same = (mask[sl] == mask[sr]) & (mask[sl] != 0)
             low = np.minimum(new[sl], new[sr])
-            new[sl], new[sr] = np.where(same, low, new[sl]), np.where(same, np.minimum(low, new[sr]), new[sr])
+            new[sl] = np.where(same, low, new[sl])
+            new[sr] = np.where(same, np.minimum(low, new[sr]), new[sr])  # after the line before: the two overlap
         flat = np.concatenate([[0], new.ravel()])
         new = np.where(mask != 0, flat[new], 0)  # jump to the label's own label
         if (new == lab).all():
