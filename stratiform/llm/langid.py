@@ -114,10 +114,9 @@ class CrossParser:
         live = np.searchsorted(-used_sorted, -np.arange(BLOCK), side="left")  # lanes longer than each position
         out = np.zeros((len(parts), len(self.languages)))
         for j, root in enumerate(self.roots):
-            state = np.full(len(owner), root, np.int32)
+            state = np.zeros(len(owner), np.int32)  # state 0 takes no symbol, so the next one begins a phrase
             count = np.zeros(len(owner), np.int32)
             at_root = self.table[root * self.width : (root + 1) * self.width]
-            at_root = np.where(at_root == 0, root, at_root)
             for i in range(BLOCK):
                 n = live[i]
                 if not n:
@@ -127,7 +126,7 @@ class CrossParser:
                 miss = to == 0
                 count[:n] += miss
                 state[:n] = np.where(miss, at_root[c], to)
-            np.add.at(out[:, j], owner[order], count + (used_sorted > 0))
+            np.add.at(out[:, j], owner[order], count)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

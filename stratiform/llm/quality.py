@@ -99,22 +99,22 @@ def hash_order(key: str) -> int:
     return zlib.crc32(f"order {key}".encode())
 
 
-def score_documents(documents: DataFrame, model: CompressionClassifier, *, text: str = "text", keep: list[str]) -> DataFrame:
-    """`keep` columns of every row, then score; whole texts, one pass without a shuffle."""
+def score_documents(documents: DataFrame, model: CompressionClassifier, *, text: str = "text", keep: list[str], out: str = "score") -> DataFrame:
+    """`keep` columns of every row, then the score; whole texts, one pass without a shuffle."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     docs = documents.select(*keep, F.col(text).alias("_text"))
 
     def run(batches):
         for b in batches:
             s = shared.value.scores(b.column("_text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(s, pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(s, pa.float64())], names=[*keep, out])
         give_back()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + f", `{out}` double"
     return docs.mapInArrow(run, schema)
 
 
 def keep_good(documents: DataFrame, model: CompressionClassifier, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of documents whose score reaches the threshold, columns as they were."""
-    scored = score_documents(documents, model, text=text, keep=documents.columns)
-    return scored.where(F.col("score") >= threshold).select(*documents.columns)
+    scored = score_documents(documents, model, text=text, keep=documents.columns, out="_kept_score")
+    return scored.where(F.col("_kept_score") >= threshold).select(*documents.columns)

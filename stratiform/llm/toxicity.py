@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: groups of a lexicon of abuse, groups of words that go with
+Many voters look at a text: groups of a lexicon of abuse, groups of word heads that go with
 the label in the training rows, and patterns. A generative label model estimates, without
-labels, how often each voter fires on toxic and on other texts (EM), and discounts voters by the
+labels or with those of training rows as one voter more, how often each voter fires on toxic and on other texts (EM), and discounts voters by the
 correlation that is left between them given the class. Its posterior labels train a linear
 classifier on voter features; a last calibration of that one score uses the training labels.
 
@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import fit_logistic, give_back, labelled_sample, logistic, slices
 
-PER_LABEL, MAX_CHARS, LEXICON_GROUPS, LEARNED_GROUPS, LEARNED_WORDS = 2048, 20_000, 8, 8, 200
+PER_LABEL, MAX_CHARS, LEXICON_GROUPS, LEARNED_GROUPS, LEARNED_STEMS = 2048, 20_000, 8, 8, 1000
+GOLD = 0.97
+STEMS = (5, 6, 7, 99)  # bytes of a word's head; 99: the word itself
 
 # Common terms of abuse.
 LEXICON = """
@@ -44,51 +46,63 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Voters:
-    """What fires on a text. groups: one set of words for each word voter."""
-
-    def __init__(self, learned: dict[str, float] | None = None):
-        group = lambda w, n: zlib.crc32(w.encode()) % n
-        self.of = {w.encode(): group(w, LEXICON_GROUPS) for w in LEXICON}
-        self.of.update({w.encode(): LEXICON_GROUPS + group(w, LEARNED_GROUPS) for w in (learned or {}) if w not in set(LEXICON)})
-        self.words = frozenset(self.of)
-        self.lexicon = frozenset(w.encode() for w in LEXICON)
-        self.strong = frozenset(w.encode() for w in (learned or {}))
+    """What fires on a text: lexicon groups, groups of learned stems (word heads of STEMS bytes), and patterns."""
+
+    def __init__(self, learned: dict[bytes, float] | None = None):
+        group = lambda w, n: zlib.crc32(w) % n
+        self.lexicon = {w.encode(): group(w.encode(), LEXICON_GROUPS) for w in LEXICON}
+        self.stems = {w: LEXICON_GROUPS + group(w, LEARNED_GROUPS) for w in (learned or {})}
+        self.words, self.heads = frozenset(self.lexicon), frozenset(self.stems)
         self.names = [f"lexicon{i}" for i in range(LEXICON_GROUPS)] + [f"learned{i}" for i in range(LEARNED_GROUPS)] + ["any_lexicon", "any_learned", "two_words", "dense", "aimed", "shout_near"]
 
     def features(self, text: str | None) -> np.ndarray:
         """Votes (0 or 1) of each voter, then two counts."""
         words = words_of(text)
-        hits = [w for w in words if w in self.words] if not self.words.isdisjoint(words) else []
+        different = set(words)
         v = np.zeros(len(self.names) + 2)
-        for w in hits:
-            v[self.of[w]] = 1
         k = LEXICON_GROUPS + LEARNED_GROUPS
-        lex, strong = sum(w in self.lexicon for w in hits), sum(w in self.strong for w in hits)
-        v[k], v[k + 1], v[k + 2], v[k + 3] = lex > 0, strong > 0, len(set(hits)) > 1, len(hits) * 200 > max(1, len(words)) and len(hits) > 0
-        if hits:
-            v[k + 4], v[k + 5] = bool(_SECOND.search(text)), bool(_SHOUT.search(text))
-        v[-2], v[-1] = math.log1p(lex), math.log1p(strong)
+        lex = self.words & different
+        stems = {h for n in STEMS for h in {w[:n] for w in different} & self.heads} if self.heads else set()
+        for w in lex:
+            v[self.lexicon[w]] = 1
+        for h in stems:
+            v[self.stems[h]] = 1
+        if not lex and not stems:
+            return v
+        n_lex = sum(w in lex for w in words)
+        n_stem = sum(any(w[:n] in stems for n in STEMS) for w in words) if stems else 0
+        v[k], v[k + 1], v[k + 2], v[k + 3] = n_lex > 0, n_stem > 0, n_lex + n_stem > 1, (n_lex + n_stem) * 100 > len(words)
+        v[k + 4], v[k + 5] = bool(_SECOND.search(text)), bool(_SHOUT.search(text))
+        v[-2], v[-1] = math.log1p(n_lex), math.log1p(n_stem)
         return v
 
 
-def learn_words(rows: list[tuple[int, str]], most: int = LEARNED_WORDS) -> dict[str, float]:
-    """Words in at least 3 toxic texts and in a far smaller share of others: weighted log odds above 3."""
+def learn_stems(rows: list[tuple[int, str]], most: int = LEARNED_STEMS) -> dict[bytes, float]:
+    """Word heads whose share of toxic texts no chance explains: log odds above 2.5, and a binomial surprise that holds for as many heads as there are."""
     tox, ok, n = Counter(), Counter(), Counter(y for y, _ in rows)
     for y, t in rows:
-        (tox if y else ok).update(set(words_of(t)))
+        different = set(words_of(t))
+        (tox if y else ok).update({w[:k] for k in STEMS for w in different})
+    share = n[1] / max(1, n[0] + n[1])
+    if not 0 < share < 1:
+        return {}
+    needed = math.log(max(1, sum(c + ok[h] >= 3 for h, c in tox.items()))) + 4
     odds = {}
-    for w, c in tox.items():
-        p, q = (c + 0.5) / (n[1] + 1), (ok[w] + 0.5) / (n[0] + 1)
-        if c >= 3 and c >= 0.02 * n[1] and (z := math.log(p / q)) > 3:
-            odds[w.decode("utf-8", "replace")] = z
+    for h, c in tox.items():
+        z = math.log((c + 0.5) / (n[1] + 1) / ((ok[h] + 0.5) / (n[0] + 1)))
+        k = c + ok[h]
+        if z > 2.5 and -c * math.log(share) - (k - c) * math.log(1 - share) - math.lgamma(k + 1) + math.lgamma(c + 1) + math.lgamma(k - c + 1) > needed:
+            odds[h] = z
     return dict(sorted(odds.items(), key=lambda x: (-x[1], x[0]))[:most])
 
 
 class LabelModel:
     """Two classes and independent voters but for a measured correlation; fitted by EM."""
 
-    def fit(self, votes: np.ndarray, rounds: int = 50) -> LabelModel:
+    def fit(self, votes: np.ndarray, gold: np.ndarray | None = None, rounds: int = 50) -> LabelModel:
+        """gold: labels of the rows where there are any; they vote too, as one more voter of accuracy GOLD."""
         n, m = votes.shape
+        self.gold = None if gold is None else (2 * gold - 1) * math.log(GOLD / (1 - GOLD))
         self.prior, self.p1, self.p0 = 0.1, np.full(m, 0.5), np.full(m, 0.02)
         self.weight = np.ones(m)
         for i in range(rounds):
@@ -113,20 +127,21 @@ class LabelModel:
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         on = np.log(self.p1 / self.p0) * self.weight
         off = np.log((1 - self.p1) / (1 - self.p0)) * self.weight
-        return logistic(np.log(self.prior / (1 - self.prior)) + votes @ on + (1 - votes) @ off)
+        z = np.log(self.prior / (1 - self.prior)) + votes @ on + (1 - votes) @ off
+        return logistic(z if self.gold is None or len(self.gold) != len(z) else z + self.gold)
 
 
 class ToxicityModel:
     def fit(self, rows: list[tuple[int, str]]) -> ToxicityModel:
         """rows: (label, text). Labels pick the learned words and calibrate the score; the classifier learns from posteriors."""
-        self.voters = Voters(learn_words(rows))
+        self.voters = Voters(learn_stems(rows))
         self.weights, self.scale = None, np.array([1.0, 0.0])
         if not rows:
             return self
         x = np.array([self.voters.features(t) for _, t in rows])
         y = np.array([r[0] for r in rows], float)
         votes = x[:, : len(self.voters.names)]
-        self.labels = LabelModel().fit(votes)
+        self.labels = LabelModel().fit(votes, y)
         post = self.labels.posterior(votes)
         self.weights = fit_logistic(x, post, l2=1e-4)
         if 0 < y.sum() < len(y):
