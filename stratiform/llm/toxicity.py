@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, give_back, labelled_sample, logistic, slices
+from .common import fit_logistic, fold, give_back, labelled_sample, logistic, slices
 
 PER_LABEL, MAX_CHARS, LEXICON_GROUPS, LEARNED_GROUPS, LEARNED_STEMS = 2048, 20_000, 8, 8, 1000
 GOLD = 0.97
@@ -77,8 +77,23 @@ class Voters:
         return v
 
 
+def different_rows(rows: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Training rows without near copies, whose shared words would look like evidence: two minima of word-triple hashes, and neither seen before."""
+    seen: list[set[int]] = [set(), set()]
+    out = []
+    for y, t in rows:
+        words = words_of(t)
+        grams = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+        keys = [min(zlib.crc32(g, salt) for g in grams) for salt in (0, 1)]
+        if not any(k in s for k, s in zip(keys, seen, strict=True)):
+            out.append((y, t))
+        for k, s in zip(keys, seen, strict=True):
+            s.add(k)
+    return out
+
+
 def learn_stems(rows: list[tuple[int, str]], most: int = LEARNED_STEMS) -> dict[bytes, float]:
-    """Word heads whose share of toxic texts no chance explains: log odds above 2.5, and a binomial surprise that holds for as many heads as there are."""
+    """Word heads whose share of toxic texts no chance explains: log odds above 3.5, and a binomial surprise that holds for as many heads as there are."""
     tox, ok, n = Counter(), Counter(), Counter(y for y, _ in rows)
     for y, t in rows:
         different = set(words_of(t))
@@ -91,7 +106,7 @@ def learn_stems(rows: list[tuple[int, str]], most: int = LEARNED_STEMS) -> dict[
     for h, c in tox.items():
         z = math.log((c + 0.5) / (n[1] + 1) / ((ok[h] + 0.5) / (n[0] + 1)))
         k = c + ok[h]
-        if z > 2.5 and -c * math.log(share) - (k - c) * math.log(1 - share) - math.lgamma(k + 1) + math.lgamma(c + 1) + math.lgamma(k - c + 1) > needed:
+        if z > 3.5 and -c * math.log(share) - (k - c) * math.log(1 - share) - math.lgamma(k + 1) + math.lgamma(c + 1) + math.lgamma(k - c + 1) > needed:
             odds[h] = z
     return dict(sorted(odds.items(), key=lambda x: (-x[1], x[0]))[:most])
 
@@ -132,8 +147,9 @@ class LabelModel:
 
 
 class ToxicityModel:
-    def fit(self, rows: list[tuple[int, str]]) -> ToxicityModel:
-        """rows: (label, text). Labels pick the learned words and calibrate the score; the classifier learns from posteriors."""
+    def fit(self, rows: list[tuple[int, str]], share: float | None = None) -> ToxicityModel:
+        """rows: (label, text); share: label 1 among all training labels, where rows is a sample balanced by label. Labels pick the learned words and calibrate the score; the classifier learns from posteriors."""
+        rows = different_rows(rows)
         self.voters = Voters(learn_stems(rows))
         self.weights, self.scale = None, np.array([1.0, 0.0])
         if not rows:
@@ -145,11 +161,13 @@ class ToxicityModel:
         post = self.labels.posterior(votes)
         self.weights = fit_logistic(x, post, l2=1e-4)
         if 0 < y.sum() < len(y):
-            self.scale = fit_logistic(self._linear(x)[:, None], y, l2=1e-4)
+            share = y.mean() if share is None else min(0.99, max(0.01, share))
+            w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+            self.scale = fit_logistic(self._linear(x)[:, None], y, w, l2=1e-4)
             if self.scale[0] <= 0:  # the label model took the other class for toxic
                 self.weights = None
                 self.weights = fit_logistic(x, (votes[:, LEXICON_GROUPS + LEARNED_GROUPS] > 0).astype(float), l2=1e-4)
-                self.scale = fit_logistic(self._linear(x)[:, None], y, l2=1e-4)
+                self.scale = fit_logistic(self._linear(x)[:, None], y, w, l2=1e-4)
         return self
 
     def _linear(self, x: np.ndarray) -> np.ndarray:
@@ -165,7 +183,8 @@ class ToxicityModel:
 def train(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", mod: int = 5, out: int = 0) -> ToxicityModel:
     """Fits on a bounded sample of the training rows (PER_LABEL a label, MAX_CHARS a text)."""
     rows = labelled_sample(documents, labels, label, key=key, text=text, mod=mod, out=out, per_label=PER_LABEL, max_chars=MAX_CHARS)
-    return ToxicityModel().fit([(y, t) for y, _, t in rows if y in (0, 1)])
+    share = labels.where(fold(F.col(key), mod) != out).where(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double"))).first()[0]
+    return ToxicityModel().fit([(y, t) for y, _, t in rows if y in (0, 1)], share)
 
 
 def score_documents(documents: DataFrame, model: ToxicityModel, *, text: str = "text", keep: list[str]) -> DataFrame:
