@@ -49,20 +49,21 @@ def ssim(pairs: DataFrame, keys: list[str], window: int = 7, span: float = 1.0)
     return pairs.groupBy(*keys).applyInPandas(run, _schema(pairs, keys, "ssim double"))
 
 
-def boundary(raster: DataFrame) -> DataFrame:
+def boundary(raster: DataFrame, keys: list[str]) -> DataFrame:
     """Pixels whose right or lower neighbour has another value."""
-    right = raster.select("y", (F.col("x") - 1).alias("x"), F.col("v").alias("r"))
-    below = raster.select((F.col("y") - 1).alias("y"), "x", F.col("v").alias("b"))
-    return raster.join(right, ["y", "x"]).join(below, ["y", "x"]).where("v <> r or v <> b").select("y", "x")
+    right = raster.select(*keys, "y", (F.col("x") - 1).alias("x"), F.col("v").alias("r"))
+    below = raster.select(*keys, (F.col("y") - 1).alias("y"), "x", F.col("v").alias("b"))
+    at = [*keys, "y", "x"]
+    return raster.join(right, at).join(below, at).where("v <> r or v <> b").select(*at)
 
 
-def boundary_f1(pred: DataFrame, target: DataFrame, tol: int = 2) -> DataFrame:
-    """Precision, recall and F1 of boundaries within a tolerance (M08): a dilation by exploded offsets, then semi-joins."""
-    a, b = boundary(pred), boundary(target)
+def boundary_f1(pred: DataFrame, target: DataFrame, keys: list[str], tol: int = 2) -> DataFrame:
+    """Precision, recall and F1 of each image's boundaries within a tolerance (M08): a dilation by exploded offsets, then left joins. An image without a boundary on one side scores 0."""
+    a, b, at = boundary(pred, keys), boundary(target, keys), [*keys, "y", "x"]
     off = F.array(*[F.lit(i) for i in range(-tol, tol + 1)])
-    grown = lambda t: t.select("y", "x", F.explode(off).alias("dy")).select("*", F.explode(off).alias("dx")).select((F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")).distinct()
-    share = lambda t, o, n: t.join(grown(o).withColumn("hit", F.lit(1)), ["y", "x"], "left").agg((F.count("hit") / F.greatest(F.count("*"), F.lit(1))).alias(n))
-    out = share(a, b, "precision").crossJoin(share(b, a, "recall"))  # one row each
+    grown = lambda t: t.select("*", F.explode(off).alias("dy")).select("*", F.explode(off).alias("dx")).select(*keys, (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")).distinct()
+    share = lambda t, o, n: t.join(grown(o).withColumn("hit", F.lit(1)), at, "left").groupBy(*keys).agg((F.count("hit") / F.count("*")).alias(n))
+    out = share(a, b, "precision").join(share(b, a, "recall"), keys, "full").fillna(0.0, ["precision", "recall"])
     p, r = F.col("precision"), F.col("recall")
     return out.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
 

@@ -228,14 +228,14 @@ def g11(spark, d):
     return compare.ap_density(model.cells(spark, d), model.slice_qc(spark, d))
 
 
-CHANNELS = MAPPED + ", red AS (SELECT acronym, count(*) AS count FROM mapped WHERE channel = 'O' AND region_id % 7 <> 0 GROUP BY 1), green AS (SELECT acronym, count(*) AS count FROM mapped WHERE channel = 'F' AND region_id % 5 <> 0 GROUP BY 1)"
+CHANNELS = MAPPED + ", red AS (SELECT acronym, count(*) AS count FROM mapped WHERE channel = 'O' GROUP BY 1), green AS (SELECT acronym, count(*) AS count FROM mapped WHERE channel = 'F' GROUP BY 1)"
 
 
 @query("j12_coexpression", with_sql("structure", "cells", body=CHANNELS + " SELECT acronym, coalesce(red.count, 0) AS red, coalesce(green.count, 0) AS green, least(coalesce(red.count, 0), coalesce(green.count, 0)) AS both, round_even(coalesce(red.count, 0)::DOUBLE / greatest(coalesce(red.count, 0) + coalesce(green.count, 0), 1), 6) AS ratio FROM red FULL JOIN green USING (acronym)"))
 def j12(spark, d):
     m = _mapped(spark, d)
-    red = m.where("channel = 'O' and region_id % 7 <> 0").groupBy("acronym").agg(F.count("*").alias("count"))
-    green = m.where("channel = 'F' and region_id % 5 <> 0").groupBy("acronym").agg(F.count("*").alias("count"))
+    red = m.where("channel = 'O'").groupBy("acronym").agg(F.count("*").alias("count"))
+    green = m.where("channel = 'F'").groupBy("acronym").agg(F.count("*").alias("count"))
     return compare.coexpression(red, green, "acronym")
 
 
@@ -244,13 +244,13 @@ def g12(spark, d):
     return compare.channel_totals(model.cells(spark, d).groupBy("channel", "region_id").agg(F.count("*").alias("count")))
 
 
-@query("j13_compare_samples", with_sql("structure", "cells", body=MAPPED + """, t AS (SELECT sample, count(*) AS t FROM mapped GROUP BY 1), g AS (SELECT sample, region_id, hemisphere, region_name, acronym, depth, count(*) AS c, count(*)::DOUBLE / t AS f FROM mapped JOIN t USING (sample) WHERE region_id % 3 <> 0 OR sample <> 'A' GROUP BY sample, region_id, hemisphere, region_name, acronym, depth, t)
+@query("j13_compare_samples", with_sql("structure", "cells", body=MAPPED + """, t AS (SELECT sample, count(*) AS t FROM mapped GROUP BY 1), g AS (SELECT sample, region_id, hemisphere, region_name, acronym, depth, count(*) AS c, count(*)::DOUBLE / t AS f FROM mapped JOIN t USING (sample) GROUP BY sample, region_id, hemisphere, region_name, acronym, depth, t)
 SELECT region_id, hemisphere, region_name, acronym, coalesce(depth, -1) AS depth, coalesce(max(c) FILTER (sample = 'A'), 0) AS count_A, coalesce(max(c) FILTER (sample = 'N'), 0) AS count_N, coalesce(max(c) FILTER (sample = 'R'), 0) AS count_R,
   round_even(coalesce(max(f) FILTER (sample = 'A'), 0)::DOUBLE, 6) AS confidence_A, round_even(coalesce(max(f) FILTER (sample = 'N'), 0)::DOUBLE, 6) AS confidence_N, round_even(coalesce(max(f) FILTER (sample = 'R'), 0)::DOUBLE, 6) AS confidence_R FROM g GROUP BY 1, 2, 3, 4, 5"""))
 def j13(spark, d):
     m = _mapped(spark, d)
     total = m.groupBy("sample").agg(F.count("*").alias("t"))
-    g = m.where("region_id % 3 <> 0 or sample <> 'A'").groupBy(F.col("sample").alias("label"), "region_id", "hemisphere", "region_name", "acronym", "depth").agg(F.count("*").alias("count"))
+    g = m.groupBy(F.col("sample").alias("label"), "region_id", "hemisphere", "region_name", "acronym", "depth").agg(F.count("*").alias("count"))
     g = g.join(total, g["label"] == total["sample"]).withColumn("confidence", F.col("count") / F.col("t"))
     return compare.compare_samples(g, ["A", "N", "R"]).withColumn("depth", F.coalesce("depth", F.lit(-1)))
 
@@ -289,6 +289,6 @@ def j19(spark, d):
     return control.delete_project(e, e.select("sample_id", "project_id").distinct(), "p3").groupBy("sample_id").agg(F.count("*").alias("n"))
 
 
-@query("s20_next_free_id", " SELECT min(c)::BIGINT AS next_id FROM (SELECT 1 AS c UNION SELECT event_id + 1 FROM events WHERE event_id % 500 <> 123) WHERE c NOT IN (SELECT event_id FROM events WHERE event_id % 500 <> 123)")
+@query("s20_next_free_id", " SELECT min(c)::BIGINT AS next_id FROM (SELECT 1 AS c UNION SELECT event_id + 1 FROM events) WHERE c NOT IN (SELECT event_id FROM events)")
 def s20(spark, d):
-    return control.next_free_id(model.table(spark, d, "events").where("event_id % 500 <> 123").select(F.col("event_id").alias("id")))
+    return control.next_free_id(model.table(spark, d, "events").select(F.col("event_id").alias("id")))

@@ -60,6 +60,38 @@ def test_suppression_equals_the_sequential_rule(spark):
     assert dedup.stats(dedup.suppress(none, dedup.near_pairs(none, r_xy=6.0, group=["slice_id"]))).first().before == 0
 
 
+def test_knn_equals_brute_force(spark):
+    from stratiform.operators.knn import knn_join
+
+    r = random.Random(8)
+    # clusters, points at one place, a far one, a group of two, a group on one side only, points without a place
+    spot = lambda: r.choice([(5.0, 5.0), (r.gauss(50, 1), r.gauss(50, 1)), (r.random() * 100, r.random() * 100)])
+    a = [(i, i % 2, *spot()) for i in range(150)] + [(900, 0, 1e6, -1e5), (901, 2, 0.0, 0.0), (902, 3, 0.0, 0.0), (903, 0, None, 1.0), (904, 0, float("nan"), 1.0)]
+    b = [(i, i % 2, *spot()) for i in range(400)] + [(500, 2, 1.0, 0.0), (501, 2, 3.0, 0.0), (502, 4, 0.0, 0.0), (503, 0, None, 0.0)]
+    want = set()
+    for i, g, x, y in a:
+        if x is not None and x == x:
+            near = sorted(((x - u) * (x - u) + (y - v) * (y - v), j) for j, h, u, v in b if h == g and u is not None)[:5]
+            want |= {(i, j, k + 1) for k, (_, j) in enumerate(near)}
+    schema = "id long, g int, x double, y double"
+    left, right = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    assert {(t.a, t.b, t.k) for t in knn_join(left, right, "g", 5).collect()} == want
+    assert knn_join(left.where("false"), right, "g", 5).count() == knn_join(left, right.where("false"), "g", 5).count() == 0
+
+
+def test_mode_and_islands_on_a_small_image(spark):
+    img = np.array([[1, 1, 1, 2], [1, 3, 1, 2], [1, 1, 2, 2]])
+    df = spark.createDataFrame([(0, y, x, int(img[y, x])) for y, x in np.ndindex(3, 4)], "slice_id int, y int, x int, region_id int")
+    modes = {(t.y, t.x): t["mode"] for t in raster.mode3(df, ["slice_id"]).collect()}
+    for y, x in np.ndindex(3, 4):
+        v, c = np.unique(img[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2], return_counts=True)
+        assert modes[y, x] == v[c.argmax()]
+    left = {(t.y, t.x): t.region_id for t in kernels.remove_islands(df, ["slice_id"], 2).collect()}
+    assert left[1, 1] == 1 and left[2, 2] == 2
+    f1 = kernels.boundary_f1(df.withColumnRenamed("region_id", "v"), df.withColumnRenamed("region_id", "v"), ["slice_id"], 0).first()
+    assert (f1.precision, f1.recall, f1.f1) == (1.0, 1.0, 1.0)
+
+
 def test_components_and_harmonic_field(spark):
     lab = kernels.label_components(np.array([[1, 1, 0], [0, 1, 0], [2, 0, 1]]))
     assert len(np.unique(lab[lab > 0])) == 3
