@@ -6,9 +6,10 @@ spans always stay. The field finds what they miss (phone numbers without a count
 its neighbours. It is trained by gradient ascent on the likelihood of a small labelled table and
 decoded by Viterbi over numpy batches.
 
-A word without a digit or @ can't carry a label other than O; that is a hard constraint
-of the model, so the chain falls apart at such words and only runs of other words are decoded,
-with no loss. Null and empty texts have no spans; the same text always has the same spans.
+Every word is scored and decoded. The chain is cut at words that are O on every best path, because no run of
+other labels through them can raise the score; only what is between them goes through Viterbi, and
+the path is that of the whole text. Null and empty texts have no spans; the
+same text always has the same spans.
 """
 
 from __future__ import annotations
@@ -34,7 +35,10 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 LABELS = ["O", "email", "ip", "card", "phone", "secret"]
-NEAR = ["password", "passwd", "token", "key", "secret", "tel", "phone", "call", "card", "visa", "ip", "host", "mail", "email", "version", "section", "page", "year", "in", "="]
+NEAR = ["password", "passwd", "pwd", "pass", "passphrase", "token", "key", "api_key", "apikey", "secret", "tel", "phone", "call", "card", "visa", "ip", "host", "mail", "email", "version", "section", "page", "year", "in", "is", "at", "dot", "="]
+TLD = "com org net edu gov io dev info biz de fr es it uk us eu ch at ca co".split()
+#: Words that follow "password is" and the like in plain sentences.
+PLAIN = "the a an my your his her our their this that not no is are was were be been it to of in on at for with by as and or but if so very too also only now then still required needed wrong right correct incorrect invalid valid expired missing empty lost stolen safe strong weak long short good bad new old hard easy never always ready here there".split()
 
 
 def luhn(digits: str) -> bool:
@@ -75,51 +79,66 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1+", s)
 
 
-def features(word: str, before: str, before2: str, after: str) -> list[str]:
+_MIXED = re.compile(r"[A-Z0-9]{16,}|[0-9a-f]{16,}|(?=.*[A-Z])(?=.*[0-9])(?=.*[a-z])[A-Za-z0-9+/_-]{16,}")
+_TURN = re.compile("[a-z][A-Z]|[A-Z]{2}[a-z]")
+_AT = re.compile(r"[\[({<](at|dot)[\])}>]", re.I)
+SIDES = ("b", "bb", "a", "aa", "aaa")  # before, two before, after, two and three after
+
+
+def own_features(word: str) -> list[str]:
     digits = sum(c.isdigit() for c in word)
     letters = sum(c.isalpha() for c in word)
     core = word.strip("\"'()[]{}<>,.;:!?")
-    out = [f"shape={shape(word)}", f"digits={min(digits, 20)}", f"letters={min(letters, 6)}", f"len={min(len(word), 40) // 4}", "bias"]
+    out = [f"shape={shape(word)}" if len(word) < 100 else "shape=long", f"digits={min(digits, 20)}", f"letters={min(letters, 6)}", f"len={min(len(word), 40) // 4}", f"has_digit={digits > 0}", "bias"]
     out += ["at"] * ("@" in word) + ["eq"] * ("=" in word) + ["dot"] * ("." in core) + ["hyphen"] * ("-" in core) + ["paren"] * ("(" in word) + ["plus"] * (word[:1] == "+") + ["quote"] * ('"' in word or "'" in word)
-    mixed = bool(re.fullmatch(r"[A-Z0-9]{16,}|[0-9a-f]{16,}|(?=.*[A-Z])(?=.*[0-9])(?=.*[a-z])[A-Za-z0-9+/_-]{16,}", core.rpartition("=")[2]))
+    value = core.rpartition("=")[2].strip("\"'")
+    mixed = bool(_MIXED.fullmatch(value))
     out += ["mixed"] * (mixed and letters > 0)
     out += [f"mixed_letters={letters > 3}"] * mixed
+    if len(value) >= 16 and value.replace("_", "").replace("-", "").isascii() and value.replace("_", "").replace("-", "").isalnum():
+        out.append(f"turns={min(len(_TURN.findall(value)), 6)}")
+        out += [f"known={value[:4]}"] * (value[:4] in ("ghp_", "AKIA", "gho_", "xoxb") or value[:3] == "sk-")
     d = re.sub(r"\D", "", core)
     out += ["luhn"] * (13 <= len(d) <= 19 and luhn(d))
-    for name, w in (("b", before), ("bb", before2), ("a", after)):
-        w = w.lower().strip("\"'(),.;:!?") or w[:1]
-        head = w.partition("=")[0]
-        if head in NEAR:
-            out.append(f"{name}:{head}")
-        out.append(f"{name}:{'num' if any(c.isdigit() for c in w) else 'word' if w else 'none'}")
+    w = core.lower()
+    out += [f"own_word={w}"] * (w in ("at", "dot")) + ["tld"] * (w in TLD) + ["plain"] * (w in PLAIN) + ["slash"] * ("/" in word)
+    out += ["tld_end"] * ("." in core and core.lower().rpartition(".")[2] in TLD) + ["inner_at"] * (w != "at" and bool(_AT.search(word)))
     if "=" in word:
-        out.append(f"own:{word.partition('=')[0].lower()}")
+        head, _, rest = word.partition("=")
+        out += [f"own:{head.lower()}"] + [f"own_value:{head.lower()}"] * bool(rest.strip("\"'"))
+    return out
+
+
+def near_features(name: str, word: str) -> list[str]:
+    w = word.lower().strip("\"'(),.;:!?[]{}<>") or word[:1]
+    head = w.partition("=")[0]
+    out = []
+    if name in ("b", "bb", "a") and head in NEAR or head == "dot" or head == "at" and name == "aa":
+        out.append(f"{name}:{head}")
+        out += [f"{name}:{head}:"] * (word[-1:] in ":=")
+    out += [f"{name}:tld"] * (name in ("a", "aa") and ("." in w and w.rpartition(".")[2] in TLD))
+    if name in ("b", "bb", "a"):
+        out.append(f"{name}:{'num' if any(c.isdigit() for c in w) else 'word' if w else 'none'}")
+    return out
+
+
+def features(word: str, before: str, before2: str, after: str) -> list[str]:
+    """after: up to three words. Each feature depends on one word alone, so a word's score is a sum over the words about it."""
+    out = own_features(word)
+    for name, w in zip(SIDES, [before, before2, *[*after.split(), "", "", ""][:3]], strict=True):
+        out += near_features(name, w)
     return out
 
 
-_SPOT = re.compile("[0-9@]")
-_SPACE = re.compile(r"\s")
 _WORD = re.compile(r"\S+")
 
 
 def runs(text: str):
-    """Runs of words that hold a digit or @, as lists of (word, start, before, before2, after)."""
-    at, run, last_end = 0, [], -1
-    while m := _SPOT.search(text, at):
-        start = m.start()
-        while start > 0 and not text[start - 1].isspace():
-            start -= 1
-        e = _SPACE.search(text, m.end())
-        end = e.start() if e else len(text)
-        if run and text[last_end:start].strip():
-            yield run
-            run = []
-        left = text[max(0, start - 80) : start].split()[-2:]
-        nxt = _WORD.search(text, end, min(len(text), end + 80))
-        run.append((text[start:end], start, left[-1] if left else "", left[-2] if len(left) > 1 else "", nxt.group() if nxt else ""))
-        at = last_end = end
-    if run:
-        yield run
+    """The words of the text as one list of (word, start, before, before2, the three after)."""
+    found = [(m.group(), m.start()) for m in _WORD.finditer(text)]
+    ws = ["", "", *(w for w, _ in found)]
+    if found:
+        yield [(w, at, ws[i + 1], ws[i], " ".join(ws[i + 3 : i + 6])) for i, (w, at) in enumerate(found)]
 
 
 # ---- the field --------------------------------------------------------------------------------------------------
@@ -127,7 +146,8 @@ def runs(text: str):
 def small_labelled_table() -> pd.DataFrame:
     """The labelled sentences that the field learns from: text, and spans as (label, start, end).
 
-    Sentences are drawn from a few patterns with a fixed seed; none comes from any table.
+    Sentences are drawn from a few patterns with a fixed seed; none comes from any table. 400 are about words with
+    a digit or @, 900 about addresses and secrets without, and plain text that looks like them.
     """
     r = random.Random(7)
     dig = lambda n: "".join(r.choice(string.digits) for _ in range(n))
@@ -168,9 +188,97 @@ def small_labelled_table() -> pd.DataFrame:
             if r.random() < 0.7:
                 text += " " + filler(r.randint(1, 5))
         rows.append((text, spans))
+
+    alpha = lambda n: "".join(r.choice(string.ascii_letters) for _ in range(n))
+    cue = lambda: r.choice(["password", "Password", "passwd", "pwd", "pass", "passphrase", "token", "key", "secret", "api_key", "apikey"])
+    word = lambda: r.choice([low(r.randint(2, 10)), low(r.randint(2, 10)), low(r.randint(3, 9)).capitalize(), low(r.randint(2, 9)) + r.choice(",.;:!?"), r.choice(PLAIN), r.choice(PLAIN), upper(4).translate(str.maketrans(string.digits, "ABCDEFGHIJ"))])
+    say = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
+
+    def hidden() -> tuple[str, str, str]:
+        """Label, what leads to it, and the span."""
+        at, dot = r.choice([("at", "dot"), ("at", "dot"), ("at", "dot"), ("AT", "DOT"), ("[at]", "[dot]"), ("(at)", "(dot)")])
+        name, tld = r.choice([low(r.randint(3, 9)), low(5).capitalize(), f"{low(5)}.{low(5)}", f"{low(5)}_{low(4)}", f"{low(5)} {dot} {low(6)}", f"{low(4)} {dot} {low(5)}"]), r.choice(TLD)
+        host = low(r.randint(3, 10))
+        i = r.choice([0, 1, 2, 3, 4, 5, 6, 7, 8, 8, 9, 9, 9, 10])
+        if i < 4:
+            return "email", "", f"{name} {at} {host} {dot} {tld}"
+        if i == 4:
+            return "email", "", f"{low(6)} {at} {host} {dot} co {dot} {r.choice(TLD)}"
+        if i == 5:
+            return "email", r.choice(["mail", "email", "e-mail:", "Email"]), f"{r.choice([low(6), low(4) + '.' + low(5)])} {at} {host}.{tld}"
+        if i == 6:
+            return "email", "", r.choice([f"{low(6)}[at]{host}[dot]{tld}", f"{low(6)}(at){host}(dot){tld}", f"{low(6)}[at]{host}.{tld}"])
+        value = r.choice([low(r.randint(4, 14)), low(r.randint(4, 14)), low(7).capitalize() + "!", alpha(r.randint(6, 30)), f"{low(5)}-{low(6)}-{low(4)}"])
+        if i == 7:
+            return "secret", "", f"{cue()}={r.choice([value, value, chr(34) + value + chr(34)])}"
+        if i == 8:
+            return "secret", f"{cue()}{r.choice([':', ' =', ' :'])}", value
+        if i == 9:
+            return "secret", f"{r.choice(['password', 'passphrase', 'passwd', 'pwd', 'token', 'secret'])} is", r.choice([value, f'"{value}"'])
+        return "secret", r.choice(["", "token", "key"]), r.choice([alpha(r.randint(20, 40)), f"ghp_{alpha(36)}", "AKIA" + alpha(16).upper(), f"sk-{alpha(32)}"])
+
+    def harmless() -> str:
+        return r.choice([
+            lambda: f"{word()} at {say(1, 3)}", lambda: f"at {say(1, 2)} the dot {word()}", lambda: f"{word()} dot {word()}", lambda: f"a dot at the {word()}", lambda: f"{word()} at {low(5)}, {word()}", lambda: f"www.{low(7)}.{r.choice(TLD)}", lambda: f"https://{low(6)}.{r.choice(TLD)}/{low(5)}/{low(6)}",
+            lambda: " ".join([r.choice([*TLD, "at", "dot", "At", "De", "de,", "es"])] * r.randint(1, 12)), lambda: f"{r.choice(TLD)} {word()} {r.choice(TLD)}, {r.choice(TLD)}", lambda: f"{cue()} {say(1, 3)}", lambda: f"the {cue()} is {r.choice(PLAIN)} {word()}", lambda: f"your {cue()} must be {word()}", lambda: f"{cue()}, {word()}", lambda: f"key to {word()}", lambda: f"{low(5)}={low(4)}", lambda: f'class="{low(6)}"', lambda: f"{low(1)} = {low(5)};", lambda: f"{low(5)}: {word()}",
+            lambda: f"{low(4)}{low(5).capitalize()}{low(6).capitalize()}()", lambda: low(r.randint(14, 30)), lambda: f"{low(7)}-{low(5)}-{low(8)}", lambda: f"/{low(4)}/{low(6)}/{low(3)}", lambda: "—", lambda: "*" * r.randint(1, 9), lambda: f'"{say(1, 3)}"', lambda: f"({word()})", lambda: f"{low(4)}'{low(1)}", lambda: upper(9).translate(str.maketrans(string.digits, "ABCDEFGHIJ")), lambda: f"{low(6)}_{low(5)}", lambda: f"<{low(3)}>",
+        ])()
+
+    for _ in range(900):
+        text, spans = say(0, 6), []
+        for _ in range(r.randint(1, 3)):
+            kind, lead, s = hidden() if r.random() < 0.4 else ("O", "", harmless())
+            text += (" " if text else "") + lead + (" " if lead else "")
+            if kind != "O":
+                spans.append((kind, len(text), len(text) + len(s)))
+            text += s + (r.choice(["", "", ".", ","]) if kind == "email" else "")
+            if r.random() < 0.7:
+                text += " " + say(1, 6)
+        rows.append((text, spans))
     return pd.DataFrame(rows, columns=["text", "spans"])
 
 
+KNOWN_WORDS, PIECE = 1 << 16, 1 << 15  # words whose scores are held, and words scored at once
+
+
+COMMON = frozenset([*NEAR, *TLD, *PLAIN])
+
+
+def alike(word: str) -> tuple | str:
+    """The same key for words that have the same features: short words of letters in lower case or with one capital, with or without one mark behind. Else the word."""
+    body, tail = (word[:-1], word[-1]) if word[-1:] in (".", ",", ";", ":", "!", "?") else (word, "")
+    n = len(body)
+    if not 0 < n < 15 or not body.isalpha() or body.lower() in COMMON:
+        return word
+    if body.islower():
+        return 0, n if n < 6 else 6, len(word) // 4, tail, n == 1
+    if n > 1 and body[0].isupper() and body[1:].islower():
+        return 1, n if n < 6 else 6, len(word) // 4, tail, n == 2
+    return word
+
+
+class Known(dict):
+    """Words' numbers in a table of scores, [number, place, label]; a new word is added when it is asked for."""
+
+    def __init__(self, field: ShapeField):
+        super().__init__()
+        self.field, self.kinds, self.chars, self.table = field, {}, 0, np.zeros((1024, 1 + len(SIDES), len(LABELS)))
+
+    def __missing__(self, word: str) -> int:
+        kind = alike(word)
+        i = self.kinds.get(kind)
+        if i is None:
+            i = self.kinds[kind] = len(self.kinds)
+            if i == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            index = self.field.index
+            for place, fs in enumerate([own_features(word), *(near_features(name, word) for name in SIDES)]):
+                self.table[i, place] = self.field.unary[[index[f] for f in fs if f in index]].sum(0)
+        self.chars += len(word)
+        self[word] = i
+        return i
+
+
 class ShapeField:
     """Linear-chain conditional random field. fit() on text and spans; spans() on texts."""
 
@@ -196,24 +304,27 @@ class ShapeField:
                 seqs.append([features(w, b, bb, a) for w, _, b, bb, a in run])
                 gold.append([next((LABELS.index(k) for k, s, e in spans if s < at + len(w) and at < e), 0) for w, at, *_ in run])
         self.index = {k: i for i, k in enumerate(sorted({f for s in seqs for w in s for f in w}))}
-        x, n, mask = self._encode(seqs)
-        k = len(LABELS)
-        y = np.zeros(x.shape[:2], int)
-        for i, g in enumerate(gold):
-            y[i, : len(g)] = g
+        n = np.array([len(q) for q in seqs])
+        mask, k = np.arange(n.max())[None] < n[:, None], len(LABELS)
+        kinds: dict[frozenset[str], int] = {}
+        of = np.array([kinds.setdefault(frozenset(w), len(kinds)) for q in seqs for w in q])
+        x = np.zeros((len(kinds), len(self.index)), np.float32)  # the different words' features
+        for w, i in kinds.items():
+            x[i, [self.index[f] for f in w]] = 1
+        onehot = np.zeros((*mask.shape, k))
+        onehot[mask] = np.eye(k)[[y for g in gold for y in g]]
         self.unary, self.pair = np.zeros((len(self.index) + 1, k)), np.zeros((k, k))
         theta = [self.unary, self.pair]
         m, v = [np.zeros_like(p) for p in theta], [np.zeros_like(p) for p in theta]
-        onehot = np.eye(k)[y] * mask[..., None]
+        gold_pair = np.einsum("nta,ntb->ab", onehot[:, :-1], onehot[:, 1:])
+        s = np.zeros(onehot.shape)
         for step in range(1, self.rounds + 1):
-            node, edge = self._marginals(x, n, mask)
-            diff = onehot - node
-            gu = np.zeros_like(self.unary)
-            np.add.at(gu, x.reshape(-1), np.repeat(diff.reshape(-1, k), x.shape[2], 0))
-            both = mask[:, 1:, None, None] * (onehot[:, :-1, :, None] * onehot[:, 1:, None, :])
-            gp = both.sum((0, 1)) - edge
-            gu[-1] = 0
-            for i, (p, g) in enumerate(zip(theta, (gu, gp), strict=True)):
+            s[mask] = (x @ self.unary[:-1].astype(np.float32))[of]
+            node, edge = self._marginals(s, n, mask)
+            diff = (onehot - node)[mask]
+            by_kind = np.stack([np.bincount(of, diff[:, i], len(kinds)) for i in range(k)], 1).astype(np.float32)
+            gu = np.concatenate([x.T @ by_kind, np.zeros((1, k))])
+            for i, (p, g) in enumerate(zip(theta, (gu, gold_pair - edge), strict=True)):
                 g = g - self.l2 * p
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.99 * v[i] + 0.01 * g * g
@@ -223,36 +334,44 @@ class ShapeField:
     def _scores(self, x: np.ndarray) -> np.ndarray:
         return self.unary[x].sum(2)
 
-    def _marginals(self, x: np.ndarray, n: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sum-product in log space over a padded batch: node marginals, and edge marginals added up."""
-        s = self._scores(x)
+    def _marginals(self, s: np.ndarray, n: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum-product over a padded batch of scores, scaled at each place: node marginals, and edge marginals added up."""
         t = s.shape[1]
-        lse = lambda a, ax: np.log(np.exp(a - a.max(ax, keepdims=True)).sum(ax)) + a.max(ax)
-        fwd, bwd = np.zeros_like(s), np.zeros_like(s)
-        fwd[:, 0] = s[:, 0]
+        e, pair = np.exp(s - s.max(2, keepdims=True)), np.exp(self.pair)
+        unit = lambda a: a / a.sum(1, keepdims=True)
+        fwd, bwd = np.zeros_like(s), np.ones_like(s)
+        fwd[:, 0] = unit(e[:, 0])
         for i in range(1, t):
-            fwd[:, i] = np.where(mask[:, i, None], lse(fwd[:, i - 1, :, None] + self.pair, 1) + s[:, i], fwd[:, i - 1])
+            fwd[:, i] = np.where(mask[:, i, None], unit(fwd[:, i - 1] @ pair * e[:, i]), fwd[:, i - 1])
         for i in range(t - 2, -1, -1):
-            bwd[:, i] = np.where(mask[:, i + 1, None], lse(self.pair + (s[:, i + 1] + bwd[:, i + 1])[:, None, :], 2), 0)
-        z = lse(fwd[:, -1], 1)
-        node = np.exp(fwd + bwd - z[:, None, None]) * mask[..., None]
+            bwd[:, i] = np.where(mask[:, i + 1, None], unit((e[:, i + 1] * bwd[:, i + 1]) @ pair.T), 1)
+        node = fwd * bwd
+        node = node / node.sum(2, keepdims=True) * mask[..., None]
         edge = np.zeros_like(self.pair)
         for i in range(t - 1):
-            e = fwd[:, i, :, None] + self.pair + (s[:, i + 1] + bwd[:, i + 1])[:, None, :] - z[:, None, None]
-            edge += (np.exp(e) * mask[:, i + 1, None, None]).sum(0)
+            right = e[:, i + 1] * bwd[:, i + 1]
+            total = ((fwd[:, i] @ pair) * right).sum(1)
+            edge += fwd[:, i].T @ (right * (mask[:, i + 1] / total)[:, None]) * pair
         return node, edge
 
     def viterbi(self, seqs: list[list[list[str]]]) -> list[list[int]]:
-        """The best labels of each sequence, by batches of like length."""
-        out: list[list[int]] = [[] for _ in seqs]
-        order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
+        """The best labels of each sequence of features."""
+        return self.best_paths([self._scores(self._encode([s])[0])[0] for s in seqs])
+
+    def best_paths(self, scores: list[np.ndarray]) -> list[list[int]]:
+        """The best labels of each sequence of label scores, by batches of like length."""
+        out: list[list[int]] = [[] for _ in scores]
+        order = sorted((i for i in range(len(scores)) if len(scores[i])), key=lambda i: len(scores[i]))
         at = 0
         while at < len(order):
-            longest = max(8, 2 * len(seqs[order[at]]))
-            take = [i for i in order[at : at + max(1, 40_000 // longest)] if len(seqs[i]) <= longest]
+            longest = max(8, 2 * len(scores[order[at]]))
+            take = [i for i in order[at : at + max(1, 40_000 // longest)] if len(scores[i]) <= longest]
             at += len(take)
-            x, n, mask = self._encode([seqs[i] for i in take])
-            s = self._scores(x)
+            n = np.array([len(scores[i]) for i in take])
+            s = np.zeros((len(take), n.max(), len(LABELS)))
+            for j, i in enumerate(take):
+                s[j, : n[j]] = scores[i]
+            mask = np.arange(n.max())[None] < n[:, None]
             best, back = s[:, 0], []
             for t in range(1, s.shape[1]):
                 c = best[:, :, None] + self.pair
@@ -270,30 +389,91 @@ class ShapeField:
                 out[i] = path[: n[j], j].tolist()
         return out
 
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words in the table of scores (by place and label); the table starts anew when it is full."""
+        if not hasattr(self, "_known") or len(self._known) > KNOWN_WORDS or self._known.chars > 64 * KNOWN_WORDS:
+            self._known = Known(self)
+        return np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
+
+    def _open(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words that may have another label than O on a best path, and their label scores. Texts stand one after another with two empty words before and three after.
+
+        A run of other labels raises the score over O in all its places by at most its first word's gain, those of the words after it and the
+        gain of leaving it; a word is O for sure when no run through it can raise the score.
+        """
+        parts, empty = [], []
+        for a in range(2, len(words) - 3, PIECE):
+            n = min(PIECE, len(words) - 3 - a)
+            ids = self._rows(words[a - 2 : a + n + 3])
+            parts.append(sum(self._known.table[ids[2 + by : 2 + by + n], place] for place, by in enumerate((0, -1, -2, 1, 2, 3))))
+            empty.append(ids[2 : 2 + n] == self._known[""])
+        if not parts:
+            return np.zeros(0, int), np.zeros((0, len(LABELS)))
+        u, empty = np.concatenate(parts), np.concatenate(empty)
+        more = u[:, 1:] - u[:, :1]
+        begins, ends = np.concatenate([[True], empty[:-1]]), np.concatenate([empty[1:], [True]])
+        stay = self.pair[0, 0]
+        after = np.where(empty, -1e4, (more + self.pair[1:, 1:].max(0) - stay).max(1))
+        first = np.where(empty, -1e4, np.where(begins, more.max(1), (more + self.pair[0, 1:] - stay).max(1)))
+        out = np.where(ends, 0.0, self.pair[1:, 0].max() - stay)
+        total = np.cumsum(after)
+        best = np.maximum.accumulate(first - total) + np.maximum.accumulate((total + out)[::-1])[::-1]
+        left = np.flatnonzero((best > -1e-4) & ~empty)
+        return left + 2, u[left]
+
+    def labels(self, texts: list[list[str]]) -> list[dict[int, int]]:
+        """For the words of each text: labels other than O, by place."""
+        flat, starts = ["", ""], []
+        for ws in texts:
+            starts.append(len(flat))
+            flat += ws
+            flat += ["", "", ""]
+        at, u = self._open(flat)
+        out: list[dict[int, int]] = [{} for _ in texts]
+        if not len(at):
+            return out
+        chains = [(int(at[c[0]]), u[c]) for c in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 1) + 1)]
+        for a, s in chains:  # the words beside a chain, where there are any, are O
+            if flat[a - 1]:
+                s[0] += self.pair[0]
+            if flat[a + len(s)]:
+                s[-1] += self.pair[:, 0]
+        owner = np.searchsorted(starts, [a for a, _ in chains], side="right") - 1
+        for (a, _), i, path in zip(chains, owner.tolist(), self.best_paths([s for _, s in chains]), strict=True):
+            out[i].update({a + j - starts[i]: y for j, y in enumerate(path) if y})
+        return out
+
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-        """Spans that the field finds in each text, words of one label side by side joined, outer punctuation left out."""
-        owner, found = [], []
+        """Spans that the field finds in each text, words of one label side by side joined (of emails, those written in words), outer punctuation left out."""
+        out: list[list[tuple[str, int, int]]] = []
+        group: list[list[str]] = []
+        size = 0
         for i, t in enumerate(texts):
-            if _SPOT.search(t):
-                for run in runs(t):
-                    owner.append(i)
-                    found.append(run)
-        labels = self.viterbi([[features(w, b, bb, a) for w, _, b, bb, a in run] for run in found])
-        out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        for i, run, ys in zip(owner, found, labels, strict=True):
-            at = 0
-            while at < len(run):
-                y, end = ys[at], at
-                while end + 1 < len(run) and ys[end + 1] == y and y in (3, 4):
-                    end += 1
-                if y:
-                    a, b = run[at][1], run[end][1] + len(run[end][0])
-                    raw = texts[i][a:b]
-                    left = len(raw) - len(raw.lstrip("\"'[{<,.;:!?"))
-                    right = len(raw.rstrip("\"']}>,.;:!?"))
-                    if right > left:
-                        out[i].append((LABELS[y], a + left, a + right))
-                at = end + 1
+            group.append(t.split())
+            size += len(group[-1])
+            if size >= PIECE or i == len(texts) - 1:
+                out += [self._joined(texts[len(out) + j], ys) for j, ys in enumerate(self.labels(group))]
+                group, size = [], 0
+        return out
+
+    def _joined(self, text: str, ys: dict[int, int]) -> list[tuple[str, int, int]]:
+        if not ys:
+            return []
+        last = max(ys)
+        words = [m.span() for _, m in zip(range(last + 1), _WORD.finditer(text), strict=False)]
+        out, at = [], 0
+        while at <= last:
+            y, end = ys.get(at, 0), at
+            while y in (1, 3, 4) and ys.get(end + 1) == y and not (y == 1 and "@" in text[words[end][0] : words[end + 1][1]]):
+                end += 1
+            if y:
+                a, b = words[at][0], words[end][1]
+                raw = text[a:b]
+                left = len(raw) - len(raw.lstrip("\"'[{<,.;:!?"))
+                right = len(raw.rstrip("\"']}>,.;:!?"))
+                if right > left:
+                    out.append((LABELS[y], a + left, a + right))
+            at = end + 1
         return out
 
 

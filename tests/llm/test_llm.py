@@ -250,6 +250,25 @@ def test_pii(spark):
     assert masked.columns == edge(spark).columns and masked.where("doc_id = 1 and text is null").count() == 1
 
 
+def test_pii_without_digit_or_at():
+    field = pii.train()
+    found = lambda t: [(k, t[a:b]) for k, a, b in field.spans([t])[0]]
+    assert found("write to john at example dot com today") == [("email", "john at example dot com")]
+    assert found("it is password=hunter now") == [("secret", "password=hunter")]
+    assert found("token ghp_abcdEFGHijklMNOPqrstUVWXyzabCDEFghij") == [("secret", "ghp_abcdEFGHijklMNOPqrstUVWXyzabCDEFghij")]
+    for t in ("look at the dot on the map", "the password is required for all", "key to success; secret garden", "we met at noon"):
+        assert found(t) == []
+
+
+def test_pii_path_is_that_of_whole_texts():
+    field, r = pii.train(), random.Random(4)
+    words = " ".join(pii.small_labelled_table()["text"]).split() + ["Été,", "ñandú", "İx", "x²", "中文", "CamelCase"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 60))) for _ in range(60)]
+    whole = [[y for run in pii.runs(t) for y in field.viterbi([[pii.features(w, b, bb, a) for w, _, b, bb, a in run]])[0]] for t in texts]
+    for t, ys, got in zip(texts, whole, field.labels([t.split() for t in texts]), strict=True):
+        assert [got.get(i, 0) for i in range(len(ys))] == ys, t
+
+
 def test_viterbi_equals_brute_force():
     from itertools import product
 
