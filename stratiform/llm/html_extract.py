@@ -6,7 +6,9 @@ the states of parent and child. Messages pass from the leaves to the root and
 back, which gives each element's exact marginal; text whose element is content with a probability above one half is kept.
 Weights maximise the likelihood of labelled pages, by gradient ascent with the same messages.
 
-Elements that are never shown as text (head, script, style, form controls) are left out by the parser. A null or
+Elements that are never shown as text (head, script, style, form controls, pictures, films and what stands in for them) are
+left out by the parser, until their end tag or their parent's end; one that has no end tag in the rest of the page
+hides nothing but itself, and a block element ends a picture or an option outside of a list. Formulas and xmp are kept. A null or
 empty page, and one without any content, gives the empty text. Broken mark-up is closed where a browser would
 close it; a cut-off page ends where it ends.
 """
@@ -25,11 +27,15 @@ from pyspark.sql import functions as F
 from .common import give_back, slices
 
 # Kinds of HTML elements and common class words.
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "canvas", "audio", "video", "select", "xmp"}
+RAW = {"script", "style", "textarea", "title"}
+# Not shown, nor is what is inside: until their end tag or their parent's end.
+QUIET = {"noscript", "iframe", "template", "svg", "object", "canvas", "audio", "video", "select", "annotation", "annotation-xml"}
+MATH = {"math", "semantics", "mi", "mn", "mo", "ms", "mtext", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "mpadded", "mphantom", "menclose", "merror", "mtable", "mtr", "mtd", "mspace"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "center"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "center"} | MATH
 HIDDEN = {"head", "button", "option", "datalist", "dialog"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
+BLOCK = CLOSES_P - {"details"} | {"body", "li", "dd", "dt"}  # what ends a picture (svg)
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 STOP = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}, "option": {"select"}}
 CLASS_WORDS = {
@@ -61,7 +67,8 @@ class Page:
         self.link_chars: dict[int, int] = {}
         stack: list[tuple[str, int]] = [("#", 0)]
         run: list[str] = []
-        hidden = links = 0
+        hidden = links = quiet = 0
+        ends: dict[str, int] = {}  # the next end tag of a QUIET element or xmp, len(source) if there is none
 
         def end_run():
             if run:
@@ -79,12 +86,13 @@ class Page:
                 self.link_chars[stack[-1][1]] = self.link_chars.get(stack[-1][1], 0) + len(t.strip())
 
         def close_to(depth: int):
-            nonlocal hidden, links
+            nonlocal hidden, links, quiet
             while len(stack) > depth:
                 tag = stack[-1][0]
-                if tag not in INLINE:
+                if not quiet and tag not in INLINE:
                     end_run()
-                hidden -= tag in HIDDEN
+                hidden -= tag in HIDDEN or tag in QUIET
+                quiet -= tag in QUIET
                 links -= tag == "a"
                 stack.pop()
 
@@ -96,6 +104,12 @@ class Page:
                     return 0
             return 0
 
+        def next_end(tag: str) -> int:
+            if ends.get(tag, -1) < at:
+                m = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)", re.I).search(source, at)
+                ends[tag] = m.start() if m else n
+            return ends[tag]
+
         at, n = 0, len(source)
         while at < n:
             m = _TOKEN.search(source, at)
@@ -107,7 +121,7 @@ class Page:
             at = m.end()
             if m[1]:
                 tag = m[1].lower()
-                if tag == "p" and not find({"p"}, set()):
+                if tag == "p" and not quiet and not find({"p"}, set()):
                     end_run()
                 if tag == "br":
                     run.append(" ")
@@ -120,13 +134,35 @@ class Page:
                         end = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|$)", re.I).search(source, at)
                         at = end.end() if end else n
                     continue
+                if tag == "xmp" and (end := next_end(tag)) < n:
+                    if not quiet and not hidden:
+                        end_run()
+                        self.tags.append("pre")
+                        self.parent.append(stack[-1][1])
+                        self.words.append(())
+                        stack.append((tag, len(self.tags) - 1))
+                        run.append(source[at:end])
+                        close_to(len(stack) - 1)
+                    at = source.find(">", end) + 1 or n
+                    continue
+                if tag in BLOCK and (i := find({"option"}, {"select", "datalist"})):
+                    close_to(i)
+                if quiet and tag in BLOCK and (i := find({"svg"}, QUIET - {"svg"})):
+                    close_to(i)
+                if tag == "body" and (i := find({"head"}, set())):
+                    close_to(i)
+                if quiet or tag in QUIET:
+                    if tag not in VOID and not attrs.rstrip().endswith("/") and (tag not in QUIET or next_end(tag) < n):
+                        stack.append((tag, stack[-1][1]))
+                        hidden += tag in HIDDEN or tag in QUIET
+                        links += tag == "a"
+                        quiet += tag in QUIET
+                    continue
                 if tag in VOID:
                     run.append(" ")
                     if tag == "hr":
                         end_run()
                     continue
-                if tag == "body" and (i := find({"head"}, set())):
-                    close_to(i)
                 if tag in CLOSES_P and (i := find({"p"}, {"article", "div", "section", "td", "li", "blockquote", "body", "table", "form", "aside"})):
                     close_to(i)
                 if tag in SAME and (i := find(SAME[tag], STOP.get(tag, set()))):

@@ -321,6 +321,17 @@ def test_html(spark):
     assert html_extract.extract(pages.where("false"), m, keep=["page_id", "url"]).count() == 0
 
 
+def test_html_keeps_what_follows_unclosed_elements():
+    m = html_extract.train()
+    say = "the words of a long paragraph in the article that goes on for a while."
+    text = lambda x: m.extract([f"<html><body><article><h1>Title here</h1><p>First {say}</p>{x}<p>Last {say}</p></article><footer>&copy; site</footer></body></html>"])[0]
+    plain = f"Title here\nFirst {say}\nLast {say}"
+    for x in ("<svg><path d='M0'>", "<video src='a'>", "<select><option>one", "<object data='x'>", "<noscript>", "<svg><text>gone</text></svg>", "<video><p>gone</p></video>", "<noscript><p>gone</p></noscript>", "<select><option>gone</select>"):
+        assert text(x) == plain, x
+    assert "Sum x=2 holds." in text("<p>Sum <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>")
+    assert "kept <b>raw</b>" in text("<xmp>kept <b>raw</b></xmp>")
+
+
 @pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, name):
