@@ -56,7 +56,8 @@ class Voters:
         self.names = [f"lexicon{i}" for i in range(LEXICON_GROUPS)] + [f"learned{i}" for i in range(LEARNED_GROUPS)] + ["any_lexicon", "any_learned", "two_words", "dense", "aimed", "shout_near"]
 
     def features(self, text: str | None) -> np.ndarray:
-        """Votes (0 or 1) of each voter, then two counts."""
+        """Votes (0 or 1) of each voter, then two counts. The patterns vote on every text, whatever words it has."""
+        text = text or ""
         words = words_of(text)
         different = set(words)
         v = np.zeros(len(self.names) + 2)
@@ -67,12 +68,12 @@ class Voters:
             v[self.lexicon[w]] = 1
         for h in stems:
             v[self.stems[h]] = 1
+        v[k + 4], v[k + 5] = bool(_SECOND.search(text)), bool(_SHOUT.search(text))
         if not lex and not stems:
             return v
         n_lex = sum(w in lex for w in words)
         n_stem = sum(any(w[:n] in stems for n in STEMS) for w in words) if stems else 0
         v[k], v[k + 1], v[k + 2], v[k + 3] = n_lex > 0, n_stem > 0, n_lex + n_stem > 1, (n_lex + n_stem) * 100 > len(words)
-        v[k + 4], v[k + 5] = bool(_SECOND.search(text)), bool(_SHOUT.search(text))
         v[-2], v[-1] = math.log1p(n_lex), math.log1p(n_stem)
         return v
 

@@ -289,6 +289,13 @@ def test_label_model_finds_the_classes():
     assert abs(m.p1[0] - 0.8) < 0.1
 
 
+def test_toxicity_patterns_vote_on_every_text():
+    v = toxicity.Voters()
+    on = lambda t: {n for n, x in zip(v.names, v.features(t), strict=False) if x}
+    assert on("you are no good") == {"aimed"} and on("GOAWAY, NOBODY wants that") == {"shout_near"}
+    assert on(None) == on("") == on("a plain text") == set()
+
+
 def test_tree_marginals_equal_brute_force():
     from itertools import product
 
