@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +22,14 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder named in spark.checkpoint.dir. Where that is unset a local master gets a temporary one, and a cluster an error, as its executors share no local folder."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="stratiform-"))
-        import shutil
-
         atexit.register(shutil.rmtree, _LOCAL[0], True)
     return "file://" + _LOCAL[0]
 
@@ -32,17 +37,19 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, so that lineage is cut and lost executors cost nothing.
 
-    A table lives until drop() or until the interpreter ends.
+    A table lives until drop() or end(), or until the interpreter ends.
     """
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/stratiform-{uuid.uuid4().hex}"
+        # held here, as the session may have been stopped when the interpreter ends
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
+        Scratch.made.append(self)
         atexit.register(self._ended)
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
     def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", codec).parquet(path)
@@ -50,25 +57,53 @@ class Scratch:
         out._scratch_path = path  # noqa: SLF001
         return out
 
+    def put_alone(self, make: Callable[[], DataFrame], name: str) -> DataFrame:
+        """Writes what make() gives, then deletes the tables of all other scratches begun meanwhile."""
+        before = len(Scratch.made)
+        out = self.put(make(), name)
+        for other in Scratch.made[before:]:
+            other.end()
+        del Scratch.made[before:]
+        return out
+
     def drop(self, *frames: DataFrame) -> None:
         for f in frames:
             self._delete(f._scratch_path)  # noqa: SLF001
 
+    def end(self) -> None:
+        """Deletes all tables."""
+        self._delete(self.root)
+
     def _delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        p = self.jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.conf).delete(p, True)
 
     def release_shuffles(self) -> None:
         """Lets Spark's cleaner delete the shuffle files of frames that are gone."""
         gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        self.jvm.System.gc()
 
     def _ended(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # noqa: BLE001, S110  the session may be gone by now
-            pass
+        with contextlib.suppress(Py4JError, OSError):  # the JVM itself may be gone by now
+            self.end()
+
+
+def unused(columns: list[str], name: str) -> str:
+    """The name, or one with underscores before it, that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def named(*columns: str) -> list[Column]:
+    """Columns by their plain names, whatever characters these have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def ddl(df: DataFrame, *more: str) -> str:
+    """The columns of a frame, and more, as a schema string."""
+    return ", ".join([*("`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in df.schema), *more])
 
 
 def give_back() -> None:
@@ -108,19 +143,19 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, *, key: str, text: str, mod: int, out: int, per_label: int, max_chars: int) -> list[tuple[int, str]]:
     """At most `per_label` training rows of each label value, as (label, text) on the driver.
 
-    Rows whose crc32(key) mod `mod` is `out` never take part. Per label the rows fall
-    into `per_label` hash buckets and each bucket gives the row of smallest hash, so the choice
-    depends on the keys alone. Texts of more than `max_chars` characters are left out, which
-    bounds what the driver gets: per_label x labels x max_chars.
+    Rows whose crc32(key) mod `mod` is `out` never take part, nor do texts of more than `max_chars` characters and rows
+    without a document. Per label the rows that are left fall into `per_label` hash buckets and each bucket gives the
+    row of smallest hash (of a repeated key the smallest text), so the choice depends on keys and texts alone. The driver gets per_label x labels x max_chars
+    at most.
     """
-    h = F.xxhash64(F.col(key).cast("string"))
-    lab = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where("_k is not null and _y is not null").where(fold(F.col("_k"), mod) != out)
-    hk = F.xxhash64(F.col("_k").cast("string"))
-    best = lab.groupBy("_y", F.pmod(hk, F.lit(per_label)).alias("_b")).agg(F.min(hk).alias("_h"))
-    docs = documents.select(F.col(key).alias("_d"), F.col(text).alias("_t"), h.alias("_h")).where(F.length("_t") <= max_chars)
+    hash_of = lambda k: F.xxhash64(k.cast("string"))
+    lab = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where("_k is not null and _y in (0, 1)").where(fold(F.col("_k"), mod) != out).distinct()
+    docs = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.col("_k").isNotNull() & (F.length("_t") <= max_chars)).where(fold(F.col("_k"), mod) != out)
+    both = docs.select("_k").join(lab, "_k").select("_y", hash_of(F.col("_k")).alias("_h"))
+    best = both.groupBy("_y", F.pmod("_h", F.lit(per_label)).alias("_b")).agg(F.min("_h").alias("_h"))
     # at most per_label rows for each label value: bounded whatever the input
-    got = docs.join(F.broadcast(best), "_h").where(fold(F.col("_d"), mod) != out).select("_y", "_d", "_t").collect()
-    return sorted({(int(r[0]), str(r[1]), r[2]) for r in got})
+    got = docs.withColumn("_h", hash_of(F.col("_k"))).join(F.broadcast(best), "_h").groupBy("_y", "_h").agg(F.min("_k").alias("_k"), F.min("_t").alias("_t")).collect()
+    return sorted((int(r["_y"]), str(r["_k"]), r["_t"]) for r in got)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, l2: float = 1e-3, steps: int = 60) -> np.ndarray:
