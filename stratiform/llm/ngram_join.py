@@ -13,21 +13,23 @@ between a node outside the shingle's largest component and the others. No partne
 link is lost: a pair that is never made lies within one component already.
 
 Nulls and texts without a word have no shingle and stay alone; fewer than five words give one shingle, the
-whole sequence. Rows with the same doc_id are nodes by their text. Empty tables give an empty result.
+whole sequence. Rows with the same doc_id are rows of their own, nodes by their text. Of ties the smallest key, then the smallest hash wins. Very long texts are
+hashed whole. Empty tables give an empty result; other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, give_back, slices
+from .common import Scratch, ddl, give_back, named, slices, unused
 
 WORDS, NUM, DEN = 5, 75, 100
 MAX_MATCH = 4  # the longest l; any cap is exact, as l = 1 is
-TABLE_BITS = 24  # counters of the frequency table: 2^24 bytes are broadcast, whatever the input
+TABLE_BITS = (24, 26)  # least and most counters of the frequency table, a byte each: 16 to 64 MB are broadcast, whatever the input
 BROADCAST_NODES = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -128,37 +130,44 @@ def required(n: np.ndarray) -> np.ndarray:
 
 # ---- documents and frequencies -----------------------------------------------------------------------------------
 
+def table_bits(documents: DataFrame) -> int:
+    """Size of the counter table, as a power of two: one counter for 32 bytes of stored input, within TABLE_BITS."""
+    stored = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # noqa: SLF001
+    return min(max((stored // 32).bit_length(), TABLE_BITS[0]), TABLE_BITS[1])
+
+
 def document_table(documents: DataFrame, scratch: Scratch, *, key: str, text: str) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, node, n of every row, and the table of frequency classes; one scan.
+    """doc_id, node, n and two hashes (h, g) of key and text of every row, and the table of frequency classes; one scan.
 
-    Each task sends 2 bytes for each shingle, the counter's low bits, grouped by its 8 high bits; the counters
-    of a group are added up where they meet.
+    Document rows are written where they are made. Each task also sends 2 bytes for each shingle, the counter's low bits, grouped by its high
+    bits; the counters of a group are added up where they meet.
     """
-    docs = documents.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    schema = "grp int, payload binary, doc_id long, node long, n int"
+    bits = table_bits(documents)
+    low, n_groups = 16, 1 << (bits - 16)
+    one = [F.col(key), F.col(text)]
+    docs = documents.select(F.col(key).alias("doc_id"), F.xxhash64(*one).alias("h"), F.xxhash64(F.lit(1), *one).alias("g"), F.col(text).alias("_text"))
+    kept = docs.select("doc_id", "h", "g")
+    names = ["doc_id", "h", "g", "node", "n", "grp", "payload"]
+    types = to_arrow_schema(kept.schema).types
 
     def send(batches):
-        made = 0
         held: list[np.ndarray] = []
         size = 0
 
         def groups():
-            t = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint32)
+            t = np.sort(np.concatenate(held))
             held.clear()
-            cut = np.searchsorted(t, np.arange(257, dtype=np.uint64) << np.uint64(TABLE_BITS - 8))
+            cut = np.searchsorted(t, np.arange(n_groups + 1, dtype=np.uint64) << np.uint64(low))
             body = [t[a:b].astype(np.uint16).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            none = pa.nulls(256, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(body, pa.binary()), none, none, pa.nulls(256, pa.int32())], names=["grp", "payload", "doc_id", "node", "n"])
+            return pa.RecordBatch.from_arrays([*(pa.nulls(n_groups, t) for t in types), pa.nulls(n_groups, pa.int64()), pa.nulls(n_groups, pa.int32()), pa.array(np.arange(n_groups), pa.int32()), pa.array(body, pa.binary())], names=names)
 
         for b in batches:
             for s in slices(b, "_text", 1 << 20):
                 owner, value = shingles(s.column("_text"))
                 n = len(s)
-                rows = pa.nulls(n, pa.binary())
                 count = np.bincount(owner, minlength=n)
-                yield pa.RecordBatch.from_arrays([pa.array((made + np.arange(n)) % 256, pa.int32()), rows, s.column("_key"), pa.array(node_ids(owner, value, n)), pa.array(count, pa.int32())], names=["grp", "payload", "doc_id", "node", "n"])
-                made += n
-                held.append((value >> np.uint64(64 - TABLE_BITS)).astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([*(s.column(c) for c in ("doc_id", "h", "g")), pa.array(node_ids(owner, value, n)), pa.array(count, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+                held.append((value >> np.uint64(64 - bits)).astype(np.uint32))
                 size += len(value)
                 if size > 4_000_000:
                     yield groups()
@@ -171,31 +180,38 @@ def document_table(documents: DataFrame, scratch: Scratch, *, key: str, text: st
     def add_up(batches):
         counts: dict[int, np.ndarray] = {}
         for b in batches:
-            is_doc = np.asarray(b.column("payload").is_null())
-            if is_doc.any():
-                yield b.filter(pa.array(is_doc))
-            if not is_doc.all():
-                part = b.filter(pa.array(~is_doc))
-                for g, raw in zip(part.column("grp").to_pylist(), part.column("payload").to_pylist(), strict=True):
-                    c = counts.setdefault(g, np.zeros(1 << (TABLE_BITS - 8), np.int64))
-                    c += np.bincount(np.frombuffer(raw, np.uint16), minlength=len(c))
+            for g, raw in zip(b.column("grp").to_pylist(), b.column("payload").to_pylist(), strict=True):
+                c = counts.setdefault(g, np.zeros(1 << low, np.int64))
+                c += np.bincount(np.frombuffer(raw, np.uint16), minlength=len(c))
         for g, c in counts.items():
             cls = np.floor(np.log2(np.maximum(c, 1))).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([cls.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32())], names=["grp", "payload", "doc_id", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([cls.tobytes()], pa.binary())], names=["grp", "payload"])
 
-    both = scratch.put(docs.mapInArrow(send, schema).repartition("grp").mapInArrow(add_up, schema), "sets")
-    table = np.zeros(1 << TABLE_BITS, np.uint8)
-    step = 1 << (TABLE_BITS - 8)
-    for g, raw in both.where("payload is not null").select("grp", "payload").collect():  # 256 rows, 16 MB, whatever the input
+    made = scratch.put(docs.mapInArrow(send, ddl(kept, "node long", "n int", "grp int", "payload binary")), "sets")
+    counters = made.where("payload is not null").select("grp", "payload")
+    table = np.zeros(1 << bits, np.uint8)
+    step = 1 << low
+    for g, raw in counters.repartition("grp").mapInArrow(add_up, "grp int, payload binary").collect():  # 2^TABLE_BITS bytes, whatever the input
         table[g * step : (g + 1) * step] = np.frombuffer(raw, np.uint8)
-    return both.where("payload is null").select("doc_id", "node", "n"), table
+    docs = scratch.put(made.where("payload is null").select("doc_id", "h", "g", "node", "n"), "nodes")
+    scratch.drop(made)
+    return docs, table
 
 
 # ---- postings ----------------------------------------------------------------------------------------------------
 
+def bits_of(table: np.ndarray) -> int:
+    return len(table).bit_length() - 1
+
+
 def prefixes(owner: np.ndarray, value: np.ndarray, n_docs: int, table: np.ndarray, floor: int) -> tuple[np.ndarray, ...]:
-    """Of each document's adaptive prefix: owner, shingle, rank in 256ths of the prefix, class; and each document's l and n."""
-    cls = np.maximum(table[value >> np.uint64(64 - TABLE_BITS)], floor)
+    """Of each document's adaptive prefix: owner, shingle, rank in 256ths of the prefix, class; and each document's l and n.
+
+    Postings hold a shingle's upper 48 bits. Where two shingles of a document agree in these they become one, so the
+    document's l falls by one: fewer matches are asked for and no link is lost.
+    """
+    merged = np.bincount(owner[1:][(owner[1:] == owner[:-1]) & (value[1:] >> np.uint64(16) == value[:-1] >> np.uint64(16))], minlength=n_docs)
+    cls = np.maximum(table[value >> np.uint64(64 - bits_of(table))], floor)
     order = np.lexsort((value, cls, owner))
     owner, value, cls = owner[order], value[order], cls[order]
     n = np.bincount(owner, minlength=n_docs)
@@ -208,7 +224,7 @@ def prefixes(owner: np.ndarray, value: np.ndarray, n_docs: int, table: np.ndarra
     ell = np.minimum(np.minimum(ell, MAX_MATCH), np.maximum(1, required(n)))
     keep = rank < slack[owner] + ell[owner]
     owner, rank = owner[keep], rank[keep]
-    return owner, value[keep], (rank * 256 // (slack + ell)[owner]).astype(np.uint8), cls[keep], ell.astype(np.uint8), n
+    return owner, value[keep], (rank * 256 // (slack + ell)[owner]).astype(np.uint8), cls[keep], np.maximum(0, ell - merged).astype(np.uint8), n
 
 
 def shared_postings(documents: DataFrame, table: np.ndarray, n_rows: int, scratch: Scratch, *, text: str) -> DataFrame:
@@ -289,7 +305,7 @@ def shared_postings(documents: DataFrame, table: np.ndarray, n_rows: int, scratc
             tok, node, sizes, part = tok[new], node[new], sizes[new], part[new]
             same = tok[1:] == tok[:-1]
             two = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            two |= table[tok >> (48 - TABLE_BITS)] >= frequent
+            two |= table[tok >> (48 - bits_of(table))] >= frequent
             if two.any():
                 yield pa.RecordBatch.from_arrays([pa.array(tok[two]), pa.array(node[two]), pa.array((sizes[two] >> 3).astype(np.int32)), pa.array(part[two].astype(np.int32)), pa.array((sizes[two] & 7).astype(np.int32))], names=["tok", "node", "n", "part", "ell"])
         give_back()
@@ -403,7 +419,7 @@ def leader_pairs(post: DataFrame) -> DataFrame:
     return promising(met).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def cross_pairs(post: DataFrame, comps: DataFrame) -> DataFrame:
+def cross_pairs(post: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs of different components that share enough prefix shingles.
 
     A pair of known sizes needs an overlap of o = ceil(75 (nx + ny) / 175), so it already shares a shingle among
@@ -423,15 +439,16 @@ def cross_pairs(post: DataFrame, comps: DataFrame) -> DataFrame:
     turned = F.col("x") > F.col("y")  # one order, so that a pair's shingles are counted together
     swap = lambda a, b, name: F.when(turned, F.col(b)).otherwise(F.col(a)).alias(name)
     pairs = pairs.select(swap("x", "y", "x"), swap("y", "x", "y"), swap("nx", "ny", "nx"), swap("ny", "nx", "ny"), swap("ex", "ey", "ex"), swap("ey", "ex", "ey"))
-    some = pairs.distinct()
-    prefix = post.groupBy("node").agg(F.collect_list("tok").alias("toks"))
+    some = scratch.put(pairs.distinct(), "met")
+    nodes = some.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    # written, so that the joins have exchanges of their own and a node in many pairs can be split
+    prefix = scratch.put(post.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_list("tok").alias("toks")), "prefixes")
     both = some.join(prefix.select(F.col("node").alias("x"), F.col("toks").alias("tx")), "x").join(prefix.select(F.col("node").alias("y"), F.col("toks").alias("ty")), "y")
     return promising(both.withColumn("c", F.size(F.array_intersect("tx", "ty"))))
 
 
-def join(documents: DataFrame, *, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
-    scratch = scratch or Scratch(documents.sparkSession)
+def components_of(documents: DataFrame, scratch: Scratch, *, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Of every row doc_id, h, g, node and n; and node, comp for the nodes that have a link."""
     docs, table = document_table(documents, scratch, key=key, text=text)
     n_rows = docs.count()
     post = shared_postings(documents, table, n_rows, scratch, text=text)
@@ -441,25 +458,57 @@ def join(documents: DataFrame, *, key: str = "doc_id", text: str = "text", scrat
     links = checked(documents, leader_pairs(post), scratch, text=text)
     comps = components(links, scratch)
     scratch.release_shuffles()
-    more = checked(documents, cross_pairs(post, comps), scratch, text=text)
-    comps = components(links.unionByName(more), scratch)
-    known = docs.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = known.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = known.join(least, (known["comp"] == least["comp"]) & (known["n"] > 0), "left")
+    more = checked(documents, cross_pairs(post, comps, scratch), scratch, text=text)
+    return docs, scratch.put(components(links.unionByName(more), scratch), "components")
+
+
+def with_least(docs: DataFrame, comps: DataFrame, least: Column, name: str) -> DataFrame:
+    """docs with the least value of `least` among the rows of their component; rows without a shingle have null.
+
+    Copies are added up by node before anything meets, so that a group of copies is a few rows from each task.
+    """
+    n_comps = comps.count()
+    nodes = docs.where("n > 0").groupBy("node").agg(F.min(least).alias(name))
+    known = nodes.join(small(comps, n_comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    best = known.groupBy("comp").agg(F.min(name).alias(name))
+    # only nodes with a link have another value than their own
+    linked = comps.join(best, "comp").select("node", F.col(name).alias("_best"))
+    every = nodes.join(small(linked, n_comps), "node", "left").select("node", F.coalesce("_best", name).alias(name))
+    alone = docs.where("n = 0").withColumn(name, F.lit(None).cast(nodes.schema[name].dataType))
+    return docs.where("n > 0").join(every, "node").unionByName(alone)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint where the counted rows are few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_NODES else df
+
+
+def join(documents: DataFrame, *, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row. The key keeps its type; a component without any key has null."""
+    scratch = scratch or Scratch(documents.sparkSession)
+    docs, comps = components_of(documents, scratch, key=key, text=text)
+    out = with_least(docs.select("doc_id", "node", "n"), comps, F.col("doc_id"), "component_id")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(documents: DataFrame, *, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """The rows of documents whose key is their component's smallest; of rows that repeat it all but one go too."""
-    cols = documents.columns
+    """One row of each component, columns as they were; rows without a shingle all stay.
+
+    It is the row of the smallest key (null comes last), of rows that share that key one with the smallest hash of key and text. Rows are told
+    apart by 128 bits of that hash, not by their keys. Of rows with the same key and text that is chosen by a hash of all their columns.
+    """
     scratch = scratch or Scratch(documents.sparkSession)
-    got = scratch.put(join(documents, key=key, text=text, scratch=scratch), "joined")
-    gone = got.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    twice = got.where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key)
-    n_gone, n_twice = gone.count(), twice.count()
-    named = F.broadcast(gone) if n_gone <= BROADCAST_NODES else gone
-    left = documents.join(named, key, "left_anti").select(*cols)
-    if not n_twice:
-        return left
-    named = F.broadcast(twice) if n_twice <= BROADCAST_NODES else twice
-    return left.join(named, key, "left_anti").select(*cols).unionByName(left.join(named, key, "left_semi").select(*cols).dropDuplicates([key]))
+    docs, comps = components_of(documents, scratch, key=key, text=text)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "g")
+    least = scratch.put(with_least(docs, comps, order, "least").where("n > 0").select("h", "g", (F.col("least.h") == F.col("h")).alias("stays")), "least")
+    rows = least.groupBy("h", "g").agg(F.first("stays").alias("stays"), F.count("*").alias("times"))
+    marks = scratch.put(rows.where("not stays or times > 1").select("h", "g", "stays"), "marks")
+    columns = documents.columns
+    h, g, stays = unused(columns, "_h"), unused(columns, "_g"), unused(columns, "_stays")
+    one = [F.col(key), F.col(text)]
+    marked = documents.withColumns({h: F.xxhash64(*one), g: F.xxhash64(F.lit(1), *one)}).join(small(marks.select(F.col("h").alias(h), F.col("g").alias(g), F.col("stays").alias(stays)), marks.count()), [h, g], "left")
+    left = marked.where(F.col(stays).isNull()).select(*named(*columns))
+    again = marked.where(stays)
+    plain = [f.name for f in documents.schema if "map<" not in f.dataType.simpleString()]
+    once = again.groupBy(h, g).agg(F.min_by(F.struct(*named(*columns)), F.xxhash64(*named(*plain))).alias("row"))
+    return left.unionByName(once.select("row.*"))
