@@ -81,45 +81,53 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = rf"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
-i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0),
-s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS sh FROM i),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-e AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
-r(d, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.d, e.y FROM r JOIN e ON r.m = e.x),
-k AS (SELECT d, min(m) AS component_id FROM r GROUP BY 1)
-SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, k.component_id
-FROM documents LEFT JOIN n USING (doc_id) JOIN k ON k.d = documents.doc_id
+WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT row, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT row, array_to_string(ws[i:i + 4], ' ') AS sh FROM i),
+n AS (SELECT row, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.row AS x, b.row AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.row <> b.row GROUP BY 1, 2),
+e AS (SELECT x, y FROM c JOIN n a ON a.row = x JOIN n b ON b.row = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+r(d, m) AS (SELECT row, row FROM w UNION SELECT r.d, e.y FROM r JOIN e ON r.m = e.x),
+k AS (SELECT d, min(w.doc_id) AS component_id FROM r JOIN w ON w.row = r.m GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, k.component_id
+FROM w LEFT JOIN n USING (row) JOIN k ON k.d = w.row
 """
 
 OP3_SQL = rf"""
-WITH dw AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+WITH dw AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 bw AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
 bi AS (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 11, 2))) AS i FROM bw WHERE len(ws) > 0),
-win AS (SELECT DISTINCT item_id, least(len(ws), 13) AS size, array_to_string(ws[i:i + 12], ' ') AS g FROM bi),
+win AS MATERIALIZED (SELECT DISTINCT item_id, least(len(ws), 13) AS size, array_to_string(ws[i:i + 12], ' ') AS g FROM bi),
 sizes AS (SELECT DISTINCT size FROM win),
 di AS (SELECT row, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM dw, sizes WHERE len(ws) >= size),
 dg AS (SELECT row, i, size, array_to_string(ws[i:i + size - 1], ' ') AS g FROM di),
 m AS (SELECT row, i, dg.size, item_id FROM dg JOIN win ON dg.g = win.g AND dg.size = win.size),
 hit AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT row, i, size FROM m)) GROUP BY 1),
-it AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM m) GROUP BY 1)
+it AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM m) GROUP BY 1),
+tw AS (SELECT g, len(t) AS n, unnest(t) AS word FROM (SELECT DISTINCT g, list_distinct(string_split(g, ' ')) AS t FROM win)),
+pos AS MATERIALIZED (SELECT row, p, word FROM (SELECT row, unnest(ws) AS word, unnest(range(len(ws))) AS p FROM dw) WHERE word IN (SELECT word FROM tw)),
+tf AS MATERIALIZED (SELECT g, n, word, df, row_number() OVER (PARTITION BY g ORDER BY df, word) AS r, count(*) OVER (PARTITION BY g) AS found FROM tw JOIN (SELECT word, count(*) AS df FROM pos GROUP BY 1) USING (word)),
+seed AS (SELECT g, n, row, p FROM tf JOIN pos USING (word) WHERE r = 1 AND found = n),
+two AS MATERIALIZED (SELECT DISTINCT seed.* FROM seed JOIN tf ON tf.g = seed.g AND tf.r = 2 JOIN pos ON pos.row = seed.row AND pos.word = tf.word AND pos.p BETWEEN seed.p - {decontam.SLOP} AND seed.p + {decontam.SLOP}),
+near AS (SELECT g, row FROM seed WHERE n = 1 UNION SELECT g, row FROM two WHERE n = 2 UNION SELECT g, row FROM (SELECT two.g, two.n, two.row, two.p FROM two JOIN tf ON tf.g = two.g AND tf.r > 2
+  JOIN pos ON pos.row = two.row AND pos.word = tf.word AND pos.p BETWEEN two.p - {decontam.SLOP} AND two.p + {decontam.SLOP} GROUP BY ALL HAVING count(DISTINCT tf.word) = two.n - 2)),
+ni AS (SELECT row, count(DISTINCT item_id) AS n_near FROM near JOIN win USING (g) GROUP BY 1)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
-FROM dw LEFT JOIN hit USING (row) LEFT JOIN it USING (row)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near_items
+FROM dw LEFT JOIN hit USING (row) LEFT JOIN it USING (row) LEFT JOIN ni USING (row)
 """
 
 OP7_SQL = rf"""
-WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 l AS (SELECT row, host, unnest(string_split(t, chr(10))) AS line FROM d),
 dup AS (SELECT row, (count(*) - count(DISTINCT line))::BIGINT AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
 g AS (SELECT row, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT row, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)),
 gg AS (SELECT row, g FROM g GROUP BY 1, 2 HAVING count(*) > 1),
 rep AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + 3)) AS p FROM g JOIN gg USING (row, g)) GROUP BY 1),
 norm AS (SELECT row, host, trim(regexp_replace(translate(lower(line), '123456789', '000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM l),
-nl AS (SELECT row, host, line, count(*) AS times FROM norm WHERE length(line) >= {linefreq.MIN_LINE_CHARS} GROUP BY 1, 2, 3),
+nl AS (SELECT row, host, line, count(*) AS times FROM norm WHERE line <> '' GROUP BY 1, 2, 3),
 hosts AS (SELECT host, count(*) AS n FROM d GROUP BY 1),
-common AS (SELECT host, line FROM nl JOIN hosts USING (host) GROUP BY host, line, n HAVING count(*) > {linefreq.LIMIT_LEAST} AND count(*) > {linefreq.LIMIT_SHARE}::DOUBLE * n),
+common AS (SELECT host, line FROM nl JOIN hosts USING (host) GROUP BY host, line, n HAVING count(*) > {linefreq.LIMIT_LEAST} AND (length(replace(line, ' ', '')) >= {linefreq.LONG_CHARS} OR count(*) > {linefreq.LIMIT_SHARE}::DOUBLE * n)),
 lost AS (SELECT row, sum(times)::BIGINT AS lines, sum(times * length(replace(line, ' ', '')))::BIGINT AS chars FROM nl JOIN common USING (host, line) GROUP BY 1),
 b AS (SELECT row, doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols FROM d),
 j AS (SELECT b.*, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lines, 0)::BIGINT AS n_common_lines, coalesce(chars, 0)::BIGINT AS common_chars
