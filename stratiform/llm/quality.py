@@ -1,13 +1,14 @@
 """Quality scores from compressed sizes under two zstandard dictionaries.
 
-A dictionary is built from texts labelled good and another from texts labelled bad. A text
-is compressed with each and with none, in pieces of `piece` bytes so that a long text does not
-become its own dictionary; the normalised size difference, with the plain ratio and the length,
-goes through a logistic calibration that holds the label shares of the training rows.
-
-Nulls and empty texts have size 0 and get the calibrated score of an empty text. A repeated row
-is scored each time. With no training rows of one label every score is the share of label 1
-(0.5 without any label).
+A dictionary is built from texts labelled good and another from texts labelled bad. A text is compressed with each in pieces of
+`piece` bytes, so that a long text does not become its own dictionary. The difference of the two sizes over the text's own size becomes a score by a logistic
+calibration that holds the label shares of the training rows. EVIDENCE bytes are added to the size and the share size / (size + EVIDENCE) is the
+calibration's other term: a text of a few bytes compresses alike with both and stays near the label share; from some kilobytes
+on that share is 1 and the difference alone tells.
+
+Nulls and empty texts get the calibrated score of an empty text; very long texts are compressed whole, piece by piece. A repeated row
+is scored each time, equal texts alike. With no training rows of one label every score is the share of label 1 (0.5 without any label). An
+empty table gives an empty result. Other columns, whatever their names, may be kept.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, fold, give_back, labelled_sample, logistic
+from .common import ddl, fit_logistic, fold, give_back, labelled_sample, logistic, named, unused
 
-PER_LABEL, MAX_CHARS, DICT_BYTES, LEVEL, PIECE = 2048, 20_000, 112_640, 3, 2048
+PER_LABEL, MAX_CHARS, DICT_BYTES, LEVEL, PIECE, EVIDENCE = 2048, 20_000, 262_144, 3, 512, 300
 
 
 def build_dictionary(texts: list[str], size: int, piece: int) -> bytes:
     """A trained dictionary, or the texts themselves where there are too few to train on."""
-    parts = [b[i : i + piece] for b in (t.encode() for t in texts) for i in range(0, len(b), piece)]
+    parts = [b[i : i + piece] for b in (t.encode("utf-8", "surrogatepass") for t in texts) for i in range(0, len(b), piece)]
     try:
         return zstandard.train_dictionary(size, parts).as_bytes()
     except zstandard.ZstdError:
@@ -33,21 +34,19 @@ def build_dictionary(texts: list[str], size: int, piece: int) -> bytes:
 
 
 class Sizer:
-    """Compressed sizes of a text with the good, the bad and no dictionary."""
+    """Compressed sizes of a text with the good and the bad dictionary."""
 
     def __init__(self, good: bytes, bad: bytes, level: int, piece: int):
         kw = {"level": level, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        self.parts = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **kw) if d else zstandard.ZstdCompressor(**kw) for d in (good, bad, b"")]
+        self.good, self.bad = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **kw) if d else zstandard.ZstdCompressor(**kw) for d in (good, bad))
         self.piece = piece
 
-    def features(self, text: str | None) -> tuple[float, ...]:
-        raw = (text or "").encode()
-        good = bad = plain = 0
-        for i in range(0, len(raw), self.piece):
-            x = raw[i : i + self.piece]
-            good, bad, plain = (n + len(c.compress(x)) for n, c in zip((good, bad, plain), self.parts, strict=True))
-        d, r, n = (bad - good) / max(1, min(good, bad)), good / max(1, len(raw)), np.log1p(len(raw))
-        return d, r, n, d * n, r * n, plain / max(1, len(raw))
+    def features(self, text: str | None) -> tuple[float, float]:
+        """The normalised size difference, and the share that the text has of its size and EVIDENCE."""
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        pieces = [raw[i : i + self.piece] for i in range(0, len(raw), self.piece)]
+        good, bad = (sum(len(c.compress(x)) for x in pieces) for c in (self.good, self.bad))
+        return (bad - good) / (len(raw) + EVIDENCE), len(raw) / (len(raw) + EVIDENCE)
 
 
 class CompressionClassifier:
@@ -87,7 +86,7 @@ class CompressionClassifier:
 
 def train(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", mod: int = 4, out: int = 2) -> CompressionClassifier:
     """Fits on a bounded sample of the training rows (PER_LABEL a label, MAX_CHARS a text)."""
-    rows = [r for r in labelled_sample(documents, labels, label, key=key, text=text, mod=mod, out=out, per_label=PER_LABEL, max_chars=MAX_CHARS) if r[0] in (0, 1)]
+    rows = labelled_sample(documents, labels, label, key=key, text=text, mod=mod, out=out, per_label=PER_LABEL, max_chars=MAX_CHARS)
     rows = [(y, t) for y, _, t in sorted(rows, key=lambda r: (hash_order(r[1]), r[0]))]
     share = labels.where(fold(F.col(key), mod) != out).where(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double"))).first()[0]
     return CompressionClassifier().fit(rows, share)
@@ -102,19 +101,20 @@ def hash_order(key: str) -> int:
 def score_documents(documents: DataFrame, model: CompressionClassifier, *, text: str = "text", keep: list[str], out: str = "score") -> DataFrame:
     """`keep` columns of every row, then the score; whole texts, one pass without a shuffle."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    docs = documents.select(*keep, F.col(text).alias("_text"))
+    kept = documents.select(*named(*keep))
+    at = unused(keep, "_text")
 
     def run(batches):
         for b in batches:
-            s = shared.value.scores(b.column("_text").to_pylist())
+            s = shared.value.scores(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(s, pa.float64())], names=[*keep, out])
         give_back()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + f", `{out}` double"
-    return docs.mapInArrow(run, schema)
+    return documents.select(*named(*keep), F.col(text).alias(at)).mapInArrow(run, ddl(kept, f"`{out}` double"))
 
 
 def keep_good(documents: DataFrame, model: CompressionClassifier, *, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of documents whose score reaches the threshold, columns as they were."""
-    scored = score_documents(documents, model, text=text, keep=documents.columns, out="_kept_score")
-    return scored.where(F.col("_kept_score") >= threshold).select(*documents.columns)
+    at = unused(documents.columns, "_score")
+    scored = score_documents(documents, model, text=text, keep=documents.columns, out=at)
+    return scored.where(F.col(at) >= threshold).select(*named(*documents.columns))
