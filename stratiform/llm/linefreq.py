@@ -1,14 +1,15 @@
 """Line-frequency rules across the documents of a host.
 
 Every line is normalised (lower case, digits to 0, white space runs to one space, trimmed) and
-hashed; a line counts once for each document (row) of a host. Lines that more than `limit` documents of a host
-hold are removed, and a document is rejected when removal leaves too small a share of its word
-characters. Base rules on repetition and length reject documents beforehand.
+hashed; a line with a character left counts once for each document (row) of a host. Lines over their limit are removed, and a document is
+rejected when removal leaves too small a share of its word characters. Two limits hold: a long line (LONG_CHARS word characters or
+more) is over it when more than LIMIT_LEAST documents of the host hold it, however large the host is; a short one, which different
+authors may write, when also more than LIMIT_SHARE of the host's documents do. Base rules on repetition and length reject documents beforehand.
 
 Counts are grouped on (host, line), which Spark pre-aggregates before the shuffle, so a host with a third of
 all rows or a line in every document is a few rows from each task. Nulls: a null text has no
-words and no lines, a null host is a host of its own. Repeated rows count as documents of their own. Empty
-tables give empty results.
+words and no lines, a null host is a host of its own. Repeated rows count as documents of their own; a line held by exactly the
+limit stays. Very long texts are read whole. Empty tables give empty results. Other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, slices
+from .common import Scratch, give_back, named, slices, unused
 
-LIMIT_SHARE, LIMIT_LEAST, KEPT_SHARE, MIN_LINE_CHARS = 0.002, 10, 0.5, 8
+LIMIT_SHARE, LIMIT_LEAST, LONG_CHARS, KEPT_SHARE = 0.002, 10, 60, 0.5
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 _DIGITS, _SPACE = re.compile(r"[0-9]"), re.compile(r"[\x20\x09-\x0D]+")
 _TO_ZERO = str.maketrans("123456789", "000000000")
@@ -77,11 +78,11 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, bool]:
 
 
 def lines_of(text: str | None) -> dict[int, tuple[int, int]]:
-    """By line hash: how often the line comes, its word characters each time. Lines with fewer than MIN_LINE_CHARS characters don't count."""
+    """By line hash: how often the line comes, its word characters each time."""
     out: dict[int, tuple[int, int]] = {}
     for line in (text or "").split("\n"):
         norm = normalise(line)
-        if len(norm) >= MIN_LINE_CHARS:
+        if norm:
             h = line_hash(norm)
             out[h] = (out.get(h, (0, 0))[0] + 1, len(norm.replace(" ", "")))
     return out
@@ -113,23 +114,19 @@ def scan(documents: DataFrame, *, key: str, text: str, host: str) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, host string, row long, " + ", ".join(f"{n} long" for n in SCAN_COUNTS) + ", base_failed boolean, lines array<struct<line:long,times:int,chars:int>>")
 
 
-def common_lines(scanned: DataFrame, *, limit_share: float, limit_least: int) -> DataFrame:
-    """(host, line) that more than max(limit_least, limit_share x the host's documents) documents hold."""
-    lines = scanned.select("host", F.explode("lines").alias("l")).select("host", "l.line")
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > limit_least)
+def common_lines(scanned: DataFrame, *, limit_share: float = LIMIT_SHARE, limit_least: int = LIMIT_LEAST, long_chars: int = LONG_CHARS) -> DataFrame:
+    """(host, line) over the limits: in more than limit_least documents of the host, and long or in more than limit_share of them."""
+    lines = scanned.select("host", F.explode("lines").alias("l")).select("host", "l.line", "l.chars")
+    counts = lines.groupBy("host", "line").agg(F.count("*").alias("docs"), F.max("chars").alias("chars")).where(F.col("docs") > limit_least)
     hosts = scanned.groupBy("host").agg(F.count("*").alias("host_docs"))
-    return counts.join(hosts, "host").where(F.col("docs") > limit_share * F.col("host_docs")).select("host", "line")
+    return counts.join(hosts, "host").where((F.col("chars") >= long_chars) | (F.col("docs") > limit_share * F.col("host_docs"))).select("host", "line")
 
 
-def assess(documents: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", limit_share: float = LIMIT_SHARE, limit_least: int = LIMIT_LEAST, kept_share: float = KEPT_SHARE, scratch: Scratch | None = None) -> DataFrame:
-    """Counts and the verdict for every row.
-
-    A line is removed when more than max(limit_least, limit_share x the host's documents) documents
-    of the host hold it. kept: not base_failed, and at least `kept_share` of the word characters stay.
-    """
+def assess(documents: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", limit_share: float = LIMIT_SHARE, limit_least: int = LIMIT_LEAST, long_chars: int = LONG_CHARS, kept_share: float = KEPT_SHARE, scratch: Scratch | None = None) -> DataFrame:
+    """Counts and the verdict for every row. kept: not base_failed, and at least `kept_share` of the word characters stay."""
     scratch = scratch or Scratch(documents.sparkSession)
     base = scratch.put(scan(documents, key=key, text=text, host=host), "lines")
-    common = scratch.put(common_lines(base, limit_share=limit_share, limit_least=limit_least), "common")
+    common = scratch.put(common_lines(base, limit_share=limit_share, limit_least=limit_least, long_chars=long_chars), "common")
     lines = base.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.*")
     lost = lines.join(common, ["host", "line"]).groupBy("row").agg(F.sum("times").alias("n_common_lines"), F.sum(F.col("times") * F.col("chars")).alias("common_chars"))
     out = base.drop("lines").join(lost, "row", "left")
@@ -139,17 +136,28 @@ def assess(documents: DataFrame, *, key: str = "doc_id", text: str = "text", hos
 
 
 def remove_common_lines(documents: DataFrame, common: DataFrame, *, text: str = "text", host: str = "source") -> DataFrame:
-    """documents with the lines named in `common` (host, line) taken out of the text; other columns stay."""
-    cols = documents.columns
-    df = documents.withColumn("_h", F.coalesce(F.col(host).cast("string"), F.lit("\0")))
-    listed = common.groupBy(F.col("host").alias("_h")).agg(F.collect_set("line").alias("_lines"))
+    """documents with the lines named in `common` (host, line) taken out of the text; other columns stay.
+
+    Only a text's own lines meet `common`; which of them are in it comes back to the text by two hashes of host and text.
+    """
+    columns = documents.columns
+    h, g, lines = (unused(columns, c) for c in ("_h", "_g", "_lines"))
+    place = F.coalesce(F.col(host).cast("string"), F.lit("\0"))
+    hashed = documents.withColumns({h: F.xxhash64(place, F.col(text)), g: F.xxhash64(F.lit(1), place, F.col(text))})
+
+    @F.pandas_udf("array<long>")
+    def own(texts: pd.Series) -> pd.Series:
+        return pd.Series([list(lines_of(t)) for t in texts], dtype=object)
 
     @F.pandas_udf("string")
-    def strip(texts: pd.Series, lines: pd.Series) -> pd.Series:
+    def strip(texts: pd.Series, drop: pd.Series) -> pd.Series:
         out = []
-        for t, ls in zip(texts, lines, strict=True):
-            drop = set() if ls is None else set(ls)
-            out.append(None if t is None else "\n".join(x for x in t.split("\n") if line_hash(normalise(x)) not in drop))
+        for t, ls in zip(texts, drop, strict=True):
+            gone = set() if ls is None else set(ls)
+            out.append(t if t is None or not gone else "\n".join(x for x in t.split("\n") if line_hash(normalise(x)) not in gone))
         return pd.Series(out, dtype=object)
 
-    return df.join(listed, "_h", "left").withColumn(text, strip(F.col(text), F.col("_lines"))).select(*cols)
+    seen = hashed.select(F.col(h).alias("h"), F.col(g).alias("g"), place.alias("host"), F.explode(own(F.col(text))).alias("line")).distinct()
+    found = seen.join(common.select("host", "line").distinct(), ["host", "line"]).groupBy("h", "g").agg(F.collect_set("line").alias(lines))
+    found = found.select(F.col("h").alias(h), F.col("g").alias(g), lines)
+    return hashed.join(found, [h, g], "left").withColumn(text, strip(F.col(text), F.col(lines))).select(*named(*columns))
