@@ -6,10 +6,13 @@ spans always stay. The field finds what they miss (phone numbers without a count
 its neighbours. It is trained by gradient ascent on the likelihood of a small labelled table and
 decoded by Viterbi over numpy batches.
 
+An address in words that the field finds has to hold a sign for @ and a dot behind it (is_address).
+
 Every word is scored and decoded. The chain is cut at words that are O on every best path, because no run of
 other labels through them can raise the score; only what is between them goes through Viterbi, and
-the path is that of the whole text. Null and empty texts have no spans; the
-same text always has the same spans.
+the path is that of the whole text. Null and empty texts have no spans and an empty table gives an empty result; the
+same text always has the same spans, in whatever row; of paths with the same score the one with the earlier labels
+wins. Texts of any length take time in proportion. Other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,9 +33,11 @@ from pyspark.sql import functions as F
 from .common import give_back, slices
 
 KINDS = ["email", "ip", "card", "phone"]
-# The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The base patterns. Email is searched from each @ outward and ip by whole chains of numbers, so that no
+# place is tried twice; the matches are those of [A-Za-z0-9._%+-]+@HOST and [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+).
+MAIL_NAME = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+NUMBERS = re.compile(r"(?<![0-9])(?<![0-9]\.)[0-9]++(?:\.[0-9]++){3,}+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -46,15 +53,40 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def email_matches(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches one after another: the longest name before an @ that begins behind the last match, and a host behind it."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        name = text[free:at]
+        start = free + len(name.rstrip(MAIL_NAME))
+        m = HOST.match(text, at + 1) if start < at else None
+        if m:
+            yield start, m.end()
+        free = m.end() if m else at + 1
+        at = text.find("@", free)
+
+
+def ip_matches(text: str) -> Iterator[tuple[int, int]]:
+    """Each four numbers of a dotted chain in turn whose values are at most 255."""
+    for m in NUMBERS.finditer(text):
+        parts, at = m.group().split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in four)):
+                yield at, end
+            at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) by kind as listed, then start. Skipped patterns lack a character that they need."""
+    """(kind, start, end) by kind as listed, then start; linear in the text. Skipped patterns lack a character that they need."""
     out = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        out += [("email", *m) for m in email_matches(text)]
     if not _DIGIT.search(text):
         return out
     if "." in text:
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split(".") if len(p) < 5) and all(len(p.lstrip("0")) <= 3 for p in m.group().split("."))]
+        out += [("ip", *m) for m in ip_matches(text)]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
             d = re.sub(r"[^0-9]", "", m.group())
@@ -82,9 +114,17 @@ def shape(word: str) -> str:
 _MIXED = re.compile(r"[A-Z0-9]{16,}|[0-9a-f]{16,}|(?=.*[A-Z])(?=.*[0-9])(?=.*[a-z])[A-Za-z0-9+/_-]{16,}")
 _TURN = re.compile("[a-z][A-Z]|[A-Z]{2}[a-z]")
 _AT = re.compile(r"[\[({<](at|dot)[\])}>]", re.I)
+#: What an address in words must hold: a sign for @ between two names, and behind it a name after a dot in some form.
+_SIGN = re.compile(r"[^\s@](?:@|\s*[\[({<]at[\])}>]\s*|\s+at\s+)(?!(?:at|dot)\b)[^\s@]", re.I)
+_DOT = re.compile(r"\w(?:\.|\s+dot\s+|\s*[\[({<]dot[\])}>]\s*)\w", re.I)
 SIDES = ("b", "bb", "a", "aa", "aaa")  # before, two before, after, two and three after
 
 
+def is_address(raw: str) -> bool:
+    sign = _SIGN.search(raw)
+    return bool(sign and _DOT.search(raw, sign.end() - 1))
+
+
 def own_features(word: str) -> list[str]:
     digits = sum(c.isdigit() for c in word)
     letters = sum(c.isalpha() for c in word)
@@ -471,7 +511,7 @@ class ShapeField:
                 raw = text[a:b]
                 left = len(raw) - len(raw.lstrip("\"'[{<,.;:!?"))
                 right = len(raw.rstrip("\"']}>,.;:!?"))
-                if right > left:
+                if right > left and (y != 1 or is_address(raw)):
                     out.append((LABELS[y], a + left, a + right))
             at = end + 1
         return out
@@ -479,7 +519,17 @@ class ShapeField:
 
 def merged(base: list[tuple[str, int, int]], added: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Base spans and those added ones that touch none of them, by kind and start."""
-    free = [s for s in added if not any(s[1] < e and b < s[2] for _, b, e in base)]
+    taken: list[list[int]] = []  # places of the base spans, overlapping ones as one
+    for _, b, e in sorted(base, key=lambda s: s[1]):
+        if taken and b < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([b, e])
+    free = []
+    for s in added:
+        i = bisect_left(taken, s[2], key=lambda t: t[0]) - 1  # the last that begins before the span's end
+        if i < 0 or taken[i][1] <= s[1]:
+            free.append(s)
     order = [*KINDS, "secret"]
     return sorted([*base, *free], key=lambda s: (order.index(s[0]), s[1], s[2]))
 
