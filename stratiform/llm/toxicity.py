@@ -1,13 +1,16 @@
 """Toxicity by weak supervision.
 
-Many voters look at a text: groups of a lexicon of abuse, groups of word heads that go with
-the label in the training rows, and patterns. A generative label model estimates, without
-labels or with those of training rows as one voter more, how often each voter fires on toxic and on other texts (EM), and discounts voters by the
-correlation that is left between them given the class. Its posterior labels train a linear
-classifier on voter features; a last calibration of that one score uses the training labels.
-
-Null and empty texts get the score of a text on which no voter fires. Without labelled rows the score is the
-label model's with the lexicon alone.
+Many voters look at a text: each entry of a lexicon of abuse, each learned word head, and patterns; a voter speaks for toxic or is
+silent. A generative label model estimates by EM, without any label, how often each voter speaks in clean texts and in several kinds
+of toxic ones; the kinds (about one a language) carry the correlation between voters. The posterior labels train a linear classifier on
+the votes and on how many there are.
+
+Labels of training rows are used for two things only: they choose the learned word heads (words beyond the fixed lexicon), and a last
+logistic calibration of the one score. They don't vote.
+
+Null and empty texts get the score of a text on which no voter fires; very long texts are read whole; a repeated row is scored each
+time, and training rows that nearly repeat another count once. Of heads with the same odds the smaller wins. Without labelled rows the score tells
+the fixed lexicon alone. An empty table gives an empty result. Other columns, whatever their names, may be kept.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fit_logistic, fold, give_back, labelled_sample, logistic, slices
+from .common import ddl, fit_logistic, fold, give_back, labelled_sample, logistic, named, slices, unused
 
-PER_LABEL, MAX_CHARS, LEXICON_GROUPS, LEARNED_GROUPS, LEARNED_STEMS = 2048, 20_000, 8, 8, 1000
-GOLD = 0.97
+PER_LABEL, MAX_CHARS, LEARNED_STEMS = 2048, 20_000, 1000
+KINDS, LIFT = 8, 3.0
 STEMS = (5, 6, 7, 99)  # bytes of a word's head; 99: the word itself
 
 # Common terms of abuse.
@@ -46,36 +49,41 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Voters:
-    """What fires on a text: lexicon groups, groups of learned stems (word heads of STEMS bytes), and patterns."""
+    """What speaks on a text: lexicon entries, learned heads (word heads of STEMS bytes) and patterns."""
+
+    PATTERNS = ("aimed", "shout_near")
+    COUNTS = ("lexicon", "heads", "dense")
 
     def __init__(self, learned: dict[bytes, float] | None = None):
-        group = lambda w, n: zlib.crc32(w) % n
-        self.lexicon = {w.encode(): group(w.encode(), LEXICON_GROUPS) for w in LEXICON}
-        self.stems = {w: LEXICON_GROUPS + group(w, LEARNED_GROUPS) for w in (learned or {})}
+        lexicon = sorted({w.encode() for w in LEXICON})
+        self.lexicon = {w: i for i, w in enumerate(lexicon)}
+        self.stems = {w: len(lexicon) + i for i, w in enumerate(sorted(learned or {}))}
         self.words, self.heads = frozenset(self.lexicon), frozenset(self.stems)
-        self.names = [f"lexicon{i}" for i in range(LEXICON_GROUPS)] + [f"learned{i}" for i in range(LEARNED_GROUPS)] + ["any_lexicon", "any_learned", "two_words", "dense", "aimed", "shout_near"]
+        self.n = len(self.lexicon) + len(self.stems) + len(self.PATTERNS)
+        self.names = [*(w.decode() for w in lexicon), *(f"{w.decode(errors='replace')}*" for w in self.stems), *self.PATTERNS]
 
-    def features(self, text: str | None) -> np.ndarray:
-        """Votes (0 or 1) of each voter, then two counts. The patterns vote on every text, whatever words it has."""
+    def votes(self, text: str | None) -> tuple[list[int], tuple[float, float, float]]:
+        """The voters that speak, and log counts of lexicon words and heads and whether they are dense. Patterns vote on every text, whatever words it has."""
         text = text or ""
         words = words_of(text)
         different = set(words)
-        v = np.zeros(len(self.names) + 2)
-        k = LEXICON_GROUPS + LEARNED_GROUPS
         lex = self.words & different
         stems = {h for n in STEMS for h in {w[:n] for w in different} & self.heads} if self.heads else set()
-        for w in lex:
-            v[self.lexicon[w]] = 1
-        for h in stems:
-            v[self.stems[h]] = 1
-        v[k + 4], v[k + 5] = bool(_SECOND.search(text)), bool(_SHOUT.search(text))
+        on = [*(self.lexicon[w] for w in lex), *(self.stems[h] for h in stems)]
+        on += [self.n - 2] * bool(_SECOND.search(text)) + [self.n - 1] * bool(_SHOUT.search(text))
         if not lex and not stems:
-            return v
+            return on, (0.0, 0.0, 0.0)
         n_lex = sum(w in lex for w in words)
         n_stem = sum(any(w[:n] in stems for n in STEMS) for w in words) if stems else 0
-        v[k], v[k + 1], v[k + 2], v[k + 3] = n_lex > 0, n_stem > 0, n_lex + n_stem > 1, (n_lex + n_stem) * 100 > len(words)
-        v[-2], v[-1] = math.log1p(n_lex), math.log1p(n_stem)
-        return v
+        return on, (math.log1p(n_lex), math.log1p(n_stem), float((n_lex + n_stem) * 100 > len(words)))
+
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """Votes (0 or 1), then the counts, a row for each text."""
+        x = np.zeros((len(texts), self.n + len(self.COUNTS)))
+        for i, t in enumerate(texts):
+            on, x[i, self.n :] = self.votes(t)
+            x[i, on] = 1
+        return x
 
 
 def different_rows(rows: list[tuple[int, str]]) -> list[tuple[int, str]]:
@@ -113,92 +121,110 @@ def learn_stems(rows: list[tuple[int, str]], most: int = LEARNED_STEMS) -> dict[
 
 
 class LabelModel:
-    """Two classes and independent voters but for a measured correlation; fitted by EM."""
+    """A clean class and several kinds of toxic texts, in each of which voters speak at rates of their own; fitted by EM without labels.
+
+    Kinds begin as groups of voters that speak together (lift above LIFT): voters are believed as far as others
+    corroborate them. A voter's accuracy is the share of its votes that fall to toxic kinds, and voters' correlations are what
+    the kinds have in common: within one kind they are independent.
+    """
 
-    def fit(self, votes: np.ndarray, gold: np.ndarray | None = None, rounds: int = 50) -> LabelModel:
-        """gold: labels of the rows where there are any; they vote too, as one more voter of accuracy GOLD."""
+    def fit(self, votes: np.ndarray, weak: int = 0, rounds: int = 50) -> LabelModel:
+        """The last `weak` voters begin no kind."""
         n, m = votes.shape
-        self.gold = None if gold is None else (2 * gold - 1) * math.log(GOLD / (1 - GOLD))
-        self.prior, self.p1, self.p0 = 0.1, np.full(m, 0.5), np.full(m, 0.02)
-        self.weight = np.ones(m)
-        for i in range(rounds):
-            post = self.posterior(votes)
-            self.prior = float(np.clip(post.mean(), 0.01, 0.9))
-            a, b = post.sum(), (1 - post).sum()
-            self.p1 = np.clip((post @ votes + 0.5) / (a + 1), 0.01, 0.99)
-            self.p0 = np.clip(((1 - post) @ votes + 0.05) / (b + 1), 1e-4, 0.99)
-            if i in (10, 30):
-                self.correlate(votes, post)
+        rate = votes.mean(0)
+        kinds = self.groups(votes[:, : m - weak])
+        share = np.zeros((n, 1 + len(kinds)))
+        for k, voters in enumerate(kinds):
+            share[:, 1 + k] = votes[:, voters].sum(1)
+        share[:, 0] = share[:, 1:].sum(1) == 0
+        share = (share == share.max(1, keepdims=True)).astype(float)
+        share /= share.sum(1, keepdims=True)
+        for _ in range(rounds):
+            size = share.sum(0)
+            self.size = (size + 1) / (size.sum() + len(size))
+            # half a row of what a voter does anywhere keeps rates off 0 and 1
+            self.rate = np.clip((share.T @ votes + 0.5 * rate) / (size + 0.5)[:, None], 1e-6, 1 - 1e-6)
+            share = self.kinds(votes)
+        toxic = 1 - share[:, 0]
+        self.accuracy = (toxic @ votes + 0.5) / (votes.sum(0) + 1)
         return self
 
-    def correlate(self, votes: np.ndarray, post: np.ndarray) -> None:
-        """Correlation of voters given the class; a voter's weight falls with what others already say."""
-        left = votes - (post[:, None] * self.p1 + (1 - post)[:, None] * self.p0)
-        cov = left.T @ left / max(1, len(votes))
-        sd = np.sqrt(np.diag(cov)) + 1e-9
-        self.corr = np.abs(cov / sd / sd[:, None])
-        np.fill_diagonal(self.corr, 1)
-        self.weight = 1 / np.where(self.corr > 0.1, self.corr, 0).sum(1)
+    @staticmethod
+    def groups(votes: np.ndarray) -> list[list[int]]:
+        """The KINDS largest groups of voters that speak together, two voters at least."""
+        n, m = votes.shape
+        both, own = votes.T @ votes, votes.sum(0)
+        tied = (both >= 3) & (both * n > LIFT * np.outer(own, own))
+        group = np.arange(m)
+        for i in range(m):
+            for j in np.flatnonzero(tied[i, i + 1 :]) + i + 1:
+                if group[i] != group[j]:
+                    group[group == group[j]] = group[i]
+        found = [np.flatnonzero(group == g).tolist() for g in np.unique(group)]
+        return sorted((g for g in found if len(g) > 1), key=lambda g: (-own[g].sum(), g))[:KINDS]
+
+    def kinds(self, votes: np.ndarray) -> np.ndarray:
+        """The share of each kind in each text, the clean class first."""
+        z = np.log(self.size) + votes @ np.log(self.rate).T + (1 - votes) @ np.log1p(-self.rate).T
+        e = np.exp(z - z.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        on = np.log(self.p1 / self.p0) * self.weight
-        off = np.log((1 - self.p1) / (1 - self.p0)) * self.weight
-        z = np.log(self.prior / (1 - self.prior)) + votes @ on + (1 - votes) @ off
-        return logistic(z if self.gold is None or len(self.gold) != len(z) else z + self.gold)
+        return 1 - self.kinds(votes)[:, 0]
 
 
 class ToxicityModel:
     def fit(self, rows: list[tuple[int, str]], share: float | None = None) -> ToxicityModel:
-        """rows: (label, text); share: label 1 among all training labels, where rows is a sample balanced by label. Labels pick the learned words and calibrate the score; the classifier learns from posteriors."""
+        """rows: (label, text); share: label 1 among all training labels, where rows is a sample balanced by label."""
         rows = different_rows(rows)
         self.voters = Voters(learn_stems(rows))
         self.weights, self.scale = None, np.array([1.0, 0.0])
         if not rows:
             return self
-        x = np.array([self.voters.features(t) for _, t in rows])
+        x = self.voters.features([t for _, t in rows])
+        votes = x[:, : self.voters.n]
+        self.labels = LabelModel().fit(votes, weak=len(Voters.PATTERNS))
+        self.weights = fit_logistic(x, self.labels.posterior(votes), l2=1e-4)
         y = np.array([r[0] for r in rows], float)
-        votes = x[:, : len(self.voters.names)]
-        self.labels = LabelModel().fit(votes, y)
-        post = self.labels.posterior(votes)
-        self.weights = fit_logistic(x, post, l2=1e-4)
         if 0 < y.sum() < len(y):
             share = y.mean() if share is None else min(0.99, max(0.01, share))
             w = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-            self.scale = fit_logistic(self._linear(x)[:, None], y, w, l2=1e-4)
-            if self.scale[0] <= 0:  # the label model took the other class for toxic
-                self.weights = None
-                self.weights = fit_logistic(x, (votes[:, LEXICON_GROUPS + LEARNED_GROUPS] > 0).astype(float), l2=1e-4)
-                self.scale = fit_logistic(self._linear(x)[:, None], y, w, l2=1e-4)
+            scale = fit_logistic(self._linear(x)[:, None], y, w, l2=1e-4)
+            if scale[0] > 0:
+                self.scale = scale
         return self
 
     def _linear(self, x: np.ndarray) -> np.ndarray:
         return np.clip(x @ self.weights[:-1] + self.weights[-1], -20, 20)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([self.voters.features(t) for t in texts]).reshape(len(texts), -1)
         if self.weights is None:
-            return np.where(x[:, LEXICON_GROUPS + LEARNED_GROUPS] > 0, 0.9, 0.05)
-        return logistic(self._linear(x) * self.scale[0] + self.scale[1])
+            return np.array([0.9 if self.voters.words & set(words_of(t)) else 0.05 for t in texts])
+        z = np.full(len(texts), self.weights[-1])
+        for i, t in enumerate(texts):
+            on, counts = self.voters.votes(t)
+            z[i] += self.weights[on].sum() + self.weights[self.voters.n : -1] @ counts
+        return logistic(np.clip(z, -20, 20) * self.scale[0] + self.scale[1])
 
 
 def train(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", mod: int = 5, out: int = 0) -> ToxicityModel:
     """Fits on a bounded sample of the training rows (PER_LABEL a label, MAX_CHARS a text)."""
     rows = labelled_sample(documents, labels, label, key=key, text=text, mod=mod, out=out, per_label=PER_LABEL, max_chars=MAX_CHARS)
     share = labels.where(fold(F.col(key), mod) != out).where(F.col(label).isin(0, 1)).agg(F.avg(F.col(label).cast("double"))).first()[0]
-    return ToxicityModel().fit([(y, t) for y, _, t in rows if y in (0, 1)], share)
+    return ToxicityModel().fit([(y, t) for y, _, t in rows], share)
 
 
 def score_documents(documents: DataFrame, model: ToxicityModel, *, text: str = "text", keep: list[str]) -> DataFrame:
     """`keep` columns of every row, then score; one pass without a shuffle."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    docs = documents.select(*keep, F.col(text).alias("_text"))
+    kept = documents.select(*named(*keep))
+    at = unused(keep, "_text")
 
     def run(batches):
         for b in batches:
-            for s in slices(b, "_text"):
-                got = shared.value.scores(s.column("_text").to_pylist())
+            for s in slices(b, at):
+                got = shared.value.scores(s.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(s.column(k) for k in keep), pa.array(got, pa.float64())], names=[*keep, "score"])
         give_back()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", score double"
-    return docs.mapInArrow(run, schema)
+    return documents.select(*named(*keep), F.col(text).alias(at)).mapInArrow(run, ddl(kept, "score double"))
