@@ -10,7 +10,9 @@ Elements that are never shown as text (head, script, style, form controls, pictu
 left out by the parser, until their end tag or their parent's end; one that has no end tag in the rest of the page
 hides nothing but itself, and a block element ends a picture or an option outside of a list. Formulas and xmp are kept. A null or
 empty page, and one without any content, gives the empty text. Broken mark-up is closed where a browser would
-close it; a cut-off page ends where it ends.
+close it; a cut-off page ends where it ends, and a quote that is never closed ends at the next > . Pages of any length are parsed whole, a repeated
+row is extracted each time, a probability of exactly one half doesn't keep, and an empty table gives an empty result. Other
+columns, whatever their names, may be kept.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, slices
+from .common import ddl, give_back, named, slices, unused
 
 # Kinds of HTML elements and common class words.
 RAW = {"script", "style", "textarea", "title"}
@@ -54,7 +56,7 @@ WORD_OF = {w: k for k, ws in CLASS_WORDS.items() for w in ws.split()}
 TAGS = ["html", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "ul", "ol", "li", "dl", "dd", "dt", "table", "tr", "td", "th", "tbody", "blockquote", "pre", "figure", "figcaption", "nav", "header", "footer", "aside", "form", "address", "hr", "details"]
 FEATURES = ["bias", "tag:other", *(f"tag:{t}" for t in TAGS), *(f"class:{k}" for k in CLASS_WORDS), "text0", "text1", "text2", "text3", "links", "all_links", "stop", "copyright", "leaf", "under_main", "first_half"]
 AT = {f: i for i, f in enumerate(FEATURES)}
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s>/]*)[^>]*(?:>|$)|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s>/]*)[^>]*(?:>|$)|<([a-zA-Z][^\s>/]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|$)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9-]+")
 
@@ -309,7 +311,19 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
     say = lambda a, b: " ".join(word() for _ in range(r.randint(a, b))).capitalize() + r.choice(["."] * 4 + [""])
     links = lambda a, b: "<ul>" + "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(r.randint(a, b))) + "</ul>"
 
+    def wrapped(inner: str, chance: float = 0.3) -> str:
+        """The inner mark-up, now and then in elements of layout that say nothing about it."""
+        if r.random() < chance:
+            for _ in range(r.choice([1, 1, 2, 2, 3, 4, 6, 9])):
+                tag = r.choice(["div", "div", "div", "section"])
+                attr = r.choice(["", "", f' class="{r.choice(["wrapper", "container", "row", "col", "inner", "block", "box", "group", "module", word()])}"', f' id="{word()}"'])
+                inner = f"<{tag}{attr}>{inner}</{tag}>"
+        return inner
+
     def noise(kind: str) -> str:
+        return wrapped(mark_of(kind), 0.2)
+
+    def mark_of(kind: str) -> str:
         c = r.choice(CLASS_WORDS[kind].split())
         box = lambda inner, tag="div": f'<{tag} {r.choice(["class", "id"])}="{c}" data-c="0">{inner}</{tag}>'
         plain = lambda inner, tag: f'<{tag} data-c="0">{inner}</{tag}>'
@@ -329,18 +343,21 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
     def body() -> str:
         out = [f"<h1>{say(3, 9)}</h1>"] if r.random() < 0.85 else []
         for _ in range(r.randint(1, 9)):
-            out.append(r.choices([lambda: f"<p>{say(8, 90)}</p>", lambda: f"<p>{say(1, 6)}</p>", lambda: f"<p><b>{say(10, 60)}<br>", lambda: f"<h2>{say(2, 7)}</h2><p>{say(10, 60)}</p>", lambda: "<ul>" + "".join(f"<li>{say(3, 15)}</li>" for _ in range(3)) + "</ul>", lambda: f"<blockquote><p>{say(8, 40)}</p></blockquote>", lambda: f"<p>{say(8, 30)} <a href='/{word()}'>{word()}</a> {say(5, 20)}</p>", lambda: f"<table><tr><td>{say(1, 4)}</td><td>{say(1, 4)}</td></tr></table>", lambda: f"<pre>{say(4, 12)}</pre>", lambda: f"<figure><figcaption>{say(3, 10)}</figcaption></figure>", lambda: noise(r.choice(["ad", "side", "share", "note", "form"]))], [30, 6, 5, 6, 4, 3, 6, 2, 1, 1, 6])[0]())
-        return "".join(out)
+            out.append(r.choices([lambda: f"<p>{say(8, 90)}</p>", lambda: f"<p>{say(1, 6)}</p>", lambda: f"<p><b>{say(10, 60)}<br>", lambda: f"<{(h := r.choice(['h2', 'h2', 'h3', 'h4']))}>{say(2, 7)}</{h}><p>{say(10, 60)}</p>", lambda: f"<{(u := r.choice(['ul', 'ul', 'ol']))}>" + "".join(f"<li>{say(3, 15)}</li>" for _ in range(3)) + f"</{u}>", lambda: f"<blockquote><p>{say(8, 40)}</p></blockquote>", lambda: f"<p>{say(8, 30)} <a href='/{word()}'>{word()}</a> {say(5, 20)}</p>", lambda: r.choice([f"<table><tr><td>{say(1, 4)}</td><td>{say(1, 4)}</td></tr></table>", f"<table><tr><th>{say(1, 2)}</th></tr><tr><td>{say(1, 4)}</td></tr></table>", f"<dl><dt>{say(1, 3)}</dt><dd>{say(3, 12)}</dd></dl>"]), lambda: f"<pre>{say(4, 12)}</pre>", lambda: f"<figure><figcaption>{say(3, 10)}</figcaption></figure>", lambda: noise(r.choice(["ad", "side", "share", "note", "form"]))], [30, 6, 5, 6, 4, 3, 6, 2, 1, 1, 6])[0]())
+        if r.random() < 0.2:
+            cut = r.randint(0, len(out))
+            out = [wrapped("".join(out[:cut]), 0.7), wrapped("".join(out[cut:]), 0.7)]
+        return "".join(wrapped(x, 0.08) for x in out)
 
     pages = []
     for _ in range(n):
         cls = r.choice(CLASS_WORDS["main"].split())
         tag, attr = r.choice([("article", ""), ("article", ""), ("article", f' class="{cls}"'), ("main", ""), ("div", f' class="{cls}"'), ("div", f' id="{cls}"'), ("section", f' class="{cls}"')])
-        core = f'<{tag}{attr} data-c="1">{body()}</{tag}>'
+        core = f'<{tag}{attr} data-c="1">{wrapped(body(), 0.25)}</{tag}>'
         if r.random() < 0.3:
             core = f"<main>{core}{noise('comment') if r.random() < 0.5 else ''}</main>" if tag != "main" else core
         if r.random() < 0.3:
-            core = f'<div class="{r.choice(["wrapper", "container", "row", "page", "site"])}">{core}</div>'
+            core = wrapped(core, 1.0)
         before = "".join(noise(k) for k in r.sample(["nav", "head", "note", "ad", "side", "form"], r.randint(0, 4)))
         after = "".join(noise(k) for k in r.sample(["comment", "side", "ad", "share", "form", "nav"], r.randint(0, 3))) + (noise("foot") if r.random() < 0.85 else "")
         source = f"<!DOCTYPE html><html><head><title>{say(2, 5)}</title></head><body>{before}{core}{after}" + r.choice(["</body></html>", ""])
@@ -367,14 +384,14 @@ def train() -> ContentModel:
 def extract(pages: DataFrame, model: ContentModel, *, html: str = "html", keep: list[str]) -> DataFrame:
     """`keep` columns of every page, its main text, and the text's code points; one pass without a shuffle."""
     shared = pages.sparkSession.sparkContext.broadcast(model)
-    docs = pages.select(*keep, F.col(html).alias("_html"))
+    kept = pages.select(*named(*keep))
+    at = unused(keep, "_html")
 
     def run(batches):
         for b in batches:
-            for s in slices(b, "_html", 2 << 20):
-                texts = shared.value.extract(s.column("_html").to_pylist())
+            for s in slices(b, at, 2 << 20):
+                texts = shared.value.extract(s.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(s.column(k) for k in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
         give_back()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", text string, n_chars long"
-    return docs.mapInArrow(run, schema)
+    return pages.select(*named(*keep), F.col(html).alias(at)).mapInArrow(run, ddl(kept, "text string", "n_chars long"))
