@@ -5,10 +5,12 @@ k pieces, whatever else it is dealt. Each worker fills its own bins of each clas
 Documents are cut so that classes are filled well: first into whole sequences, then the rest
 greedily into pieces of exactly floor(C/k) ids (two at most), so that only a short tail has
 a length between two reciprocals. What a worker has left of a class, fewer than k pieces, goes to a
-second round: for each GROUP of workers the left pieces are packed next-fit by falling length.
+second round: for each GROUP of workers the left pieces are packed by falling length, each into the first of the last 256 open
+sequences with room (first-fit).
 
-A null or empty text is its end id alone. Repeated rows are packed as rows of their own. An empty
-table gives no pieces. Very long texts are cut like any other.
+A null or empty text is its end id alone. Repeated rows are packed as rows of their own, pieces of one length in the order of their
+rows. An empty table gives no pieces. Very long texts are cut like any other. The key keeps its type and may be null; other columns, whatever their
+names, take no part.
 """
 
 from __future__ import annotations
@@ -16,16 +18,16 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, give_back, slices
+from .common import Scratch, ddl, give_back, slices
 
 CAPACITY, END_ID, GROUP, CUTS = 2048, 1, 64, 2
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, worker long"
+COLUMNS = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "worker"]
 
 
 class Encoder:
@@ -95,13 +97,13 @@ def pack(documents: DataFrame, *, key: str = "doc_id", text: str = "text", path:
         done: list[tuple] = []
 
         def flush():
-            cols = list(zip(*done, strict=True)) if done else [[]] * 8
+            keys, *cols = zip(*done, strict=True)
             done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in SCHEMA.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(keys, key_type), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", *COLUMNS])
 
         for b in batches:
             for s in slices(b, "_text", 4 << 20):
-                for doc, t in zip(s.column("_key").to_pylist(), s.column("_text").to_pylist(), strict=True):
+                for doc, t in zip(s.column("doc_id").to_pylist(), s.column("_text").to_pylist(), strict=True):
                     ids = np.append(encode(t), np.uint32(END_ID)).astype("<u4")
                     start = 0
                     for n in cut(len(ids), capacity):
@@ -124,16 +126,18 @@ def pack(documents: DataFrame, *, key: str = "doc_id", text: str = "text", path:
         del encode
         give_back()
 
-    docs = documents.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    pieces = scratch.put(docs.mapInArrow(run, SCHEMA), "pieces")
+    docs = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("_text"))
+    key_type = to_arrow_schema(docs.schema).types[0]
+    schema = ddl(docs.select("doc_id"), *(f"{c} long" for c in COLUMNS))
+    pieces = scratch.put(docs.mapInArrow(run, schema), "pieces")
 
-    def leftovers(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["length", "doc_id", "start", "worker"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        first = int(df["worker"].min())
-        space: list[tuple[int, int]] = []  # free ids and number of the open bins, the fullest last
-        seq, off = np.zeros(len(df), np.int64), np.zeros(len(df), np.int64)
+    def leftovers(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("worker", "ascending")])
+        first = min(table["worker"].to_pylist())
+        space: list[tuple[int, int]] = []  # free ids and number of the open sequences
+        seq, off = np.zeros(len(table), np.int64), np.zeros(len(table), np.int64)
         made = 0
-        for i, n in enumerate(df["length"].to_numpy()):
+        for i, n in enumerate(table["length"].to_pylist()):
             at = next((j for j, (free, _) in enumerate(space) if free >= n), None)
             if at is None:
                 space.append((capacity, made))
@@ -143,8 +147,8 @@ def pack(documents: DataFrame, *, key: str = "doc_id", text: str = "text", path:
             seq[i], off[i] = (1 << 62) + (first << 32) + b, capacity - free
             space[at] = (free - n, b)
             space = [x for x in space if x[0] > 0][-256:]
-        return df.assign(sequence_id=seq, offset=off)
+        return pa.table([*(table[c] for c in table.column_names[:5]), pa.array(seq), pa.array(off), table["worker"]], names=["doc_id", *COLUMNS])
 
     # fewer than k pieces of each class and worker, GROUP workers: bounded by the capacity
-    second = pieces.where("sequence_id is null").groupBy(F.floor(F.col("worker") / GROUP)).applyInPandas(leftovers, SCHEMA)
+    second = pieces.where("sequence_id is null").groupBy(F.floor(F.col("worker") / GROUP)).applyInArrow(leftovers, schema)
     return pieces.where("sequence_id is not null").unionByName(second).drop("worker")

@@ -7,7 +7,8 @@ subtree whose weight changed. A shard added after the base layout opens a region
 whose only leaf it is; so growth moves rows into the new shard and nowhere else.
 
 A null key draws as empty text, rows that repeat a key share its shard, and an empty table gives
-an empty result. All of it is built-in expressions; the only shuffle numbers the slots.
+an empty result. Of equal draws the first child wins; slots go by key, text checksum and size, and rows that agree in these are alike. A null text has no
+bytes, a very long one is measured whole. Other columns, whatever their names, take no part. All of it is built-in expressions; the only shuffle numbers the slots.
 """
 
 from __future__ import annotations
