@@ -1,7 +1,12 @@
 """The corpus pipeline: quality, near duplicates, decontamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the
-shared folder and reads it again as the next one's docs.
+shared folder and reads it again as the next one's docs. A stage's own tables and its predecessor's output are deleted once it is written.
+
+Rows are judged as rows: a repeated or null doc_id takes no other row with it. Null and empty texts are
+scored, have no shingles, words or personal data, and are packed as their end id if they pass the quality stage. Of copies, and of ties
+within a group, one row stays (ngram_join.one_of_each). Very long texts are worked on whole, an empty table gives no pieces, and columns
+beyond those of documents are left out whatever their names.
 """
 
 from __future__ import annotations
@@ -22,16 +27,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of the n-gram Jaccard join."""
+    """Keeps one row of each component of the n-gram Jaccard join, that of the smallest doc_id."""
     return ngram_join.one_of_each(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
-    scratch = Scratch(spark)
-    judged = scratch.put(decontam.assess(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch=scratch), "judged")
-    gone = judged.where("contaminated").select("doc_id").distinct()
-    return docs.join(decontam.small(gone, gone.count()), "doc_id", "left_anti").select(*COLUMNS)
+    """Drops contaminated rows."""
+    return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +56,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = scratch.put(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES):
+        before, docs = docs, scratch.put_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        if i:
+            scratch.drop(before)
     return docs
