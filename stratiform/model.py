@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import raster
+
 ROOT, AP_MAX = 997, 527
 HEIGHT, WIDTH = 512, 512
 
@@ -42,13 +44,23 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").selectExpr("cast(event_id as bigint) cell_id", "cast(user_id as int) slice_id", "round(value, 3) x", "cast(event_id % 97 as double) y", "value score", "event_type detector")
 
 
-def label_raster(spark: SparkSession, slices: int = 4) -> DataFrame:
-    """Tall label images: 0 outside a disc, the root in one block, else a leaf."""
+def slices(spark: SparkSession, d: str, rows: int, least: int) -> int:
+    """How many images a table's generated stack has: one for so many orders."""
+    return max(least, table(spark, d, "orders").count() // rows)
+
+
+def label_raster(spark: SparkSession, d: str) -> DataFrame:
+    """Tall label images, one for 5000 orders: 0 outside a disc, the root in one block, else a leaf."""
     n = HEIGHT * WIDTH
-    df = spark.range(slices * n).selectExpr(f"cast(id div {n} as int) slice_id", f"cast(id % {n} div {WIDTH} as int) y", f"cast(id % {WIDTH} as int) x")
+    df = spark.range(slices(spark, d, 5000, 4) * n).selectExpr(f"cast(id div {n} as int) slice_id", f"cast(id % {n} div {WIDTH} as int) y", f"cast(id % {WIDTH} as int) x")
     return df.selectExpr("slice_id", "y", "x", "cast(case when (x - 256) * (x - 256) + (y - 256) * (y - 256) > 57600 then 0 when x < 200 and y between 200 and 220 then 997 else 10001 + (x div 25 * 7 + y div 25 * 13 + slice_id) % 10 end as int) region_id")
 
 
+def image_stack(spark: SparkSession, d: str) -> DataFrame:
+    """Seeded noise with bright spots as 64 x 64 slices, one for 1000 orders."""
+    return raster.synthetic_slices(spark, slices(spark, d, 1000, 12))
+
+
 def slice_qc(spark: SparkSession, d: str) -> DataFrame:
     """One row a slice and series: series = customer segment block."""
     return table(spark, d, "orders").selectExpr("cast(o_orderkey % 40 as int) series", "cast(o_orderkey div 40 as int) slice_id", "cast(150 + o_orderkey div 400 % 200 + o_orderkey * 7 % 13 - 6 + case when o_orderkey % 29 = 0 then 40 else 0 end as int) best_z", "o_orderkey % 17 <> 0 registration_ok", "o_totalprice % 1.0 best_score").groupBy("series", "slice_id").agg(F.max("best_z").alias("best_z"), F.max("registration_ok").alias("registration_ok"), F.max("best_score").alias("best_score"))
@@ -76,7 +88,8 @@ SQL = {
   (CASE WHEN l_partkey % 20 = 0 THEN 0 WHEN l_partkey % 31 = 0 THEN 900000 + l_suppkey ELSE 10000 + l_suppkey END)::INT AS region_id FROM lineitem)""",
     "points": """points AS (SELECT event_id::BIGINT AS cell_id, user_id::INT AS slice_id, round(value, 3) AS x, (event_id % 97)::DOUBLE AS y, value AS score, event_type AS detector FROM events)""",
     "label_raster": f"""label_raster AS (SELECT slice_id, y, x, (CASE WHEN (x - 256) * (x - 256) + (y - 256) * (y - 256) > 57600 THEN 0 WHEN x < 200 AND y BETWEEN 200 AND 220 THEN 997 ELSE 10001 + (x // 25 * 7 + y // 25 * 13 + slice_id) % 10 END)::INT AS region_id
-  FROM (SELECT (id // {HEIGHT * WIDTH})::INT AS slice_id, (id % {HEIGHT * WIDTH} // {WIDTH})::INT AS y, (id % {WIDTH})::INT AS x FROM range({4 * HEIGHT * WIDTH}) t(id)))""",
+  FROM (SELECT (id // {HEIGHT * WIDTH})::INT AS slice_id, (id % {HEIGHT * WIDTH} // {WIDTH})::INT AS y, (id % {WIDTH})::INT AS x FROM (SELECT unnest(range(greatest(4, (SELECT count(*) FROM orders) // 5000) * {HEIGHT * WIDTH})) AS id)))""",
+    "image_stack": """image_stack AS (SELECT (id // 4096)::INT AS slice_id, (id % 4096 // 64)::INT AS y, (id % 64)::INT AS x, ((id * 1103515245 + 12345) % 2147483648 // 65536 % 120 + CASE WHEN id % 64 % 16 = 8 AND id % 4096 // 64 % 16 = 8 THEN 400 + id // 4096 ELSE 0 END)::INT AS value FROM (SELECT unnest(range(greatest(12, (SELECT count(*) FROM orders) // 1000) * 4096)) AS id))""",
     "slice_qc": """slice_qc AS (SELECT series, slice_id, max(best_z) AS best_z, bool_or(ok) AS registration_ok, max(score) AS best_score FROM (SELECT (o_orderkey % 40)::INT AS series, (o_orderkey // 40)::INT AS slice_id,
   (150 + o_orderkey // 400 % 200 + o_orderkey * 7 % 13 - 6 + CASE WHEN o_orderkey % 29 = 0 THEN 40 ELSE 0 END)::INT AS best_z, o_orderkey % 17 <> 0 AS ok, o_totalprice % 1.0 AS score FROM orders) GROUP BY 1, 2)""",
     "run_metrics": """pm AS (SELECT p_brand AS run_name, CASE WHEN p_partkey % 2 = 0 THEN 'pre' ELSE 'post' END AS stage, sum(p_size)::BIGINT AS s FROM part GROUP BY 1, 2),

@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _save(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder that spark.checkpoint.dir names; without one, in memory and on disk."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared:
-        return df.persist()
-    path = f"{shared.rstrip('/')}/stratiform-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..shared import Tables
 
 
 def near_pairs(cells: DataFrame, *, r_xy: float, group: list[str], r_z: float | None = None, neighbor_slices: int = 0) -> DataFrame:
@@ -49,22 +38,29 @@ def suppress(cells: DataFrame, pairs: DataFrame, score: Column | None = None) ->
     rank = cells.select("cell_id", F.coalesce(score if score is not None else F.col("score"), F.lit(0.0)).alias("s"))
     edges = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = edges.join(rank.select(F.col("cell_id").alias("a"), F.col("s").alias("sa")), "a").join(rank.select(F.col("cell_id").alias("b"), F.col("s").alias("sb")), "b")
-    edges = _save(edges)
+    tables = Tables(cells.sparkSession)
+    edges = tables.save(edges)
     gone = None
     while True:
         # (score, -id) of the best undecided neighbour against one's own
         best = edges.groupBy("a", "sa").agg(F.max(F.struct(F.col("sb").alias("s"), (-F.col("b")).alias("i"))).alias("m"))
         winners = best.where(F.struct(F.col("sa").alias("s"), (-F.col("a")).alias("i")) > F.col("m")).select("a")
-        losers = _save(edges.join(winners, "a", "left_semi").select(F.col("b").alias("cell_id")).distinct())
+        losers = tables.save(edges.join(winners, "a", "left_semi").select(F.col("b").alias("cell_id")).distinct())
         gone = losers if gone is None else gone.unionByName(losers)
         won = winners.select(F.col("a").alias("cell_id")).unionByName(losers)
         left = edges.join(won.select(F.col("cell_id").alias("a")), "a", "left_anti").join(won.select(F.col("cell_id").alias("b")), "b", "left_anti")
-        edges = _save(left.select("a", "b", "sa", "sb"))
+        before, edges = edges, tables.save(left.select("a", "b", "sa", "sb"))
+        tables.drop(before)
         if edges.isEmpty():
             break
     return cells.join(gone.distinct().withColumn("_gone", F.lit(True)), "cell_id", "left").withColumn("kept", F.col("_gone").isNull()).drop("_gone")
 
 
+def in_order(cells: DataFrame) -> DataFrame:
+    """Cells by slice and id."""
+    return cells.orderBy("slice_id", "cell_id")
+
+
 def stats(suppressed: DataFrame) -> DataFrame:
     """before, after, merged, ratio."""
     out = suppressed.agg(F.count("*").alias("before"), F.count_if("kept").alias("after"))

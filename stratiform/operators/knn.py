@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dedup import _save
+from ..shared import Tables
 
 
 def knn_join(left: DataFrame, right: DataFrame, group: str, k: int) -> DataFrame:
@@ -23,16 +23,17 @@ def knn_join(left: DataFrame, right: DataFrame, group: str, k: int) -> DataFrame
     finite = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")) & F.col(group).isNotNull()
     cols = [group, "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")]
     place = [group, "x", "y"]
+    tables = Tables(left.sparkSession)
     right = right.select(cols).where(finite)
-    right = _save(right.withColumn("_n", F.row_number().over(Window.partitionBy(*place).orderBy("id"))).where(F.col("_n") <= k).drop("_n"))
+    right = tables.save(right.withColumn("_n", F.row_number().over(Window.partitionBy(*place).orderBy("id"))).where(F.col("_n") <= k).drop("_n"))
     wide, high = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     per = k / F.col("n")
     side = F.greatest(F.sqrt(wide * high * per), F.greatest(wide, high) * per)
     extent = right.groupBy(group).agg(F.count("*").alias("n"), *[f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max))])
     extent = extent.select(group, "x0", "y0", F.when(side > 0, side).otherwise(1.0).alias("side"), F.least("n", F.lit(k)).alias("need"))
     left = left.select(cols).where(finite)
-    todo = _save(left.select(*place).distinct().join(extent, group))
-    targets = _save(right.join(extent.drop("need"), group))
+    todo = tables.save(left.select(*place).distinct().join(extent, group))
+    targets = tables.save(right.join(extent.drop("need"), group))
     off = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     served, scale = None, 1.0
     while not todo.isEmpty():
@@ -44,9 +45,10 @@ def knn_join(left: DataFrame, right: DataFrame, group: str, k: int) -> DataFrame
         near = ask.join(cells, [group, "cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= F.col("reach") * F.col("reach"))
         best = near.withColumn("k", F.row_number().over(Window.partitionBy(*place).orderBy("d2", "b"))).where(F.col("k") <= k)
         found = best.withColumn("got", F.count("*").over(Window.partitionBy(*place))).where("got = need").select(*place, "b", "k")
-        found = _save(found)
+        found = tables.save(found)
         served = found if served is None else served.unionByName(found)
-        todo = _save(todo.join(found.where("k = 1").select(*place), place, "left_anti"))
+        before, todo = todo, tables.save(todo.join(found.where("k = 1").select(*place), place, "left_anti"))
+        tables.drop(before)
         scale *= 2
     if served is None:
         return left.sparkSession.createDataFrame([], "a long, b long, k long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .registration import otsu
+
 
 def channel(pixels: DataFrame, values: str, index: int) -> DataFrame:
     """One channel of an array of channels, the first where it is out of range."""
@@ -59,12 +61,27 @@ def shapes(pixels: DataFrame, keys: list[str], intensity: str | None = None) ->
     return s.withColumns({"elongation": F.least(F.greatest(F.col("minor") / F.col("major"), F.lit(0.0)), F.lit(1.0)), "score": F.sqrt("area_px")}).drop("vx", "vy", "vxy")
 
 
+def staining_by(voxels: DataFrame, keys: list[str], min_signal: float = 0.02, least: int = 16) -> DataFrame:
+    """Atlas, covered and positive voxels with their shares, Otsu threshold and mean signal by key (G25). voxels: annotation, signal (normalised).
+
+    Covered voxels are labelled ones with a signal above min_signal; positive ones reach Otsu's threshold of the covered signal. With `least` covered voxels or fewer there is no threshold and
+    nothing is positive; without atlas voxels all is 0. A signal that is the same everywhere is its own threshold.
+    """
+    v = voxels.withColumn("_key", F.lit(0))
+    keys = ["_key", *keys]
+    atlas, covered = F.col("annotation") > 0, (F.col("annotation") > 0) & (F.col("signal") > min_signal)
+    inside = v.where(covered)
+    flat = inside.groupBy(*keys).agg(F.min("signal").alias("_lo"), F.max("signal").alias("_hi"), F.count("*").alias("_n"))
+    cut = flat.join(otsu(inside, keys, "signal"), keys, "left").select(*keys, F.when(F.col("_n") > least, F.coalesce("threshold", "_lo")).alias("_t"))
+    n = lambda c: F.count_if(c)
+    s = v.join(cut, keys, "left").groupBy(*keys).agg(n(atlas).alias("atlas_voxels"), n(covered).alias("covered_voxels"), n(covered & (F.col("signal") >= F.col("_t"))).alias("positive_voxels"), F.coalesce(F.avg(F.when(covered, F.col("signal"))), F.lit(0.0)).alias("mean_signal"), F.coalesce(F.max("_t"), F.lit(0.0)).alias("signal_threshold"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return s.withColumns({"coverage": share("covered_voxels", "atlas_voxels"), "staining_rate": share("positive_voxels", "covered_voxels"), "positive_fraction_of_atlas": share("positive_voxels", "atlas_voxels")}).drop("_key")
+
+
 def staining(voxels: DataFrame, min_signal: float = 0.02) -> DataFrame:
-    """Atlas, covered and signal statistics (G25). voxels: annotation, signal (normalised)."""
-    atlas = F.col("annotation") > 0
-    covered = atlas & (F.col("signal") > min_signal)
-    s = voxels.agg(F.count_if(atlas).alias("atlas_voxels"), F.count_if(covered).alias("covered_voxels"), F.coalesce(F.avg(F.when(covered, F.col("signal"))), F.lit(0.0)).alias("mean_signal"))
-    return s.withColumn("coverage", F.when(F.col("atlas_voxels") > 0, F.col("covered_voxels") / F.col("atlas_voxels")).otherwise(0.0))
+    """staining_by of all voxels as one row."""
+    return staining_by(voxels, [], min_signal)
 
 
 def peaks(pixels: DataFrame, keys: list[str], *, distance: int = 8, threshold: float = 200.0) -> DataFrame:

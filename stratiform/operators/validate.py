@@ -56,8 +56,15 @@ def sampling_mode(mode: Column, n: Column) -> Column:
 
 
 def precedence(tuned: Column, best: Column, config: Column, default: Column) -> Column:
-    """Tuned over best over configured over default, key by key."""
-    return F.map_concat(default, *[F.map_filter(F.coalesce(m, F.create_map().cast("map<string,double>")), lambda k, v: v.isNotNull()) for m in (config, best, tuned)])
+    """Tuned over best over configured over default, key by key (F26). A null value doesn't count."""
+    ranked = [F.map_filter(F.coalesce(m, F.create_map().cast("map<string,double>")), lambda k, v: v.isNotNull()) for m in (tuned, best, config)]
+    ranked.append(default)
+    def without(m: Column, higher: list[Column]) -> Column:
+        """The entries whose key no higher map has, so that no key comes twice."""
+        return F.map_filter(m, lambda k, v: ~F.array_contains(F.concat(*[F.map_keys(x) for x in higher]), k))
+
+    out = [without(m, ranked[:i]) if i else m for i, m in enumerate(ranked)]
+    return F.map_concat(*out)
 
 
 def ap_index(z: Column, scale: float, offset: int, top: int = 527) -> Column:

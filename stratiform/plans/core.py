@@ -70,7 +70,7 @@ j AS (SELECT p.cell_id, px, py, CASE WHEN px BETWEEN 0 AND 511 AND py BETWEEN 0
 SELECT cell_id, region_id, CASE WHEN NOT (px BETWEEN 0 AND 511 AND py BETWEEN 0 AND 511) THEN 'outside_slice_bounds' WHEN region_id > 0 THEN 'ok' ELSE 'outside_registered_slice' END AS mapping_status FROM j"""))
 def j04(spark, d):
     p = model.points(spark, d).withColumns({"slice_id": F.col("slice_id") % 4, "x": F.col("x") * 1.3 - 40, "y": F.col("y") * 5.1})
-    return mapping.look_up_slice(p, model.label_raster(spark), model.HEIGHT, model.WIDTH).select("cell_id", "region_id", "mapping_status")
+    return mapping.look_up_slice(p, model.label_raster(spark, d), model.HEIGHT, model.WIDTH).select("cell_id", "region_id", "mapping_status")
 
 
 @query("j05_voxel_lookup", with_sql("points", "label_raster", body=""", p AS (SELECT cell_id, round_even(slice_id % 6 * 25.0::DOUBLE / 25.0, 0)::INT AS vz, round_even(y * 50.0::DOUBLE / 25.0, 0)::INT AS vy, round_even(x * 50.0::DOUBLE / 25.0, 0)::INT AS vx FROM points),
@@ -78,14 +78,14 @@ i AS (SELECT *, vz BETWEEN 0 AND 3 AND vy BETWEEN 0 AND 511 AND vx BETWEEN 0 AND
 j AS (SELECT i.cell_id, inside, CASE WHEN inside AND l.region_id <> 997 THEN coalesce(l.region_id, 0) ELSE 0 END AS region_id FROM i LEFT JOIN label_raster l ON vz = l.slice_id AND vy = l.y AND vx = l.x)
 SELECT cell_id, region_id, CASE WHEN NOT inside THEN 'outside_volume' WHEN region_id > 0 THEN 'ok' ELSE 'outside_atlas' END AS mapping_status FROM j"""))
 def j05(spark, d):
-    vol = model.label_raster(spark).withColumnRenamed("slice_id", "z")
+    vol = model.label_raster(spark, d).withColumnRenamed("slice_id", "z")
     p = model.points(spark, d).withColumn("slice_id", F.col("slice_id") % 6)
     return mapping.look_up_volume(p, vol, (4, model.HEIGHT, model.WIDTH), 50.0, 25.0).select("cell_id", "region_id", "mapping_status")
 
 
 @query("j06_region_at", with_sql("structure", "label_raster", body=""" SELECT slice_id, y, x, (CASE WHEN l.region_id = 997 THEN 0 ELSE l.region_id END)::INT AS region_id, s.name AS region_name, s.acronym, coalesce(p.name, '') AS parent_name FROM label_raster l LEFT JOIN structure s ON s.id = l.region_id LEFT JOIN structure p ON p.id = s.parent_structure_id WHERE slice_id = 1 AND x = 240 AND y = 250"""))
 def j06(spark, d):
-    return mapping.region_at(model.label_raster(spark), model.structure(spark, d), 1, 240, 250).select("slice_id", "y", "x", "region_id", "region_name", "acronym", "parent_name")
+    return mapping.region_at(model.label_raster(spark, d), model.structure(spark, d), 1, 240, 250).select("slice_id", "y", "x", "region_id", "region_name", "acronym", "parent_name")
 
 
 @query("f01_um_columns", with_sql("points", body=" SELECT cell_id, x * 0.65::DOUBLE AS x_um, y * 0.65::DOUBLE AS y_um, slice_id * 25.0::DOUBLE AS z_um FROM points"))
@@ -104,13 +104,25 @@ def j08(spark, d):
     return dedup.near_pairs(p, r_xy=4.0, group=["block"], r_z=12.5, neighbor_slices=1).select("a", "b")
 
 
-@query("w06_greedy_suppression")
+#: Greedy suppression by score in SQL: each group's cells in turn, with the list of those kept so far.
+GREEDY = """,
+n AS (SELECT b.cell_id AS id, list(a.cell_id) AS near FROM points a JOIN points b ON a.slice_id = b.slice_id AND a.cell_id <> b.cell_id AND ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 36.0::DOUBLE <= 1.0 GROUP BY 1),
+o AS (SELECT p.cell_id, p.slice_id, row_number() OVER (PARTITION BY p.slice_id ORDER BY coalesce(p.score, 0.0) DESC, p.cell_id) AS k, coalesce(n.near, []::BIGINT[]) AS near FROM points p LEFT JOIN n ON n.id = p.cell_id),
+g(slice_id, k, kept) AS (SELECT DISTINCT slice_id, 0::BIGINT, []::BIGINT[] FROM o UNION ALL SELECT g.slice_id, o.k, CASE WHEN list_has_any(g.kept, o.near) THEN g.kept ELSE list_append(g.kept, o.cell_id) END FROM g JOIN o ON o.slice_id = g.slice_id AND o.k = g.k + 1),
+l AS (SELECT slice_id, unnest(arg_max(kept, k)) AS cell_id FROM g GROUP BY 1)"""
+
+
+def greedy(body: str) -> str:
+    return with_sql("points", body=GREEDY + body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("w06_greedy_suppression", greedy(" SELECT p.cell_id, l.cell_id IS NOT NULL AS kept FROM points p LEFT JOIN l USING (cell_id)"))
 def w06(spark, d):
     p = model.points(spark, d)
     return dedup.suppress(p, dedup.near_pairs(p, r_xy=6.0, group=["slice_id"])).select("cell_id", "kept")
 
 
-@query("g09_dedup_stats")
+@query("g09_dedup_stats", greedy(", c AS (SELECT (SELECT count(*) FROM points) AS before, (SELECT count(*) FROM l) AS after) SELECT before, after, before - after AS merged, round_even((before - after) / before, 6) AS ratio FROM c"))
 def g09(spark, d):
     p = model.points(spark, d)
     return dedup.stats(dedup.suppress(p, dedup.near_pairs(p, r_xy=6.0, group=["slice_id"])))

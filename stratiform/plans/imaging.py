@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import text
 from ..model import with_sql
-from ..operators import control, raster, registration, validate
+from ..operators import autopick, control, raster, registration, validate
 from ..streaming import progress
 
 QUERIES, SQL = {}, {}
@@ -104,25 +104,31 @@ def m21(spark, d):
 
 @query("w09_argmax_first", PAIRS + " SELECT pair, arg_max(i, {'v': round(a, 2), 'b': -i})::INT AS i FROM p GROUP BY 1")
 def w09(spark, d):
-    return _pairs(spark, d).groupBy("pair").agg(F.max_by("i", F.struct(F.round("a", 2), -F.col("i"))).alias("i"))
+    return autopick.first_best(_pairs(spark, d), ["pair"], F.round("a", 2), "i")
 
 
 @query("w10_candidate_expansion", " WITH s AS (SELECT p_size * 8 AS z, max(p_partkey % 997) AS sc FROM part GROUP BY 1 ORDER BY sc DESC, z LIMIT 10) SELECT DISTINCT zz::INT AS z FROM (SELECT unnest(range(greatest(0, z - 3), least(527, z + 3) + 1)) AS zz FROM s)")
 def w10(spark, d):
-    s = model.table(spark, d, "part").groupBy((F.col("p_size") * 8).alias("z")).agg(F.max(F.col("p_partkey") % 997).alias("sc")).orderBy(F.desc("sc"), "z").limit(10)
-    return s.select(F.explode(F.sequence(F.greatest(F.lit(0), F.col("z") - 3), F.least(F.lit(527), F.col("z") + 3))).alias("z")).distinct()
+    s = model.table(spark, d, "part").groupBy((F.col("p_size") * 8).alias("z")).agg(F.max(F.col("p_partkey") % 997).alias("sc"))
+    return autopick.expanded(s, "sc")
 
 
-@query("m13_size_ratio", " WITH a AS (SELECT s_suppkey AS k, greatest(1, abs(s_acctbal)) AS a FROM supplier) SELECT k, round(pow(least(a, 5000.0::DOUBLE) / greatest(a, 5000.0::DOUBLE), 1.5) * greatest(0.8::DOUBLE, 0), 9) AS score FROM a")
+@query("m13_size_ratio", " WITH a AS (SELECT s_suppkey AS k, greatest(1, abs(s_acctbal)) AS a, (s_suppkey % 21 - 4) / 10.0::DOUBLE AS shape FROM supplier) SELECT k, round(pow(least(a, 5000.0::DOUBLE) / greatest(a, 5000.0::DOUBLE), 1.5) * greatest(shape, 0), 9) AS score FROM a")
 def m13(spark, d):
-    a = model.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.greatest(F.lit(1.0), F.abs("s_acctbal")).alias("a"))
-    return a.select("k", F.round(F.pow(F.least("a", F.lit(5000.0)) / F.greatest("a", F.lit(5000.0)), F.lit(1.5)) * F.greatest(F.lit(0.8), F.lit(0.0)), 9).alias("score"))
+    a = model.table(spark, d, "supplier").selectExpr("s_suppkey k", "greatest(1.0D, abs(s_acctbal)) a", "(s_suppkey % 21 - 4) / 10.0D shape")
+    return a.select("k", F.round(autopick.size_ratio_score(F.col("a"), F.lit(5000.0), F.col("shape")), 9).alias("score"))
 
 
-@query("m14_silhouette", PAIRS + ", v AS (SELECT pair, count(*) FILTER (a > 0 AND b > 0) AS i, count(*) FILTER (a > 0 OR b > 0) AS u FROM p GROUP BY 1) SELECT pair, round(0.7::DOUBLE * i / u + 0.3::DOUBLE, 8) AS score FROM v WHERE u > 0")
+@query("m14_silhouette", PAIRS + """, v AS (SELECT pair, count(*) FILTER (a > 0 AND b > 0) AS i, count(*) FILTER (a > 0 OR b > 0) AS u, count(*) FILTER (a > 0) AS na, count(*) FILTER (b > 0) AS nb,
+max(i // 8) FILTER (a > 0) - min(i // 8) FILTER (a > 0) + 1 AS ha, max(i % 8) FILTER (a > 0) - min(i % 8) FILTER (a > 0) + 1 AS wa, max(i // 8) FILTER (b > 0) - min(i // 8) FILTER (b > 0) + 1 AS hb, max(i % 8) FILTER (b > 0) - min(i % 8) FILTER (b > 0) + 1 AS wb FROM p GROUP BY 1),
+s AS (SELECT *, i / (u + 1e-6::DOUBLE) AS iou, CASE WHEN na > 10 AND nb > 10 THEN 1 - least(abs(ha / wa - hb / wb) / greatest(ha / wa, hb / wb, 0.1), 1) ELSE 0.5 END AS aspect, na * 0.5::DOUBLE AS aa, nb * 0.4::DOUBLE AS ab FROM v)
+SELECT pair, round(0.7::DOUBLE * iou + 0.3::DOUBLE * aspect, 8) AS score, round(CASE WHEN aa > 0 AND ab > 0 THEN 0.4::DOUBLE * iou + 0.45::DOUBLE * pow(least(aa, ab) / greatest(aa, ab), 2) + 0.15::DOUBLE * aspect ELSE 0.7::DOUBLE * iou + 0.3::DOUBLE * aspect END, 8) AS sized_score FROM s""")
 def m14(spark, d):
-    j = _pairs(spark, d).groupBy("pair").agg(F.count_if(F.expr("a > 0 and b > 0")).alias("i"), F.count_if(F.expr("a > 0 or b > 0")).alias("u"))
-    return j.where("u > 0").select("pair", F.round(0.7 * F.col("i") / F.col("u") + 0.3, 8).alias("score"))
+    p = _pairs(spark, d).selectExpr("pair", "y", "x", "a > 0 a", "b > 0 b")
+    area = p.groupBy("pair").agg((F.count_if("a") * 0.5).alias("aa"), (F.count_if("b") * 0.4).alias("ab"))
+    s = autopick.silhouettes(p, ["pair"]).join(area, "pair")
+    plain, sized = autopick.silhouette_score(F.col("iou"), F.col("aspect")), autopick.silhouette_score(F.col("iou"), F.col("aspect"), F.col("aa"), F.col("ab"))
+    return s.select("pair", F.round(plain, 8).alias("score"), F.round(sized, 8).alias("sized_score"))
 
 
 @query("j09_knn_join", """WITH s AS (SELECT event_id AS id, user_id % 5 AS g, value AS x, (event_id % 97)::DOUBLE AS y FROM events WHERE event_type = 'purchase'), t AS (SELECT event_id AS id, user_id % 5 AS g, value AS x, (event_id % 89)::DOUBLE AS y FROM events WHERE event_type = 'view'),
@@ -140,68 +146,73 @@ def j09(spark, d):
 
 @query("g23_label_histogram", with_sql("label_raster", body=" SELECT slice_id, region_id, count(*) AS pixels FROM label_raster WHERE region_id > 0 GROUP BY 1, 2 HAVING count(*) >= 80"))
 def g23(spark, d):
-    return raster.label_histogram(model.label_raster(spark))
+    return raster.label_histogram(model.label_raster(spark, d))
 
 
 @query("g24_coverage", with_sql("label_raster", body=""", t AS (SELECT slice_id, x, region_id AS label FROM label_raster WHERE (x - 250) * (x - 250) + (y - 256) * (y - 256) < 62500), m AS (SELECT slice_id, (min(x) + max(x)) / 2.0::DOUBLE AS mid FROM t GROUP BY 1),
 c AS (SELECT slice_id, avg((label > 0)::INT) AS coverage, avg((label > 0)::INT) FILTER (x < mid) AS left_cov, avg((label > 0)::INT) FILTER (x >= mid) AS right_cov, count(*) FILTER (label <= 0) AS missing_px FROM t JOIN m USING (slice_id) GROUP BY 1)
 SELECT *, abs(left_cov - right_cov) AS gap, least(left_cov, right_cov) AS min_lr FROM c"""))
 def g24(spark, d):
-    px = model.label_raster(spark).selectExpr("slice_id", "x", "y", "region_id label", "(x - 250) * (x - 250) + (y - 256) * (y - 256) < 62500 tissue")
+    px = model.label_raster(spark, d).selectExpr("slice_id", "x", "y", "region_id label", "(x - 250) * (x - 250) + (y - 256) * (y - 256) < 62500 tissue")
     return raster.coverage(px, ["slice_id"])
 
 
-@query("g25_staining", with_sql("label_raster", body=", v AS (SELECT region_id AS a, ((x * 7 + y * 13 + slice_id) % 100) / 100.0::DOUBLE AS s FROM label_raster) SELECT count(*) FILTER (a > 0) AS atlas_voxels, count(*) FILTER (a > 0 AND s > .02) AS covered_voxels, round(avg(s) FILTER (a > 0 AND s > .02), 9) AS mean_signal, (count(*) FILTER (a > 0 AND s > .02))::DOUBLE / count(*) FILTER (a > 0) AS coverage FROM v"))
+@query("g25_staining", with_sql("label_raster", body=""", v AS (SELECT region_id AS a, ((x * 7 + y * 13 + slice_id) % 100) / 100.0::DOUBLE AS s FROM label_raster), k AS (SELECT s FROM v WHERE a > 0 AND s > .02), r AS (SELECT min(s) AS lo, max(s) AS hi FROM k),
+h AS (SELECT least(floor((s - lo) / (hi - lo) * 256), 255)::INT AS bin, lo, hi, count(*) AS c FROM k, r GROUP BY ALL), m AS (SELECT bin, c, lo + (bin + 0.5::DOUBLE) * (hi - lo) / 256 AS mid FROM h),
+c AS (SELECT bin, mid, sum(c) OVER u AS w0, sum(c * mid) OVER u AS m0, sum(c) OVER dn AS w1, sum(c * mid) OVER dn AS m1 FROM m WINDOW u AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), dn AS (ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+t AS (SELECT arg_max(mid, {'v': round_even(w0 * w1 * pow(m0 / w0 - m1 / w1, 2), 6), 'b': -bin}) AS t FROM c WHERE w1 > 0),
+n AS (SELECT count(*) FILTER (a > 0) AS atlas_voxels, count(*) FILTER (a > 0 AND s > .02) AS covered_voxels, count(*) FILTER (a > 0 AND s > .02 AND s >= t) AS positive_voxels, round(avg(s) FILTER (a > 0 AND s > .02), 9) AS mean_signal, round(any_value(t), 9) AS signal_threshold FROM v, t)
+SELECT *, covered_voxels / atlas_voxels AS coverage, positive_voxels / covered_voxels AS staining_rate, positive_voxels / atlas_voxels AS positive_fraction_of_atlas FROM n"""))
 def g25(spark, d):
-    v = model.label_raster(spark).selectExpr("region_id annotation", "(x * 7 + y * 13 + slice_id) % 100 / 100.0D signal")
-    return raster.staining(v).withColumn("mean_signal", F.round("mean_signal", 9))
+    v = model.label_raster(spark, d).selectExpr("region_id annotation", "(x * 7 + y * 13 + slice_id) % 100 / 100.0D signal")
+    return raster.staining(v).withColumns({"mean_signal": F.round("mean_signal", 9), "signal_threshold": F.round("signal_threshold", 9)})
 
 
 @query("g27_region_shapes", with_sql("label_raster", body=""", s AS (SELECT slice_id, region_id, count(*) AS area_px, avg(x) AS cx, avg(y) AS cy, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, var_pop(x) + 1 / 12.0::DOUBLE AS a, var_pop(y) + 1 / 12.0::DOUBLE AS b, covar_pop(x, y) AS c FROM label_raster WHERE region_id > 0 GROUP BY 1, 2),
 e AS (SELECT *, (a + b) / 2 AS h, sqrt((a - b) * (a - b) / 4 + c * c) AS r FROM s) SELECT slice_id, region_id, area_px, round(cx, 6) AS cx, round(cy, 6) AS cy, x0, x1, y0, y1, round(4 * sqrt(h + r), 5) AS major, round(4 * sqrt(greatest(h - r, 0)), 5) AS minor, round(sqrt(area_px), 6) AS score FROM e"""))
 def g27(spark, d):
-    s = raster.shapes(model.label_raster(spark).where("region_id > 0"), ["slice_id", "region_id"])
+    s = raster.shapes(model.label_raster(spark, d).where("region_id > 0"), ["slice_id", "region_id"])
     return s.select("slice_id", "region_id", "area_px", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "x0", "x1", "y0", "y1", F.round("major", 5).alias("major"), F.round("minor", 5).alias("minor"), F.round("score", 6).alias("score"))
 
 
-SYN = "WITH s AS (SELECT (id // 4096)::INT AS slice_id, (id % 4096 // 64)::INT AS y, (id % 64)::INT AS x, ((id * 1103515245 + 12345) % 2147483648 // 65536 % 120 + CASE WHEN id % 64 % 16 = 8 AND id % 4096 // 64 % 16 = 8 THEN 400 + id // 4096 ELSE 0 END)::INT AS value FROM range(49152) t(id))"
+SYN = with_sql("image_stack", body=", s AS (SELECT * FROM image_stack)")
 
 
 @query("s19_synthetic_slices", SYN + " SELECT * FROM s")
 def s19(spark, d):
-    return raster.synthetic_slices(spark)
+    return model.image_stack(spark, d)
 
 
 @query("g08_merge_slices", SYN + " SELECT (slice_id // 5)::INT AS chunk, y, x, trunc(avg(value))::INT AS value FROM s GROUP BY 1, 2, 3")
 def g08(spark, d):
-    return raster.merge_slices(raster.synthetic_slices(spark))
+    return raster.merge_slices(model.image_stack(spark, d))
 
 
 @query("m17_peaks", SYN + " SELECT a.slice_id, a.y, a.x, a.value FROM s a WHERE a.value > 200 AND NOT EXISTS (SELECT 1 FROM s b WHERE b.slice_id = a.slice_id AND abs(b.y - a.y) <= 6 AND abs(b.x - a.x) <= 6 AND b.value > a.value)")
 def m17(spark, d):
-    return raster.peaks(raster.synthetic_slices(spark), ["slice_id"], distance=6)
+    return raster.peaks(model.image_stack(spark, d), ["slice_id"], distance=6)
 
 
 @query("w13_mode_3x3", with_sql("label_raster", body=""", v AS (SELECT slice_id, r.y + dy AS y, r.x + dx AS x, region_id, count(*) AS c FROM label_raster r, range(-1, 2) a(dy), range(-1, 2) b(dx) GROUP BY 1, 2, 3, 4),
 m AS (SELECT slice_id, y, x, arg_max(region_id, {'c': c, 'r': -region_id}) AS mode FROM v GROUP BY 1, 2, 3) SELECT slice_id, y, mode, count(*) AS pixels, sum(x)::BIGINT AS x_sum FROM label_raster JOIN m USING (slice_id, y, x) GROUP BY 1, 2, 3"""))
 def w13(spark, d):
-    m = raster.mode3(model.label_raster(spark), ["slice_id"])
+    m = raster.mode3(model.label_raster(spark, d), ["slice_id"])
     return m.groupBy("slice_id", "y", "mode").agg(F.count("*").alias("pixels"), F.sum("x").alias("x_sum"))
 
 
 @query("s06_build_volume", SYN + " SELECT (slice_id // 2 + 1)::INT AS z, (y // 4 + 2)::INT AS y, (x // 4 + 3)::INT AS x, value FROM s WHERE slice_id % 2 = 0 AND y % 4 = 0 AND x % 4 = 0")
 def s06(spark, d):
-    return raster.build_volume(raster.synthetic_slices(spark).withColumnRenamed("slice_id", "z"), every=2, down=4, pad=(1, 2, 3)).select("z", "y", "x", "value")
+    return raster.build_volume(model.image_stack(spark, d).withColumnRenamed("slice_id", "z"), every=2, down=4, pad=(1, 2, 3)).select("z", "y", "x", "value")
 
 
 @query("s04_extract_stack", SYN + " SELECT slice_id AS z, count(*) AS n FROM s WHERE slice_id BETWEEN 2 AND 10 AND (slice_id - 2) % 3 = 0 GROUP BY 1")
 def s04(spark, d):
-    return raster.extract_stack(raster.synthetic_slices(spark).withColumnRenamed("slice_id", "z"), every=3, z_min=2, z_max=10).groupBy("z").agg(F.count("*").alias("n"))
+    return raster.extract_stack(model.image_stack(spark, d).withColumnRenamed("slice_id", "z"), every=3, z_min=2, z_max=10).groupBy("z").agg(F.count("*").alias("n"))
 
 
 @query("s05_inspect", SYN + " SELECT (max(slice_id) + 1)::INT AS n_slices, (max(y) + 1)::INT AS height, (max(x) + 1)::INT AS width, count(*) AS voxels FROM s")
 def s05(spark, d):
-    return raster.inspect(raster.synthetic_slices(spark).withColumnRenamed("slice_id", "z"))
+    return raster.inspect(model.image_stack(spark, d).withColumnRenamed("slice_id", "z"))
 
 
 @query("s02_channel", " SELECT vec_id, embedding[3] AS value FROM embeddings")
@@ -211,7 +222,7 @@ def s02(spark, d):
 
 @query("g32_slice_area", with_sql("label_raster", body=" SELECT slice_id AS z, count(*) FILTER (region_id > 0) AS area FROM label_raster GROUP BY 1"))
 def g32(spark, d):
-    return raster.slice_area(model.label_raster(spark).selectExpr("slice_id z", "region_id annotation"))
+    return raster.slice_area(model.label_raster(spark, d).selectExpr("slice_id z", "region_id annotation"))
 
 
 @query("m19_tile_starts", " SELECT p_partkey AS k, list_sort(list_distinct(list_concat(range(0, greatest(l - 384, 0) + 1, 320), [greatest(l - 384, 0)])))::VARCHAR AS starts FROM (SELECT p_partkey, (p_partkey * 37 % 3000 + 10) AS l FROM part)")
@@ -222,12 +233,12 @@ def m19(spark, d):
 
 @query("m29_centre_pad", SYN + " SELECT slice_id, (y - 8)::INT AS y, (x + 4)::INT AS x, value FROM s WHERE y - 8 BETWEEN 0 AND 47 AND x + 4 BETWEEN 0 AND 71")
 def m29(spark, d):
-    return raster.centre(raster.synthetic_slices(spark), (64, 64), (48, 72)).select("slice_id", "y", "x", "value")
+    return raster.centre(model.image_stack(spark, d), (64, 64), (48, 72)).select("slice_id", "y", "x", "value")
 
 
 @query("m30_blend_gamma", SYN + " SELECT slice_id, y, x, CASE WHEN x % 2 = 0 THEN trunc(value * (1 - 0.45::DOUBLE) + 255 * 0.45::DOUBLE)::INT ELSE value END AS blended, trunc(255 * pow(least(value, 255) / 255.0::DOUBLE, 0.65::DOUBLE))::INT AS corrected FROM s")
 def m30(spark, d):
-    s = raster.synthetic_slices(spark)
+    s = model.image_stack(spark, d)
     return s.select("slice_id", "y", "x", raster.blend(F.col("value"), F.lit(255), F.col("x") % 2 == 0, 0.45).alias("blended"), raster.gamma(F.least("value", F.lit(255)), 0.65).alias("corrected"))
 
 
@@ -311,7 +322,6 @@ def f23(spark, d):
 @query("f26_precedence", " SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 3.0 WHEN p_partkey % 3 = 0 THEN 2.0 ELSE 1.0 END::DOUBLE AS smooth FROM part")
 def f26(spark, d):
     one = lambda c, v: F.when(c, F.create_map(F.lit("smooth"), F.lit(v)))
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     m = validate.precedence(one(F.col("p_partkey") % 2 == 0, 3.0), one(F.col("p_partkey") % 3 == 0, 2.0), F.lit(None).cast("map<string,double>"), F.create_map(F.lit("smooth"), F.lit(1.0)))
     return model.table(spark, d, "part").select(F.col("p_partkey").alias("k"), m["smooth"].alias("smooth"))
 

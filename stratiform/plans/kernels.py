@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..model import with_sql
-from ..operators import kernels, mapping, raster, selection
+from ..operators import flow, kernels, mapping, selection
 from . import core
 from .core import MAPPED
 from .imaging import PAIRS, SYN, _pairs
@@ -37,31 +37,56 @@ ga AS MATERIALIZED (SELECT DISTINCT slice_id, y + dy AS y, x + dx AS x, 1 AS hit
 p AS (SELECT slice_id, count(hit)::DOUBLE / count(*) AS pr FROM pa LEFT JOIN gb USING (slice_id, y, x) GROUP BY 1), q AS (SELECT slice_id, count(hit)::DOUBLE / count(*) AS rc FROM pb LEFT JOIN ga USING (slice_id, y, x) GROUP BY 1)
 SELECT slice_id, round(pr, 9) AS precision, round(rc, 9) AS recall, round(2 * pr * rc / (pr + rc), 9) AS f1 FROM p JOIN q USING (slice_id)"""))
 def m08(spark, d):
-    r = model.label_raster(spark)
+    r = model.label_raster(spark, d)
     out = kernels.boundary_f1(r.select("slice_id", "y", "x", F.col("region_id").alias("v")), r.select("slice_id", "y", "x", F.when(F.col("x") % 9 == 0, 0).otherwise(F.col("region_id")).alias("v")), ["slice_id"], 2)
     return out.select("slice_id", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query("m15_connected_components")
 def m15(spark, d):
-    px = raster.synthetic_slices(spark).where("value > 60")
+    px = model.image_stack(spark, d).where("value > 60")
     return kernels.connected_components(px, ["slice_id"]).groupBy("slice_id", "component").agg(F.count("*").alias("area"))
 
 
 @query("m15_gradient", SYN + ", g AS (SELECT slice_id, y, x, lead(value) OVER r - lag(value) OVER r AS gx, lead(value) OVER c - lag(value) OVER c AS gy FROM s WINDOW r AS (PARTITION BY slice_id, y ORDER BY x), c AS (PARTITION BY slice_id, x ORDER BY y)) SELECT slice_id, y, x, round(sqrt(gx * gx + gy * gy), 6) AS g FROM g WHERE gx IS NOT NULL AND gy IS NOT NULL")
 def m15b(spark, d):
-    return kernels.gradient(raster.synthetic_slices(spark), ["slice_id"]).withColumn("g", F.round("g", 6))
+    return kernels.gradient(model.image_stack(spark, d), ["slice_id"]).withColumn("g", F.round("g", 6))
 
 
 @query("m16_log_blobs")
 def m16(spark, d):
-    return kernels.log_blobs(raster.synthetic_slices(spark), ["slice_id"])
+    return kernels.log_blobs(model.image_stack(spark, d), ["slice_id"])
 
 
-@query("m22_flow_clip_smooth", SYN + ", f AS (SELECT slice_id, y, x, value / 10.0::DOUBLE - 5 AS v, value / 20.0::DOUBLE AS u FROM s), c AS (SELECT slice_id, y, x, v * least(1, 8 / greatest(sqrt(v * v + u * u), 1e-9)) AS v, u * least(1, 8 / greatest(sqrt(v * v + u * u), 1e-9)) AS u FROM f) SELECT slice_id, y, x, round(v, 8) AS v, round(u, 8) AS u FROM c")
+FLOW = SYN + ", f AS (SELECT slice_id, y, x, value / 10.0::DOUBLE - 5 AS v, value / 20.0::DOUBLE AS u FROM s), c AS (SELECT slice_id, y, x, v * least(1, 8 / greatest(sqrt(v * v + u * u), 1e-9)) AS v, u * least(1, 8 / greatest(sqrt(v * v + u * u), 1e-9)) AS u FROM f)"
+
+
+def _flow(spark, d):
+    return kernels.clip_flow(model.image_stack(spark, d).selectExpr("slice_id", "y", "x", "value / 10.0D - 5 v", "value / 20.0D u"), 8.0)
+
+
+def _diffused(i: int) -> str:
+    near = lambda c: f"coalesce(lag({c}) OVER r, {c}) + coalesce(lead({c}) OVER r, {c}) + coalesce(lag({c}) OVER k, {c}) + coalesce(lead({c}) OVER k, {c})"
+    step = lambda c: f"{c} + 0.18::DOUBLE * ({near(c)} - 4 * {c}) AS {c}"
+    return f", c{i + 1} AS (SELECT slice_id, y, x, {step('v')}, {step('u')} FROM c{i or ''} WINDOW r AS (PARTITION BY slice_id, y ORDER BY x), k AS (PARTITION BY slice_id, x ORDER BY y))"
+
+
+@query("m22_flow_clip_smooth", FLOW + _diffused(0) + _diffused(1) + " SELECT slice_id, y, x, round(v, 7) AS v, round(u, 7) AS u FROM c2")
 def m22(spark, d):
-    f = raster.synthetic_slices(spark).selectExpr("slice_id", "y", "x", "value / 10.0D - 5 v", "value / 20.0D u")
-    return kernels.clip_flow(f, 8.0).select("slice_id", "y", "x", F.round("v", 8).alias("v"), F.round("u", 8).alias("u"))
+    f = flow.smooth_flow(_flow(spark, d), ["slice_id"], 2)
+    return f.select("slice_id", "y", "x", F.round("v", 7).alias("v"), F.round("u", 7).alias("u"))
+
+
+@query("m22_warp_nearest", FLOW + " SELECT c.slice_id, c.y, c.x, coalesce(s.value, 0)::INT AS region_id FROM c LEFT JOIN s ON s.slice_id = c.slice_id AND s.y = round_even(c.y + round(v, 6), 0) AND s.x = round_even(c.x + round(u, 6), 0)")
+def m22b(spark, d):
+    f = _flow(spark, d).withColumns({"v": F.round("v", 6), "u": F.round("u", 6)})
+    return kernels.warp_nearest(model.image_stack(spark, d).withColumnRenamed("value", "region_id"), f, ["slice_id"])
+
+
+@query("m22_splat_field")
+def m22c(spark, d):
+    m = model.table(spark, d, "lineitem").selectExpr("cast(l_orderkey % 32 as int) g", "cast(l_partkey % 64 as double) src_x", "cast(l_suppkey % 64 as double) src_y", "l_partkey % 64 + l_quantity / 10 - 2.5 dst_x", "l_suppkey % 64 + l_discount * 20 dst_y")
+    return flow.splat_field(m, ["g"], (64, 64))
 
 
 @query("m23_laplacian_field")
@@ -78,12 +103,12 @@ def m24(spark, d):
 
 @query("m26_small_islands")
 def m26(spark, d):
-    return kernels.remove_islands(model.label_raster(spark), ["slice_id"], 60).groupBy("slice_id", "region_id").agg(F.count("*").alias("n"))
+    return kernels.remove_islands(model.label_raster(spark, d), ["slice_id"], 60).groupBy("slice_id", "region_id").agg(F.count("*").alias("n"))
 
 
 @query("m32_similarity_fit")
 def m32(spark, d):
-    px = model.label_raster(spark).selectExpr("slice_id", "y", "x", "region_id > 0 tissue", "region_id > 0 and x > 40 label")
+    px = model.label_raster(spark, d).selectExpr("slice_id", "y", "x", "region_id > 0 tissue", "region_id > 0 and x > 40 label")
     return kernels.fit_similarity(px, ["slice_id"])
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import core, imaging, kernels
+from .plans import alignment, core, imaging, kernels
 
-MODULES = [core, imaging, kernels]
+MODULES = [core, imaging, kernels, alignment]
 
 
 def queries() -> dict:
