@@ -150,14 +150,19 @@ def stamp(time: Column) -> Column:
     return F.date_format(time, "yyyyMMdd_HHmmss")
 
 
+def _decimals(value: Column, digits: int) -> Column:
+    """Half to even of the exact value, as text."""
+    return F.call_function("format_number", value.cast("double"), F.lit("0." + "0" * digits))
+
+
 def fixed(value: Column, digits: int = 4, none: str = "-") -> Column:
     """A number with a fixed count of decimals; `none` for null and NaN."""
-    return F.when(value.isNull() | F.isnan(value.cast("double")), none).otherwise(F.format_string(f"%.{digits}f", value.cast("double")))
+    return F.when(value.isNull() | F.isnan(value.cast("double")), none).otherwise(_decimals(value, digits))
 
 
 def percent_text(share: Column, digits: int = 1) -> Column:
     """A share of one as percent."""
-    return F.concat(F.format_string(f"%.{digits}f", share.cast("double") * 100), F.lit("%"))
+    return F.concat(_decimals(share.cast("double") * 100, digits), F.lit("%"))
 
 
 def resolved(path: Column) -> Column:

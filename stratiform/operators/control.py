@@ -44,6 +44,11 @@ def drop_stale(tasks: DataFrame, now, max_age_s: float = 3600.0, cap: int = 50)
     return live.orderBy(F.desc("started_at"), "task_id").limit(cap)
 
 
+def newest_first(rows: DataFrame, keys: list[str], when: str, name: str) -> DataFrame:
+    """Rows with their place from 1 in each group, the newest first, of one time by name."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(when), name)))
+
+
 def queue_status(items: DataFrame) -> DataFrame:
     """Counts by status and the items in order."""
     return items.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "queued").alias("queued"), F.count_if(F.col("status") == "running").alias("running"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "sample_id"))), lambda s: s["sample_id"]).alias("items"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import alignment, core, imaging, kernels
+from .plans import alignment, core, imaging, kernels, records
 
-MODULES = [core, imaging, kernels, alignment]
+MODULES = [core, imaging, kernels, alignment, records]
 
 
 def queries() -> dict:

@@ -8,6 +8,7 @@ NIfTI-1 (gzip or plain). An image or volume file is the unit that a task decodes
 from __future__ import annotations
 
 import gzip
+import io
 import struct
 
 import numpy as np
@@ -136,6 +137,55 @@ def encode_nifti(volume: np.ndarray, zooms: tuple[float, float, float]) -> bytes
     return bytes(head) + np.ascontiguousarray(volume).tobytes()
 
 
+def encode_npy(array: np.ndarray) -> bytes:
+    """An NPY file of an array."""
+    out = io.BytesIO()
+    np.save(out, array, allow_pickle=False)
+    return out.getvalue()
+
+
+def decode_npy(raw: bytes) -> np.ndarray:
+    return np.load(io.BytesIO(raw), allow_pickle=False)
+
+
+def encoded(pixels: DataFrame, keys: list[str], kind: str, dtype: str = "uint16") -> DataFrame:
+    """keys, content: each group's full image (y, x) as a tiff or npy file, or its volume (z, y, x) as a nifti or npy file (K05, K09). Values are rounded and held to the type."""
+    volume = "z" in pixels.columns
+    encode = {"tiff": encode_tiff, "npy": encode_npy, "nifti": lambda a: encode_nifti(a, (1.0, 1.0, 1.0))}[kind]
+    axes = ["z", "y", "x"] if volume else ["y", "x"]
+
+    def run(key, pdf):
+        a = np.zeros([int(pdf[c].max()) + 1 for c in axes])
+        a[tuple(pdf[c].to_numpy() for c in axes)] = pdf["value"].to_numpy(float)
+        if np.dtype(dtype).kind in "ui":
+            a = np.clip(np.rint(a), np.iinfo(dtype).min, np.iinfo(dtype).max)
+        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "content": [encode(a.astype(dtype))]})
+
+    schema = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys)
+    return pixels.groupBy(*keys).applyInPandas(run, f"{schema}, content binary")
+
+
+def decoded(contents: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """keys, z, y, x, value of every pixel of each file, a plane at a time; images have z 0."""
+
+    def planes(raw: bytes) -> np.ndarray:
+        if kind == "tiff":
+            return decode_tiff(raw)[..., 0]
+        a = decode_npy(raw) if kind == "npy" else decode_nifti(raw)[0]
+        return a if a.ndim == 3 else a[None]
+
+    def run(batches):
+        for b in batches:
+            for i in range(len(b)):
+                a = planes(b["content"].iloc[i])
+                y, x = (n.ravel() for n in np.indices(a.shape[1:]))
+                for z in range(a.shape[0]):
+                    yield pd.DataFrame({**{k: b[k].iloc[i] for k in keys}, "z": z, "y": y, "x": x, "value": a[z].ravel().astype(float)})
+
+    schema = ", ".join(f"{k} {contents.schema[k].dataType.simpleString()}" for k in keys)
+    return contents.select(*keys, "content").mapInPandas(run, f"{schema}, z int, y int, x int, value double")
+
+
 def read_tiff(spark: SparkSession, path: str) -> DataFrame:
     """path, page, y, x, channel, value of every pixel."""
 

@@ -29,7 +29,7 @@ def color_map(df: DataFrame) -> DataFrame:
     if None not in parts:
         rows = df.select(F.col(key).try_cast("int").alias("region_id"), *[F.col(p).try_cast("int").alias(n) for p, n in zip(parts, "rgb", strict=True)])
     else:
-        digits = F.ltrim(F.lit("#"), F.trim(F.col(code).cast("string")))
+        digits = F.ltrim(F.trim(F.col(code).cast("string")), F.lit("#"))
         part = lambda i: F.when(digits.rlike("^[0-9A-Fa-f]{6}$"), F.conv(F.substring(digits, i, 2), 16, 10).cast("int"))
         rows = df.select(F.col(key).try_cast("int").alias("region_id"), part(1).alias("r"), part(3).alias("g"), part(5).alias("b"))
     best = rows.dropna().groupBy("region_id").agg(F.max(F.struct("r", "g", "b")).alias("c"))
@@ -38,7 +38,7 @@ def color_map(df: DataFrame) -> DataFrame:
 
 def json_documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """path, doc: each file's JSON object as text, {} where it is no object (S14). A document is small and one row."""
-    files = spark.read.option("pathGlobFilter", glob).option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.ltrim(F.lit("﻿"), F.col("value")).alias("doc"))
+    files = spark.read.option("pathGlobFilter", glob).option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.ltrim(F.col("value"), F.lit("\ufeff")).alias("doc"))
     return files.withColumn("doc", F.when(F.json_object_keys("doc").isNotNull(), F.col("doc")).otherwise("{}"))
 
 
