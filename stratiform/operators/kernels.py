@@ -219,36 +219,6 @@ def normals(points: DataFrame, keys: list[str]) -> DataFrame:
     return s.select(*keys, (-F.sin(t)).alias("nx"), F.cos(t).alias("ny"))
 
 
-def fit_similarity(pixels: DataFrame, keys: list[str], rounds: int = 150) -> DataFrame:
-    """Scale, angle and shift that lay the label mask on the tissue mask (M32): Nelder-Mead on overlap x (1 - 2.2 x share outside)."""
-
-    def run(key, pdf):
-        tissue, _, _ = _grid(pdf, "tissue")
-        label, _, _ = _grid(pdf, "label")
-        ly, lx = np.nonzero(label)
-        if not len(ly):
-            return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "scale": [1.0], "angle": [0.0], "dx": [0.0], "dy": [0.0], "score": [0.0]})
-        cy, cx = ly.mean(), lx.mean()
-
-        def score(p):
-            s, deg, dx, dy = np.clip(p[0], 0.7, 1.4), np.clip(p[1], -18, 18), np.clip(p[2], -300, 300), np.clip(p[3], -300, 300)
-            t = np.deg2rad(deg)
-            y = np.rint(cy + dy + s * ((ly - cy) * np.cos(t) + (lx - cx) * np.sin(t))).astype(int)
-            x = np.rint(cx + dx + s * ((lx - cx) * np.cos(t) - (ly - cy) * np.sin(t))).astype(int)
-            ok = (y >= 0) & (y < tissue.shape[0]) & (x >= 0) & (x < tissue.shape[1])
-            covered = np.zeros(tissue.shape, bool)
-            covered[y[ok], x[ok]] = True
-            inside = (covered & (tissue > 0)).sum()
-            outside = 1 - (tissue[y[ok], x[ok]] > 0).sum() / len(y)
-            return inside / max(1, (tissue > 0).sum()) * (1 - 2.2 * outside)
-
-        best, f = nelder_mead(lambda p: -score(p), np.array([1.0, 0.0, 0.0, 0.0]), np.array([0.1, 4.0, 4.0, 4.0]), rounds)
-        cols = {"scale": best[0], "angle": best[1], "dx": best[2], "dy": best[3], "score": -f}
-        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, **{k: [round(float(v), 6)] for k, v in cols.items()}})
-
-    return pixels.groupBy(*keys).applyInPandas(run, _schema(pixels, keys, "scale double, angle double, dx double, dy double, score double"))
-
-
 def nelder_mead(f, start: np.ndarray, step: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
     """Downhill simplex."""
     pts = np.vstack([start, start + np.diag(step)])

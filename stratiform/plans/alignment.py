@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..model import with_sql
-from ..operators import autopick, detection, filters, flow, landmarks, registration, runs
+from ..operators import autopick, detection, filters, flow, landmarks, placement, registration, runs
 from .core import greedy
 from .imaging import PAIRS, SYN, _pairs
 
@@ -282,3 +282,63 @@ def r11(spark, d):
 @query("m03_ncc_by_slice", PAIRS + " SELECT pair, round(corr(a, b), 6) AS ncc FROM p GROUP BY 1")
 def m03(spark, d):
     return registration.similarity(_pairs(spark, d), ["pair"]).select("pair", F.round("ncc", 6).alias("ncc"))
+
+
+# ---- placement -------------------------------------------------------------------------------------------------------------------
+
+@query("m27_hemisphere_images", with_sql("label_raster", body=""", l AS (SELECT * FROM label_raster WHERE region_id > 0), b AS (SELECT slice_id, (min(x) + max(x) + 1) // 2 AS mid FROM l GROUP BY 1), j AS (SELECT l.*, mid, 511 - x AS f FROM l JOIN b USING (slice_id)),
+c AS (SELECT slice_id, 'full' AS candidate, y, x, region_id FROM j UNION ALL SELECT slice_id, 'left', y, x, region_id FROM j WHERE x < mid UNION ALL SELECT slice_id, 'right_mirrored', y, f, region_id FROM j WHERE f < mid UNION ALL SELECT slice_id, 'right_orig', y, x, region_id FROM j WHERE x >= mid UNION ALL SELECT slice_id, 'right_flipped', y, f, region_id FROM j WHERE x >= mid)
+SELECT slice_id, candidate, region_id, count(*) AS pixels, sum(x)::BIGINT AS x_sum, min(x)::INT AS x0, max(x)::INT AS x1 FROM c GROUP BY 1, 2, 3"""))
+def m27_images(spark, d):
+    c = placement.hemispheres(model.label_raster(spark, d), ["slice_id"], model.WIDTH)
+    return c.groupBy("slice_id", "candidate", "region_id").agg(F.count("*").alias("pixels"), F.sum("x").alias("x_sum"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+
+
+@query("m38_area_placement", with_sql("label_raster", body=""", l AS (SELECT * FROM label_raster WHERE region_id > 10003), x AS (SELECT slice_id, quantile_cont(x, 0.02) AS l, quantile_cont(x, 0.98) AS r FROM (SELECT DISTINCT slice_id, x FROM l) GROUP BY 1), y AS (SELECT slice_id, quantile_cont(y, 0.02) AS t, quantile_cont(y, 0.98) AS b FROM (SELECT DISTINCT slice_id, y FROM l) GROUP BY 1),
+t AS (SELECT slice_id, avg((x * 7 + y * 13) % 50) + 4 * stddev_pop((x * 7 + y * 13) % 50) AS threshold FROM label_raster WHERE x < 80 AND (y < 80 OR y >= 432) GROUP BY 1), a AS (SELECT slice_id, count(*) AS n FROM l GROUP BY 1)
+SELECT slice_id, l AS "left", r AS "right", t AS top, b AS bottom, round(threshold, 6) AS threshold, round(least(1.5, greatest(0.5, sqrt(n / greatest(90000 * 0.8::DOUBLE * 0.8::DOUBLE, 1)))), 9) AS scale FROM x JOIN y USING (slice_id) JOIN t USING (slice_id) JOIN a USING (slice_id)"""))
+def m38_area(spark, d):
+    r = model.label_raster(spark, d)
+    mask = r.where("region_id > 10003")
+    box = placement.occupied_box(mask, ["slice_id"])
+    cut = placement.corner_threshold(r.selectExpr("slice_id", "y", "x", "(x * 7 + y * 13) % 50 value"), ["slice_id"], model.HEIGHT)
+    area = mask.groupBy("slice_id").agg(F.count("*").alias("n"))
+    out = box.join(cut, "slice_id").join(area, "slice_id")
+    return out.select("slice_id", "left", "right", "top", "bottom", F.round("threshold", 6).alias("threshold"), F.round(placement.area_scale(F.col("n"), F.lit(90000), 0.8), 9).alias("scale"))
+
+
+def _placed(spark, d):
+    """A two-part disc in a 64 x 64 image of tissue, and its label moved by the slice's number."""
+    px = model.image_stack(spark, d).selectExpr("slice_id", "y", "x", "(x - 32) * (x - 32) + (y - 32) * (y - 32) < 484 t", "(x - 32 - slice_id % 4) * (x - 32 - slice_id % 4) + (y - 32) * (y - 32) < 484 l")
+    return px.selectExpr("slice_id", "y", "x", "case when t then case when x < 32 then 220.0D else 90.0D end else 2.0D end real", "case when l then case when x < 32 + slice_id % 4 then 1 else 2 end else 0 end region_id", "cast(t as double) tissue")
+
+
+@query("m32_similarity_fit")
+def m32(spark, d):
+    return placement.fit_similarity(_placed(spark, d), ["slice_id"], stride=1)
+
+
+@query("m37_contour_conform")
+def m37_conform(spark, d):
+    return placement.conform(_placed(spark, d), ["slice_id"]).groupBy("slice_id", "region_id").agg(F.count("*").alias("pixels"))
+
+
+@query("m26_label_cleanup")
+def m26(spark, d):
+    r = model.label_raster(spark, d).selectExpr("slice_id", "y", "x", "case when (x * 31 + y * 17) % 97 = 0 then 0 when (x * 13 + y * 29) % 211 = 0 and region_id > 0 then 10099 else region_id end region_id", "cast(region_id > 0 as double) tissue")
+    return placement.clean_labels(r, ["slice_id"]).groupBy("slice_id", "region_id").agg(F.count("*").alias("pixels"))
+
+
+@query("m26_small_islands")
+def m26_islands(spark, d):
+    from ..operators import kernels
+
+    return kernels.remove_islands(model.label_raster(spark, d), ["slice_id"], 60).groupBy("slice_id", "region_id").agg(F.count("*").alias("n"))
+
+
+@query("m24_oriented_normals")
+def m24_oriented(spark, d):
+    p = _placed(spark, d)
+    mask = p.selectExpr("slice_id", "y", "x", "tissue value")
+    edge = filters.sobel(mask, ["slice_id"]).where("edge > 0.2").select("slice_id", "y", "x")
+    return placement.oriented_normals(mask, edge, ["slice_id"], 4.0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import text
 from ..model import with_sql
-from ..operators import autopick, control, raster, registration, validate
+from ..operators import autopick, control, placement, raster, registration, validate
 from ..streaming import progress
 
 QUERIES, SQL = {}, {}
@@ -328,13 +328,13 @@ def f26(spark, d):
 
 @query("j18_config_grid", " SELECT f, s, p FROM (VALUES ('contain'), ('cover')) a(f), (VALUES (1.0::DOUBLE), (2.0), (4.0)) b(s), (VALUES ('fast'), ('fine')) c(p)")
 def j18(spark, d):
-    return spark.range(1).select(F.explode(F.array(F.lit("contain"), F.lit("cover"))).alias("f")).select("f", F.explode(F.array(F.lit(1.0), F.lit(2.0), F.lit(4.0))).alias("s")).select("f", "s", F.explode(F.array(F.lit("fast"), F.lit("fine"))).alias("p"))
+    return placement.config_grid(spark.range(1).select(), f=["contain", "cover"], s=[1.0, 2.0, 4.0], p=["fast", "fine"])
 
 
 @query("g29_grid_search", " WITH g AS (SELECT p_brand AS sample, p_size % 6 AS cfg, p_retailprice AS s FROM part), m AS (SELECT cfg, round(avg(s), 4) AS mean FROM g GROUP BY 1) SELECT arg_max(cfg, {'m': mean, 'c': -cfg})::INT AS best, max(mean) AS mean FROM m")
 def g29(spark, d):
-    m = model.table(spark, d, "part").groupBy((F.col("p_size") % 6).alias("cfg")).agg(F.round(F.avg("p_retailprice"), 4).alias("mean"))
-    return m.agg(F.max_by("cfg", F.struct("mean", -F.col("cfg"))).cast("int").alias("best"), F.max("mean").alias("mean"))
+    g = model.table(spark, d, "part").selectExpr("p_size % 6 cfg", "p_retailprice s")
+    return placement.best_config(g, "cfg", "s").withColumn("best", F.col("best").cast("int"))
 
 
 # ---- progress, tasks, queue ---------------------------------------------------------------------------------------------
@@ -409,8 +409,8 @@ def t10(spark, d):
 
 @query("s21_target_priority", " SELECT o_custkey AS sid, min(CASE o_orderstatus WHEN 'F' THEN 'label' WHEN 'O' THEN 'show' END) AS target FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")
 def s21(spark, d):
-    o = model.table(spark, d, "orders").where("o_orderstatus in ('F', 'O')")
-    return o.groupBy(F.col("o_custkey").alias("sid")).agg(F.min_by(F.when(F.col("o_orderstatus") == "F", "label").otherwise("show"), F.when(F.col("o_orderstatus") == "F", 0).otherwise(1)).alias("target"))
+    f = model.table(spark, d, "orders").select(F.col("o_custkey").alias("sid"), F.when(F.col("o_orderstatus") == "F", "label").when(F.col("o_orderstatus") == "O", "show").otherwise("other").alias("kind"))
+    return placement.preferred_target(f, ["sid"], "kind", ["label", "show"])
 
 
 @query("k10_methods_text", with_sql("cells", body=" SELECT printf('%d cells on %d slices were counted at %.2f um per pixel.', count(*), count(DISTINCT slice_id), 0.65::DOUBLE) AS methods FROM cells"))

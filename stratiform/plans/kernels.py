@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..model import with_sql
-from ..operators import flow, kernels, mapping, selection
+from ..operators import flow, kernels, mapping, placement, selection
 from . import core
 from .core import MAPPED
 from .imaging import PAIRS, SYN, _pairs
@@ -101,21 +101,10 @@ def m24(spark, d):
     return kernels.normals(q, ["pair"]).select("pair", F.round(F.abs("nx"), 6).alias("nx"), F.round(F.abs("ny"), 6).alias("ny"))
 
 
-@query("m26_small_islands")
-def m26(spark, d):
-    return kernels.remove_islands(model.label_raster(spark, d), ["slice_id"], 60).groupBy("slice_id", "region_id").agg(F.count("*").alias("n"))
-
-
-@query("m32_similarity_fit")
-def m32(spark, d):
-    px = model.label_raster(spark, d).selectExpr("slice_id", "y", "x", "region_id > 0 tissue", "region_id > 0 and x > 40 label")
-    return kernels.fit_similarity(px, ["slice_id"])
-
-
 @query("g28_unique_correspondences", "SELECT l_orderkey % 50 AS fy, l_partkey % 50 AS fx, round_even(avg(l_suppkey % 40), 0)::INT AS my, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def g28(spark, d):
     p = model.table(spark, d, "lineitem").selectExpr("l_orderkey % 50 fy", "l_partkey % 50 fx", "l_suppkey % 40 my")
-    return p.groupBy("fy", "fx").agg(F.rint(F.avg("my")).cast("int").alias("my"), F.count("*").alias("n"))
+    return placement.unique_correspondences(p, ["fy", "fx"], ["my"])
 
 
 @query("m12_candidate_objective", """WITH c AS (SELECT s_suppkey AS k, s_suppkey % 100 / 100.0::DOUBLE AS q, s_suppkey % 71 / 70.0::DOUBLE AS cov, s_suppkey % 37 / 36.0::DOUBLE AS l, s_suppkey % 29 / 28.0::DOUBLE AS r FROM supplier)
