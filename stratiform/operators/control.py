@@ -49,6 +49,15 @@ def newest_first(rows: DataFrame, keys: list[str], when: str, name: str) -> Data
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(when), name)))
 
 
+def poll(state: DataFrame, logs: DataFrame, lines: int = 20) -> DataFrame:
+    """Each job's state with its last log lines, oldest first, and its errors (R02). state: job_id and what is told of it; logs: job_id, seq, level, line."""
+    last = logs.withColumn("_r", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("seq")))).where(F.col("_r") <= lines)
+    tail = last.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]).alias("log_tail"))
+    errors = logs.where(F.col("level") == "error").groupBy("job_id").agg(F.count("*").alias("errors"), F.max_by("line", "seq").alias("last_error"))
+    out = state.join(tail, "job_id", "left").join(errors, "job_id", "left")
+    return out.withColumns({"log_tail": F.coalesce("log_tail", F.array().cast("array<string>")), "errors": F.coalesce("errors", F.lit(0))})
+
+
 def queue_status(items: DataFrame) -> DataFrame:
     """Counts by status and the items in order."""
     return items.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "queued").alias("queued"), F.count_if(F.col("status") == "running").alias("running"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "sample_id"))), lambda s: s["sample_id"]).alias("items"))

@@ -27,45 +27,37 @@ def _schema(df: DataFrame, keys: list[str], rest: str) -> str:
     return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys) + ", " + rest
 
 
-def _box(a: np.ndarray, w: int) -> np.ndarray:
-    """Sums over w x w windows that fit."""
-    c = np.pad(a.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-    return c[w:, w:] - c[:-w, w:] - c[w:, :-w] + c[:-w, :-w]
-
-
 def ssim(pairs: DataFrame, keys: list[str], window: int = 7, span: float = 1.0) -> DataFrame:
-    """Mean structural similarity of images a and b over full windows, sample covariances."""
+    """Mean structural similarity of full images a and b over windows that fit, sample covariances (M06): running sums along rows, then columns. An image smaller than the window scores 0."""
     c1, c2, n = (0.01 * span) ** 2, (0.03 * span) ** 2, window * window
-
-    def run(key, pdf):
-        a, b = _grid(pdf, "a")[0], _grid(pdf, "b")[0]
-        if min(a.shape) < window:
-            return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "ssim": [0.0]})
-        ma, mb = _box(a, window) / n, _box(b, window) / n
-        va, vb, cab = ((_box(p, window) - n * m) / (n - 1) for p, m in ((a * a, ma * ma), (b * b, mb * mb), (a * b, ma * mb)))
-        s = (2 * ma * mb + c1) * (2 * cab + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
-        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key, strict=True)}, "ssim": [float(s.mean())]})
-
-    return pairs.groupBy(*keys).applyInPandas(run, _schema(pairs, keys, "ssim double"))
-
-
-def boundary(raster: DataFrame, keys: list[str]) -> DataFrame:
-    """Pixels whose right or lower neighbour has another value."""
-    right = raster.select(*keys, "y", (F.col("x") - 1).alias("x"), F.col("v").alias("r"))
-    below = raster.select(*keys, (F.col("y") - 1).alias("y"), "x", F.col("v").alias("b"))
-    at = [*keys, "y", "x"]
-    return raster.join(right, at).join(below, at).where("v <> r or v <> b").select(*at)
+    rows = Window.partitionBy(*keys, "y").orderBy("x").rowsBetween(0, window - 1)
+    cols = Window.partitionBy(*keys, "x").orderBy("y").rowsBetween(0, window - 1)
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    sums = {"sa": a, "sb": b, "saa": a * a, "sbb": b * b, "sab": a * b, "n": F.lit(1)}
+    p = pairs.select(*keys, "y", "x", *[v.alias(k) for k, v in sums.items()])
+    for over in (rows, cols):
+        p = p.select(*keys, "y", "x", *[F.sum(k).over(over).alias(k) for k in sums])
+    ma, mb = F.col("sa") / n, F.col("sb") / n
+    va, vb, cab = ((F.col(s) - n * m) / (n - 1) for s, m in (("saa", ma * ma), ("sbb", mb * mb), ("sab", ma * mb)))
+    s = (2 * ma * mb + c1) * (2 * cab + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
+    return p.groupBy(*keys).agg(F.coalesce(F.avg(F.when(F.col("n") == n, s)), F.lit(0.0)).alias("ssim"))
 
 
 def boundary_f1(pred: DataFrame, target: DataFrame, keys: list[str], tol: int = 2) -> DataFrame:
-    """Precision, recall and F1 of each image's boundaries within a tolerance (M08): a dilation by exploded offsets, then left joins. An image without a boundary on one side scores 0."""
-    a, b, at = boundary(pred, keys), boundary(target, keys), [*keys, "y", "x"]
-    off = F.array(*[F.lit(i) for i in range(-tol, tol + 1)])
-    grown = lambda t: t.select("*", F.explode(off).alias("dy")).select("*", F.explode(off).alias("dx")).select(*keys, (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")).distinct()
-    share = lambda t, o, n: t.join(grown(o).withColumn("hit", F.lit(1)), at, "left").groupBy(*keys).agg((F.count("hit") / F.count("*")).alias(n))
-    out = share(a, b, "precision").join(share(b, a, "recall"), keys, "full").fillna(0.0, ["precision", "recall"])
-    p, r = F.col("precision"), F.col("recall")
-    return out.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
+    """Precision, recall and F1 of each image's boundaries within a tolerance (M08). An image without a boundary on one side scores 0 there.
+
+    pred, target: y, x, v of the same full images. Boundary pixels have another value to the right or below; they are dilated by a running maximum along rows, then columns, so pixels move twice, whatever the tolerance.
+    """
+    row, col = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
+    p = pred.select(*keys, "y", "x", F.col("v").alias("a")).join(target.select(*keys, "y", "x", F.col("v").alias("b")), [*keys, "y", "x"])
+    p = p.withColumns({f"_{c}r": F.lead(c).over(row) for c in "ab"}).withColumns({f"_{c}d": F.lead(c).over(col) for c in "ab"})
+    edge = lambda c: (F.col(f"_{c}r").isNotNull() & F.col(f"_{c}d").isNotNull() & ((F.col(c) != F.col(f"_{c}r")) | (F.col(c) != F.col(f"_{c}d")))).cast("int")
+    p = p.select(*keys, "y", "x", *[edge(c).alias(f"e{c}") for c in "ab"])
+    p = p.withColumns({f"_{c}": F.max(f"e{c}").over(col.rangeBetween(-tol, tol)) for c in "ab"}).withColumns({f"g{c}": F.max(f"_{c}").over(row.rangeBetween(-tol, tol)) for c in "ab"})
+    share = lambda e, g: F.coalesce(F.avg(F.when(F.col(e) == 1, F.col(g))), F.lit(0.0))
+    out = p.groupBy(*keys).agg(share("ea", "gb").alias("precision"), share("eb", "ga").alias("recall"))
+    r, q = F.col("precision"), F.col("recall")
+    return out.withColumn("f1", F.when(r + q > 0, 2 * r * q / (r + q)).otherwise(0.0))
 
 
 def label_components(mask: np.ndarray) -> np.ndarray:

@@ -17,15 +17,19 @@ def smooth(qc: DataFrame, *, series: str = "series", max_dev: float = 8.0) -> Da
     """
     w = Window.partitionBy(series).orderBy("slice_id")
     z = F.col("best_z").cast("double")
-    good = qc.where("registration_ok").withColumn("_n", F.count("*").over(Window.partitionBy(series)))
-    med = lambda a, b: F.percentile(z, F.lit(0.5)).over(w.rowsBetween(-a, b))
-    raw = F.when(F.col("_n") >= 5, med(2, 2)).when(F.col("_n") == 4, med(2, 1)).when(F.col("_n") == 3, med(1, 1)).otherwise(z)
+    # one exchange by series; slices with a registration are a partition of their own for the median, whose frame is five rows at most
+    own = Window.partitionBy(series, "registration_ok").orderBy("slice_id")
+    out = qc.repartition(series).withColumn("_n", F.count("*").over(Window.partitionBy(series, "registration_ok")))
+    out = out.withColumns({f"_z{k}": F.lag(z, -k).over(own) for k in (-2, -1, 1, 2)})
+    near = lambda k, least: F.when(F.col("_n") >= least, F.col(f"_z{k}"))
+    out = out.withColumn("_v", F.array_sort(F.array_compact(F.array(near(-2, 4), near(-1, 3), z, near(1, 3), near(2, 5)))))
+    middle = lambda i: F.get("_v", F.floor((F.size("_v") - i) / 2).cast("int"))
+    out = out.withColumn("_raw", F.when(F.col("registration_ok") & (F.col("_n") >= 2), (middle(1) + middle(0)) / 2))
     clip = lambda c: F.least(F.greatest(F.rint(c), F.lit(0.0)), F.lit(float(AP_MAX))).cast("int")
-    fit = good.select(series, "slice_id", F.when(F.col("_n") >= 2, raw).alias("_raw"))
-    out = qc.join(fit, [series, "slice_id"], "left")
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    # what comes after is looked up in falling order, as a frame that ends with the partition is added up anew for each row
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(series).orderBy(F.desc("slice_id")).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col("_raw").isNotNull(), F.struct(F.col("slice_id").alias("s"), clip(F.col("_raw")).alias("v")))
-    out = out.withColumns({"_b": F.last(known, True).over(before), "_a": F.first(known, True).over(after)})
+    out = out.withColumns({"_b": F.last(known, True).over(before), "_a": F.last(known, True).over(after)})
     near_after = F.col("_a").isNotNull() & (F.col("_b").isNull() | (F.col("_a.s") - F.col("slice_id") < F.col("slice_id") - F.col("_b.s")))
     fill = F.when(near_after, F.col("_a.v")).otherwise(F.col("_b.v"))
     smoothed = F.coalesce(F.when(F.col("_raw").isNotNull(), clip(F.col("_raw"))), fill, F.col("best_z"))

@@ -294,6 +294,15 @@ def r07(spark, d):
     return runs.cancel(runs.start(j, "j9"), "j8")
 
 
+@query("r02_poll", """ WITH l AS (SELECT 'j' || user_id AS job_id, event_id AS seq, CASE WHEN event_type = 'signup' THEN 'error' ELSE 'info' END AS level, event_type || ' ' || event_id AS line FROM events), s AS (SELECT job_id, max(seq) AS lines FROM l GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS r FROM l), t AS (SELECT job_id, string_agg(line, '|' ORDER BY seq) AS log_tail FROM r WHERE r <= 20 GROUP BY 1), e AS (SELECT job_id, count(*) AS errors, arg_max(line, seq) AS last_error FROM l WHERE level = 'error' GROUP BY 1)
+SELECT job_id, lines, log_tail, coalesce(errors, 0) AS errors, last_error FROM s JOIN t USING (job_id) LEFT JOIN e USING (job_id)""")
+def r02_poll(spark, d):
+    logs = model.table(spark, d, "events").select(F.concat(F.lit("j"), F.col("user_id").cast("string")).alias("job_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "error").otherwise("info").alias("level"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("line"))
+    out = control.poll(logs.groupBy("job_id").agg(F.max("seq").alias("lines")), logs)
+    return out.withColumn("log_tail", F.array_join("log_tail", "|"))
+
+
 @query("r16_project_overview", """ WITH s AS (SELECT c_nationkey AS project_id, CASE c_custkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'queued' WHEN 2 THEN 'running' WHEN 3 THEN 'done' ELSE 'error' END AS status FROM customer WHERE c_nationkey % 4 <> 0)
 SELECT n_nationkey AS project_id, n_name AS name, count(status) AS samples, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'error') AS error FROM nation LEFT JOIN s ON project_id = n_nationkey GROUP BY 1, 2""")
 def r16(spark, d):
