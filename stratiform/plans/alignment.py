@@ -256,7 +256,14 @@ def _found(spark, d):
     return p.where("detector = 'view' and slice_id % 3 <> 0"), p.where("detector = 'click'"), p.where("detector = 'signup'")
 
 
-@query("m20_dispatch")
+@query("m20_dispatch", with_sql("points", body=""",
+f AS (SELECT slice_id, x, y, score, detector, CASE detector WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS source FROM points WHERE detector = 'view' AND slice_id % 3 <> 0 OR detector IN ('click', 'signup')),
+u AS (SELECT f.*, row_number() OVER (PARTITION BY f.slice_id ORDER BY score DESC, x, y) AS sc FROM f JOIN (SELECT slice_id, min(source) AS source FROM f GROUP BY 1) USING (slice_id, source)),
+n AS (SELECT b.slice_id, b.sc, list(a.sc) AS near FROM u a JOIN u b ON a.slice_id = b.slice_id AND a.sc <> b.sc AND ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / 16.0::DOUBLE <= 1.0 GROUP BY 1, 2),
+o AS (SELECT u.*, CASE WHEN source = 2 THEN [] ELSE coalesce(near, []) END AS near FROM u LEFT JOIN n USING (slice_id, sc)),
+g(slice_id, k, kept) AS (SELECT DISTINCT slice_id, 0::BIGINT, []::BIGINT[] FROM o UNION ALL SELECT g.slice_id, o.sc, CASE WHEN list_has_any(g.kept, o.near) THEN g.kept ELSE list_append(g.kept, o.sc) END FROM g JOIN o ON o.slice_id = g.slice_id AND o.sc = g.k + 1),
+l AS (SELECT slice_id, unnest(arg_max(kept, k)) AS sc FROM g GROUP BY 1)
+SELECT row_number() OVER (PARTITION BY slice_id ORDER BY sc) AS cell_id, slice_id, x, y, score, detector FROM o JOIN l USING (slice_id, sc)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def m20(spark, d):
     return detection.dispatch(*_found(spark, d), allow_fallback=True)
 

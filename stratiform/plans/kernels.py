@@ -42,7 +42,10 @@ def m08(spark, d):
     return out.select("slice_id", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("m15_connected_components")
+@query("m15_connected_components", SYN.replace("WITH ", "WITH RECURSIVE ", 1) + """, p AS MATERIALIZED (SELECT slice_id, y, x, (y - min(y) OVER i) * (max(x) OVER i - min(x) OVER i + 1) + x - min(x) OVER i + 1 AS id FROM s WHERE value > 60 WINDOW i AS (PARTITION BY slice_id)),
+e AS MATERIALIZED (SELECT a.slice_id, a.id AS a, b.id AS b FROM p a JOIN p b ON a.slice_id = b.slice_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 AND abs(a.y - b.y) <= 1),
+r(slice_id, root, id) AS (SELECT slice_id, id, id FROM p UNION SELECT r.slice_id, r.root, e.b FROM r JOIN e ON e.slice_id = r.slice_id AND e.a = r.id), c AS (SELECT slice_id, id, min(root) AS component FROM r GROUP BY 1, 2)
+SELECT slice_id, component::BIGINT AS component, count(*) AS area FROM c GROUP BY 1, 2""")
 def m15(spark, d):
     px = model.image_stack(spark, d).where("value > 60")
     return kernels.connected_components(px, ["slice_id"]).groupBy("slice_id", "component").agg(F.count("*").alias("area"))

@@ -265,7 +265,11 @@ def k06(spark, d):
     return runs.report(registration.benchmark(model.run_metrics(spark, d))).select("place", "run_name", "verdict", "NCC_text", "MSE_text", "runs_of_verdict")
 
 
-@query("k06_report_pages")
+_METRICS = registration.METRICS
+
+
+@query("k06_report_pages", with_sql("run_metrics", body=WIDE + f""", j AS (SELECT a.run_name, {', '.join(f"a.{m}, round_even(a.{m} - b.{m}, 6) AS d_{m}" for m in _METRICS)}, (a.NCC >= b.NCC)::INT + (a.SSIM >= b.SSIM)::INT + (a.Dice >= b.Dice - 0.005)::INT + (a.PSNR >= b.PSNR)::INT + (a.MSE <= b.MSE)::INT AS k FROM w a JOIN w b ON a.run_name = b.run_name AND a.stage = 'post' AND b.stage = 'pre')
+SELECT run_name, '<tr class="' || CASE WHEN k >= 4 THEN 'good' WHEN k >= 3 THEN 'warn' ELSE 'bad' END || '"><td><a href="' || replace(run_name, '#', '%23') || '/report.html">' || run_name || '</a></td>' || {" || ".join(f"'<td>' || printf('%.4f', {m}) || ' (' || CASE WHEN d_{m} >= 0 THEN '+' ELSE '' END || printf('%.4f', d_{m}) || ')</td>'" for m in _METRICS)} || '</tr>' AS html FROM j"""))
 def k06_pages(spark, d):
     return runs.report_html(runs.report(registration.benchmark(model.run_metrics(spark, d))))
 
