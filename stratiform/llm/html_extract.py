@@ -341,9 +341,11 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
         }[kind]()
 
     def body() -> str:
-        out = [f"<h1>{say(3, 9)}</h1>"] if r.random() < 0.85 else []
+        out = [f"<{(h := r.choice(['h1', 'h1', 'h1', 'h1', 'h2', 'h3']))}>{say(3, 9)}</{h}>"] if r.random() < 0.85 else []
+        if out and r.random() < 0.15:
+            out[0] = f"<header>{out[0]}</header>"  # an article's own head is part of it
         for _ in range(r.randint(1, 9)):
-            out.append(r.choices([lambda: f"<p>{say(8, 90)}</p>", lambda: f"<p>{say(1, 6)}</p>", lambda: f"<p><b>{say(10, 60)}<br>", lambda: f"<{(h := r.choice(['h2', 'h2', 'h3', 'h4']))}>{say(2, 7)}</{h}><p>{say(10, 60)}</p>", lambda: f"<{(u := r.choice(['ul', 'ul', 'ol']))}>" + "".join(f"<li>{say(3, 15)}</li>" for _ in range(3)) + f"</{u}>", lambda: f"<blockquote><p>{say(8, 40)}</p></blockquote>", lambda: f"<p>{say(8, 30)} <a href='/{word()}'>{word()}</a> {say(5, 20)}</p>", lambda: r.choice([f"<table><tr><td>{say(1, 4)}</td><td>{say(1, 4)}</td></tr></table>", f"<table><tr><th>{say(1, 2)}</th></tr><tr><td>{say(1, 4)}</td></tr></table>", f"<dl><dt>{say(1, 3)}</dt><dd>{say(3, 12)}</dd></dl>"]), lambda: f"<pre>{say(4, 12)}</pre>", lambda: f"<figure><figcaption>{say(3, 10)}</figcaption></figure>", lambda: noise(r.choice(["ad", "side", "share", "note", "form"]))], [30, 6, 5, 6, 4, 3, 6, 2, 1, 1, 6])[0]())
+            out.append(r.choices([lambda: f"<p>{say(8, 90)}</p>", lambda: f"<p>{say(1, 6)}</p>", lambda: r.choice([f"<p><b>{say(10, 60)}<br>", f"{say(10, 60)}<br><br>{say(10, 60)}", f"<div>{say(10, 60)}</div>"]), lambda: f"<{(h := r.choice(['h2', 'h2', 'h3', 'h4']))}>{say(2, 7)}</{h}><p>{say(10, 60)}</p>", lambda: f"<{(u := r.choice(['ul', 'ul', 'ol']))}>" + "".join(f"<li>{say(3, 15)}</li>" for _ in range(3)) + f"</{u}>", lambda: f"<blockquote><p>{say(8, 40)}</p></blockquote>", lambda: f"<p>{say(8, 30)} <a href='/{word()}'>{word()}</a> {say(5, 20)}</p>", lambda: r.choice([f"<table><tr><td>{say(1, 4)}</td><td>{say(1, 4)}</td></tr></table>", f"<table><tr><th>{say(1, 2)}</th></tr><tr><td>{say(1, 4)}</td></tr></table>", f"<dl><dt>{say(1, 3)}</dt><dd>{say(3, 12)}</dd></dl>", f"<details><summary>{say(1, 4)}</summary><p>{say(8, 30)}</p></details>"]), lambda: f"<pre>{say(4, 12)}</pre>", lambda: f"<figure><figcaption>{say(3, 10)}</figcaption></figure>", lambda: noise(r.choice(["ad", "side", "share", "note", "form", "foot"]))], [30, 6, 7, 6, 4, 3, 6, 2, 1, 1, 6])[0]())
         if r.random() < 0.2:
             cut = r.randint(0, len(out))
             out = [wrapped("".join(out[:cut]), 0.7), wrapped("".join(out[cut:]), 0.7)]
@@ -354,13 +356,16 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
         cls = r.choice(CLASS_WORDS["main"].split())
         tag, attr = r.choice([("article", ""), ("article", ""), ("article", f' class="{cls}"'), ("main", ""), ("div", f' class="{cls}"'), ("div", f' id="{cls}"'), ("section", f' class="{cls}"')])
         core = f'<{tag}{attr} data-c="1">{wrapped(body(), 0.25)}</{tag}>'
-        if r.random() < 0.3:
+        bare = r.random() < 0.15  # the article stands in the body itself
+        if bare:
+            core = body()
+        elif r.random() < 0.3:
             core = f"<main>{core}{noise('comment') if r.random() < 0.5 else ''}</main>" if tag != "main" else core
-        if r.random() < 0.3:
+        if not bare and r.random() < 0.3:
             core = wrapped(core, 1.0)
         before = "".join(noise(k) for k in r.sample(["nav", "head", "note", "ad", "side", "form"], r.randint(0, 4)))
         after = "".join(noise(k) for k in r.sample(["comment", "side", "ad", "share", "form", "nav"], r.randint(0, 3))) + (noise("foot") if r.random() < 0.85 else "")
-        source = f"<!DOCTYPE html><html><head><title>{say(2, 5)}</title></head><body>{before}{core}{after}" + r.choice(["</body></html>", ""])
+        source = f"<!DOCTYPE html><html><head><title>{say(2, 5)}</title></head><body{' data-c="1"' * bare}>{before}{core}{after}" + r.choice(["</body></html>", ""])
         pages.append((source, marks(source)))
     return pages
 

@@ -532,6 +532,24 @@ def test_html_keeps_what_follows_unclosed_elements():
     assert "kept <b>raw</b>" in text("<xmp>kept <b>raw</b></xmp>")
 
 
+P = "The town council met on Tuesday to talk about the new bridge, which will cost more than was planned at first."
+Q = "Engineers said that the old one can carry cars for ten more years, but not the heavy lorries that cross it every day."
+WRITTEN = {
+    "main": (f"<body><nav><a href='/'>Home</a> <a href='/n'>News</a></nav><main><section><h2>A new bridge</h2><p>{P}</p><ol><li>First a survey.</li></ol><p>{Q}</p></section></main><aside><h3>Popular</h3><ul><li><a href='/1'>One</a></li></ul></aside><footer>&copy; 2024 The Paper</footer></body>", f"A new bridge\n{P}\nFirst a survey.\n{Q}"),
+    "table layout": (f"<table><tr><td class='sidebar'><ul><li><a href='/a'>Alpha</a></li><li><a href='/b'>Beta</a></li></ul></td><td class='content'><h1>A new bridge</h1><p>{P}</p><p>{Q}</p></td></tr></table>", f"A new bridge\n{P}\n{Q}"),
+    "bare body": (f"<html><body><h1>A new bridge</h1><p>{P}</p><p>{Q}</p></body></html>", f"A new bridge\n{P}\n{Q}"),
+    "nested boxes": (f"<body><div class='page'><div class='header'><div class='logo'>The Paper</div><div class='nav'><ul><li><a href='/'>Home</a></li></ul></div></div><div class='row'><div class='col'><div class='article-body'><h1>A new bridge</h1><div><div><p>{P}</p></div></div><div class='advert'><p>Buy now, only today!</p></div><p>{Q}</p></div></div><div class='col sidebar'><div class='widget'>Follow us</div></div></div><div id='comments'><div class='comment'><p>I like this bridge a lot, it is a good plan.</p></div></div><div class='cookie-banner'>We use cookies</div></div></body>", f"A new bridge\n{P}\n{Q}"),
+    "loose text": (f"<body><div id='content'><h3>A new bridge</h3>{P}<br><br>{Q}</div><div id='footer'>Imprint</div></body>", f"A new bridge\n{P} {Q}"),
+    "article with head and foot": (f"<body><article><header><h1>A new bridge</h1></header><p>{P}</p><p>{Q}</p><footer>Tags: <a href='/t'>bridge</a></footer></article><section id='comments'><p>Nice one, this was worth reading to the end.</p></section></body>", f"A new bridge\n{P}\n{Q}"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(WRITTEN))
+def test_html_of_written_pages(name):
+    source, want = WRITTEN[name]
+    assert html_extract.train().extract([source]) == [want]
+
+
 def test_html_quotes():
     m = html_extract.train()
     p = "the words of a long paragraph in the article that goes on for a while."
