@@ -33,6 +33,19 @@ def recent(events: DataFrame, sample: str, limit: int = 100) -> DataFrame:
     return events.where(F.col("sample_id") == sample).orderBy(F.desc("id")).limit(max(1, min(500, limit))).orderBy("id")
 
 
+def listing(rows: DataFrame, *, where: dict[str, object] | None = None, order: list[tuple[str, bool]] | None = None, limit: int | None = None, name: str = "id") -> DataFrame:
+    """Rows of a stored table by equality filters, ordered by (column, falling) and then by name, the first `limit` of them (S17). A filter value of None asks for null."""
+    for c, v in (where or {}).items():
+        rows = rows.where(F.col(c).isNull() if v is None else F.col(c) == F.lit(v))
+    rows = rows.orderBy(*[F.desc(c) if falling else F.asc(c) for c, falling in order or []], name)
+    return rows if limit is None else rows.limit(limit)
+
+
+def get(rows: DataFrame, value, name: str = "id") -> DataFrame:
+    """The row of one name, or none."""
+    return rows.where(F.col(name) == F.lit(value)).limit(1)
+
+
 def delete_project(events: DataFrame, samples: DataFrame, project: str) -> DataFrame:
     """Events that stay when a project with its samples goes."""
     return events.join(samples.where(F.col("project_id") == project).select("sample_id"), "sample_id", "left_anti")

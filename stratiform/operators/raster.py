@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import id_rgb
 from .registration import otsu
 
 
@@ -119,6 +120,22 @@ def blend(base: Column, color: Column, mask: Column, alpha: float) -> Column:
     return F.when(mask, (base * (1 - alpha) + color * alpha).cast("int")).otherwise(base)
 
 
+def colorize(raster: DataFrame, colors: DataFrame) -> DataFrame:
+    """Each labelled pixel's colour: that of the map, else that of its id; outside is black (M30). colors: region_id, r, g, b."""
+    own = raster.join(colors, "region_id", "left")
+    fallback = id_rgb(F.col("region_id"))
+    return own.withColumns({c: F.when(F.col("region_id") <= 0, 0).otherwise(F.coalesce(F.col(c), fallback[c])) for c in "rgb"})
+
+
+def outlined(raster: DataFrame, keys: list[str], color: tuple[int, int, int] = (255, 255, 255)) -> DataFrame:
+    """Coloured full images with the boundaries between labels and to the outside painted over (M30): pixels whose right or lower neighbour has another label, and those neighbours. raster: y, x, region_id, r, g, b."""
+    rows, cols = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
+    differs = lambda f, w: F.coalesce(f("region_id").over(w) != F.col("region_id"), F.lit(False))
+    line = differs(F.lead, rows) | differs(F.lag, rows) | differs(F.lead, cols) | differs(F.lag, cols)
+    p = raster.withColumn("_line", line & (F.col("region_id") > 0))
+    return p.withColumns({c: F.when(F.col("_line"), v).otherwise(F.col(c)) for c, v in zip("rgb", color, strict=True)}).drop("_line")
+
+
 def gamma(value: Column, g: float) -> Column:
     """255 (v/255)^g, g in 0.2 to 3, truncated."""
     g = min(3.0, max(0.2, g))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..model import with_sql
-from ..operators import autopick, detection, filters, flow, landmarks, placement, registration, runs
+from ..operators import autopick, detection, filters, flow, landmarks, placement, raster, registration, runs
 from .core import greedy
 from .imaging import PAIRS, SYN, _pairs
 
@@ -182,6 +182,15 @@ def m25(spark, d):
     return landmarks.propose_landmarks(px, ["slice_id"], distance=6)
 
 
+@query("m30_colored_outlines", with_sql("label_raster", body=""", k AS (SELECT *, region_id % 2 = 0 AS own, region_id::BIGINT * 2654435761 & 16777215 AS v, region_id > 0 AND (coalesce(lead(region_id) OVER r <> region_id, false) OR coalesce(lag(region_id) OVER r <> region_id, false) OR coalesce(lead(region_id) OVER c <> region_id, false) OR coalesce(lag(region_id) OVER c <> region_id, false)) AS line FROM label_raster WINDOW r AS (PARTITION BY slice_id, y ORDER BY x), c AS (PARTITION BY slice_id, x ORDER BY y)),
+p AS (SELECT slice_id, CASE WHEN line THEN 255 WHEN region_id = 0 THEN 0 WHEN own THEN region_id % 256 ELSE (v >> 16)::INT END AS r, CASE WHEN line THEN 255 WHEN region_id = 0 THEN 0 WHEN own THEN 10 ELSE (v >> 8 & 255)::INT END AS g, CASE WHEN line THEN 255 WHEN region_id = 0 THEN 0 WHEN own THEN 20 ELSE (v & 255)::INT END AS b FROM k) SELECT slice_id, r, g, b, count(*) AS pixels FROM p GROUP BY ALL"""))
+def m30(spark, d):
+    raster_ = model.label_raster(spark, d)
+    colors = raster_.where("region_id % 2 = 0 and region_id > 0").select("region_id").distinct().selectExpr("region_id", "region_id % 256 r", "10 g", "20 b")
+    out = raster.outlined(raster.colorize(raster_, colors), ["slice_id"])
+    return out.groupBy("slice_id", "r", "g", "b").agg(F.count("*").alias("pixels"))
+
+
 # ---- candidates and refinement -----------------------------------------------------------------------------------------------
 
 PLANES = " WITH z AS (SELECT z::INT AS z, list_transform(range(64), lambda i: (i * (z + 3) + z * z) % 7 < 3) AS mask FROM range(0, 96) t(z)), im AS (SELECT vec_id AS image, list_transform(embedding, lambda v: v > 0) AS own FROM embeddings)"

@@ -210,6 +210,19 @@ def s01(spark, d):
     return files.list_slices(spark, path, "*.txt").select("slice_id", text.base_name(text.parent_dir(F.col("path"))).alias("folder")).withColumn("folder", F.regexp_replace("folder", "^z=", ""))
 
 
+@query("r15_file_listing", " SELECT n_nationkey AS k, length(n_name) + 1 AS size, '.txt' AS ext FROM nation")
+def r15(spark, d):
+    path = Tables(spark).path("outputs")
+    model.table(spark, d, "nation").selectExpr("n_nationkey", "n_name value").repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    return files.file_listing(spark, path, "*.txt").select(F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("long").alias("k"), "size", "ext")
+
+
+@query("s17_sample_listing", " SELECT c_custkey AS id, c_nationkey AS project_id, c_acctbal AS created FROM customer WHERE c_nationkey = 7 ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
+def s17(spark, d):
+    c = model.table(spark, d, "customer").selectExpr("c_custkey id", "c_nationkey project_id", "c_acctbal created")
+    return control.listing(c, where={"project_id": 7}, order=[("created", True)], limit=20)
+
+
 # ---- rules ------------------------------------------------------------------------------------------------------------------
 
 @query("f11_failure_gate", with_sql("slice_qc", body=" SELECT series, count(*) AS n FROM slice_qc WHERE registration_ok GROUP BY 1"))

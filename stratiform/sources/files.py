@@ -70,6 +70,13 @@ def list_slices(spark: SparkSession, folder: str, pattern: str = "*.tif") -> Dat
     return files.withColumn("slice_id", F.row_number().over(Window.orderBy("path")) - 1)
 
 
+def file_listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """name, size and lower-case extension of the files below a folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select("path", name.alias("name"), F.col("length").alias("size"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("ext"))
+
+
 # ---- TIFF and NIfTI ---------------------------------------------------------------------------------------------
 
 def decode_tiff(raw: bytes) -> np.ndarray:
