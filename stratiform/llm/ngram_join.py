@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -136,11 +137,34 @@ def table_bits(documents: DataFrame) -> int:
     return min(max((stored // 32).bit_length(), TABLE_BITS[0]), TABLE_BITS[1])
 
 
+def planes(a: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second bytes, and so on: high bytes are mostly 0 and cost next to nothing compressed."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def from_planes(raw: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def pack(counts: np.ndarray) -> bytes:
+    at = np.flatnonzero(counts)
+    gap = np.diff(at, prepend=-1) - 1
+    return zstandard.ZstdCompressor(level=3).compress(planes(gap.astype("<u2")) + planes(counts[at].astype("<u4")))
+
+
+def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the counters that aren't 0."""
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    n = len(raw) // 6
+    return np.cumsum(from_planes(raw[: 2 * n], "<u2").astype(np.int64) + 1) - 1, from_planes(raw[2 * n :], "<u4").astype(np.int64)
+
+
 def document_table(documents: DataFrame, scratch: Scratch, *, key: str, text: str) -> tuple[DataFrame, np.ndarray]:
     """doc_id, node, n and two hashes (h, g) of key and text of every row, and the table of frequency classes; one scan.
 
-    Document rows are written where they are made. Each task also sends 2 bytes for each shingle, the counter's low bits, grouped by its high
-    bits; the counters of a group are added up where they meet.
+    Document rows are written where they are made. Each task also sends its counters for every few million shingles, in groups of 2^16; they are
+    added up where a group meets. Counters travel as the gaps between those that aren't 0, and their values, compressed (pack, unpack).
     """
     bits = table_bits(documents)
     low, n_groups = 16, 1 << (bits - 16)
@@ -155,10 +179,9 @@ def document_table(documents: DataFrame, scratch: Scratch, *, key: str, text: st
         size = 0
 
         def groups():
-            t = np.sort(np.concatenate(held))
+            counts = np.bincount(np.concatenate(held), minlength=1 << bits).astype("<u4").reshape(n_groups, -1)
             held.clear()
-            cut = np.searchsorted(t, np.arange(n_groups + 1, dtype=np.uint64) << np.uint64(low))
-            body = [t[a:b].astype(np.uint16).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            body = [pack(c) for c in counts]
             return pa.RecordBatch.from_arrays([*(pa.nulls(n_groups, t) for t in types), pa.nulls(n_groups, pa.int64()), pa.nulls(n_groups, pa.int32()), pa.array(np.arange(n_groups), pa.int32()), pa.array(body, pa.binary())], names=names)
 
         for b in batches:
@@ -167,7 +190,7 @@ def document_table(documents: DataFrame, scratch: Scratch, *, key: str, text: st
                 n = len(s)
                 count = np.bincount(owner, minlength=n)
                 yield pa.RecordBatch.from_arrays([*(s.column(c) for c in ("doc_id", "h", "g")), pa.array(node_ids(owner, value, n)), pa.array(count, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-                held.append((value >> np.uint64(64 - bits)).astype(np.uint32))
+                held.append((value >> np.uint64(64 - bits)).astype(np.int32))
                 size += len(value)
                 if size > 4_000_000:
                     yield groups()
@@ -181,8 +204,8 @@ def document_table(documents: DataFrame, scratch: Scratch, *, key: str, text: st
         counts: dict[int, np.ndarray] = {}
         for b in batches:
             for g, raw in zip(b.column("grp").to_pylist(), b.column("payload").to_pylist(), strict=True):
-                c = counts.setdefault(g, np.zeros(1 << low, np.int64))
-                c += np.bincount(np.frombuffer(raw, np.uint16), minlength=len(c))
+                at, value = unpack(raw)
+                counts.setdefault(g, np.zeros(1 << low, np.int64))[at] += value
         for g, c in counts.items():
             cls = np.floor(np.log2(np.maximum(c, 1))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([cls.tobytes()], pa.binary())], names=["grp", "payload"])
@@ -238,7 +261,7 @@ def shared_postings(documents: DataFrame, table: np.ndarray, n_rows: int, scratc
     usual = int(np.floor(np.log2(max(1.0, float(np.exp2(table.astype(float)).mean())))) + 1)
     frequent = max(usual + 1, int(np.ceil(np.log2(max(64, n_rows / 1000)))) )
     shared = sc.broadcast((table, usual, frequent))
-    groups = max(16, 4 * parts)
+    groups = max(16, 2 * parts)
     fields = [("grp", pa.int32()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("low", pa.binary()), ("high", pa.binary()), ("part", pa.binary())]
     names = [f[0] for f in fields]
 
@@ -263,8 +286,8 @@ def shared_postings(documents: DataFrame, table: np.ndarray, n_rows: int, scratc
                     continue
                 own = np.flatnonzero(np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]])) + a
                 count = np.diff(np.append(own, b)).astype(np.uint32)
-                body = [node[own], (n[own].astype(np.uint32) << np.uint32(3)) | ell[own], count, tok[a:b].astype(np.uint32), (tok[a:b] >> np.uint64(32)).astype(np.uint16), part[a:b]]
-                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in body)], names=names)
+                body = [node[own].tobytes(), planes((n[own].astype(np.uint32) << np.uint32(3)) | ell[own]), planes(count), tok[a:b].astype(np.uint32).tobytes(), (tok[a:b] >> np.uint64(32)).astype(np.uint16).tobytes(), part[a:b].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), *(pa.array([x], pa.binary()) for x in body)], names=names)
 
         for b in batches:
             for s in slices(b, "_text", 1 << 20):
@@ -293,7 +316,8 @@ def shared_postings(documents: DataFrame, table: np.ndarray, n_rows: int, scratc
         by: dict[int, list[tuple]] = {}
         for b in batches:
             for g, *raw in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-                node, sizes, count, low, high, part = (np.frombuffer(r, t) for r, t in zip(raw, (np.int64, np.uint32, np.uint32, np.uint32, np.uint16, np.uint8), strict=True))
+                node, low, high, part = (np.frombuffer(raw[i], t) for i, t in ((0, np.int64), (3, np.uint32), (4, np.uint16), (5, np.uint8)))
+                sizes, count = from_planes(raw[1], "<u4"), from_planes(raw[2], "<u4")
                 tok = low.astype(np.int64) | (high.astype(np.int64) << 32)
                 by.setdefault(g, []).append((tok, np.repeat(node, count), np.repeat(sizes, count), part))
         for got in by.values():
@@ -352,7 +376,7 @@ def checked(documents: DataFrame, pairs: DataFrame, scratch: Scratch, *, text: s
     both = with_y.join(sets.select(F.col("node").alias("x"), F.col("items").alias("ix")), "x")
     common = F.size(F.array_intersect("ix", "iy"))
     links = scratch.put(both.where(DEN * common >= NUM * (F.size("ix") + F.size("iy") - common)).select("x", "y"), "links")
-    scratch.drop(sets)
+    scratch.drop(sets, pairs)
     return links
 
 
@@ -393,21 +417,12 @@ def sized(pairs: DataFrame) -> DataFrame:
     return pairs.where((DEN * F.col("nx") >= NUM * F.col("ny")) & (DEN * F.col("ny") >= NUM * F.col("nx")))
 
 
-def ranked(post: DataFrame, scratch: Scratch, rounds: int = 1) -> DataFrame:
-    """Adds a lower bound of each shingle's rank in its document, and `top`, the most that a document can share.
-
-    A prefix shingle that no other node has is in no overlap, so top = n - such shingles. A node whose top is under its
-    required overlap has no link; without it others' shingles may stand alone, hence the rounds.
-    """
+def ranked(post: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds a lower bound of each shingle's rank in its document, and `top`, the most that a document can share: a prefix shingle that no other node has is in no overlap, so top = n - such shingles."""
     length = F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + ell")
     post = post.withColumn("rank", (F.col("part") * length / 256).cast("int")).drop("part")
-    for _ in range(rounds):
-        top = post.groupBy("node", "n", "ell").agg((F.col("n") - length + F.count("*")).cast("int").alias("top"))
-        able = top.where(F.col("top") >= F.expr(f"({NUM} * n + {DEN - 1}) div {DEN}")).select("node", "top")
-        kept = post.drop("top").join(able, "node")
-        shared = kept.groupBy("tok").count().where("count > 1").select("tok")
-        post = scratch.put(kept.join(shared, "tok"), "able")
-    return post
+    top = post.groupBy("node").agg((F.first("n") - F.first(length) + F.count("*")).cast("int").alias("top"))
+    return scratch.put(post.join(top, "node"), "ranked")
 
 
 def leader_pairs(post: DataFrame) -> DataFrame:
@@ -440,6 +455,7 @@ def cross_pairs(post: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFram
     swap = lambda a, b, name: F.when(turned, F.col(b)).otherwise(F.col(a)).alias(name)
     pairs = pairs.select(swap("x", "y", "x"), swap("y", "x", "y"), swap("nx", "ny", "nx"), swap("ny", "nx", "ny"), swap("ex", "ey", "ex"), swap("ey", "ex", "ey"))
     some = scratch.put(pairs.distinct(), "met")
+    scratch.release_shuffles()
     nodes = some.select(F.explode(F.array("x", "y")).alias("node")).distinct()
     # written, so that the joins have exchanges of their own and a node in many pairs can be split
     prefix = scratch.put(post.join(nodes, "node", "left_semi").groupBy("node").agg(F.collect_list("tok").alias("toks")), "prefixes")
@@ -450,10 +466,12 @@ def cross_pairs(post: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFram
 def components_of(documents: DataFrame, scratch: Scratch, *, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Of every row doc_id, h, g, node and n; and node, comp for the nodes that have a link."""
     docs, table = document_table(documents, scratch, key=key, text=text)
+    scratch.release_shuffles()
     n_rows = docs.count()
-    post = shared_postings(documents, table, n_rows, scratch, text=text)
+    shared = shared_postings(documents, table, n_rows, scratch, text=text)
     scratch.release_shuffles()
-    post = ranked(post, scratch)
+    post = ranked(shared, scratch)
+    scratch.drop(shared)
     scratch.release_shuffles()
     links = checked(documents, leader_pairs(post), scratch, text=text)
     comps = components(links, scratch)
@@ -462,7 +480,7 @@ def components_of(documents: DataFrame, scratch: Scratch, *, key: str, text: str
     return docs, scratch.put(components(links.unionByName(more), scratch), "components")
 
 
-def with_least(docs: DataFrame, comps: DataFrame, least: Column, name: str) -> DataFrame:
+def with_least(docs: DataFrame, comps: DataFrame, least: Column, name: str, scratch: Scratch) -> DataFrame:
     """docs with the least value of `least` among the rows of their component; rows without a shingle have null.
 
     Copies are added up by node before anything meets, so that a group of copies is a few rows from each task.
@@ -473,7 +491,8 @@ def with_least(docs: DataFrame, comps: DataFrame, least: Column, name: str) -> D
     best = known.groupBy("comp").agg(F.min(name).alias(name))
     # only nodes with a link have another value than their own
     linked = comps.join(best, "comp").select("node", F.col(name).alias("_best"))
-    every = nodes.join(small(linked, n_comps), "node", "left").select("node", F.coalesce("_best", name).alias(name))
+    # written, so that the join has an exchange of its own and the copies of one text can be split
+    every = scratch.put(nodes.join(small(linked, n_comps), "node", "left").select("node", F.coalesce("_best", name).alias(name)), "best")
     alone = docs.where("n = 0").withColumn(name, F.lit(None).cast(nodes.schema[name].dataType))
     return docs.where("n > 0").join(every, "node").unionByName(alone)
 
@@ -487,7 +506,7 @@ def join(documents: DataFrame, *, key: str = "doc_id", text: str = "text", scrat
     """doc_id, n_shingles, component_id for every row. The key keeps its type; a component without any key has null."""
     scratch = scratch or Scratch(documents.sparkSession)
     docs, comps = components_of(documents, scratch, key=key, text=text)
-    out = with_least(docs.select("doc_id", "node", "n"), comps, F.col("doc_id"), "component_id")
+    out = with_least(docs.select("doc_id", "node", "n"), comps, F.col("doc_id"), "component_id", scratch)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -500,7 +519,7 @@ def one_of_each(documents: DataFrame, *, key: str = "doc_id", text: str = "text"
     scratch = scratch or Scratch(documents.sparkSession)
     docs, comps = components_of(documents, scratch, key=key, text=text)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "g")
-    least = scratch.put(with_least(docs, comps, order, "least").where("n > 0").select("h", "g", (F.col("least.h") == F.col("h")).alias("stays")), "least")
+    least = scratch.put(with_least(docs, comps, order, "least", scratch).where("n > 0").select("h", "g", (F.col("least.h") == F.col("h")).alias("stays")), "least")
     rows = least.groupBy("h", "g").agg(F.first("stays").alias("stays"), F.count("*").alias("times"))
     marks = scratch.put(rows.where("not stays or times > 1").select("h", "g", "stays"), "marks")
     columns = documents.columns
