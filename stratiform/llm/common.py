@@ -6,9 +6,6 @@ import atexit
 import contextlib
 import ctypes
 import gc
-import re
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,20 +15,7 @@ from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where that is unset a local master gets a temporary one, and a cluster an error, as its executors share no local folder."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="stratiform-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], True)
-    return "file://" + _LOCAL[0]
+from ..shared import folder
 
 
 class Scratch:
@@ -44,7 +28,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/stratiform-{uuid.uuid4().hex}"
+        self.root = f"{folder(spark)}/stratiform-{uuid.uuid4().hex}"
         # held here, as the session may have been stopped when the interpreter ends
         self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
         Scratch.made.append(self)

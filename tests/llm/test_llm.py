@@ -129,6 +129,10 @@ def test_packing_round_trip(spark):
     rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
     check_packing(rows, docs, encode)
     assert packing.pack(edge(spark).where("false")).count() == 0
+    same = spark.createDataFrame([(i % 3, "the same words") for i in range(400)], "doc_id long, text string").repartition(4)  # ties and repeated rows
+    rows = packing.pack(same).collect()
+    n = len(encode("the same words")) + 1
+    assert sorted((r.doc_id, r.start, r.length) for r in rows) == sorted((i % 3, 0, n) for i in range(400))
     for n in range(1, 5000, 7):
         assert sum(packing.cut(n)) == n and max(packing.cut(n)) <= 2048 and min(packing.cut(n)) >= 1
 
