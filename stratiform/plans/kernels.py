@@ -94,7 +94,8 @@ def m22c(spark, d):
 
 @query("m23_laplacian_field")
 def m23(spark, d):
-    b = spark.range(40).selectExpr("cast(id % 4 as int) z", "cast(id * 7 % 16 as int) y", "cast(id * 5 % 16 as int) x", "cast(id % 5 as double) value").dropDuplicates(["z", "y", "x"])
+    n = model.slices(spark, d, 1000, 4)
+    b = spark.range(10 * n).selectExpr(f"cast(id % {n} as int) z", "cast(id * 7 % 16 as int) y", "cast(id * 5 % 16 as int) x", "cast(id % 5 as double) value").groupBy("z", "y", "x").agg(F.max("value").alias("value"))
     return kernels.laplace_field(b, ["z"], (16, 16))
 
 

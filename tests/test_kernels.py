@@ -255,6 +255,22 @@ def test_dispatch_equals_plain_rule(spark, merge):
         detection.dispatch(None, None, frames[2])
 
 
+def test_intermediate_tables_need_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from stratiform import shared
+
+    def session(master, named=None):
+        conf = SimpleNamespace(get=lambda key, default=None: named)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    assert shared.folder(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared.folder(session("local[4]")).startswith("file:///")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared.folder(session(master))
+
+
 def test_run_control_and_report(spark):
     jobs = spark.createDataFrame([("a", "running"), ("b", "done")], "job_id string, status string")
     with pytest.raises(runs.RunError) as e:
