@@ -1,7 +1,7 @@
 """Readers and writers of the file formats around a run.
 
 Tables are read with explicit schemas. Images and volumes are read through binaryFile, so any
-file system that Spark reads will do, and decoded by numpy: uncompressed baseline TIFF (8, 16 or 32 bit, one or many pages) and
+file system that Spark reads will do, and decoded by numpy: TIFF (8, 16 or 32 bit, one or many pages, strips or tiles, plain, LZW, deflate or PackBits) and
 NIfTI-1 (gzip or plain). An image or volume file is the unit that a task decodes.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import gzip
 import io
 import struct
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -79,8 +80,47 @@ def file_listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFr
 
 # ---- TIFF and NIfTI ---------------------------------------------------------------------------------------------
 
+def _lzw(raw: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, high bits first, that grow one code early."""
+    out, table, bits, held, width, last = bytearray(), [], 0, 0, 9, None
+    for byte in raw:
+        bits, held = (bits << 8) | byte, held + 8
+        if held < width:
+            continue
+        code, held = bits >> (held - width), held - width
+        bits &= (1 << held) - 1
+        if code == 256:
+            table, width, last = [bytes([i]) for i in range(256)] + [b"", b""], 9, None
+            continue
+        if code == 257:
+            break
+        entry = table[code] if code < len(table) else last + last[:1]
+        if last is not None:
+            table.append(last + entry[:1])
+        out += entry
+        last = entry
+        width = min(12, (len(table) + 1).bit_length())
+    return bytes(out)
+
+
+def _pack_bits(raw: bytes) -> bytes:
+    out, i = bytearray(), 0
+    while i < len(raw):
+        n = raw[i]
+        if n < 128:
+            out += raw[i + 1 : i + 2 + n]
+            i += 2 + n
+        else:
+            out += raw[i + 1 : i + 2] * (257 - n if n > 128 else 0)
+            i += 2 if n > 128 else 1
+    return bytes(out)
+
+
+_UNPACK = {1: bytes, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _pack_bits}
+
+
 def decode_tiff(raw: bytes) -> np.ndarray:
-    """Pages as [page, y, x, channel]; uncompressed strips only."""
+    """Pages as [page, y, x, channel]: strips or tiles, plain, LZW, deflate or PackBits, with or without differences along rows, channels together or apart."""
     order = {b"II": "<", b"MM": ">"}[raw[:2]]
     size = {1: 1, 3: 2, 4: 4}
     (at,) = struct.unpack_from(order + "I", raw, 4)
@@ -94,21 +134,40 @@ def decode_tiff(raw: bytes) -> np.ndarray:
                 width = size[kind] * count
                 where = at + 10 + 12 * i if width <= 4 else struct.unpack_from(order + "I", raw, at + 10 + 12 * i)[0]
                 tags[tag] = np.frombuffer(raw, order + {1: "u1", 3: "u2", 4: "u4"}[kind], count, where).astype(int).tolist()
-        if tags.get(259, [1])[0] != 1:
-            raise ValueError("compressed TIFF is not supported")
-        w, h, c, bits = tags[256][0], tags[257][0], tags.get(277, [1])[0], tags.get(258, [8])[0]
-        body = b"".join(raw[o : o + k] for o, k in zip(tags[273], tags[279], strict=True))
-        kind = {1: "u", 2: "i", 3: "f"}[tags.get(339, [1])[0]]
-        pages.append(np.frombuffer(body, f"{order}{kind}{bits // 8}", w * h * c).reshape(h, w, c))
+        pages.append(_tiff_page(raw, tags, order))
         (at,) = struct.unpack_from(order + "I", raw, at + 2 + 12 * n)
     return np.stack(pages)
 
 
-def encode_tiff(image: np.ndarray) -> bytes:
+def _tiff_page(raw: bytes, tags: dict[int, list[int]], order: str) -> np.ndarray:
+    one = lambda tag, default: tags.get(tag, [default])[0]
+    if one(259, 1) not in _UNPACK:
+        raise ValueError(f"TIFF compression {one(259, 1)} is not supported")
+    w, h, channels = tags[256][0], tags[257][0], one(277, 1)
+    kind = f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[one(339, 1)]}{one(258, 8) // 8}"
+    apart = one(284, 1) == 2
+    depth = 1 if apart else channels
+    bw, bh = (one(322, w), one(323, h)) if 322 in tags else (w, one(278, h))
+    across, down = -(-w // bw), -(-h // bh)
+    out = np.zeros((down * bh, across * bw, channels), kind)
+    for i, (o, k) in enumerate(zip(tags.get(324, tags.get(273)), tags.get(325, tags.get(279)), strict=True)):
+        block = np.frombuffer(_UNPACK[one(259, 1)](raw[o : o + k]), kind)
+        block = block[: len(block) // (bw * depth) * bw * depth].reshape(-1, bw, depth)
+        if one(317, 1) == 2:
+            block = np.cumsum(block, axis=1, dtype=block.dtype)
+        layer, place = divmod(i, across * down)
+        y, x = place // across * bh, place % across * bw
+        c = slice(layer, layer + 1) if apart else slice(None)
+        out[y : y + len(block), x : x + bw, c] = block
+    return out[:h, :w]
+
+
+def encode_tiff(image: np.ndarray, deflate: bool = False) -> bytes:
     """One grey page, uint8, uint16 or float32."""
     h, w = image.shape
     body = np.ascontiguousarray(image, image.dtype.newbyteorder("<")).tobytes()
-    tags = [(256, 4, w), (257, 4, h), (258, 3, image.dtype.itemsize * 8), (259, 3, 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, h), (279, 4, len(body)), (339, 3, {"u": 1, "i": 2, "f": 3}[image.dtype.kind])]
+    body = zlib.compress(body) if deflate else body
+    tags = [(256, 4, w), (257, 4, h), (258, 3, image.dtype.itemsize * 8), (259, 3, 8 if deflate else 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, h), (279, 4, len(body)), (339, 3, {"u": 1, "i": 2, "f": 3}[image.dtype.kind])]
     ifd = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, k, 1, v) for t, k, v in tags) + struct.pack("<I", 0)
     pad = b"\0" * (len(body) % 2)
     return b"II*\0" + struct.pack("<I", 8 + len(body) + len(pad)) + body + pad + ifd

@@ -305,6 +305,55 @@ def test_encoded_files_round_trip():
         assert (files.decode_tiff(files.encode_tiff(a))[0, :, :, 0] == a).all() and (files.decode_npy(files.encode_npy(a)) == a).all()
 
 
+def lzw(data):
+    """Plain TIFF LZW, codes one early, for the test alone."""
+    bits, out, table, width = 0, [], {bytes([i]): i for i in range(256)}, 9
+    codes, w, n = [(256, 9)], b"", 258
+    for b in data:
+        if w + bytes([b]) in table:
+            w += bytes([b])
+            continue
+        codes.append((table[w], width))
+        table[w + bytes([b])] = n
+        n += 1
+        width = 9 if n < 512 else 10 if n < 1024 else 11 if n < 2048 else 12
+        w = bytes([b])
+        if n == 4094:
+            codes.append((256, width))
+            table, n, width = {bytes([i]): i for i in range(256)}, 258, 9
+    codes += [(table[w], width), (257, 9 if n + 1 < 512 else 10 if n + 1 < 1024 else 11 if n + 1 < 2048 else 12)]
+    total = 0
+    for c, k in codes:
+        bits, total = (bits << k) | c, total + k
+    pad = -total % 8
+    out = (bits << pad).to_bytes((total + pad) // 8, "big")
+    return out
+
+
+def test_tiff_compressions():
+    r = np.random.default_rng(2)
+    for n in (1, 50, 3000, 20_000):
+        data = bytes(r.integers(0, 6, n).astype(np.uint8))
+        assert files._lzw(lzw(data)) == data, n
+    assert files._pack_bits(bytes([2, 1, 2, 3, 254, 9, 128, 0, 7])) == bytes([1, 2, 3, 9, 9, 9, 7])
+    a = r.integers(0, 60_000, (33, 21)).astype("uint16")
+    assert (files.decode_tiff(files.encode_tiff(a, deflate=True))[0, :, :, 0] == a).all()
+    # two tiles of 16 x 16 with differences along rows
+    import struct
+    import zlib
+
+    img = r.integers(0, 255, (16, 32)).astype("uint8")
+    tiles = [zlib.compress(np.diff(img[:, k : k + 16].astype("uint8"), axis=1, prepend=np.zeros((16, 1), "uint8")).astype("uint8").tobytes()) for k in (0, 16)]
+    tags = [(256, 4, [32]), (257, 4, [16]), (258, 3, [8]), (259, 3, [8]), (277, 3, [1]), (317, 3, [2]), (322, 4, [16]), (323, 4, [16])]
+    head = 8 + 2 + 12 * (len(tags) + 2) + 4
+    first = head + 16
+    places, sizes = [first, first + len(tiles[0])], [len(t) for t in tiles]
+    ifd = struct.pack("<H", len(tags) + 2) + b"".join(struct.pack("<HHII", t, k, 1, v[0]) for t, k, v in tags)
+    ifd += struct.pack("<HHII", 324, 4, 2, head) + struct.pack("<HHII", 325, 4, 2, head + 8) + struct.pack("<I", 0)
+    raw = b"II*\0" + struct.pack("<I", 8) + ifd + struct.pack("<4I", *places, *sizes) + b"".join(tiles)
+    assert (files.decode_tiff(raw)[0, :, :, 0] == img).all()
+
+
 def test_command_line(spark, tmp_path, capsys):
     from stratiform.__main__ import main
 
