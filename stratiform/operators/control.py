@@ -62,6 +62,20 @@ def newest_first(rows: DataFrame, keys: list[str], when: str, name: str) -> Data
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(when), name)))
 
 
+def task_states(events: DataFrame) -> DataFrame:
+    """State of each background task from its events (R08): cancelled where a cancel came before any end, else done or error by the first end, else running; with the latest progress.
+
+    events: task_id, seq, kind (start, progress, cancel, done, error), percent, message. Progress after a cancel doesn't count, as a task stops at its next report.
+    """
+    first = lambda *kinds: F.min(F.when(F.col("kind").isin(*kinds), F.col("seq")))
+    ends = events.groupBy("task_id").agg(first("done", "error").alias("_end"), first("cancel").alias("_cancel"), F.min_by("kind", F.when(F.col("kind").isin("done", "error"), F.col("seq"))).alias("_how"), F.count("*").alias("events"))
+    stopped = F.col("_cancel").isNotNull() & (F.col("_end").isNull() | (F.col("_cancel") < F.col("_end")))
+    ends = ends.withColumn("status", F.when(stopped, "cancelled").otherwise(F.coalesce("_how", F.lit("running"))))
+    seen = events.where("kind = 'progress'").join(ends.select("task_id", "_cancel"), "task_id").where(F.col("_cancel").isNull() | (F.col("seq") < F.col("_cancel")))
+    last = seen.groupBy("task_id").agg(F.max_by(F.struct("percent", "message"), "seq").alias("_p"))
+    return ends.join(last, "task_id", "left").select("task_id", "status", F.coalesce("_p.percent", F.lit(0)).alias("percent"), F.col("_p.message").alias("message"), "events")
+
+
 def poll(state: DataFrame, logs: DataFrame, lines: int = 20) -> DataFrame:
     """Each job's state with its last log lines, oldest first, and its errors (R02). state: job_id and what is told of it; logs: job_id, seq, level, line."""
     last = logs.withColumn("_r", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("seq")))).where(F.col("_r") <= lines)

@@ -56,6 +56,57 @@ def suppress(cells: DataFrame, pairs: DataFrame, score: Column | None = None) ->
     return cells.join(gone.distinct().withColumn("_gone", F.lit(True)), "cell_id", "left").withColumn("kept", F.col("_gone").isNull()).drop("_gone")
 
 
+def thin(cells: DataFrame, *, r_xy: float, group: list[str], r_z: float | None = None, score: Column | None = None) -> DataFrame:
+    """cells with `kept`, the same as suppress() over near_pairs(), without making the pairs: a dense spot costs its points, not their square.
+
+    Points fall into cells whose points are all near one another, so only a cell's best undecided point can be kept next. It is, if no better undecided point
+    is near: that is sure where no neighbouring cell's best is better, not so where a better one of them is near, and looked up among the neighbours' points else. Then all
+    points near a kept one are out, and the rest try again. Points without a finite place or a group are kept.
+    """
+    tables = Tables(cells.sparkSession)
+    dims = ["x", "y"] if r_z is None else ["x", "y", "z"]
+    side = {c: (r_z if c == "z" else r_xy) / len(dims) ** 0.5 * (1 - 1e-9) for c in dims}
+    at = [f"_c{c}" for c in dims]
+    keys = [*group, *at]
+    finite = [F.abs(F.col(c)) < float("inf") for c in dims] + [F.col(g).isNotNull() for g in group]
+    ok = F.coalesce(finite[0], F.lit(False))
+    for f in finite[1:]:
+        ok = ok & F.coalesce(f, F.lit(False))
+    base = cells.where(ok).select(*group, "cell_id", F.coalesce(score if score is not None else F.col("score"), F.lit(0.0)).alias("s"), *[F.col(c).cast("double").alias(c) for c in dims], *[F.floor(F.col(c) / side[c]).alias(a) for c, a in zip(dims, at, strict=True)])
+    rank = lambda p="": F.struct(F.col(f"{p}s").alias("s"), (-F.col(f"{p}cell_id")).alias("i"))
+    near = ((F.col("x") - F.col("a_x")) ** 2 + (F.col("y") - F.col("a_y")) ** 2) / (r_xy * r_xy)
+    if r_z is not None:
+        near = near + ((F.col("z") - F.col("a_z")) / r_z) ** 2
+    near = near <= 1.0
+    mine = ["cell_id", "s", *dims]
+
+    def around(points: DataFrame) -> DataFrame:
+        """Points as a_cell_id and so on, once for each cell within two of their own."""
+        out = points.select(*keys, *[F.col(c).alias(f"a_{c}") for c in mine])
+        for a in at:
+            out = out.withColumn("_d", F.explode(F.array(*[F.lit(d) for d in (-2, -1, 0, 1, 2)]))).withColumn(a, F.col(a) + F.col("_d")).drop("_d")
+        return out
+
+    undecided, gone = tables.save(base), None
+    while not undecided.isEmpty():
+        best = undecided.groupBy(*keys).agg(F.max(F.struct(F.col("s").alias("s"), (-F.col("cell_id")).alias("i"), *dims)).alias("t"))
+        tops = tables.save(best.select(*keys, (-F.col("t.i")).alias("cell_id"), F.col("t.s").alias("s"), *[F.col(f"t.{c}").alias(c) for c in dims]))
+        better = rank() > rank("a_")
+        met = around(tops).join(tops, keys).where(better).groupBy(F.col("a_cell_id").alias("cell_id")).agg(F.max(near.cast("int")).alias("beaten"))
+        judged = tables.save(tops.join(met, "cell_id", "left"))
+        doubt = judged.where("beaten = 0")
+        lost = around(doubt).join(undecided, keys).where(better & near).select(F.col("a_cell_id").alias("cell_id")).distinct()
+        won = judged.where("beaten is null").select(*keys, *mine).unionByName(doubt.join(lost, "cell_id", "left_anti").select(*keys, *mine))
+        won = tables.save(won)
+        out = tables.save(around(won).join(undecided, keys).where(near).select("cell_id", (F.col("cell_id") == F.col("a_cell_id")).alias("_kept")).groupBy("cell_id").agg(F.max("_kept").alias("_kept")))
+        gone = out.where("not _kept") if gone is None else gone.unionByName(out.where("not _kept"))
+        before, undecided = undecided, tables.save(undecided.join(out, "cell_id", "left_anti"))
+        tables.drop(before, tops, judged, won)
+    if gone is None:
+        return cells.withColumn("kept", F.lit(True))
+    return cells.join(gone.select("cell_id", F.lit(True).alias("_gone")), "cell_id", "left").withColumn("kept", F.col("_gone").isNull()).drop("_gone")
+
+
 def in_order(cells: DataFrame) -> DataFrame:
     """Cells by slice and id."""
     return cells.orderBy("slice_id", "cell_id")

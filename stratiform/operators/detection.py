@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dedup import near_pairs, suppress
+from .dedup import thin
 
 
 def merge_tiles(found: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def dispatch(primary: DataFrame | None, secondary: DataFrame | None, fallback: D
     if parts:
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         rows = numbered(rows, order).withColumn("_slice_cell", F.col("cell_id")).withColumn("cell_id", F.xxhash64("slice_id", "cell_id"))
-        rows = suppress(rows, near_pairs(rows, r_xy=radius, group=["slice_id"])).where("kept").drop("kept")
+        rows = thin(rows, r_xy=radius, group=["slice_id"]).where("kept").drop("kept")
         kept = numbered(rows, ["_slice_cell"]).select("cell_id", *cols)
     if fallback is not None and allowed:
         rest = fallback.select(*cols, F.lit(2).alias("_source"))

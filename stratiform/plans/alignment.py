@@ -284,7 +284,7 @@ def r09(spark, d):
     from ..operators import dedup
 
     p = model.points(spark, d)
-    kept = dedup.suppress(p, dedup.near_pairs(p, r_xy=6.0, group=["slice_id"])).where("kept")
+    kept = dedup.thin(p, r_xy=6.0, group=["slice_id"]).where("kept")
     return detection.summary(p, kept, sampling_mode="merged", interval=5, primary="cellpose_cyto2")
 
 

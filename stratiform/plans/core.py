@@ -119,13 +119,13 @@ def greedy(body: str) -> str:
 @query("w06_greedy_suppression", greedy(" SELECT p.cell_id, l.cell_id IS NOT NULL AS kept FROM points p LEFT JOIN l USING (cell_id)"))
 def w06(spark, d):
     p = model.points(spark, d)
-    return dedup.suppress(p, dedup.near_pairs(p, r_xy=6.0, group=["slice_id"])).select("cell_id", "kept")
+    return dedup.thin(p, r_xy=6.0, group=["slice_id"]).select("cell_id", "kept")
 
 
 @query("g09_dedup_stats", greedy(", c AS (SELECT (SELECT count(*) FROM points) AS before, (SELECT count(*) FROM l) AS after) SELECT before, after, before - after AS merged, round_even((before - after) / before, 6) AS ratio FROM c"))
 def g09(spark, d):
     p = model.points(spark, d)
-    return dedup.stats(dedup.suppress(p, dedup.near_pairs(p, r_xy=6.0, group=["slice_id"])))
+    return dedup.stats(dedup.thin(p, r_xy=6.0, group=["slice_id"]))
 
 
 SMOOTH = """,

@@ -320,6 +320,16 @@ def r02_poll(spark, d):
     return out.withColumn("log_tail", F.array_join("log_tail", "|"))
 
 
+@query("r08_task_states", """ WITH e AS (SELECT 't' || user_id || '_' || (event_id % 40) AS task_id, event_id AS seq, CASE WHEN event_id % 11 = 0 THEN 'cancel' WHEN event_type = 'purchase' THEN 'done' WHEN event_type = 'signup' THEN 'error' ELSE 'progress' END AS kind, (event_id % 100)::INT AS percent, 'step ' || event_id AS message FROM events),
+x AS (SELECT task_id, min(seq) FILTER (kind IN ('done', 'error')) AS e, min(seq) FILTER (kind = 'cancel') AS c, arg_min(kind, seq) FILTER (kind IN ('done', 'error')) AS how, count(*) AS events FROM e GROUP BY 1),
+p AS (SELECT task_id, arg_max(percent, seq) AS percent, arg_max(message, seq) AS message FROM e JOIN x USING (task_id) WHERE kind = 'progress' AND (c IS NULL OR seq < c) GROUP BY 1)
+SELECT task_id, CASE WHEN c IS NOT NULL AND (x.e IS NULL OR c < x.e) THEN 'cancelled' ELSE coalesce(how, 'running') END AS status, coalesce(percent, 0) AS percent, message, events FROM x LEFT JOIN p USING (task_id)""")
+def r08(spark, d):
+    e = model.table(spark, d, "events")
+    kind = F.when(F.col("event_id") % 11 == 0, "cancel").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "signup", "error").otherwise("progress")
+    return control.task_states(e.select(F.concat(F.lit("t"), F.col("user_id").cast("string"), F.lit("_"), (F.col("event_id") % 40).cast("string")).alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % 100).cast("int").alias("percent"), F.concat(F.lit("step "), F.col("event_id").cast("string")).alias("message")))
+
+
 @query("r16_project_overview", """ WITH s AS (SELECT c_nationkey AS project_id, CASE c_custkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'queued' WHEN 2 THEN 'running' WHEN 3 THEN 'done' ELSE 'error' END AS status FROM customer WHERE c_nationkey % 4 <> 0)
 SELECT n_nationkey AS project_id, n_name AS name, count(status) AS samples, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'queued') AS queued, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'error') AS error FROM nation LEFT JOIN s ON project_id = n_nationkey GROUP BY 1, 2""")
 def r16(spark, d):

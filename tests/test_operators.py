@@ -56,7 +56,16 @@ def test_suppression_equals_the_sequential_rule(spark):
     df = spark.createDataFrame(pts, "cell_id long, slice_id int, x double, y double, score double")
     out = dedup.suppress(df, dedup.near_pairs(df, r_xy=6.0, group=["slice_id"]))
     assert {x.cell_id for x in out.where("kept").collect()} == {p[0] for p in kept}
+    assert {x.cell_id for x in dedup.thin(df, r_xy=6.0, group=["slice_id"]).where("kept").collect()} == {p[0] for p in kept}
+    deep = df.withColumn("z", F.col("slice_id") * 4.0).withColumn("g", F.lit(1))
+    pairs = dedup.near_pairs(deep, r_xy=6.0, group=["g"], r_z=5.0)
+    assert {x.cell_id for x in dedup.thin(deep, r_xy=6.0, group=["g"], r_z=5.0).where("kept").collect()} == {x.cell_id for x in dedup.suppress(deep, pairs).where("kept").collect()}
+    odd = spark.createDataFrame([(1, 0, 1.0, 1.0, 5.0), (2, 0, 1.0, 1.0, None), (3, 0, None, 1.0, 1.0), (4, None, 1.0, 1.0, 1.0), (5, 0, float("nan"), 1.0, 1.0), (6, 0, 7.0, 1.0, 0.0)], df.schema)
+    assert {x.cell_id for x in dedup.thin(odd, r_xy=6.0, group=["slice_id"]).where("kept").collect()} == {1, 3, 4, 5}
+    spot = spark.range(20_000).selectExpr("id cell_id", "0 slice_id", "id % 7 * 0.1D x", "id % 5 * 0.1D y", "cast(id as double) score")
+    assert [x.cell_id for x in dedup.thin(spot, r_xy=6.0, group=["slice_id"]).where("kept").collect()] == [19_999]
     none = df.where("false")
+    assert dedup.thin(none, r_xy=6.0, group=["slice_id"]).count() == 0
     assert dedup.stats(dedup.suppress(none, dedup.near_pairs(none, r_xy=6.0, group=["slice_id"]))).first().before == 0
 
 
