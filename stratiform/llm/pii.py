@@ -278,20 +278,29 @@ def small_labelled_table() -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "spans"])
 
 
-KNOWN_WORDS, PIECE = 1 << 16, 1 << 15  # words whose scores are held, and words scored at once
+KNOWN_WORDS, PIECE = 1 << 18, 1 << 15  # words whose scores are held, and words scored at once
 
 
 COMMON = frozenset([*NEAR, *TLD, *PLAIN])
 
 
+def _lower(n: int, tail: str = "") -> tuple:
+    return 0, n if n < 6 else 6, (n + len(tail)) // 4, tail, n == 1
+
+
+_LOWER = [_lower(n) for n in range(15)]
+
+
 def alike(word: str) -> tuple | str:
     """The same key for words that have the same features: short words of letters in lower case or with one capital, with or without one mark behind. Else the word."""
+    if word.islower() and word.isalpha() and len(word) < 15 and word not in COMMON:  # most words
+        return _LOWER[len(word)]
     body, tail = (word[:-1], word[-1]) if word[-1:] in (".", ",", ";", ":", "!", "?") else (word, "")
     n = len(body)
     if not 0 < n < 15 or not body.isalpha() or body.lower() in COMMON:
         return word
     if body.islower():
-        return 0, n if n < 6 else 6, len(word) // 4, tail, n == 1
+        return _lower(n, tail)
     if n > 1 and body[0].isupper() and body[1:].islower():
         return 1, n if n < 6 else 6, len(word) // 4, tail, n == 2
     return word
@@ -576,6 +585,9 @@ def mask_documents(documents: DataFrame, field: ShapeField, *, text: str = "text
     def masked(texts: pd.Series) -> pd.Series:
         plain = [t or "" for t in texts]
         found = shared.value.spans(plain)
-        return pd.Series([None if o is None else mask(t, merged(base_spans(t), f)) for o, t, f in zip(texts, plain, found, strict=True)], dtype=object)
+        out = pd.Series([None if o is None else mask(t, merged(base_spans(t), f)) for o, t, f in zip(texts, plain, found, strict=True)], dtype=object)
+        del plain, found
+        give_back()
+        return out
 
     return documents.withColumn(text, masked(F.col(text))).select(*documents.columns)
