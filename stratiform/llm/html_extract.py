@@ -54,7 +54,7 @@ CLASS_WORDS = {
 }
 WORD_OF = {w: k for k, ws in CLASS_WORDS.items() for w in ws.split()}
 TAGS = ["html", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "ul", "ol", "li", "dl", "dd", "dt", "table", "tr", "td", "th", "tbody", "blockquote", "pre", "figure", "figcaption", "nav", "header", "footer", "aside", "form", "address", "hr", "details"]
-FEATURES = ["bias", "tag:other", *(f"tag:{t}" for t in TAGS), *(f"class:{k}" for k in CLASS_WORDS), "text0", "text1", "text2", "text3", "links", "all_links", "stop", "copyright", "leaf", "under_main", "first_half"]
+FEATURES = ["bias", "tag:other", *(f"tag:{t}" for t in TAGS), *(f"class:{k}" for k in CLASS_WORDS), "text0", "text1", "text2", "text3", "links", "all_links", "stop", "copyright", "leaf", "under_main", "first_half", "passes", "parts"]
 AT = {f: i for i, f in enumerate(FEATURES)}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s>/]*)[^>]*(?:>|$)|<([a-zA-Z][^\s>/]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|$)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -222,6 +222,12 @@ class Page:
         x[:, AT["stop"]], x[:, AT["copyright"]] = stops > 0, marks > 0
         x[:, AT["leaf"]], x[:, AT["under_main"]] = kids == 0, main
         x[:, AT["first_half"]] = np.arange(n) < n / 2
+        # layout: no text of its own, one part or several
+        x[:, AT["passes"]], x[:, AT["parts"]] = (kids == 1) & (own == 0), (kids > 1) & (own == 0)
+        # a box around one other says nothing else, so that any number of them hands the states on
+        silent = (x[:, AT["passes"]] > 0) & np.isin(self.tags, ["div", "section"]) & (x[:, [AT[f"class:{k}"] for k in CLASS_WORDS]].sum(1) == 0)
+        x[silent] = 0
+        x[silent, AT["passes"]] = 1
         return x
 
 
@@ -300,30 +306,42 @@ class ContentModel:
         return out
 
 
-def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
+def labelled_pages(n: int = 240, seed: int = 11, wide: bool = False) -> list[tuple[str, list[int]]]:
     """The labelled pages that the model learns from, drawn from page plans with a fixed seed.
 
     The article is marked with data-c="1" while the page is written, and what disturbs it with data-c="0";
-    an element's label is that of the nearest mark above it.
+    an element's label is that of the nearest mark above it. Wide pages also have elements of layout in many levels, articles in
+    the body itself, loose text, article heads, lists and headings of other kinds.
     """
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghilmnoprstuvwz") for _ in range(r.randint(2, 9)))
     say = lambda a, b: " ".join(word() for _ in range(r.randint(a, b))).capitalize() + r.choice(["."] * 4 + [""])
     links = lambda a, b: "<ul>" + "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(r.randint(a, b))) + "</ul>"
 
-    def wrapped(inner: str, chance: float = 0.3) -> str:
-        """The inner mark-up, now and then in elements of layout that say nothing about it."""
-        if r.random() < chance:
-            for _ in range(r.choice([1, 1, 2, 2, 3, 4, 6, 9])):
+    rarely = lambda p: wide and r.random() < p
+
+    def wrapped(inner: str, p: float = 0.3, mark: str = "") -> str:
+        """The inner mark-up, now and then in elements of layout that say nothing about it; they are marked as what they hold."""
+        if rarely(p):
+            for _ in range(r.choice([1, 1, 2, 2, 3, 4, 8, 20])):
                 tag = r.choice(["div", "div", "div", "section"])
                 attr = r.choice(["", "", f' class="{r.choice(["wrapper", "container", "row", "col", "inner", "block", "box", "group", "module", word()])}"', f' id="{word()}"'])
-                inner = f"<{tag}{attr}>{inner}</{tag}>"
+                inner = f"<{tag}{attr}{mark}>{inner}</{tag}>"
         return inner
 
+    def boxed(parts: list[str], p: float) -> str:
+        """The parts in elements of layout, marked as noise if nothing else is in them."""
+        return wrapped("".join(parts), p, ' data-c="0"' * all(x.startswith("<") and 'data-c="0"' in x.split(">", 1)[0] for x in parts))
+
     def noise(kind: str) -> str:
-        return wrapped(mark_of(kind), 0.2)
+        return wrapped(plain_noise(kind), 0.2, ' data-c="0"')
+
+    def other() -> str:
+        """A piece of an article that only wide pages have."""
+        h = r.choice(["h2", "h3", "h4"])
+        return r.choice([f"<{h}>{say(2, 7)}</{h}><p>{say(10, 60)}</p>", "<ol>" + "".join(f"<li>{say(3, 15)}</li>" for _ in range(3)) + "</ol>", f"{say(10, 60)}<br><br>{say(10, 60)}", f"<div>{say(10, 60)}</div>", f"<table><tr><th>{say(1, 2)}</th></tr><tr><td>{say(1, 4)}</td></tr></table>", f"<dl><dt>{say(1, 3)}</dt><dd>{say(3, 12)}</dd></dl>", f"<details><summary>{say(1, 4)}</summary><p>{say(8, 30)}</p></details>", noise("foot")])
 
-    def mark_of(kind: str) -> str:
+    def plain_noise(kind: str) -> str:
         c = r.choice(CLASS_WORDS[kind].split())
         box = lambda inner, tag="div": f'<{tag} {r.choice(["class", "id"])}="{c}" data-c="0">{inner}</{tag}>'
         plain = lambda inner, tag: f'<{tag} data-c="0">{inner}</{tag}>'
@@ -340,29 +358,33 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[int]]]:
             "share": lambda: box(links(2, 4)),
         }[kind]()
 
-    def body() -> str:
-        out = [f"<{(h := r.choice(['h1', 'h1', 'h1', 'h1', 'h2', 'h3']))}>{say(3, 9)}</{h}>"] if r.random() < 0.85 else []
-        if out and r.random() < 0.15:
-            out[0] = f"<header>{out[0]}</header>"  # an article's own head is part of it
-        for _ in range(r.randint(1, 9)):
-            out.append(r.choices([lambda: f"<p>{say(8, 90)}</p>", lambda: f"<p>{say(1, 6)}</p>", lambda: r.choice([f"<p><b>{say(10, 60)}<br>", f"{say(10, 60)}<br><br>{say(10, 60)}", f"<div>{say(10, 60)}</div>"]), lambda: f"<{(h := r.choice(['h2', 'h2', 'h3', 'h4']))}>{say(2, 7)}</{h}><p>{say(10, 60)}</p>", lambda: f"<{(u := r.choice(['ul', 'ul', 'ol']))}>" + "".join(f"<li>{say(3, 15)}</li>" for _ in range(3)) + f"</{u}>", lambda: f"<blockquote><p>{say(8, 40)}</p></blockquote>", lambda: f"<p>{say(8, 30)} <a href='/{word()}'>{word()}</a> {say(5, 20)}</p>", lambda: r.choice([f"<table><tr><td>{say(1, 4)}</td><td>{say(1, 4)}</td></tr></table>", f"<table><tr><th>{say(1, 2)}</th></tr><tr><td>{say(1, 4)}</td></tr></table>", f"<dl><dt>{say(1, 3)}</dt><dd>{say(3, 12)}</dd></dl>", f"<details><summary>{say(1, 4)}</summary><p>{say(8, 30)}</p></details>"]), lambda: f"<pre>{say(4, 12)}</pre>", lambda: f"<figure><figcaption>{say(3, 10)}</figcaption></figure>", lambda: noise(r.choice(["ad", "side", "share", "note", "form", "foot"]))], [30, 6, 7, 6, 4, 3, 6, 2, 1, 1, 6])[0]())
-        if r.random() < 0.2:
-            cut = r.randint(0, len(out))
-            out = [wrapped("".join(out[:cut]), 0.7), wrapped("".join(out[cut:]), 0.7)]
-        return "".join(wrapped(x, 0.08) for x in out)
+    def body(least: int = 1) -> str:
+        out = [f"<h1>{say(3, 9)}</h1>"] if r.random() < 0.85 else []
+        if out and rarely(0.3):
+            h = r.choice(["h2", "h3"])
+            out[0] = r.choice([f"<header>{out[0]}</header>", f"<{h}>{say(3, 9)}</{h}>"])  # an article's own head is part of it
+        for _ in range(r.randint(least, 9)):
+            if rarely(0.2):
+                out.append(other())
+                continue
+            out.append(r.choices([lambda: f"<p>{say(8, 90)}</p>", lambda: f"<p>{say(1, 6)}</p>", lambda: f"<p><b>{say(10, 60)}<br>", lambda: f"<h2>{say(2, 7)}</h2><p>{say(10, 60)}</p>", lambda: "<ul>" + "".join(f"<li>{say(3, 15)}</li>" for _ in range(3)) + "</ul>", lambda: f"<blockquote><p>{say(8, 40)}</p></blockquote>", lambda: f"<p>{say(8, 30)} <a href='/{word()}'>{word()}</a> {say(5, 20)}</p>", lambda: f"<table><tr><td>{say(1, 4)}</td><td>{say(1, 4)}</td></tr></table>", lambda: f"<pre>{say(4, 12)}</pre>", lambda: f"<figure><figcaption>{say(3, 10)}</figcaption></figure>", lambda: noise(r.choice(["ad", "side", "share", "note", "form"]))], [30, 6, 5, 6, 4, 3, 6, 2, 1, 1, 6])[0]())
+        if rarely(0.2):
+            at = r.randint(0, len(out))
+            out = [boxed(out[:at], 0.7), boxed(out[at:], 0.7)]
+        return "".join(boxed([x], 0.08) for x in out)
 
     pages = []
     for _ in range(n):
         cls = r.choice(CLASS_WORDS["main"].split())
         tag, attr = r.choice([("article", ""), ("article", ""), ("article", f' class="{cls}"'), ("main", ""), ("div", f' class="{cls}"'), ("div", f' id="{cls}"'), ("section", f' class="{cls}"')])
         core = f'<{tag}{attr} data-c="1">{wrapped(body(), 0.25)}</{tag}>'
-        bare = r.random() < 0.15  # the article stands in the body itself
+        bare = rarely(0.15)  # the article stands in the body itself; a few lines alone can't be told from a notice
         if bare:
-            core = body()
+            core = body(4)
         elif r.random() < 0.3:
             core = f"<main>{core}{noise('comment') if r.random() < 0.5 else ''}</main>" if tag != "main" else core
         if not bare and r.random() < 0.3:
-            core = wrapped(core, 1.0)
+            core = f'<div class="{r.choice(["wrapper", "container", "row", "page", "site"])}">{core}</div>'
         before = "".join(noise(k) for k in r.sample(["nav", "head", "note", "ad", "side", "form"], r.randint(0, 4)))
         after = "".join(noise(k) for k in r.sample(["comment", "side", "ad", "share", "form", "nav"], r.randint(0, 3))) + (noise("foot") if r.random() < 0.85 else "")
         source = f"<!DOCTYPE html><html><head><title>{say(2, 5)}</title></head><body{' data-c="1"' * bare}>{before}{core}{after}" + r.choice(["</body></html>", ""])
@@ -382,7 +404,7 @@ def marks(source: str) -> list[int]:
 
 
 def train() -> ContentModel:
-    pages = [(re.sub(r' data-c="[01]"', "", s), g) for s, g in labelled_pages()]
+    pages = [(re.sub(r' data-c="[01]"', "", s), g) for s, g in [*labelled_pages(), *labelled_pages(360, 13, wide=True)]]
     return ContentModel().fit(pages)
 
 
