@@ -339,7 +339,7 @@ def labelled_pages(n: int = 240, seed: int = 11, wide: bool = False) -> list[tup
     def other() -> str:
         """A piece of an article that only wide pages have."""
         h = r.choice(["h2", "h3", "h4"])
-        return r.choice([f"<{h}>{say(2, 7)}</{h}><p>{say(10, 60)}</p>", "<ol>" + "".join(f"<li>{say(3, 15)}</li>" for _ in range(3)) + "</ol>", f"{say(10, 60)}<br><br>{say(10, 60)}", f"<div>{say(10, 60)}</div>", f"<table><tr><th>{say(1, 2)}</th></tr><tr><td>{say(1, 4)}</td></tr></table>", f"<dl><dt>{say(1, 3)}</dt><dd>{say(3, 12)}</dd></dl>", f"<details><summary>{say(1, 4)}</summary><p>{say(8, 30)}</p></details>", noise("foot")])
+        return r.choice([f"<{h}>{say(2, 7)}</{h}><p>{say(10, 60)}</p>", f"<{(u := r.choice(['ol', 'ol', 'ul']))}>" + "".join(f"<li>{say(2, 15)}</li>" for _ in range(r.randint(1, 4))) + f"</{u}>", f"{say(10, 60)}<br><br>{say(10, 60)}", f"<div>{say(10, 60)}</div>", f"<table><tr><th>{say(1, 2)}</th></tr><tr><td>{say(1, 4)}</td></tr></table>", f"<dl><dt>{say(1, 3)}</dt><dd>{say(3, 12)}</dd></dl>", f"<details><summary>{say(1, 4)}</summary><p>{say(8, 30)}</p></details>", noise("foot")])
 
     def plain_noise(kind: str) -> str:
         c = r.choice(CLASS_WORDS[kind].split())
