@@ -161,6 +161,7 @@ def landmark_warp(labels: DataFrame, pairs: DataFrame, keys: list[str], shape: t
         out[ok] = img[sy[ok], sx[ok]]
         return pd.DataFrame({**dict(zip(keys, key, strict=True)), "y": y.astype(np.int32), "x": x.astype(np.int32), "region_id": out})
 
+    pairs = pairs.select(*[F.col(c).alias(c) for c in [*keys, "atlas_x", "atlas_y", "real_x", "real_y"]])  # columns of its own, as both may come from one frame
     return labels.groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInPandas(run, _schema(labels, keys, "y int, x int, region_id int"))
 
 

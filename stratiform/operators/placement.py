@@ -259,6 +259,8 @@ def oriented_normals(mask: DataFrame, points: DataFrame, keys: list[str], radius
     """
 
     def run(key, left, right):
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: [] for c in [*keys, "y", "x", "ny", "nx"]})
         a = _grid(left, "value")[0]
         p = right[["y", "x"]].to_numpy(float)
         rows = []
@@ -282,4 +284,5 @@ def oriented_normals(mask: DataFrame, points: DataFrame, keys: list[str], radius
             out.insert(0, k, v)
         return out
 
+    points = points.select(*[F.col(c).alias(c) for c in [*keys, "y", "x"]])  # columns of its own, as both may come from one frame
     return mask.groupBy(*keys).cogroup(points.groupBy(*keys)).applyInPandas(run, _schema(mask, keys, "y double, x double, ny double, nx double"))
