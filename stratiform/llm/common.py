@@ -7,7 +7,8 @@ import contextlib
 import ctypes
 import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +22,14 @@ from ..shared import folder
 class Scratch:
     """Tables written to the shared folder, so that lineage is cut and lost executors cost nothing.
 
-    A table lives until drop() or end(), or until the interpreter ends.
+    A table lives until drop() or end(), or until the interpreter ends. Operators take one, or the one that own_scratch() holds for them.
     """
 
-    made: list[Scratch] = []
-
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{folder(spark)}/stratiform-{uuid.uuid4().hex}"
         # held here, as the session may have been stopped when the interpreter ends
         self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
-        Scratch.made.append(self)
         atexit.register(self._ended)
 
     def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -41,15 +39,6 @@ class Scratch:
         out._scratch_path = path  # noqa: SLF001
         return out
 
-    def put_alone(self, make: Callable[[], DataFrame], name: str) -> DataFrame:
-        """Writes what make() gives, then deletes the tables of all other scratches begun meanwhile."""
-        before = len(Scratch.made)
-        out = self.put(make(), name)
-        for other in Scratch.made[before:]:
-            other.end()
-        del Scratch.made[before:]
-        return out
-
     def drop(self, *frames: DataFrame) -> None:
         for f in frames:
             self._delete(f._scratch_path)  # noqa: SLF001
@@ -72,6 +61,26 @@ class Scratch:
             self.end()
 
 
+_handed: ContextVar[Scratch | None] = ContextVar("scratch of the step that runs here", default=None)
+
+
+@contextlib.contextmanager
+def own_scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """A Scratch that scratch_of() gives to what is called within, on this thread alone; its tables go at the end."""
+    scratch = Scratch(spark)
+    token = _handed.set(scratch)
+    try:
+        yield scratch
+    finally:
+        _handed.reset(token)
+        scratch.end()
+
+
+def scratch_of(spark: SparkSession) -> Scratch:
+    """The Scratch of the enclosing own_scratch(), or a new one."""
+    return _handed.get() or Scratch(spark)
+
+
 def unused(columns: list[str], name: str) -> str:
     """The name, or one with underscores before it, that no column has."""
     taken = {c.lower() for c in columns}

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, named, unused
+from .common import Scratch, ascii_lower, named, scratch_of, unused
 
 WINDOW, SHARE, BROADCAST_ROWS = 13, 20, 500_000
 SLOP = 16  # words on either side of a window's rarest term in which its other terms count as near
@@ -133,7 +133,7 @@ def assess(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", t
 
     n_near_items counts the items that have a window whose terms stand near one another (proximity_matches); it is left out where slop is None.
     """
-    scratch = scratch or Scratch(documents.sparkSession)
+    scratch = scratch or scratch_of(documents.sparkSession)
     wins = scratch.put(windows(benchmark, item=item, text=item_text), "windows")
     index = build_index(documents, wins.select(F.explode("terms").alias("word")).distinct(), scratch, key=key, text=text)
     once = wins.groupBy("w", "size").agg(F.first("terms").alias("terms"))
@@ -165,7 +165,7 @@ def assess(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", t
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """The rows of documents that aren't contaminated, columns as they were. The verdict is a text's, so rows meet it by 128 bits of their text's hash, not by a key."""
-    scratch = scratch or Scratch(documents.sparkSession)
+    scratch = scratch or scratch_of(documents.sparkSession)
     columns = documents.columns
     h, g = unused(columns, "_h"), unused(columns, "_g")
     hashed = documents.withColumns({h: F.xxhash64(text), g: F.xxhash64(F.lit(1), F.col(text))})

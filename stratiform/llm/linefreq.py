@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, give_back, named, slices, unused
+from .common import Scratch, give_back, named, scratch_of, slices, unused
 
 LIMIT_SHARE, LIMIT_LEAST, LONG_CHARS, KEPT_SHARE = 0.002, 10, 60, 0.5
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -124,7 +124,7 @@ def common_lines(scanned: DataFrame, *, limit_share: float = LIMIT_SHARE, limit_
 
 def assess(documents: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", limit_share: float = LIMIT_SHARE, limit_least: int = LIMIT_LEAST, long_chars: int = LONG_CHARS, kept_share: float = KEPT_SHARE, scratch: Scratch | None = None) -> DataFrame:
     """Counts and the verdict for every row. kept: not base_failed, and at least `kept_share` of the word characters stay."""
-    scratch = scratch or Scratch(documents.sparkSession)
+    scratch = scratch or scratch_of(documents.sparkSession)
     base = scratch.put(scan(documents, key=key, text=text, host=host), "lines")
     common = scratch.put(common_lines(base, limit_share=limit_share, limit_least=limit_least, long_chars=long_chars), "common")
     lines = base.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.*")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, ddl, give_back, named, slices, unused
+from .common import Scratch, ddl, give_back, named, scratch_of, slices, unused
 
 WORDS, NUM, DEN = 5, 75, 100
 MAX_MATCH = 4  # the longest l; any cap is exact, as l = 1 is
@@ -504,7 +504,7 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 def join(documents: DataFrame, *, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for every row. The key keeps its type; a component without any key has null."""
-    scratch = scratch or Scratch(documents.sparkSession)
+    scratch = scratch or scratch_of(documents.sparkSession)
     docs, comps = components_of(documents, scratch, key=key, text=text)
     out = with_least(docs.select("doc_id", "node", "n"), comps, F.col("doc_id"), "component_id", scratch)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -516,7 +516,7 @@ def one_of_each(documents: DataFrame, *, key: str = "doc_id", text: str = "text"
     It is the row of the smallest key (null comes last), of rows that share that key one with the smallest hash of key and text. Rows are told
     apart by 128 bits of that hash, not by their keys. Of rows with the same key and text that is chosen by a hash of all their columns.
     """
-    scratch = scratch or Scratch(documents.sparkSession)
+    scratch = scratch or scratch_of(documents.sparkSession)
     docs, comps = components_of(documents, scratch, key=key, text=text)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "g")
     least = scratch.put(with_least(docs, comps, order, "least", scratch).where("n > 0").select("h", "g", (F.col("least.h") == F.col("h")).alias("stays")), "least")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, ddl, give_back, slices
+from .common import Scratch, ddl, give_back, scratch_of, slices
 
 CAPACITY, END_ID, GROUP, CUTS = 2048, 1, 64, 2
 COLUMNS = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "worker"]
@@ -88,7 +88,7 @@ def pack(documents: DataFrame, *, key: str = "doc_id", text: str = "text", path:
 
     `path` names the vocabulary file, or is None for that of public_tokenizers.
     """
-    scratch = scratch or Scratch(documents.sparkSession)
+    scratch = scratch or scratch_of(documents.sparkSession)
 
     def run(batches):
         encode, worker = Encoder(path), TaskContext.get().partitionId()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, langid, linefreq, ngram_join, packing, pii, quality, sharding, toxicity
+from . import decontam, html_extract, langid, linefreq, manifest, ngram_join, packing, phrases, pii, quality, sharding, toxicity, vectors
 from .common import fold
 
 
@@ -63,6 +63,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"), html_extract.train(), keep=["page_id", "url"])
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_copies(_table(spark, sf_dir, "embeddings"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.build(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1,
@@ -75,6 +87,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_crf_pii": op8,
         "op9_weak_supervision_toxicity": op9,
         "op10_graphical_html": op10,
+        "op11_phrase_collocations": op11,
+        "op12_cross_polytope_near_vectors": op12,
+        "op13_merkle_manifest": op13,
     }
 
 
@@ -137,6 +152,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM j
 """
 
+OP11_SQL = rf"""
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang, string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS ws FROM w),
+g AS MATERIALIZED (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS ks(k) WHERE len(ws) >= k) GROUP BY 1, 2, 3),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f AS a FROM g WHERE k > 1 AND f >= {phrases.MIN_COUNT}),
+x AS (SELECT lang, k, phrase, ws, a, unnest(range(1, k)) AS i FROM c),
+s AS (SELECT x.*, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f)) AS score
+  FROM x JOIN g l ON l.lang = x.lang AND l.phrase = array_to_string(ws[:i], ' ') JOIN g r ON r.lang = x.lang AND r.phrase = array_to_string(ws[i + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+lost AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN (SELECT lang, a, array_to_string(ws[j:j + 1], ' ') AS phrase FROM (SELECT *, unnest([1, 2]) AS j FROM c WHERE k = 3)) t USING (lang, phrase) WHERE b.k = 2 AND 100 * t.a >= {phrases.ABSORB} * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM b JOIN n USING (lang) WHERE (lang, phrase) NOT IN (SELECT (lang, phrase) FROM lost) QUALIFY rank <= {phrases.TOP}
+"""
+
+OP12_SQL = f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS MATERIALIZED (SELECT row, len(e) AS dim, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.row AS x, b.row AS y FROM u a JOIN u b ON a.dim = b.dim AND a.row <> b.row WHERE list_dot_product(a.e, b.e) >= {vectors.LIMIT}),
+r(d, m) AS (SELECT row, row FROM v UNION SELECT r.d, l.y FROM r JOIN l ON r.m = l.x),
+c AS (SELECT d, min(vec_id) AS component_id FROM r JOIN v ON v.row = r.m GROUP BY 1),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c ON c.d = v.row LEFT JOIN n ON n.x = v.row
+"""
+
+OP13_SQL = f"""
+WITH RECURSIVE f AS MATERIALIZED (SELECT row_number() OVER () AS row, lang, doc_id, n_chars IS NOT NULL AND doc_id IS NOT NULL AS able,
+  coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS front,
+  n_chars, coalesce(strlen(text) || ':' || text, '-') AS back FROM documents),
+cr AS (SELECT row, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length((doc_id::VARCHAR)) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT)), lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) AS c FROM f WHERE doc_id IS NOT NULL),
+l AS MATERIALIZED (SELECT f.row, lang, doc_id, sha256(front || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || back) AS leaf,
+  CASE WHEN n_chars IS NOT NULL AND xor(c, 4294967295) % {manifest.TAMPER_EVERY} = 0 THEN sha256(front || length((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) || back) END AS changed FROM f LEFT JOIN cr ON cr.row = f.row),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM l),
+t(lang, lvl, i, n, h) AS (SELECT lang, 0, i, n, leaf FROM p UNION ALL SELECT lang, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lang, lvl, i // 2, n),
+s AS MATERIALIZED (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lvl, i, n, h) AS (SELECT 0, i, n, subroot FROM s UNION ALL SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 2, n),
+w AS MATERIALIZED (SELECT row, v.lvl, 0 AS tier, (p.i >> v.lvl) & 1 AS odd, coalesce(x.h, '') AS sib FROM p CROSS JOIN (SELECT unnest(range(0, 40)) AS lvl) v LEFT JOIN t x ON x.lang IS NOT DISTINCT FROM p.lang AND x.lvl = v.lvl AND x.i = xor(p.i >> v.lvl, 1) WHERE p.n > (1::BIGINT << v.lvl)
+  UNION ALL SELECT row, v.lvl, 1, (s.i >> v.lvl) & 1, coalesce(x.h, '') FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang CROSS JOIN (SELECT unnest(range(0, 40)) AS lvl) v LEFT JOIN u x ON x.lvl = v.lvl AND x.i = xor(s.i >> v.lvl, 1) WHERE s.n > (1::BIGINT << v.lvl)),
+m AS MATERIALIZED (SELECT row, odd, sib, row_number() OVER (PARTITION BY row ORDER BY tier, lvl) AS step FROM w),
+fold(row, step, h) AS (SELECT row, 0::BIGINT, coalesce(changed, leaf) FROM p UNION ALL SELECT fold.row, m.step, CASE WHEN m.odd = 1 THEN sha256(m.sib || fold.h) ELSE sha256(fold.h || m.sib) END FROM fold JOIN m ON m.row = fold.row AND m.step = fold.step + 1),
+e AS (SELECT row, arg_max(h, step) AS folded FROM fold GROUP BY 1),
+q AS (SELECT row, sha256(string_agg(sib, '' ORDER BY step)) AS proof FROM m GROUP BY 1)
+SELECT p.doc_id, p.leaf, s.subroot, (SELECT h FROM u WHERE n = 1) AS root, coalesce(q.proof, sha256('')) AS proof_sha256, e.folded AS folded_root, e.folded = (SELECT h FROM u WHERE n = 1) AS verified
+FROM p JOIN s ON s.lang IS NOT DISTINCT FROM p.lang JOIN e USING (row) LEFT JOIN q USING (row)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_positional_decontamination": OP3_SQL, "op7_line_frequency": OP7_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_positional_decontamination": OP3_SQL, "op7_line_frequency": OP7_SQL, "op11_phrase_collocations": OP11_SQL, "op12_cross_polytope_near_vectors": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
