@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratiform.llm import decontam, ngram_join, packing, pii, quality
-from stratiform.llm.common import Scratch
+from stratiform.llm.common import Scratch, own_scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -57,7 +57,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        before, docs = docs, scratch.put_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        with own_scratch(spark):  # a stage's operators write their tables here
+            before, docs = docs, scratch.put(stage(spark, docs, sf_dir), name)
         if i:
             scratch.drop(before)
     return docs
