@@ -6,7 +6,9 @@ spans always stay. The field finds what they miss (phone numbers without a count
 its neighbours. It is trained by gradient ascent on the likelihood of a small labelled table and
 decoded by Viterbi over numpy batches.
 
-An address in words that the field finds has to hold a sign for @ and a dot behind it (is_address).
+An address in words that the field finds has to hold a sign for @, behind a word that may be a name, and a dot behind it (is_address). Of neighbouring words that it takes for a card
+or a phone number only those stretches are spans that can be one (number_spans): 13 to 19 digits in the usual groups that pass Luhn's
+check, or 7 to 15 digits that are written as a phone number or follow a word such as "call". Other rows of numbers, such as years, prices or tables, give none.
 
 Every word is scored and decoded. The chain is cut at words that are O on every best path, because no run of
 other labels through them can raise the score; only what is between them goes through Viterbi, and
@@ -23,6 +25,7 @@ import re
 import string
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, slices
+from .common import give_back, named, slices
 
 KINDS = ["email", "ip", "card", "phone"]
 # The base patterns. Email is searched from each @ outward and ip by whole chains of numbers, so that no
@@ -42,7 +45,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 LABELS = ["O", "email", "ip", "card", "phone", "secret"]
-NEAR = ["password", "passwd", "pwd", "pass", "passphrase", "token", "key", "api_key", "apikey", "secret", "tel", "phone", "call", "card", "visa", "ip", "host", "mail", "email", "version", "section", "page", "year", "in", "is", "at", "dot", "="]
+NEAR = ["password", "passwd", "pwd", "pass", "passphrase", "token", "key", "api_key", "apikey", "secret", "tel", "phone", "call", "fax", "mobile", "years", "card", "visa", "ip", "host", "mail", "email", "version", "section", "page", "year", "in", "is", "at", "dot", "="]
 TLD = "com org net edu gov io dev info biz de fr es it uk us eu ch at ca co".split()
 #: Words that follow "password is" and the like in plain sentences.
 PLAIN = "the a an my your his her our their this that not no is are was were be been it to of in on at for with by as and or but if so very too also only now then still required needed wrong right correct incorrect invalid valid expired missing empty lost stolen safe strong weak long short good bad new old hard easy never always ready here there".split()
@@ -117,12 +120,63 @@ _AT = re.compile(r"[\[({<](at|dot)[\])}>]", re.I)
 #: What an address in words must hold: a sign for @ between two names, and behind it a name after a dot in some form.
 _SIGN = re.compile(r"[^\s@](?:@|\s*[\[({<]at[\])}>]\s*|\s+at\s+)(?!(?:at|dot)\b)[^\s@]", re.I)
 _DOT = re.compile(r"\w(?:\.|\s+dot\s+|\s*[\[({<]dot[\])}>]\s*)\w", re.I)
+#: Words before "at" that are no name.
+NOT_NAMES = frozenset(PLAIN) | frozenset("me us you him them we i she he they meet met look looked looking arrive arrived stay stayed see saw call here there now back today tomorrow live lives work works open".split())
+#: Words that announce a phone number.
+CALLS = frozenset("tel tel. telephone telefon téléphone teléfono phone call calls calling called ring dial fax mobile mobil cell whatsapp sms".split())
+_CARD_FORM = re.compile(r"[0-9]{13,19}|[0-9]{4}(?:([ .-])[0-9]{4}){2}(?:\1[0-9]{1,4}){1,2}|[0-9]{4}([ .-])[0-9]{6}\2[0-9]{4,5}")
+_PHONE_FORM = re.compile(r"\+?\(?[0-9][0-9 ()./-]*[0-9]")
+_PHONE_GROUPS = re.compile(r"(?:\+|\().*|[0-9]{2,4}-[0-9]{3,4}-[0-9]{3,5}|[0-9]{3}[ .][0-9]{3}-[0-9]{4}")
 SIDES = ("b", "bb", "a", "aa", "aaa")  # before, two before, after, two and three after
 
 
 def is_address(raw: str) -> bool:
     sign = _SIGN.search(raw)
-    return bool(sign and _DOT.search(raw, sign.end() - 1))
+    if not sign or not _DOT.search(raw, sign.end() - 1):
+        return False
+    name = raw[: sign.start() + 1].split()[-1:]
+    return not (sign.group()[1:2].isspace() and name and name[0].lower() in NOT_NAMES)
+
+
+def is_card(raw: str) -> bool:
+    return bool(_CARD_FORM.fullmatch(raw)) and luhn(re.sub("[^0-9]", "", raw))
+
+
+def is_phone(raw: str, announced: bool) -> bool:
+    return bool(_PHONE_FORM.fullmatch(raw)) and 7 <= len(re.sub("[^0-9]", "", raw)) <= 15 and (announced or bool(_PHONE_GROUPS.fullmatch(raw)))
+
+
+def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """The place without outer punctuation; empty if nothing else is there."""
+    raw = text[a:b]
+    return a + len(raw) - len(raw.lstrip("\"'[{<,.;:!?")), a + len(raw.rstrip("\"']}>,.;:!?"))
+
+
+def number_spans(kind: str, text: str, words: list[tuple[int, int]], at: int, end: int) -> list[tuple[str, int, int]]:
+    """Cards or phones among the neighbouring words at..end, each the longest that can be one from its first word on.
+
+    Bare groups of digits side by side are cards only if cards take all of them, since one in ten rows of numbers passes the check by chance.
+    """
+    bare = lambda i: 0 <= i < len(words) and text[slice(*words[i])].strip(",.;:").isdigit()
+    found = []
+    if kind == "card" and (bare(at) and bare(at - 1) or bare(end) and bare(end + 1)):
+        return []
+    while at <= end:
+        best, digits = None, 0
+        before = {w.strip("\"'()[]{}<>,;:!?").lower() for w in (text[a:b] for a, b in words[max(0, at - 3) : at]) if len(w) < 20}
+        for j in range(at, min(end, at + MOST_WORDS - 1) + 1):
+            digits += words[j][1] - words[j][0]
+            if digits > MOST_CHARS:
+                break
+            a, b = trimmed(text, words[at][0], words[j][1])
+            if a < b and (is_card(text[a:b]) if kind == "card" else is_phone(text[a:b], not before.isdisjoint(CALLS))):
+                best = a, b, j
+        if best:
+            found.append((kind, best[0], best[1]))
+        elif kind == "card" and bare(at):
+            return []
+        at = best[2] + 1 if best else at + 1
+    return found
 
 
 def own_features(word: str) -> list[str]:
@@ -187,7 +241,7 @@ def small_labelled_table() -> pd.DataFrame:
     """The labelled sentences that the field learns from: text, and spans as (label, start, end).
 
     Sentences are drawn from a few patterns with a fixed seed; none comes from any table. 400 are about words with
-    a digit or @, 900 about addresses and secrets without, and plain text that looks like them.
+    a digit or @, 900 about addresses and secrets without, and plain text that looks like them, 300 about rows of numbers and announced phone numbers.
     """
     r = random.Random(7)
     dig = lambda n: "".join(r.choice(string.digits) for _ in range(n))
@@ -275,9 +329,39 @@ def small_labelled_table() -> pd.DataFrame:
             if r.random() < 0.7:
                 text += " " + say(1, 6)
         rows.append((text, spans))
+
+    def numbers() -> str:
+        """A row of numbers that are nobody's."""
+        n = r.randint(2, 9)
+        return r.choice([
+            lambda: " ".join(str(r.randint(1400, 2060)) for _ in range(n)), lambda: ", ".join(str(r.randint(1400, 2060)) for _ in range(n)), lambda: " ".join(str(r.randint(1, 999)) for _ in range(n)), lambda: " ".join(str(r.randint(1000, 99999)) for _ in range(n)), lambda: " ".join(f"{r.randint(0, 99)},{dig(1)}" for _ in range(n)), lambda: " ".join(f"{r.randint(0, 99)}.{dig(2)}" for _ in range(n)),
+            lambda: " ".join(f"{r.randint(1, 99)}%" for _ in range(n)), lambda: " ".join(f"${r.randint(1, 9999)}" for _ in range(n)), lambda: " | ".join(dig(r.randint(1, 6)) for _ in range(n)), lambda: " ".join(f"2{dig(3)}-{r.randint(10, 12)}-{r.randint(10, 28)}" for _ in range(n)), lambda: " ".join(f"{r.randint(0, 23):02}:{r.randint(0, 59):02}" for _ in range(n)), lambda: " ".join(dig(r.randint(6, 12)) for _ in range(n)),
+            lambda: " ".join(f"{r.randint(1, 31)}.{r.randint(1, 12)}.{r.randint(1900, 2030)}" for _ in range(n)), lambda: " ".join(f"{dig(1)} {dig(3)} {dig(3)}" for _ in range(n)), lambda: f"{r.randint(1, 400)}-{r.randint(401, 900)}, {r.randint(1, 99)}-{r.randint(100, 200)}", lambda: f"{dig(3)}-{dig(1)}-{dig(2)}-{dig(6)}-{dig(1)}", lambda: " + ".join(dig(2) for _ in range(n)),
+        ])()
+
+    call = lambda: r.choice(["call", "Call", "tel", "Tel.", "tel:", "phone", "Phone:", "phone:", "fax", "Fax:", "mobile"])
+    for i in range(300):
+        lead = r.choice([say(0, 4), say(0, 3) + r.choice([" in", " years", ":", " section", " page"])])
+        text, spans = lead, []
+        if i % 3 == 0:
+            number = r.choice([f"0{dig(3)} {dig(7)}", f"0{dig(2)} {dig(3)} {dig(4)}", f"{dig(3)} {dig(4)}", f"0{dig(1)} {dig(2)} {dig(2)} {dig(2)} {dig(2)}", f"0{dig(10)}", f"0{dig(3)}/{dig(6)}", f"{dig(3)} {dig(3)} {dig(4)}", f"{dig(3)}.{dig(3)}.{dig(4)}"])
+            text += (" " if text else "") + call() + " "
+            spans.append(("phone", len(text), len(text) + len(number)))
+            text += number
+        elif i % 10 == 1:
+            d = "37" + dig(12)
+            d = next(d + c for c in string.digits if luhn(d + c))
+            number = r.choice([f"{d[:4]} {d[4:10]} {d[10:]}", f"{d[:4]}-{d[4:10]}-{d[10:]}", d])
+            text += (" " if text else "") + r.choice(["card ", "Card: ", "amex ", "card no "])
+            spans.append(("card", len(text), len(text) + len(number)))
+            text += number
+        else:
+            text += (" " if text else "") + numbers()
+        rows.append((text + r.choice(["", ".", f" {say(1, 5)}", f", {say(1, 5)}"]), spans))
     return pd.DataFrame(rows, columns=["text", "spans"])
 
 
+MOST_WORDS, MOST_CHARS = 7, 32  # of one card or phone number
 KNOWN_WORDS, PIECE = 1 << 18, 1 << 15  # words whose scores are held, and words scored at once
 
 
@@ -509,19 +593,18 @@ class ShapeField:
         if not ys:
             return []
         last = max(ys)
-        words = [m.span() for _, m in zip(range(last + 1), _WORD.finditer(text), strict=False)]
+        words = [m.span() for _, m in zip(range(last + 2), _WORD.finditer(text), strict=False)]
         out, at = [], 0
         while at <= last:
             y, end = ys.get(at, 0), at
             while y in (1, 3, 4) and ys.get(end + 1) == y and not (y == 1 and "@" in text[words[end][0] : words[end + 1][1]]):
                 end += 1
-            if y:
-                a, b = words[at][0], words[end][1]
-                raw = text[a:b]
-                left = len(raw) - len(raw.lstrip("\"'[{<,.;:!?"))
-                right = len(raw.rstrip("\"']}>,.;:!?"))
-                if right > left and (y != 1 or is_address(raw)):
-                    out.append((LABELS[y], a + left, a + right))
+            if y in (3, 4):
+                out += number_spans(LABELS[y], text, words, at, end)
+            elif y:
+                a, b = trimmed(text, words[at][0], words[end][1])
+                if a < b and (y != 1 or is_address(text[a:b])):
+                    out.append((LABELS[y], a, b))
             at = end + 1
         return out
 
@@ -553,7 +636,9 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+@cache
 def train() -> ShapeField:
+    """The field of the small labelled table; trained once in a program, as it depends on nothing else."""
     return ShapeField().fit(small_labelled_table())
 
 
@@ -590,4 +675,4 @@ def mask_documents(documents: DataFrame, field: ShapeField, *, text: str = "text
         give_back()
         return out
 
-    return documents.withColumn(text, masked(F.col(text))).select(*documents.columns)
+    return documents.withColumn(text, masked(F.col("`" + text.replace("`", "``") + "`"))).select(*named(*documents.columns))
