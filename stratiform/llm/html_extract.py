@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as _html
 import random
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl",
 BLOCK = CLOSES_P - {"details"} | {"body", "li", "dd", "dt"}  # what ends a picture (svg)
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 STOP = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}, "option": {"select"}}
+INLINE_STOP = {"p", "div", "article", "section", "td", "li", "body"}
+P_STOP = {"article", "div", "section", "td", "li", "blockquote", "body", "table", "form", "aside"}
 CLASS_WORDS = {
     "main": "article content post entry story main body text page-content post-content article-body entry-content main-content maintext prose",
     "nav": "nav menu navbar navigation breadcrumb breadcrumbs pagination pager tabs toc skip topbar",
@@ -56,8 +59,8 @@ WORD_OF = {w: k for k, ws in CLASS_WORDS.items() for w in ws.split()}
 TAGS = ["html", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "ul", "ol", "li", "dl", "dd", "dt", "table", "tr", "td", "th", "tbody", "blockquote", "pre", "figure", "figcaption", "nav", "header", "footer", "aside", "form", "address", "hr", "details"]
 FEATURES = ["bias", "tag:other", *(f"tag:{t}" for t in TAGS), *(f"class:{k}" for k in CLASS_WORDS), "text0", "text1", "text2", "text3", "links", "all_links", "stop", "copyright", "leaf", "under_main", "first_half", "passes", "parts"]
 AT = {f: i for i, f in enumerate(FEATURES)}
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s>/]*)[^>]*(?:>|$)|<([a-zA-Z][^\s>/]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|$)", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s>/]*)[^>]*(?:>|$)|<([a-zA-Z][^\s>/]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|$)", re.S)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9-]+")
 
 
@@ -68,6 +71,7 @@ class Page:
         self.tags, self.parent, self.words, self.runs = ["#"], [-1], [()], []
         self.link_chars: dict[int, int] = {}
         stack: list[tuple[str, int]] = [("#", 0)]
+        places: dict[str, list[int]] = {}  # where in the stack each tag is open, so that no look-up walks it
         run: list[str] = []
         hidden = links = quiet = 0
         ends: dict[str, int] = {}  # the next end tag of a QUIET element or xmp, len(source) if there is none
@@ -97,14 +101,19 @@ class Page:
                 quiet -= tag in QUIET
                 links -= tag == "a"
                 stack.pop()
+                places[tag].pop()
+
+        def push(tag: str, node: int):
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, node))
+
+        def last(names: set[str]) -> int:
+            return max((at[-1] for t in names if (at := places.get(t))), default=0)
 
         def find(names: set[str], stop: set[str]) -> int:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in names:
-                    return i
-                if stack[i][0] in stop:
-                    return 0
-            return 0
+            """The innermost open element of these names, 0 if there is none or one of `stop` is inside of it."""
+            i = last(names)
+            return i if i and i >= last(stop) else 0
 
         def next_end(tag: str) -> int:
             if ends.get(tag, -1) < at:
@@ -127,7 +136,7 @@ class Page:
                     end_run()
                 if tag == "br":
                     run.append(" ")
-                elif i := find({tag}, set() if tag not in INLINE else {"p", "div", "article", "section", "td", "li", "body"}):
+                elif i := find({tag}, set() if tag not in INLINE else INLINE_STOP):
                     close_to(i)
             elif m[2]:
                 tag, attrs = m[2].lower(), m[3] or ""
@@ -142,7 +151,7 @@ class Page:
                         self.tags.append("pre")
                         self.parent.append(stack[-1][1])
                         self.words.append(())
-                        stack.append((tag, len(self.tags) - 1))
+                        push(tag, len(self.tags) - 1)
                         run.append(source[at:end])
                         close_to(len(stack) - 1)
                     at = source.find(">", end) + 1 or n
@@ -155,7 +164,7 @@ class Page:
                     close_to(i)
                 if quiet or tag in QUIET:
                     if tag not in VOID and not attrs.rstrip().endswith("/") and (tag not in QUIET or next_end(tag) < n):
-                        stack.append((tag, stack[-1][1]))
+                        push(tag, stack[-1][1])
                         hidden += tag in HIDDEN or tag in QUIET
                         links += tag == "a"
                         quiet += tag in QUIET
@@ -165,15 +174,12 @@ class Page:
                     if tag == "hr":
                         end_run()
                     continue
-                if tag in CLOSES_P and (i := find({"p"}, {"article", "div", "section", "td", "li", "blockquote", "body", "table", "form", "aside"})):
+                if tag in CLOSES_P and (i := find({"p"}, P_STOP)):
                     close_to(i)
                 if tag in SAME and (i := find(SAME[tag], STOP.get(tag, set()))):
-                    low = i
-                    while (j := find(SAME[tag], STOP.get(tag, set()))) and j < low:
-                        low = j
-                    close_to(low)
+                    close_to(i)
                 if tag in INLINE:
-                    stack.append((tag, stack[-1][1]))
+                    push(tag, stack[-1][1])
                     links += tag == "a"
                 else:
                     end_run()
@@ -181,7 +187,7 @@ class Page:
                     self.tags.append(tag)
                     self.parent.append(stack[-1][1])
                     self.words.append(tuple(w for a in _ATTR.finditer(attrs) for w in _SPLIT.split(a[2].strip("\"'").lower()) if w))
-                    stack.append((tag, node))
+                    push(tag, node)
                     hidden += tag in HIDDEN
                     if attrs.rstrip().endswith("/"):
                         close_to(len(stack) - 1)
@@ -403,6 +409,7 @@ def marks(source: str) -> list[int]:
     return out
 
 
+@cache
 def train() -> ContentModel:
     pages = [(re.sub(r' data-c="[01]"', "", s), g) for s, g in [*labelled_pages(), *labelled_pages(360, 13, wide=True)]]
     return ContentModel().fit(pages)
