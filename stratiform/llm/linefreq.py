@@ -2,9 +2,8 @@
 
 Every line is normalised (lower case, digits to 0, white space runs to one space, trimmed) and
 hashed; a line with a character left counts once for each document (row) of a host. Lines over their limit are removed, and a document is
-rejected when removal leaves too small a share of its word characters. Two limits hold: a long line (LONG_CHARS word characters or
-more) is over it when more than LIMIT_LEAST documents of the host hold it, however large the host is; a short one, which different
-authors may write, when also more than LIMIT_SHARE of the host's documents do. Base rules on repetition and length reject documents beforehand.
+rejected when removal leaves too small a share of its word characters. A line is over the limit when more than LIMIT documents of the host hold it, however
+short it is and however large the host. Base rules on repetition and length reject documents beforehand.
 
 Counts are grouped on (host, line), which Spark pre-aggregates before the shuffle, so a host with a third of
 all rows or a line in every document is a few rows from each task. Nulls: a null text has no
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, give_back, named, scratch_of, slices, unused
 
-LIMIT_SHARE, LIMIT_LEAST, LONG_CHARS, KEPT_SHARE = 0.002, 10, 60, 0.5
+LIMIT, KEPT_SHARE = 10, 0.5
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 _DIGITS, _SPACE = re.compile(r"[0-9]"), re.compile(r"[\x20\x09-\x0D]+")
 _TO_ZERO = str.maketrans("123456789", "000000000")
@@ -114,19 +113,17 @@ def scan(documents: DataFrame, *, key: str, text: str, host: str) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, host string, row long, " + ", ".join(f"{n} long" for n in SCAN_COUNTS) + ", base_failed boolean, lines array<struct<line:long,times:int,chars:int>>")
 
 
-def common_lines(scanned: DataFrame, *, limit_share: float = LIMIT_SHARE, limit_least: int = LIMIT_LEAST, long_chars: int = LONG_CHARS) -> DataFrame:
-    """(host, line) over the limits: in more than limit_least documents of the host, and long or in more than limit_share of them."""
-    lines = scanned.select("host", F.explode("lines").alias("l")).select("host", "l.line", "l.chars")
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("docs"), F.max("chars").alias("chars")).where(F.col("docs") > limit_least)
-    hosts = scanned.groupBy("host").agg(F.count("*").alias("host_docs"))
-    return counts.join(hosts, "host").where((F.col("chars") >= long_chars) | (F.col("docs") > limit_share * F.col("host_docs"))).select("host", "line")
+def common_lines(scanned: DataFrame, *, limit: int = LIMIT) -> DataFrame:
+    """(host, line) of the lines that more than `limit` documents of the host hold."""
+    lines = scanned.select("host", F.explode("lines").alias("l")).select("host", "l.line")
+    return lines.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > limit).select("host", "line")
 
 
-def assess(documents: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", limit_share: float = LIMIT_SHARE, limit_least: int = LIMIT_LEAST, long_chars: int = LONG_CHARS, kept_share: float = KEPT_SHARE, scratch: Scratch | None = None) -> DataFrame:
+def assess(documents: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", limit: int = LIMIT, kept_share: float = KEPT_SHARE, scratch: Scratch | None = None) -> DataFrame:
     """Counts and the verdict for every row. kept: not base_failed, and at least `kept_share` of the word characters stay."""
     scratch = scratch or scratch_of(documents.sparkSession)
     base = scratch.put(scan(documents, key=key, text=text, host=host), "lines")
-    common = scratch.put(common_lines(base, limit_share=limit_share, limit_least=limit_least, long_chars=long_chars), "common")
+    common = scratch.put(common_lines(base, limit=limit), "common")
     lines = base.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.*")
     lost = lines.join(common, ["host", "line"]).groupBy("row").agg(F.sum("times").alias("n_common_lines"), F.sum(F.col("times") * F.col("chars")).alias("common_chars"))
     out = base.drop("lines").join(lost, "row", "left")

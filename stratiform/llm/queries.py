@@ -141,8 +141,7 @@ gg AS (SELECT row, g FROM g GROUP BY 1, 2 HAVING count(*) > 1),
 rep AS (SELECT row, count(DISTINCT p) AS n FROM (SELECT row, unnest(range(i, i + 3)) AS p FROM g JOIN gg USING (row, g)) GROUP BY 1),
 norm AS (SELECT row, host, trim(regexp_replace(translate(lower(line), '123456789', '000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM l),
 nl AS (SELECT row, host, line, count(*) AS times FROM norm WHERE line <> '' GROUP BY 1, 2, 3),
-hosts AS (SELECT host, count(*) AS n FROM d GROUP BY 1),
-common AS (SELECT host, line FROM nl JOIN hosts USING (host) GROUP BY host, line, n HAVING count(*) > {linefreq.LIMIT_LEAST} AND (length(replace(line, ' ', '')) >= {linefreq.LONG_CHARS} OR count(*) > {linefreq.LIMIT_SHARE}::DOUBLE * n)),
+common AS (SELECT host, line FROM nl GROUP BY host, line HAVING count(*) > {linefreq.LIMIT}),
 lost AS (SELECT row, sum(times)::BIGINT AS lines, sum(times * length(replace(line, ' ', '')))::BIGINT AS chars FROM nl JOIN common USING (host, line) GROUP BY 1),
 b AS (SELECT row, doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols FROM d),
 j AS (SELECT b.*, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lines, 0)::BIGINT AS n_common_lines, coalesce(chars, 0)::BIGINT AS common_chars
