@@ -99,8 +99,9 @@ class CrossParser:
 
     def fit(self, rows: list[tuple[str, str]], train_symbols: int = TRAIN_SYMBOLS) -> CrossParser:
         self.languages = sorted({lang for lang, _ in rows})
-        letters = sorted({c for _, t in rows for c in t.lower() if c.isalpha()})[:65_000]
-        self.code = np.array([OTHER if chr(cp).isalpha() else SPACE for cp in range(0x110000)], np.uint16)
+        letters = sorted({c for _, t in rows for c in t.lower() if c.isalpha()})
+        self.kind = np.uint16 if OTHER + 1 + len(letters) < 1 << 16 else np.uint32
+        self.code = np.array([OTHER if chr(cp).isalpha() else SPACE for cp in range(0x110000)], self.kind)
         for i, c in enumerate(letters):
             self.code[ord(c)] = OTHER + 1 + i
         self.width = OTHER + 1 + len(letters)
@@ -146,7 +147,7 @@ class CrossParser:
         size = np.array([len(p) for p in parts], np.int64)
         blocks = np.maximum(1, -(-size // BLOCK))
         owner = np.repeat(np.arange(len(parts)), blocks)
-        lanes = np.zeros((len(owner), BLOCK), np.uint16)
+        lanes = np.zeros((len(owner), BLOCK), self.kind)
         flat = np.concatenate(parts)
         first = np.cumsum(blocks) - blocks
         lanes.ravel()[np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first * BLOCK, size)] = flat

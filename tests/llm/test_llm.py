@@ -266,6 +266,14 @@ def test_automaton_and_cross_parsing(spark):
     assert langid.identify(empty, langid.train(empty), keep=["doc_id"]).count() == 0
 
 
+def test_language_with_more_letters_than_16_bits():
+    letters = [chr(c) for c in range(0x3400, 0x2A6D0) if chr(c).isalpha()]
+    assert len(letters) > 66_000
+    last = "".join(letters[-2000:])
+    parser = langid.CrossParser().fit([("han", " ".join("".join(letters[i : i + 2000]) for i in range(0, len(letters), 2000))), ("late", last), ("en", "plain words of a text in english " * 9)], train_symbols=80_000)
+    assert parser.predict([last[700:1400], "plain words of a text"])[0] == ["late", "en"]
+
+
 def test_language_of_long_texts_only(spark):
     docs = [(i, " ".join(f"the{j % 7} house{(i + j) % 11}" for j in range(60)).translate(str.maketrans("0123456789", "abcdefghij")), "en") for i in range(8)]
     docs += [(i, " ".join("el perro la casa niño mañana ciudad verde azul".split()[(i * j) % 9] for j in range(1200)), "es") for i in range(10, 18)]
@@ -353,7 +361,7 @@ def test_line_limits(spark):
     docs = [(i, body(i) + ("\n" + passage if i < 50 else "") + ("\nHome\nOK" if i % 2 else "") + ("\nSee more" if i < 12 else ""), "hot") for i in range(7000)]
     out = {r.doc_id: r for r in linefreq.assess(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
     assert out[49].n_common_lines == 3 and out[48].n_common_lines == 1  # the passage in 50 of 7000 documents; short lines in half of them
-    assert out[50].n_common_lines == 0 and out[51].n_common_lines == 2 and out[2].n_common_lines == 1  # 12 documents are too few for a short line
+    assert out[50].n_common_lines == 0 and out[51].n_common_lines == 2 and out[2].n_common_lines == 2  # one limit for short lines too
     ten = [(i, body(i) + "\n" + passage, "h") for i in range(10)]
     assert linefreq.assess(spark.createDataFrame(ten, "doc_id long, text string, source string")).where("n_common_lines > 0").count() == 0  # exactly the limit
 
@@ -589,7 +597,7 @@ def test_columns_with_the_names_used_inside(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.sql(f"create view {t} as select * from '{D}/{t}.parquet'")
     df = queries.queries()[name](spark, D)
     cols = sorted(df.columns)
