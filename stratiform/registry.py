@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import alignment, core, imaging, kernels, records
+from .plans import alignment, core, imaging, kernels, records, volumes
 
-MODULES = [core, imaging, kernels, alignment, records]
+MODULES = [core, imaging, kernels, alignment, records, volumes]
 
 
 def queries() -> dict:
