@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import model
 from ..operators import volumes
+from ..shared import Tables
+from ..sources import files, pixels
 
 QUERIES, SQL = {}, {}
 
@@ -55,3 +59,35 @@ def m23_sampled(spark, d):
     depth = vec.agg(F.max("vec_id")).first()[0] + 1  # one number; the volume's shape
     field = v.selectExpr("z", "y", "x", "3 * e dz", "5 * e dy", "-4 * e dx")
     return volumes.sampled(v.withColumnRenamed("e", "value"), field, (depth, 8, 8)).withColumn("value", F.round("value", 6) + 0.0)
+
+
+# ---- files read in parts -------------------------------------------------------------------------------------------------
+
+def _written(spark, d, ending: str, encode) -> str:
+    """A folder of files, one for 16 vectors: each vector is a plane of 8 x 8 values."""
+    vec = model.table(spark, d, "embeddings").select((F.col("vec_id") / 16).cast("int").alias("f"), (F.col("vec_id") % 16).cast("int").alias("page"), F.col("embedding").cast("array<double>").alias("v"))
+
+    def run(key, pdf):
+        planes = [np.asarray(v, "f4").reshape(8, 8) for v in pdf.sort_values("page")["v"]]
+        return pd.DataFrame({"name": [f"f{key[0]:05}{ending}"], "content": [encode(planes)]})
+
+    folder = Tables(spark).path("files")
+    pixels.write_files(vec.groupBy("f").applyInPandas(run, "name string, content binary"), folder)
+    pixels.register(spark)
+    return folder
+
+
+def _file_number():
+    return F.regexp_extract("path", r"f([0-9]{5})\.[a-z]+$", 1).cast("int")
+
+
+@query("s03_tiff_pixels_source", "SELECT (vec_id // 16)::INT AS file, (vec_id % 16)::INT AS page, (i // 8)::INT AS y, (i % 8)::INT AS x, round(embedding[i + 1]::DOUBLE, 6) + 0.0 AS value FROM embeddings, range(64) r(i) WHERE vec_id % 16 IN (3, 7) AND i // 8 >= 2")
+def s03(spark, d):
+    px = spark.read.format("tiff_pixels").load(_written(spark, d, ".tif", files.encode_stack)).where("page in (3, 7) and y >= 2")
+    return px.select(_file_number().alias("file"), "page", "y", "x", (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query("s07_nifti_voxels_source", "SELECT (vec_id // 16)::INT AS file, (vec_id % 16)::INT AS z, round(sum(embedding[i + 1]::DOUBLE), 5) + 0.0 AS total, count(*) AS voxels FROM embeddings, range(64) r(i) WHERE vec_id % 16 BETWEEN 2 AND 5 GROUP BY 1, 2")
+def s07(spark, d):
+    vox = spark.read.format("nifti_voxels").load(_written(spark, d, ".nii", lambda planes: files.encode_nifti(np.stack(planes), (1.0, 1.0, 1.0)))).where("z between 2 and 5")
+    return vox.groupBy(_file_number().alias("file"), "z").agg((F.round(F.sum("value"), 5) + 0.0).alias("total"), F.count("*").alias("voxels"))

@@ -11,6 +11,7 @@ import gzip
 import io
 import struct
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -119,27 +120,38 @@ def _pack_bits(raw: bytes) -> bytes:
 _UNPACK = {1: bytes, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: _pack_bits}
 
 
-def decode_tiff(raw: bytes) -> np.ndarray:
-    """Pages as [page, y, x, channel]: strips or tiles, plain, LZW, deflate or PackBits, with or without differences along rows, channels together or apart."""
-    order = {b"II": "<", b"MM": ">"}[raw[:2]]
+Fetch = Callable[[int, int], bytes]  # bytes of a file from a place on, so many of them
+
+
+def tiff_directory(fetch: Fetch) -> tuple[str, list[dict[int, list[int]]]]:
+    """Byte order and the tags of each page; reads the headers and no pixel."""
+    order = {b"II": "<", b"MM": ">"}[fetch(0, 2)]
     size = {1: 1, 3: 2, 4: 4}
-    (at,) = struct.unpack_from(order + "I", raw, 4)
+    (at,) = struct.unpack(order + "I", fetch(4, 4))
     pages = []
     while at:
-        (n,) = struct.unpack_from(order + "H", raw, at)
-        tags = {}
+        (n,) = struct.unpack(order + "H", fetch(at, 2))
+        raw, tags = fetch(at + 2, 12 * n + 4), {}
         for i in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", raw, at + 2 + 12 * i)
+            tag, kind, count = struct.unpack_from(order + "HHI", raw, 12 * i)
             if kind in size:
                 width = size[kind] * count
-                where = at + 10 + 12 * i if width <= 4 else struct.unpack_from(order + "I", raw, at + 10 + 12 * i)[0]
-                tags[tag] = np.frombuffer(raw, order + {1: "u1", 3: "u2", 4: "u4"}[kind], count, where).astype(int).tolist()
-        pages.append(_tiff_page(raw, tags, order))
-        (at,) = struct.unpack_from(order + "I", raw, at + 2 + 12 * n)
-    return np.stack(pages)
+                body = raw[12 * i + 8 : 12 * i + 8 + width] if width <= 4 else fetch(struct.unpack_from(order + "I", raw, 12 * i + 8)[0], width)
+                tags[tag] = np.frombuffer(body, order + {1: "u1", 3: "u2", 4: "u4"}[kind], count).astype(int).tolist()
+        pages.append(tags)
+        (at,) = struct.unpack_from(order + "I", raw, 12 * n)
+    return order, pages
 
 
-def _tiff_page(raw: bytes, tags: dict[int, list[int]], order: str) -> np.ndarray:
+def decode_tiff(raw: bytes) -> np.ndarray:
+    """Pages as [page, y, x, channel]: strips or tiles, plain, LZW, deflate or PackBits, with or without differences along rows, channels together or apart."""
+    fetch = lambda at, n: raw[at : at + n]
+    order, pages = tiff_directory(fetch)
+    return np.stack([tiff_rows(fetch, order, tags, 0, tags[257][0]) for tags in pages])
+
+
+def tiff_rows(fetch: Fetch, order: str, tags: dict[int, list[int]], top: int, bottom: int) -> np.ndarray:
+    """Rows top to bottom - 1 of a page as [y, x, channel]; only the strips or tiles that hold them are fetched."""
     one = lambda tag, default: tags.get(tag, [default])[0]
     if one(259, 1) not in _UNPACK:
         raise ValueError(f"TIFF compression {one(259, 1)} is not supported")
@@ -147,19 +159,23 @@ def _tiff_page(raw: bytes, tags: dict[int, list[int]], order: str) -> np.ndarray
     kind = f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[one(339, 1)]}{one(258, 8) // 8}"
     apart = one(284, 1) == 2
     depth = 1 if apart else channels
-    bw, bh = (one(322, w), one(323, h)) if 322 in tags else (w, one(278, h))
+    bw, bh = (one(322, w), one(323, h)) if 322 in tags else (w, min(one(278, h), h))
     across, down = -(-w // bw), -(-h // bh)
-    out = np.zeros((down * bh, across * bw, channels), kind)
+    first = top // bh
+    last = min(-(-bottom // bh), down)
+    out = np.zeros(((last - first) * bh, across * bw, channels), kind)
     for i, (o, k) in enumerate(zip(tags.get(324, tags.get(273)), tags.get(325, tags.get(279)), strict=True)):
-        block = np.frombuffer(_UNPACK[one(259, 1)](raw[o : o + k]), kind)
+        layer, place = divmod(i, across * down)
+        if not first <= place // across < last:
+            continue
+        block = np.frombuffer(_UNPACK[one(259, 1)](fetch(o, k)), kind)
         block = block[: len(block) // (bw * depth) * bw * depth].reshape(-1, bw, depth)
         if one(317, 1) == 2:
             block = np.cumsum(block, axis=1, dtype=block.dtype)
-        layer, place = divmod(i, across * down)
-        y, x = place // across * bh, place % across * bw
+        y, x = (place // across - first) * bh, place % across * bw
         c = slice(layer, layer + 1) if apart else slice(None)
         out[y : y + len(block), x : x + bw, c] = block
-    return out[:h, :w]
+    return out[top - first * bh : min(bottom, h) - first * bh, :w]
 
 
 def encode_tiff(image: np.ndarray, deflate: bool = False) -> bytes:
@@ -173,20 +189,48 @@ def encode_tiff(image: np.ndarray, deflate: bool = False) -> bytes:
     return b"II*\0" + struct.pack("<I", 8 + len(body) + len(pad)) + body + pad + ifd
 
 
+def encode_stack(images: list[np.ndarray]) -> bytes:
+    """Grey pages one after another in one file."""
+    out, link = bytearray(b"II*\0\0\0\0\0"), 4
+    for image in images:
+        one = encode_tiff(image)
+        (ifd,) = struct.unpack_from("<I", one, 4)
+        start = len(out)
+        body, head = one[8:ifd], bytearray(one[ifd:])
+        for i in range(struct.unpack_from("<H", head)[0]):
+            if struct.unpack_from("<H", head, 2 + 12 * i)[0] == 273:
+                struct.pack_into("<I", head, 10 + 12 * i, start)
+        out += body
+        struct.pack_into("<I", out, link, len(out))
+        link = len(out) + len(head) - 4
+        out += head + b"\0" * (len(head) % 2)
+    return bytes(out)
+
+
 _NIFTI = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
 
 
+class NiftiHead:
+    """Shape (z, y, x), voxel sizes, type and place of a NIfTI-1 volume's values, from its first 352 bytes."""
+
+    def __init__(self, raw: bytes):
+        order = "<" if struct.unpack_from("<i", raw)[0] == 348 else ">"
+        dim = struct.unpack_from(order + "8h", raw, 40)
+        self.kind = np.dtype(order + _NIFTI[struct.unpack_from(order + "h", raw, 70)[0]])
+        self.sizes = [float(p) for p in struct.unpack_from(order + "8f", raw, 76)[3:0:-1]]
+        at, self.slope, self.shift = struct.unpack_from(order + "3f", raw, 108)
+        self.at, self.shape = int(at), [max(1, d) for d in dim[3:0:-1]]
+
+    def values(self, raw: bytes) -> np.ndarray:
+        a = np.frombuffer(raw, self.kind).reshape(-1, *self.shape[1:])
+        return a * self.slope + self.shift if self.slope not in (0.0, 1.0) or self.shift else a
+
+
 def decode_nifti(raw: bytes) -> tuple[np.ndarray, list[float]]:
     """Volume as [z, y, x] and voxel sizes (z, y, x)."""
     raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-    order = "<" if struct.unpack_from("<i", raw)[0] == 348 else ">"
-    dim = struct.unpack_from(order + "8h", raw, 40)
-    (kind,) = struct.unpack_from(order + "h", raw, 70)
-    pix = struct.unpack_from(order + "8f", raw, 76)
-    off, slope, inter = struct.unpack_from(order + "3f", raw, 108)
-    shape = [max(1, d) for d in dim[1:4]]
-    a = np.frombuffer(raw, order + _NIFTI[kind], int(np.prod(shape)), int(off)).reshape(shape[::-1])
-    return (a * slope + inter if slope not in (0.0, 1.0) or inter else a), [float(p) for p in pix[3:0:-1]]
+    head = NiftiHead(raw)
+    return head.values(raw[head.at : head.at + int(np.prod(head.shape)) * head.kind.itemsize]), head.sizes
 
 
 def encode_nifti(volume: np.ndarray, zooms: tuple[float, float, float]) -> bytes:
