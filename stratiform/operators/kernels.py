@@ -122,32 +122,38 @@ def gradient(pixels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def smooth(a: np.ndarray, sigma: float) -> np.ndarray:
-    """Gaussian filter, edges repeated."""
+    """Gaussian filter, edges repeated. Sums in one order, so that a pixel's value doesn't depend on where the array begins."""
     r = max(1, int(4 * sigma + 0.5))
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
     k /= k.sum()
     for axis in (0, 1):
-        pad = [(r, r) if i == axis else (0, 0) for i in (0, 1)]
-        a = np.apply_along_axis(lambda v: np.convolve(v, k, "valid"), axis, np.pad(a, pad, "edge"))
+        n = a.shape[axis]
+        wide = np.pad(a, [(r, r) if i == axis else (0, 0) for i in (0, 1)], "edge")
+        a = sum(w * np.take(wide, np.arange(i, i + n), axis) for i, w in enumerate(k))
     return a
 
 
+def blob_scores(a: np.ndarray, low: float, high: float, steps: int, threshold: float) -> tuple[np.ndarray, ...]:
+    """Maxima over space and scale of the scaled negative Laplacian of Gaussian of an image in 0 to 1: scale number, y, x and score, and the scales."""
+    sig = np.linspace(low, high, steps)
+    cube = []
+    for s in sig:
+        g = np.pad(smooth(a, s), 1, "edge")
+        cube.append(-(g[2:, 1:-1] + g[:-2, 1:-1] + g[1:-1, 2:] + g[1:-1, :-2] - 4 * g[1:-1, 1:-1]) * s * s)
+    c = np.pad(np.array(cube), 1, constant_values=-np.inf)
+    top = np.max([c[1 + i : c.shape[0] - 1 + i, 1 + j : c.shape[1] - 1 + j, 1 + k : c.shape[2] - 1 + k] for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)], axis=0)
+    inner = c[1:-1, 1:-1, 1:-1]
+    i, y, x = np.nonzero((inner == top) & (inner > threshold))
+    return i, y, x, inner[i, y, x], sig
+
+
 def log_blobs(pixels: DataFrame, keys: list[str], *, low: float = 1.2, high: float = 5.0, steps: int = 8, threshold: float = 0.03) -> DataFrame:
     """Blobs as maxima over space and scale of the scaled negative Laplacian of Gaussian."""
 
     def run(key, pdf):
         a, y0, x0 = _grid(pdf, "value")
-        a = (a - a.min()) / max(1e-9, a.max() - a.min())
-        sig = np.linspace(low, high, steps)
-        cube = []
-        for s in sig:
-            g = np.pad(smooth(a, s), 1, "edge")
-            cube.append(-(g[2:, 1:-1] + g[:-2, 1:-1] + g[1:-1, 2:] + g[1:-1, :-2] - 4 * g[1:-1, 1:-1]) * s * s)
-        c = np.pad(np.array(cube), 1, constant_values=-np.inf)
-        top = np.max([c[1 + i : c.shape[0] - 1 + i, 1 + j : c.shape[1] - 1 + j, 1 + k : c.shape[2] - 1 + k] for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)], axis=0)
-        inner = c[1:-1, 1:-1, 1:-1]
-        i, y, x = np.nonzero((inner == top) & (inner > threshold))
-        return _tall(keys, key, y + y0, x + x0, sigma=sig[i], area_px=np.pi * 2 * sig[i] ** 2, score=inner[i, y, x])
+        i, y, x, score, sig = blob_scores((a - a.min()) / max(1e-9, a.max() - a.min()), low, high, steps, threshold)
+        return _tall(keys, key, y + y0, x + x0, sigma=sig[i], area_px=np.pi * 2 * sig[i] ** 2, score=score)
 
     return pixels.groupBy(*keys).applyInPandas(run, _schema(pixels, keys, "y int, x int, sigma double, area_px double, score double"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import model
-from ..operators import volumes
+from ..operators import tiles, volumes
 from ..shared import Tables
 from ..sources import files, pixels
 from ..streaming import jobs
@@ -105,3 +105,38 @@ def r08_stream(spark, d):
     events = source.select(F.concat(F.lit("t"), F.col("user_id").cast("string"), F.lit("_"), (F.col("event_id") % 40).cast("string")).alias("task_id"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % 100).cast("int").alias("percent"), F.concat(F.lit("step "), F.col("event_id").cast("string")).alias("message"), F.col("ts").cast("timestamp").alias("at"))
     changes = jobs.run_to_end(jobs.task_stream(events, max_age_s=1e9, lateness="1000 days"), Tables(spark).path("stream"))
     return jobs.latest_states(changes)
+
+
+# ---- tiled images --------------------------------------------------------------------------------------------------------
+
+def _plates(spark, d):
+    """Images of 128 vectors below one another: slice_id, y, x, value."""
+    vec = model.table(spark, d, "embeddings").select((F.col("vec_id") / 128).cast("int").alias("slice_id"), (F.col("vec_id") % 128).cast("int").alias("y"), F.posexplode("embedding").alias("x", "value"))
+    return vec.withColumn("value", F.col("value").cast("double"))
+
+
+@query("m15_tiled_components", """WITH RECURSIVE p AS MATERIALIZED (SELECT (vec_id // 128)::INT AS slice_id, (vec_id % 128)::INT AS y, i::INT AS x, (vec_id % 128) * 2147483648 + i AS id FROM embeddings, range(64) r(i) WHERE embedding[i + 1]::DOUBLE > 0.08),
+e AS MATERIALIZED (SELECT a.slice_id, a.id AS a, b.id AS b FROM p a JOIN p b ON a.slice_id = b.slice_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 AND abs(a.y - b.y) <= 1),
+r(slice_id, root, id) AS (SELECT slice_id, id, id FROM p UNION SELECT r.slice_id, r.root, e.b FROM r JOIN e ON e.slice_id = r.slice_id AND e.a = r.id), c AS (SELECT slice_id, id, min(root) AS component FROM r GROUP BY 1, 2)
+SELECT slice_id, component::BIGINT AS component, count(*) AS area FROM c GROUP BY 1, 2""")
+def m15_tiles(spark, d):
+    return tiles.tiled_components(_plates(spark, d).where("value > 0.08"), ["slice_id"], tile=32).groupBy("slice_id", "component").agg(F.count("*").alias("area"))
+
+
+@query("m16_tiled_blobs")
+def m16_tiles(spark, d):
+    """Held to the blobs of whole images by tests."""
+    return tiles.tiled_blobs(_plates(spark, d), ["slice_id"], high=3.0, steps=4, tile=48)
+
+
+# Cells of up to 10 x 10 pixels stand in a grid of 16; tiles of 64 overlap by 16, so that each cell is whole in one tile at least.
+@query("m18_seam_merge", """WITH c AS (SELECT event_id AS cell, event_id // 40 * 16 + user_id % 4 AS y0, event_id % 40 * 16 + event_id * 7 % 4 AS x0, 2 + event_id % 9 AS h, 2 + user_id % 9 AS w FROM events),
+t AS (SELECT *, unnest(range(greatest(0, (y0 - 16) // 48), (y0 + h - 1) // 48 + 1)) AS ty FROM c), u AS (SELECT *, unnest(range(greatest(0, (x0 - 16) // 48), (x0 + w - 1) // 48 + 1)) AS tx FROM t),
+a AS (SELECT cell, ty * 100000 + tx AS tile, (least(y0 + h, ty * 48 + 64) - greatest(y0, ty * 48)) * (least(x0 + w, tx * 48 + 64) - greatest(x0, tx * 48)) AS area FROM u WHERE least(y0 + h, ty * 48 + 64) > greatest(y0, ty * 48) AND least(x0 + w, tx * 48 + 64) > greatest(x0, tx * 48))
+SELECT arg_min(tile, {'a': -area, 't': tile})::BIGINT AS tile, cell::BIGINT AS cell, max(area)::BIGINT AS area, count(*) AS parts FROM a GROUP BY cell""")
+def m18_seams(spark, d):
+    c = model.table(spark, d, "events").selectExpr("event_id cell", "event_id div 40 * 16 + user_id % 4 y0", "event_id % 40 * 16 + event_id * 7 % 4 x0", "2 + event_id % 9 h", "2 + user_id % 9 w")
+    px = c.withColumn("y", F.explode(F.expr("sequence(y0, y0 + h - 1)"))).withColumn("x", F.explode(F.expr("sequence(x0, x0 + w - 1)")))
+    inside = lambda v: F.explode(F.expr(f"sequence(greatest(0, cast(ceil(({v} - 63) / 48) as bigint)), {v} div 48)"))
+    masks = px.withColumn("ty", inside("y")).withColumn("tx", inside("x")).selectExpr("0 image", "ty * 100000 + tx tile", "cell", "y", "x")
+    return tiles.one_of_each_cell(masks, ["image"]).select("tile", "cell", "area", "parts")
