@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import mapping, registration, rollup
+from . import filters, kernels, mapping, registration, rollup
 
 ERRORS = {"not_found": 404, "busy": 409, "invalid": 400, "forbidden": 403, "internal": 500}  # R21
 
@@ -79,6 +79,21 @@ def compare_alignment(scores: DataFrame) -> DataFrame:
     return scores.withColumns({"delta": F.col("after") - F.col("before"), "score_warning": F.col("after_edge") < F.col("before_edge")})
 
 
+def score_alignment(images: DataFrame, keys: list[str], real: str = "real", before: str = "before", after: str = "after") -> DataFrame:
+    """before, after, before_edge, after_edge, delta and score_warning of each image (R17): structural similarity of the real image to the label before and after, of the values and of
+    their Sobel edges. Each pair is scaled by the larger of both ranges, 1 at least."""
+    names = [real, before, after]
+    px = images.select(*keys, "y", "x", *[F.col(c).cast("double").alias(f"raw_{i}") for i, c in enumerate(names)])
+    for i in range(3):
+        px = px.join(filters.sobel(px, keys, f"raw_{i}").withColumnRenamed("edge", f"edge_{i}"), [*keys, "y", "x"])
+    pairs = F.array(*[F.struct(F.lit(f"{kind}_{i}").alias("pair"), F.col(f"{kind}_0").alias("a"), F.col(f"{kind}_{i}").alias("b")) for kind in ("raw", "edge") for i in (1, 2)])
+    tall = px.select(*keys, "y", "x", F.explode(pairs).alias("p")).select(*keys, "y", "x", "p.*")
+    span = tall.groupBy(*keys, "pair").agg(F.greatest(F.max("a") - F.min("a"), F.max("b") - F.min("b"), F.lit(1.0)).alias("_span"))
+    scaled = tall.join(span, [*keys, "pair"]).withColumns({c: F.col(c) / F.col("_span") for c in ("a", "b")})
+    s = kernels.ssim(scaled, [*keys, "pair"]).groupBy(*keys).agg(*[F.max(F.when(F.col("pair") == f"{kind}_{i}", F.col("ssim"))).alias(n) for kind, i, n in (("raw", 1, "before"), ("raw", 2, "after"), ("edge", 1, "before_edge"), ("edge", 2, "after_edge"))])
+    return compare_alignment(s)
+
+
 def start(jobs: DataFrame, job: str) -> DataFrame:
     """jobs with the job running; an error where it already runs."""
     if not jobs.where((F.col("job_id") == job) & (F.col("status") == "running")).isEmpty():

@@ -326,9 +326,9 @@ def f26(spark, d):
     return model.table(spark, d, "part").select(F.col("p_partkey").alias("k"), m["smooth"].alias("smooth"))
 
 
-@query("j18_config_grid", " SELECT f, s, p FROM (VALUES ('contain'), ('cover')) a(f), (VALUES (1.0::DOUBLE), (2.0), (4.0)) b(s), (VALUES ('fast'), ('fine')) c(p)")
+@query("j18_config_grid", " SELECT s_suppkey AS sample, f, s, p FROM supplier, (VALUES ('contain'), ('cover')) a(f), (VALUES (1.0::DOUBLE), (2.0), (4.0)) b(s), (VALUES ('fast'), ('fine')) c(p)")
 def j18(spark, d):
-    return placement.config_grid(spark.range(1).select(), f=["contain", "cover"], s=[1.0, 2.0, 4.0], p=["fast", "fine"])
+    return placement.config_grid(model.table(spark, d, "supplier").selectExpr("s_suppkey sample"), f=["contain", "cover"], s=[1.0, 2.0, 4.0], p=["fast", "fine"])
 
 
 @query("g29_grid_search", " WITH g AS (SELECT p_brand AS sample, p_size % 6 AS cfg, p_retailprice AS s FROM part), m AS (SELECT cfg, round(avg(s), 4) AS mean FROM g GROUP BY 1) SELECT arg_max(cfg, {'m': mean, 'c': -cfg})::INT AS best, max(mean) AS mean FROM m")

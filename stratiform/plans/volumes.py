@@ -8,9 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import model
-from ..operators import tiles, volumes
+from ..model import with_sql
+from ..operators import incremental, runs, strokes, tiles, volumes
 from ..shared import Tables
-from ..sources import files, pixels
+from ..sources import files, pixels, workbook
 from ..streaming import jobs
 from . import records
 
@@ -140,3 +141,85 @@ def m18_seams(spark, d):
     inside = lambda v: F.explode(F.expr(f"sequence(greatest(0, cast(ceil(({v} - 63) / 48) as bigint)), {v} div 48)"))
     masks = px.withColumn("ty", inside("y")).withColumn("tx", inside("x")).selectExpr("0 image", "ty * 100000 + tx tile", "cell", "y", "x")
     return tiles.one_of_each_cell(masks, ["image"]).select("tile", "cell", "area", "parts")
+
+
+# ---- hands on images -----------------------------------------------------------------------------------------------------
+
+# An event is a stroke on its user's image of 16 x 16 pixels, or takes one back.
+@query("r18_stroke_field", """WITH RECURSIVE l AS MATERIALIZED (SELECT user_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_type = 'signup' AS undo, {'x1': (event_id * 7 % 16)::DOUBLE, 'y1': (event_id % 13)::DOUBLE, 'dx': (event_id % 5 - 2)::DOUBLE, 'dy': (event_id % 7 - 3)::DOUBLE, 'r': 8.0::DOUBLE + event_id % 3} AS s FROM events),
+h(k, i, held) AS (SELECT k, 0::BIGINT, []::STRUCT(x1 DOUBLE, y1 DOUBLE, dx DOUBLE, dy DOUBLE, r DOUBLE)[] FROM (SELECT DISTINCT k FROM l) UNION ALL SELECT h.k, l.i, CASE WHEN undo THEN held[:greatest(len(held) - 1, 0)] ELSE list_append(held, s) END FROM h JOIN l ON l.k = h.k AND l.i = h.i + 1),
+b AS MATERIALIZED (SELECT k, list_filter(arg_max(held, i), lambda s: sqrt(s.dx * s.dx + s.dy * s.dy) >= 0.75) AS held FROM h GROUP BY 1),
+q(k, y0, x0, n, y, x) AS (SELECT k, y, x, len(held), y::DOUBLE, x::DOUBLE FROM b, range(16) r(y), range(16) t(x) UNION ALL
+  SELECT q.k, y0, x0, n - 1, q.y + held[n].dy * w, q.x + held[n].dx * w FROM q JOIN b ON b.k = q.k, LATERAL (SELECT CASE WHEN abs(q.y - held[n].y1) <= 1.65 * held[n].r AND abs(q.x - held[n].x1) <= 1.65 * held[n].r THEN 0.5 * exp(-0.5 * ((q.y - held[n].y1) ** 2 + (q.x - held[n].x1) ** 2) / greatest(4.0, 0.46 * held[n].r) ** 2) ELSE 0 END AS w) z WHERE n > 0)
+SELECT k, y0::INT AS y, x0::INT AS x, round(y - y0, 5) + 0.0 AS v, round(x - x0, 5) + 0.0 AS u FROM q WHERE n = 0""")
+def r18(spark, d):
+    e = model.table(spark, d, "events")
+    log = e.selectExpr("user_id k", "event_id seq", "case when event_type = 'signup' then 'undo' else 'drag' end kind", "event_id * 7 % 16 x1", "event_id % 13 y1", "event_id * 7 % 16 + event_id % 5 - 2 x2", "event_id % 13 + event_id % 7 - 3 y2", "8 + event_id % 3 radius", "0.5D strength")
+    px = e.select(F.col("user_id").alias("k")).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    f = strokes.composed_field(px, strokes.live_strokes(log, ["k"]), ["k"])
+    return f.select("k", "y", "x", (F.round("v", 5) + 0.0).alias("v"), (F.round("u", 5) + 0.0).alias("u"))
+
+
+@query("r19_tissue_matte", """WITH RECURSIVE p AS MATERIALIZED (SELECT (vec_id // 128)::INT AS slice_id, (vec_id % 128)::INT AS y, i::INT AS x, embedding[i + 1]::DOUBLE AS e FROM embeddings, range(64) r(i)), b AS (SELECT slice_id, min(y) AS y0, max(y) AS y1 FROM p GROUP BY 1),
+f AS MATERIALIZED (SELECT p.*, y = y0 OR y = y1 OR x = 0 OR x = 63 AS border FROM p JOIN b USING (slice_id)), m AS (SELECT slice_id, median(e) AS m FROM f WHERE border GROUP BY 1),
+g AS MATERIALIZED (SELECT slice_id, y, x, border, abs(e - m) AS d FROM f JOIN m USING (slice_id)),
+o(slice_id, y, x) AS (SELECT slice_id, y, x FROM g WHERE border AND d < 0.1 UNION SELECT g.slice_id, g.y, g.x FROM o JOIN g ON g.slice_id = o.slice_id AND abs(g.y - o.y) + abs(g.x - o.x) = 1 AND abs(g.y - o.y) <= 1 WHERE g.d < 0.1)
+SELECT g.slice_id, g.y, g.x, round(CASE WHEN o.x IS NULL THEN 1.0 ELSE least(greatest((d - 0.02) / 0.08, 0), 1) END, 6) AS alpha FROM g LEFT JOIN o ON o.slice_id = g.slice_id AND o.y = g.y AND o.x = g.x""")
+def r19(spark, d):
+    return strokes.matte(_plates(spark, d), ["slice_id"], ["value"], low=0.02, high=0.1, tile=32).withColumn("alpha", F.round("alpha", 6))
+
+
+# ---- runs ----------------------------------------------------------------------------------------------------------------
+
+def _similarity(kind: str) -> str:
+    """The mean structural similarity of pairs `kind` (slice_id, pair, y, x, a, b) over windows of 7 x 7, as common table expressions."""
+    sums = ["sum(a)", "sum(b)", "sum(a * a)", "sum(b * b)", "sum(a * b)", "count(*)"]
+    row = ", ".join(f"{f} OVER r AS s{i}" for i, f in enumerate(sums))
+    col = ", ".join(f"sum(s{i}) OVER c AS t{i}" for i in range(6))
+    return f"""r_{kind} AS (SELECT slice_id, pair, y, x, {row} FROM {kind} WINDOW r AS (PARTITION BY slice_id, pair, y ORDER BY x ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING)),
+c_{kind} AS (SELECT slice_id, pair, {col} FROM r_{kind} WINDOW c AS (PARTITION BY slice_id, pair, x ORDER BY y ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING)),
+s_{kind} AS (SELECT slice_id, pair, avg((2 * t0 * t1 / 2401 + 1e-4) * (2 * (t4 - t0 * t1 / 49) / 48 + 9e-4) / ((t0 * t0 / 2401 + t1 * t1 / 2401 + 1e-4) * ((t2 - t0 * t0 / 49) / 48 + (t3 - t1 * t1 / 49) / 48 + 9e-4))) AS ssim FROM c_{kind} WHERE t5 = 49 GROUP BY 1, 2)"""
+
+
+_BESIDE = lambda c, w: (f"coalesce(lag({c}) OVER {w}, {c})", f"coalesce(lead({c}) OVER {w}, {c})")
+_SMOOTH = lambda c, w: f"({_BESIDE(c, w)[0]} + 2 * {c} + {_BESIDE(c, w)[1]}) / 4"
+_SLOPE = lambda c, w: f"({_BESIDE(c, w)[1]} - {_BESIDE(c, w)[0]}) / 2"
+
+
+@query("r17_scores_from_images", f"""WITH p AS (SELECT (vec_id // 128)::INT AS slice_id, (vec_id % 128)::INT AS y, i::INT AS x, embedding[i + 1]::DOUBLE * 100 AS e FROM embeddings, range(64) r(i)),
+g AS (SELECT slice_id, y, x, e AS raw_0, coalesce(lead(e, 3) OVER r, 0) AS raw_1, coalesce(lead(e, 1) OVER r, 0) * 0.5 + e * 0.5 AS raw_2 FROM p WINDOW r AS (PARTITION BY slice_id, y ORDER BY x)),
+h AS (SELECT *, {', '.join(f"{_SMOOTH(f'raw_{i}', 'r')} AS sx_{i}, {_SLOPE(f'raw_{i}', 'r')} AS dx_{i}" for i in range(3))} FROM g WINDOW r AS (PARTITION BY slice_id, y ORDER BY x)),
+k AS (SELECT *, {', '.join(f"sqrt((({_SLOPE(f'sx_{i}', 'c')}) ** 2 + ({_SMOOTH(f'dx_{i}', 'c')}) ** 2) / 2) AS edge_{i}" for i in range(3))} FROM h WINDOW c AS (PARTITION BY slice_id, x ORDER BY y)),
+t AS (SELECT slice_id, y, x, unnest([{', '.join(f"{{'pair': '{k}_{i}', 'a': {k}_0, 'b': {k}_{i}}}" for k in ('raw', 'edge') for i in (1, 2))}]) AS q FROM k), n AS (SELECT slice_id, q.pair AS pair, greatest(max(q.a) - min(q.a), max(q.b) - min(q.b), 1.0) AS span FROM t GROUP BY 1, 2),
+pr AS (SELECT t.slice_id, q.pair AS pair, y, x, q.a / span AS a, q.b / span AS b FROM t JOIN n ON n.slice_id = t.slice_id AND n.pair = t.q.pair), {_similarity('pr')}
+SELECT slice_id, round(max(ssim) FILTER (pair = 'raw_1'), 6) AS before, round(max(ssim) FILTER (pair = 'raw_2'), 6) AS after, round(max(ssim) FILTER (pair = 'edge_1'), 6) AS before_edge, round(max(ssim) FILTER (pair = 'edge_2'), 6) AS after_edge, max(ssim) FILTER (pair = 'edge_2') < max(ssim) FILTER (pair = 'edge_1') AS score_warning FROM s_pr GROUP BY 1""")
+def r17(spark, d):
+    row = Window.partitionBy("slice_id", "y").orderBy("x")
+    e = F.col("value") * 100
+    images = _plates(spark, d).select("slice_id", "y", "x", e.alias("real"), F.coalesce(F.lead(e, 3).over(row), F.lit(0.0)).alias("before"), (F.coalesce(F.lead(e, 1).over(row), F.lit(0.0)) * 0.5 + e * 0.5).alias("after"))
+    return runs.score_alignment(images, ["slice_id"]).select("slice_id", *[F.round(c, 6).alias(c) for c in ("before", "after", "before_edge", "after_edge")], "score_warning")
+
+
+@query("r10_incremental_run", """WITH v AS (SELECT event_id, user_id AS slice, CASE WHEN user_id = (SELECT min(user_id) FROM events) THEN value + 1 ELSE value END AS value FROM events), s AS (SELECT slice, count(*) AS n, round(sum(value), 3) AS total FROM v WHERE value > 5 GROUP BY 1)
+SELECT slice, n, total, slice = (SELECT min(user_id) FROM events) AS redone FROM s""")
+def r10(spark, d):
+    """A first run on all events, then one with one changed slice."""
+    e = model.table(spark, d, "events").selectExpr("event_id", "user_id slice", "value")
+    first = e.agg(F.min("slice").alias("_least"))  # one row
+    changed = e.join(F.broadcast(first), F.col("slice") == F.col("_least"), "left").select("event_id", "slice", F.when(F.col("_least").isNotNull(), F.col("value") + 1).otherwise(F.col("value")).alias("value"))
+    stages = [incremental.Stage("detect", lambda df: df.where("value > 5")), incremental.Stage("count", lambda df: df.groupBy("slice").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total")))]
+    run = incremental.Run(spark, Tables(spark).path("run"), "slice")
+    run.all(stages, e)
+    rows, told = run.all(stages, changed)
+    return rows.join(told.where("stage = 'count'").select("slice", "redone"), "slice")
+
+
+@query("k03_workbook_package", with_sql("structure", body=""", l AS (SELECT 'Hierarchy' AS sheet, row_number() OVER (ORDER BY graph_order, id) + 1 AS row, [id::VARCHAR, name, acronym, depth::VARCHAR] AS cells FROM structure), f AS (SELECT 'Leaf' AS sheet, row_number() OVER (ORDER BY id) + 1 AS row, [id::VARCHAR, structure_id_path] AS cells FROM structure WHERE depth = 3)
+SELECT sheet, row::BIGINT AS row, array_to_string(cells, '|') AS cells FROM (SELECT * FROM l UNION ALL SELECT * FROM f UNION ALL SELECT 'Hierarchy', 1, ['id', 'name', 'acronym', 'depth'] UNION ALL SELECT 'Leaf', 1, ['id', 'structure_id_path'] UNION ALL SELECT 'RunParams', 1, ['key', 'value'] UNION ALL SELECT 'RunParams', 2, ['regions', (SELECT count(*)::VARCHAR FROM region)])"""))
+def k03(spark, d):
+    s = model.structure(spark, d)
+    path = f"{Tables(spark).path('book')}.xlsx"
+    params = model.table(spark, d, "region").agg(F.lit("regions").alias("key"), F.count("*").cast("string").alias("value"))
+    workbook.write_workbook({"Hierarchy": (s.select("id", "name", "acronym", "depth", "graph_order"), ["graph_order", "id"]), "Leaf": (s.where("depth = 3").select("id", "structure_id_path"), ["id"]), "RunParams": (params, ["key"])}, path)
+    book = workbook.read_workbook(spark, path)
+    return book.select("sheet", "row", F.array_join(F.when(F.col("sheet") == "Hierarchy", F.slice("cells", 1, 4)).otherwise(F.col("cells")), "|").alias("cells"))

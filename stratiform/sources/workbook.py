@@ -7,12 +7,15 @@ copied in pieces, whatever its size. An aborted write leaves nothing.
 
 from __future__ import annotations
 
+import io
 import uuid
+import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.sax.saxutils import escape, quoteattr
 
+import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -146,3 +149,28 @@ def write_workbook(sheets: dict[str, tuple[DataFrame, list[str]]], path: str) ->
     spark: SparkSession = every.sparkSession
     spark.dataSource.register(Workbook)
     every.write.format("workbook").mode("overwrite").save(path)
+
+
+def read_workbook(spark: SparkSession, path: str) -> DataFrame:
+    """sheet, row (from 1), cells (as text) of the packages at a path. A package is parsed as a stream, row by row."""
+
+    def run(batches):
+        for b in batches:
+            for raw in b["content"]:
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    names = [s.get("name") for s in ET.fromstring(z.read("xl/workbook.xml")).find(f"{{{_MAIN}}}sheets")]
+                    for i, name in enumerate(names, 1):
+                        with z.open(f"xl/worksheets/sheet{i}.xml") as f:
+                            held, n = [], 0
+                            for _, e in ET.iterparse(f):
+                                if e.tag == f"{{{_MAIN}}}row":
+                                    n += 1
+                                    held.append((name, n, [c.findtext(f"{{{_MAIN}}}is/{{{_MAIN}}}t") if c.get("t") == "inlineStr" else c.findtext(f"{{{_MAIN}}}v") for c in e]))
+                                    e.clear()
+                                    if len(held) == 4096:
+                                        yield pd.DataFrame(held, columns=["sheet", "row", "cells"])
+                                        held = []
+                            if held:
+                                yield pd.DataFrame(held, columns=["sheet", "row", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "sheet string, row long, cells array<string>")
