@@ -147,14 +147,14 @@ def from_planes(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def pack(counts: np.ndarray) -> bytes:
-    at = np.flatnonzero(counts)
+def pack(at: np.ndarray, counts: np.ndarray) -> bytes:
+    """Places in order and values of the counters that aren't 0."""
     gap = np.diff(at, prepend=-1) - 1
-    return zstandard.ZstdCompressor(level=3).compress(planes(gap.astype("<u2")) + planes(counts[at].astype("<u4")))
+    return zstandard.ZstdCompressor(level=3).compress(planes(gap.astype("<u2")) + planes(counts.astype("<u4")))
 
 
 def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of the counters that aren't 0."""
+    """What pack() was given."""
     raw = zstandard.ZstdDecompressor().decompress(raw)
     n = len(raw) // 6
     return np.cumsum(from_planes(raw[: 2 * n], "<u2").astype(np.int64) + 1) - 1, from_planes(raw[2 * n :], "<u4").astype(np.int64)
@@ -179,10 +179,13 @@ def document_table(documents: DataFrame, scratch: Scratch, *, key: str, text: st
         size = 0
 
         def groups():
-            counts = np.bincount(np.concatenate(held), minlength=1 << bits).astype("<u4").reshape(n_groups, -1)
+            found, times = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            body = [pack(c) for c in counts]
-            return pa.RecordBatch.from_arrays([*(pa.nulls(n_groups, t) for t in types), pa.nulls(n_groups, pa.int64()), pa.nulls(n_groups, pa.int32()), pa.array(np.arange(n_groups), pa.int32()), pa.array(body, pa.binary())], names=names)
+            cuts = np.searchsorted(found, np.arange(n_groups + 1) << low)
+            live = np.flatnonzero(np.diff(cuts))
+            body = [pack(found[cuts[g] : cuts[g + 1]] - (g << low), times[cuts[g] : cuts[g + 1]]) for g in live.tolist()]
+            n = len(live)
+            return pa.RecordBatch.from_arrays([*(pa.nulls(n, t) for t in types), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(live, pa.int32()), pa.array(body, pa.binary())], names=names)
 
         for b in batches:
             for s in slices(b, "_text", 1 << 20):
