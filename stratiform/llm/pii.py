@@ -666,13 +666,15 @@ def mask_documents(documents: DataFrame, field: ShapeField, *, text: str = "text
     """documents with every span masked in the text; other columns and null texts stay."""
     shared = documents.sparkSession.sparkContext.broadcast(field)
 
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        plain = [t or "" for t in texts]
-        found = shared.value.spans(plain)
-        out = pd.Series([None if o is None else mask(t, merged(base_spans(t), f)) for o, t, f in zip(texts, plain, found, strict=True)], dtype=object)
-        del plain, found
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([], pa.string())]
+        for s in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+            some = s.column("text").to_pylist()
+            plain = [t or "" for t in some]
+            found = shared.value.spans(plain)
+            parts.append(pa.array([None if o is None else mask(t, merged(base_spans(t), f)) for o, t, f in zip(some, plain, found, strict=True)], pa.string()))
         give_back()
-        return out
+        return pa.concat_arrays(parts)
 
     return documents.withColumn(text, masked(F.col("`" + text.replace("`", "``") + "`"))).select(*named(*documents.columns))
