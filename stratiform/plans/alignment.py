@@ -84,9 +84,14 @@ def m15_canny(spark, d):
     return filters.filtered(model.image_stack(spark, d), ["slice_id"], "canny", sigma=1.0, low=10.0, high=25.0).where("value > 0")
 
 
-@query("m15_equalise")
+@query("m15_equalise", SYN + """, l AS (SELECT slice_id, y, x, least(greatest(floor(least(value, 255) / 255.0::DOUBLE * 256), 0), 255)::INT AS level, y // 16 AS ty, x // 16 AS tx FROM s),
+c AS (SELECT slice_id, ty, tx, level, count(*)::DOUBLE AS n FROM l GROUP BY ALL), e AS (SELECT slice_id, ty, tx, sum(greatest(n - 2.56::DOUBLE, 0)) / 256 AS more FROM c GROUP BY ALL),
+m AS MATERIALIZED (SELECT e.slice_id, e.ty, e.tx, b.level, sum(least(coalesce(n, 0), 2.56::DOUBLE) + more) OVER (PARTITION BY e.slice_id, e.ty, e.tx ORDER BY b.level) / 256 AS m FROM e CROSS JOIN range(256) b(level) LEFT JOIN c ON c.slice_id = e.slice_id AND c.ty = e.ty AND c.tx = e.tx AND c.level = b.level),
+p AS (SELECT slice_id, y, x, level, greatest(0, least(3, (y - 7.5::DOUBLE) / 16)) AS py, greatest(0, least(3, (x - 7.5::DOUBLE) / 16)) AS px FROM l),
+q AS (SELECT p.slice_id, y, x, m * CASE dy WHEN 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END * CASE dx WHEN 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END AS part FROM p, range(2) a(dy), range(2) b(dx), m WHERE m.slice_id = p.slice_id AND m.level = p.level AND m.ty = least(floor(py) + dy, 3) AND m.tx = least(floor(px) + dx, 3))
+SELECT slice_id, y, x, round(sum(part) + 1e-9, 6) AS value FROM q GROUP BY ALL""")
 def m15_equalise(spark, d):
-    return filters.filtered(model.image_stack(spark, d).selectExpr("slice_id", "y", "x", "least(value, 255) / 255.0D value"), ["slice_id"], "equalise", tiles=4)
+    return filters.filtered(model.image_stack(spark, d).selectExpr("slice_id", "y", "x", "least(value, 255) / 255.0D value"), ["slice_id"], "equalise", tiles=4).withColumn("value", F.round(F.col("value") + 1e-9, 6))
 
 
 @query("m15_tissue")

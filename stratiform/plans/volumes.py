@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..model import with_sql
-from ..operators import incremental, runs, strokes, tiles, volumes
+from ..operators import filters, freeform, incremental, runs, strokes, tiles, volumes
 from ..shared import Tables
 from ..sources import files, pixels, workbook
 from ..streaming import jobs
@@ -169,6 +169,18 @@ def r19(spark, d):
     return strokes.matte(_plates(spark, d), ["slice_id"], ["value"], low=0.02, high=0.1, tile=32).withColumn("alpha", F.round("alpha", 6))
 
 
+# The moving image is the fixed one two pixels further right, as another kind of image: the field has to find that.
+@query("m28_freeform_registration", "WITH p AS (SELECT (vec_id // 128)::INT AS slice_id, (vec_id % 128)::INT AS y, i::INT AS x FROM embeddings, range(64) r(i)), b AS (SELECT slice_id, max(y) AS last FROM p GROUP BY 1) SELECT slice_id, count(*) AS pixels, true AS found FROM p JOIN b USING (slice_id) WHERE y BETWEEN 8 AND last - 8 AND x BETWEEN 8 AND 55 GROUP BY 1")
+def m28(spark, d):
+    row = Window.partitionBy("slice_id", "y").orderBy("x")
+    smooth = filters.filtered(_plates(spark, d), ["slice_id"], "gaussian", sigma=2.0)
+    pairs = smooth.select("slice_id", "y", "x", F.col("value").alias("fixed"), F.exp(-8 * F.coalesce(F.lag("value", 2).over(row), F.first("value").over(row))).alias("moving"))
+    last = F.max("y").over(Window.partitionBy("slice_id"))
+    f = freeform.register(pairs, ["slice_id"], rounds=60).withColumn("_last", last).where("y between 8 and _last - 8 and x between 8 and 55")
+    near = F.avg((F.sqrt((F.col("u") - 2) * (F.col("u") - 2) + F.col("v") * F.col("v")) < 0.5).cast("double"))
+    return f.groupBy("slice_id").agg(F.count("*").alias("pixels"), (near > 0.9).alias("found"))
+
+
 # ---- runs ----------------------------------------------------------------------------------------------------------------
 
 def _similarity(kind: str) -> str:
