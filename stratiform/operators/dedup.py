@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from itertools import product
+from operator import add
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,23 +61,110 @@ def suppress(cells: DataFrame, pairs: DataFrame, score: Column | None = None) ->
     return cells.join(gone.distinct().withColumn("_gone", F.lit(True)), "cell_id", "left").withColumn("kept", F.col("_gone").isNull()).drop("_gone")
 
 
+BLOCK, HALO = 48, 8  # of a block and of what it sees around, in radii
+BLOCK_POINTS = 50_000  # what a task takes at once; denser blocks are thinned by cells first
+
+
+def settled(at: np.ndarray, sizes: np.ndarray, flat: int, rank: np.ndarray, sure: np.ndarray, open_edge: np.ndarray) -> np.ndarray:
+    """What is certain of the points of a block and its halo, taken from the best on: 1 kept, -1 out, 0 not certain.
+
+    A point is out if a better one that is kept is near. It is kept if none is near that is better and not certain itself, and nothing beyond the halo (open_edge) can be near. Points that are
+    `sure` are kept already. Only kept and uncertain points are compared with, so a dense spot costs its points.
+    """
+    out = np.zeros(len(at), np.int8)
+    cell = np.floor(at / (sizes * (1 + 1e-9))).astype(np.int64)
+    around = list(product((-1, 0, 1), repeat=at.shape[1]))
+    held: dict[tuple, list[tuple]] = {}
+    places, cells_of = at.tolist(), cell.tolist()
+    r2, rz = float(sizes[0] ** 2), float(sizes[-1])
+    for i in np.lexsort((-rank, ~sure)).tolist():
+        here, c = places[i], cells_of[i]
+        state = 1 if sure[i] or not open_edge[i] else 0
+        if not sure[i]:
+            for step in around:
+                for there, known in held.get(tuple(map(add, c, step)), ()):
+                    d = ((here[0] - there[0]) ** 2 + (here[1] - there[1]) ** 2) / r2
+                    if not flat:
+                        d += ((here[2] - there[2]) / rz) ** 2
+                    if d <= 1.0:
+                        state = -1 if known else min(state, 0)
+                        if state < 0:
+                            break
+                if state < 0:
+                    break
+        out[i] = state
+        if state >= 0:
+            held.setdefault(tuple(c), []).append((here, state))
+    return out
+
+
 def thin(cells: DataFrame, *, r_xy: float, group: list[str], r_z: float | None = None, score: Column | None = None) -> DataFrame:
     """cells with `kept`, the same as suppress() over near_pairs(), without making the pairs: a dense spot costs its points, not their square.
 
-    Points fall into cells whose points are all near one another, so only a cell's best undecided point can be kept next. It is, if no better undecided point
-    is near: that is sure where no neighbouring cell's best is better, not so where a better one of them is near, and looked up among the neighbours' points else. Then all
-    points near a kept one are out, and the rest try again. Points without a finite place or a group are kept.
+    Each round decides whatever is certain within blocks that see HALO radii around them, in one pass from the best point on; what hangs on points further away waits for the next round,
+    whose blocks lie half a block aside. If a block has more than BLOCK_POINTS undecided points, a round by cells comes first (by_cells). Points without a finite place or a group are kept.
     """
     tables = Tables(cells.sparkSession)
     dims = ["x", "y"] if r_z is None else ["x", "y", "z"]
-    side = {c: (r_z if c == "z" else r_xy) / len(dims) ** 0.5 * (1 - 1e-9) for c in dims}
-    at = [f"_c{c}" for c in dims]
-    keys = [*group, *at]
+    sizes = np.array([r_xy, r_xy, r_z][: len(dims)], float)
     finite = [F.abs(F.col(c)) < float("inf") for c in dims] + [F.col(g).isNotNull() for g in group]
     ok = F.coalesce(finite[0], F.lit(False))
     for f in finite[1:]:
         ok = ok & F.coalesce(f, F.lit(False))
-    base = cells.where(ok).select(*group, "cell_id", F.coalesce(score if score is not None else F.col("score"), F.lit(0.0)).alias("s"), *[F.col(c).cast("double").alias(c) for c in dims], *[F.floor(F.col(c) / side[c]).alias(a) for c, a in zip(dims, at, strict=True)])
+    base = cells.where(ok).select(*group, "cell_id", F.coalesce(score if score is not None else F.col("score"), F.lit(0.0)).cast("double").alias("s"), *[F.col(c).cast("double").alias(c) for c in dims], F.lit(False).alias("sure"))
+    schema = "cell_id " + cells.schema["cell_id"].dataType.simpleString() + ", state int"
+    def judge(shift: float):
+        def run(key, pdf):
+            q = pdf[dims].to_numpy(float)
+            scaled, sure = q / sizes - shift, pdf["sure"].to_numpy(bool)
+            block = np.array([float(k) for k in key[len(group) :]]) * BLOCK
+            inside = ((scaled >= block) & (scaled < block + BLOCK)).all(1)
+            edge = ((scaled < block - HALO + 1.001) | (scaled > block + BLOCK + HALO - 1.001)).any(1)
+            order = np.lexsort((pdf["cell_id"].to_numpy(), -pdf["s"].to_numpy()))
+            rank = np.empty(len(order))
+            rank[order] = -np.arange(len(order))
+            state = settled(q, sizes, r_z is None, rank, sure, edge)
+            mine = inside & ~sure & (state != 0)
+            return pd.DataFrame({"cell_id": pdf["cell_id"][mine], "state": state[mine].astype(np.int32)})
+
+        return run
+
+    undecided, kept, gone = tables.save(base), None, None
+    number = 0
+    while not undecided.isEmpty():
+        shift = (number % 2) * BLOCK / 2
+        place = [F.floor((F.col(c) / float(n) - shift) / BLOCK).alias(f"_b{c}") for c, n in zip(dims, sizes, strict=True)]
+        at = [*group, *[f"_b{c}" for c in dims]]
+        most = undecided.groupBy(*group, *place).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if most > BLOCK_POINTS:
+            won, out = by_cells(undecided.drop("sure"), tables, dims=dims, group=group, r_xy=r_xy, r_z=r_z)
+            kept = won.select(*group, "cell_id", "s", *dims, F.lit(True).alias("sure"))
+        else:
+            seen = undecided if kept is None else undecided.unionByName(kept)
+            for c, n in zip(dims, sizes, strict=True):
+                q = F.col(c) / float(n) - shift
+                seen = seen.withColumn(f"_b{c}", F.explode(F.sequence(F.floor((q - HALO) / BLOCK), F.floor((q + HALO) / BLOCK))))
+
+            out = tables.save(seen.groupBy(*at).applyInPandas(judge(shift), schema)).select("cell_id", (F.col("state") == 1).alias("_kept"))
+            kept = undecided.join(out.where("_kept"), "cell_id", "left_semi").withColumn("sure", F.lit(True))
+        gone = out.where("not _kept") if gone is None else gone.unionByName(out.where("not _kept"))
+        undecided = tables.save(undecided.join(out, "cell_id", "left_anti"))
+        number += 1
+    if gone is None:
+        return cells.withColumn("kept", F.lit(True))
+    return cells.join(gone.select("cell_id", F.lit(True).alias("_gone")), "cell_id", "left").withColumn("kept", F.col("_gone").isNull()).drop("_gone")
+
+
+def by_cells(undecided: DataFrame, tables: Tables, *, dims: list[str], group: list[str], r_xy: float, r_z: float | None) -> tuple[DataFrame, DataFrame]:
+    """A round of thin() for dense spots: the points kept now, and cell_id, _kept of all points that this decides.
+
+    Points fall into cells whose points are all near one another, so only a cell's best undecided point can be kept next. It is, if no better undecided point
+    is near: that is sure where no neighbouring cell's best is better, not so where a better one of them is near, and looked up among the neighbours' points else. Then all
+    points near a kept one are out.
+    """
+    side = {c: (r_z if c == "z" else r_xy) / len(dims) ** 0.5 * (1 - 1e-9) for c in dims}
+    keys = [*group, *(f"_c{c}" for c in dims)]
+    undecided = undecided.withColumns({f"_c{c}": F.floor(F.col(c) / side[c]) for c in dims})
     rank = lambda p="": F.struct(F.col(f"{p}s").alias("s"), (-F.col(f"{p}cell_id")).alias("i"))
     near = ((F.col("x") - F.col("a_x")) ** 2 + (F.col("y") - F.col("a_y")) ** 2) / (r_xy * r_xy)
     if r_z is not None:
@@ -83,28 +175,20 @@ def thin(cells: DataFrame, *, r_xy: float, group: list[str], r_z: float | None =
     def around(points: DataFrame) -> DataFrame:
         """Points as a_cell_id and so on, once for each cell within two of their own."""
         out = points.select(*keys, *[F.col(c).alias(f"a_{c}") for c in mine])
-        for a in at:
-            out = out.withColumn("_d", F.explode(F.array(*[F.lit(d) for d in (-2, -1, 0, 1, 2)]))).withColumn(a, F.col(a) + F.col("_d")).drop("_d")
+        for c in dims:
+            out = out.withColumn("_d", F.explode(F.array(*[F.lit(d) for d in (-2, -1, 0, 1, 2)]))).withColumn(f"_c{c}", F.col(f"_c{c}") + F.col("_d")).drop("_d")
         return out
 
-    undecided, gone = tables.save(base), None
-    while not undecided.isEmpty():
-        best = undecided.groupBy(*keys).agg(F.max(F.struct(F.col("s").alias("s"), (-F.col("cell_id")).alias("i"), *dims)).alias("t"))
-        tops = tables.save(best.select(*keys, (-F.col("t.i")).alias("cell_id"), F.col("t.s").alias("s"), *[F.col(f"t.{c}").alias(c) for c in dims]))
-        better = rank() > rank("a_")
-        met = around(tops).join(tops, keys).where(better).groupBy(F.col("a_cell_id").alias("cell_id")).agg(F.max(near.cast("int")).alias("beaten"))
-        judged = tables.save(tops.join(met, "cell_id", "left"))
-        doubt = judged.where("beaten = 0")
-        lost = around(doubt).join(undecided, keys).where(better & near).select(F.col("a_cell_id").alias("cell_id")).distinct()
-        won = judged.where("beaten is null").select(*keys, *mine).unionByName(doubt.join(lost, "cell_id", "left_anti").select(*keys, *mine))
-        won = tables.save(won)
-        out = tables.save(around(won).join(undecided, keys).where(near).select("cell_id", (F.col("cell_id") == F.col("a_cell_id")).alias("_kept")).groupBy("cell_id").agg(F.max("_kept").alias("_kept")))
-        gone = out.where("not _kept") if gone is None else gone.unionByName(out.where("not _kept"))
-        before, undecided = undecided, tables.save(undecided.join(out, "cell_id", "left_anti"))
-        tables.drop(before, tops, judged, won)
-    if gone is None:
-        return cells.withColumn("kept", F.lit(True))
-    return cells.join(gone.select("cell_id", F.lit(True).alias("_gone")), "cell_id", "left").withColumn("kept", F.col("_gone").isNull()).drop("_gone")
+    best = undecided.groupBy(*keys).agg(F.max(F.struct(F.col("s").alias("s"), (-F.col("cell_id")).alias("i"), *dims)).alias("t"))
+    tops = tables.save(best.select(*keys, (-F.col("t.i")).alias("cell_id"), F.col("t.s").alias("s"), *[F.col(f"t.{c}").alias(c) for c in dims]))
+    better = rank() > rank("a_")
+    met = around(tops).join(tops, keys).where(better).groupBy(F.col("a_cell_id").alias("cell_id")).agg(F.max(near.cast("int")).alias("beaten"))
+    judged = tables.save(tops.join(met, "cell_id", "left"))
+    doubt = judged.where("beaten = 0")
+    lost = around(doubt).join(undecided, keys).where(better & near).select(F.col("a_cell_id").alias("cell_id")).distinct()
+    won = tables.save(judged.where("beaten is null").select(*keys, *mine).unionByName(doubt.join(lost, "cell_id", "left_anti").select(*keys, *mine)))
+    out = tables.save(around(won).join(undecided, keys).where(near).select("cell_id", (F.col("cell_id") == F.col("a_cell_id")).alias("_kept")).groupBy("cell_id").agg(F.max("_kept").alias("_kept")))
+    return won, out
 
 
 def in_order(cells: DataFrame) -> DataFrame:
