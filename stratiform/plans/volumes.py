@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..model import with_sql
-from ..operators import filters, freeform, incremental, runs, strokes, tiles, volumes
+from ..operators import filters, freeform, incremental, kernels, runs, strokes, tiles, volumes
 from ..shared import Tables
 from ..sources import files, pixels, workbook
 from ..streaming import jobs
@@ -39,16 +39,32 @@ def m23_volume(spark, d):
     field = volumes.harmonic_field(points, ["a", "b"], block=24, rtol=1e-6)
     known = points.groupBy("z", "y", "x").agg(F.lit(True).alias("_known"))
     f = field.join(known, ["z", "y", "x"], "left")
-    for i, (axis, others) in enumerate((("z", ["y", "x"]), ("y", ["z", "x"]), ("x", ["z", "y"]))):
-        w = Window.partitionBy(*others).orderBy(axis)
-        f = f.withColumns({f"_{c}{i}": F.coalesce(F.lag(c).over(w) - F.col(c), F.lit(0.0)) + F.coalesce(F.lead(c).over(w) - F.col(c), F.lit(0.0)) for c in ("a", "b")})
-    off = F.greatest(*[F.abs(F.col(f"_{c}0") + F.col(f"_{c}1") + F.col(f"_{c}2")) for c in ("a", "b")])
+    f = _harmonic(f, [], ["a", "b"], ["z", "y", "x"])
     k = F.coalesce("_known", F.lit(False))
-    out = f.groupBy("z").agg(F.count("*").alias("voxels"), F.count_if(k).alias("known"), F.round(F.sum(F.when(k, F.col("a")).otherwise(0.0)), 3).alias("known_a"), F.round(F.sum(F.when(k, F.col("b")).otherwise(0.0)), 3).alias("known_b"), F.max(F.when(k, 0.0).otherwise(off)).alias("_off"))
+    out = f.groupBy("z").agg(F.count("*").alias("voxels"), F.count_if(k).alias("known"), F.round(F.sum(F.when(k, F.col("a")).otherwise(0.0)), 3).alias("known_a"), F.round(F.sum(F.when(k, F.col("b")).otherwise(0.0)), 3).alias("known_b"), F.max(F.when(k, 0.0).otherwise(F.col("_off"))).alias("_off"))
     return out.select("z", "voxels", "known", "known_a", "known_b", (F.col("_off") < 0.01).alias("harmonic"))
 
 
-#: Planes are vectors: eight rows of eight components.
+def _harmonic(f, keys: list[str], columns: list[str], axes: list[str]):
+    """f with _off: how far the largest of the columns is from its neighbours' mean, times their number."""
+    for i, axis in enumerate(axes):
+        w = Window.partitionBy(*keys, *[a for a in axes if a != axis]).orderBy(axis)
+        f = f.withColumns({f"_{c}{i}": F.coalesce(F.lag(c).over(w) - F.col(c), F.lit(0.0)) + F.coalesce(F.lead(c).over(w) - F.col(c), F.lit(0.0)) for c in columns})
+    off = [F.abs(sum((F.col(f"_{c}{i}") for i in range(len(axes))), F.lit(0.0))) for c in columns]
+    return f.withColumn("_off", F.greatest(*off) if len(off) > 1 else off[0])
+
+
+@query("m23_plane_field", """WITH p AS (SELECT user_id AS k, event_id % 13 AS y, event_id * 7 % 16 AS x, max(value) AS value FROM events GROUP BY 1, 2, 3)
+SELECT k, 256::BIGINT AS pixels, count(*) AS known, round(sum(value), 2) AS kept, true AS harmonic FROM p GROUP BY 1""")
+def m23_plane(spark, d):
+    p = model.table(spark, d, "events").selectExpr("user_id k", "cast(event_id % 13 as int) y", "cast(event_id * 7 % 16 as int) x", "value").groupBy("k", "y", "x").agg(F.max("value").alias("value"))
+    f = kernels.laplace_field(p, ["k"], (16, 16)).join(p.select("k", "y", "x", F.lit(True).alias("_known")), ["k", "y", "x"], "left")
+    k = F.coalesce("_known", F.lit(False))
+    out = _harmonic(f, ["k"], ["value"], ["y", "x"]).groupBy("k").agg(F.count("*").alias("pixels"), F.count_if(k).alias("known"), F.round(F.sum(F.when(k, F.col("value")).otherwise(0.0)), 2).alias("kept"), F.max(F.when(k, 0.0).otherwise(F.col("_off"))).alias("_off"))
+    return out.select("k", "pixels", "known", "kept", (F.col("_off") < 0.01).alias("harmonic"))
+
+
+# Planes are vectors: eight rows of eight components.
 PLANES = "v AS (SELECT vec_id AS z, i // 8 AS y, i % 8 AS x, embedding[i + 1]::DOUBLE AS e FROM embeddings, range(64) r(i)), n AS (SELECT max(vec_id) + 1 AS n FROM embeddings)"
 
 
