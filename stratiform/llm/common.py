@@ -81,6 +81,16 @@ def scratch_of(spark: SparkSession) -> Scratch:
     return _handed.get() or Scratch(spark)
 
 
+BATCH_ROWS = 2000
+
+
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lets Arrow batches of the session hold `rows` rows at most, so that what a task and its Python worker hold of long texts stays small; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def unused(columns: list[str], name: str) -> str:
     """The name, or one with underscores before it, that no column has."""
     taken = {c.lower() for c in columns}
