@@ -15,35 +15,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratiform.llm import decontam, ngram_join, packing, pii, quality
-from stratiform.llm.common import Scratch, own_scratch
+from stratiform.llm.common import Scratch, bound_batches, own_scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose compression score reaches 0.7."""
+    bound_batches(spark)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component of the n-gram Jaccard join, that of the smallest doc_id."""
+    bound_batches(spark)
     return ngram_join.one_of_each(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated rows."""
+    bound_batches(spark)
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks personal data; n_chars follows the text."""
+    bound_batches(spark)
     masked = pii.mask_documents(docs, pii.train())
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 ids."""
+    bound_batches(spark)
     return packing.pack(docs)
 
 
