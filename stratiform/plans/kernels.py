@@ -96,7 +96,7 @@ _NEAR = lambda c: f"coalesce(lag({c}) OVER r, {c}) + coalesce(lead({c}) OVER r,
 
 @query("m22_splat_field", f"""WITH s AS (SELECT (l_orderkey % 32)::INT AS g, l_suppkey % 64 AS y, l_partkey % 64 AS x, sum(l_discount * 20)::DOUBLE AS v, sum(l_quantity / 10 - 2.5)::DOUBLE AS u, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2, 3),
 k AS (SELECT o, exp(-0.5::DOUBLE * o * o / 36) / (SELECT sum(exp(-0.5::DOUBLE * p * p / 36)) FROM range(-24, 25) z(p)) AS w FROM range(-24, 25) t(o)),
-a AS MATERIALIZED ({_spread('s', 'y', 'x')}), b AS MATERIALIZED ({_spread('a', 'x', 'y')}), f AS (SELECT g, y, x, v / (n + 1e-4) AS v, u / (n + 1e-4) AS u FROM b),
+a AS MATERIALIZED ({_spread('s', 'y', 'x')}), b AS MATERIALIZED ({_spread('a', 'x', 'y')}), f AS (SELECT c.g, p.y, q.x, coalesce(v / (n + 1e-4), 0) AS v, coalesce(u / (n + 1e-4), 0) AS u FROM (SELECT DISTINCT g FROM s) c CROSS JOIN range(64) p(y) CROSS JOIN range(64) q(x) LEFT JOIN b ON b.g = c.g AND b.y = p.y AND b.x = q.x),
 h AS (SELECT g, y, x, v + 0.18::DOUBLE * ({_NEAR('v')} - 4 * v) AS v, u + 0.18::DOUBLE * ({_NEAR('u')} - 4 * u) AS u FROM f WINDOW r AS (PARTITION BY g, y ORDER BY x), q AS (PARTITION BY g, x ORDER BY y))
 SELECT g, y::INT AS y, x::INT AS x, round(v * least(1, 8 / (sqrt(v * v + u * u) + 1e-6)), 6) + 0.0 AS v, round(u * least(1, 8 / (sqrt(v * v + u * u) + 1e-6)), 6) + 0.0 AS u FROM h""")
 def m22c(spark, d):
