@@ -32,10 +32,10 @@ SIDE = 24  # of a plane of the volume of events
 
 
 # What must hold of the field: it keeps the mean of each voxel's points, and each other voxel is the mean of its neighbours.
-@query("m23_volume_field", f"""WITH p AS (SELECT event_id // 40 AS z, user_id % {SIDE} AS y, event_id * 7 % {SIDE} AS x, avg(value) AS a, avg(event_id % 11) AS b FROM events GROUP BY 1, 2, 3), k AS (SELECT z, count(*) AS known, sum(a) AS sa, sum(b) AS sb FROM p GROUP BY 1)
+@query("m23_volume_field", f"""WITH p AS (SELECT event_id // 40 AS z, event_id // 3 % {SIDE} AS y, event_id * 7 % {SIDE} AS x, avg(value) AS a, avg(event_id % 11) AS b FROM events GROUP BY 1, 2, 3), k AS (SELECT z, count(*) AS known, sum(a) AS sa, sum(b) AS sb FROM p GROUP BY 1)
 SELECT z::INT AS z, {SIDE * SIDE}::BIGINT AS voxels, coalesce(known, 0)::BIGINT AS known, round(coalesce(sa, 0), 3) AS known_a, round(coalesce(sb, 0), 3) AS known_b, true AS harmonic FROM (SELECT unnest(range((SELECT max(z) + 1 FROM p))) AS z) LEFT JOIN k USING (z)""")
 def m23_volume(spark, d):
-    points = model.table(spark, d, "events").selectExpr("cast(event_id div 40 as int) z", f"cast(user_id % {SIDE} as int) y", f"cast(event_id * 7 % {SIDE} as int) x", "value a", "cast(event_id % 11 as double) b")
+    points = model.table(spark, d, "events").selectExpr("cast(event_id div 40 as int) z", f"cast(event_id div 3 % {SIDE} as int) y", f"cast(event_id * 7 % {SIDE} as int) x", "value a", "cast(event_id % 11 as double) b")
     field = volumes.harmonic_field(points, ["a", "b"], block=24, rtol=1e-6)
     known = points.groupBy("z", "y", "x").agg(F.lit(True).alias("_known"))
     f = field.join(known, ["z", "y", "x"], "left")
