@@ -17,21 +17,32 @@ def near_pairs(cells: DataFrame, *, r_xy: float, group: list[str], r_z: float |
     """a, b, dist2 for pairs a < b in one group within an ellipsoid, radius 1 included.
 
     Cells meet over a grid as wide as the radius: an equi-join on the cell of one side and the nine
-    around it of the other, then the distance. Without r_z, z counts for nothing.
+    around it of the other, then the distance. Without r_z, z counts for nothing; with it the grid has
+    layers, of one slice where neighbor_slices is given, else of r_z, and each layer meets itself and those
+    above it that are within reach. Neither side is broadcast, however small its file is.
     """
     z = F.col("z") if r_z is not None else F.lit(0.0)
     keys = [F.col(g) for g in group]
     base = cells.select(*keys, F.col("cell_id"), F.col("x"), F.col("y"), z.alias("z"), *([F.col("slice_id").alias("_s")] if neighbor_slices else []), F.floor(F.col("x") / r_xy).alias("gx"), F.floor(F.col("y") / r_xy).alias("gy"))
+    layered = r_z is not None
+    if layered:
+        base = base.withColumn("gz", F.floor("_s") if neighbor_slices else F.floor(F.col("z") / r_z))
     off = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     left = base.select("*", F.explode(off).alias("dx")).select("*", F.explode(off).alias("dy")).withColumns({"gx": F.col("gx") + F.col("dx"), "gy": F.col("gy") + F.col("dy")}).drop("dx", "dy")
-    right = base.select(*[F.col(g) for g in group], "gx", "gy", *[F.col(c).alias(f"{c}2") for c in ("cell_id", "x", "y", "z", *(["_s"] if neighbor_slices else []))])
+    if layered:
+        left = left.select("*", F.explode(F.sequence(F.lit(0), F.lit(neighbor_slices or 1))).alias("up")).withColumn("gz", F.col("gz") + F.col("up"))
+    cell = ["gx", "gy", *(["gz"] if layered else [])]
+    right = base.select(*[F.col(g) for g in group], *cell, *[F.col(c).alias(f"{c}2") for c in ("cell_id", "x", "y", "z", *(["_s"] if neighbor_slices else []))])
     d2 = ((F.col("x") - F.col("x2")) ** 2 + (F.col("y") - F.col("y2")) ** 2) / (r_xy * r_xy)
     if r_z is not None:
         d2 = d2 + ((F.col("z") - F.col("z2")) / r_z) ** 2
-    out = left.join(right, [*group, "gx", "gy"]).where((F.col("cell_id") < F.col("cell_id2")) & (d2 <= 1.0))
+    once = F.col("cell_id") < F.col("cell_id2")
+    if layered:
+        once = once | ((F.col("up") > 0) & (F.col("cell_id") != F.col("cell_id2")))
+    out = left.join(right.hint("merge"), [*group, *cell]).where(once & (d2 <= 1.0))
     if neighbor_slices:
         out = out.where(F.abs(F.col("_s") - F.col("_s2")) <= neighbor_slices)
-    return out.select(F.col("cell_id").alias("a"), F.col("cell_id2").alias("b"), d2.alias("dist2"))
+    return out.select(F.least("cell_id", "cell_id2").alias("a"), F.greatest("cell_id", "cell_id2").alias("b"), d2.alias("dist2"))
 
 
 def suppress(cells: DataFrame, pairs: DataFrame, score: Column | None = None) -> DataFrame:
