@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import Tables
 from .graph import least_members
 from .kernels import _schema, blob_scores, label_components
 
@@ -43,7 +44,7 @@ def tiled_components(pixels: DataFrame, keys: list[str], value: str | None = Non
         met = before.join(after, [*keys, "y", "x", "_v"]).select(*keys, "a", "b").distinct()
         links = met if links is None else links.unionByName(met)
     least = least_members(links, keys).withColumnRenamed("node", "label")
-    return labels.join(least, [*keys, "label"], "left").select(*keys, "y", "x", F.coalesce("least", "label").alias("component"))
+    return labels.join(least.hint("merge"), [*keys, "label"], "left").select(*keys, "y", "x", F.coalesce("least", "label").alias("component"))
 
 
 def with_halo(pixels: DataFrame, tile: int, halo: int) -> DataFrame:
@@ -85,15 +86,23 @@ def one_of_each_cell(masks: DataFrame, keys: list[str], share: float = 0.5) -> D
 
     masks: keys, tile, cell, y, x: the pixels of each tile's detections, in the image's coordinates. Detections of different tiles are the same cell where the pixels that both
     have are `share` of the smaller one's or more; of those that hang together so the largest stays (of equal ones the first by tile and cell), and parts says how many there were.
-    A pixel lies in as many tiles as overlap there, so the pairs that meet grow with the pixels.
+    A detection's pixels meet as words of 16 bits, one for 16 pixels of a row, which are added up before they are shuffled. A word lies in as many tiles as overlap there, so the pairs
+    that meet grow with the words. No join broadcasts a side: its size is guessed by its file, which says little where cells were exploded into pixels.
     """
-    m = masks.select(*keys, F.struct(F.col("tile").cast("long").alias("tile"), F.col("cell").cast("long").alias("cell")).alias("d"), "y", "x").distinct()
-    area = m.groupBy(*keys, "d").agg(F.count("*").alias("area"))
-    a, b = m.withColumnRenamed("d", "a"), m.withColumnRenamed("d", "b")
-    both = a.join(b, [*keys, "y", "x"]).where(F.col("a.tile") < F.col("b.tile")).groupBy(*keys, "a", "b").agg(F.count("*").alias("_both"))
-    sized = both.join(area.select(*keys, F.col("d").alias("a"), F.col("area").alias("_na")), [*keys, "a"]).join(area.select(*keys, F.col("d").alias("b"), F.col("area").alias("_nb")), [*keys, "b"])
+    tables = Tables(masks.sparkSession)
+    bit = F.expr("shiftleft(1, cast(pmod(x, 16) as int))")
+    m = masks.select(*keys, F.col("tile").cast("long").alias("tile"), F.col("cell").cast("long").alias("cell"), "y", F.floor(F.col("x") / 16).alias("_w"), bit.alias("_bits"))
+    words = m.groupBy(*keys, "tile", "cell", "y", "_w").agg(F.bit_or("_bits").alias("_bits"))
+    named = lambda c, p="": F.struct(F.col(f"{p}tile").alias("tile"), F.col(f"{p}cell").alias("cell")).alias(c)
+    area = words.groupBy(*keys, "tile", "cell").agg(F.sum(F.bit_count("_bits")).alias("area"))
+    area = tables.save(area.select(*keys, named("d"), "area"))
+    others = words.select(*keys, "y", "_w", *[F.col(c).alias(f"_b_{c}") for c in ("tile", "cell", "_bits")])
+    common = F.bit_count(F.col("_bits").bitwiseAND(F.col("_b__bits")))
+    met = words.join(others.hint("merge"), [*keys, "y", "_w"]).where((F.col("tile") < F.col("_b_tile")) & (common > 0))
+    both = met.groupBy(*keys, "tile", "cell", "_b_tile", "_b_cell").agg(F.sum(common).alias("_both")).select(*keys, named("a"), named("b", "_b_"), "_both")
+    sized = both.join(area.select(*keys, F.col("d").alias("a"), F.col("area").alias("_na")).hint("merge"), [*keys, "a"]).join(area.select(*keys, F.col("d").alias("b"), F.col("area").alias("_nb")).hint("merge"), [*keys, "b"])
     same = sized.where(F.col("_both") >= share * F.least("_na", "_nb")).select(*keys, "a", "b")
     least = least_members(same, keys)
-    known = area.join(least.withColumnRenamed("node", "d"), [*keys, "d"], "left").withColumn("_of", F.coalesce("least", "d"))
+    known = area.join(least.withColumnRenamed("node", "d").hint("merge"), [*keys, "d"], "left").withColumn("_of", F.coalesce("least", "d"))
     best = known.groupBy(*keys, "_of").agg(F.min(F.struct((-F.col("area")).alias("area"), "d")).alias("b"), F.count("*").alias("parts"))
     return best.select(*keys, "b.d.tile", "b.d.cell", (-F.col("b.area")).alias("area"), "parts")
