@@ -23,6 +23,7 @@ def dispatch(primary: DataFrame | None, secondary: DataFrame | None, fallback: D
 
     A slice takes the primary detector's cells if it has any (with the secondary one's, if these are to be merged), else the secondary one's,
     else the fallback's, as they are, where that is allowed (by default only if no model was asked for). Cells: slice_id, x, y, score, detector.
+    Of equal scores the cell that comes first by source, x, y and detector stays.
     """
     allowed = not requested if allow_fallback is None else allow_fallback
     cols = ["slice_id", "x", "y", "score", "detector"]
@@ -39,7 +40,9 @@ def dispatch(primary: DataFrame | None, secondary: DataFrame | None, fallback: D
     if parts:
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         rows = numbered(rows, order).withColumn("_slice_cell", F.col("cell_id")).withColumn("cell_id", F.xxhash64("slice_id", "cell_id"))
-        rows = thin(rows, r_xy=radius, group=["slice_id"]).where("kept").drop("kept")
+        best = Window.partitionBy("slice_id").orderBy(F.coalesce("score", F.lit(0.0)).desc(), "_slice_cell")
+        rows = rows.withColumn("_rank", F.row_number().over(best))
+        rows = thin(rows, r_xy=radius, group=["slice_id"], score=-F.col("_rank")).where("kept").drop("kept")
         kept = numbered(rows, ["_slice_cell"]).select("cell_id", *cols)
     if fallback is not None and allowed:
         rest = fallback.select(*cols, F.lit(2).alias("_source"))
