@@ -74,17 +74,18 @@ def suppress(cells: DataFrame, pairs: DataFrame, score: Column | None = None) ->
 
 BLOCK, HALO = 48, 8  # of a block and of what it sees around, in radii
 BLOCK_POINTS = 50_000  # what a task takes at once; denser blocks are thinned by cells first
+CALL_POINTS = 20_000  # small blocks go to Python together, about so many points in a call
 
 
-def settled(at: np.ndarray, sizes: np.ndarray, flat: int, rank: np.ndarray, sure: np.ndarray, open_edge: np.ndarray) -> np.ndarray:
+def settled(at: np.ndarray, sizes: np.ndarray, flat: int, rank: np.ndarray, sure: np.ndarray, open_edge: np.ndarray, part: np.ndarray | None = None) -> np.ndarray:
     """What is certain of the points of a block and its halo, taken from the best on: 1 kept, -1 out, 0 not certain.
 
     A point is out if a better one that is kept is near. It is kept if none is near that is better and not certain itself, and nothing beyond the halo (open_edge) can be near. Points that are
-    `sure` are kept already. Only kept and uncertain points are compared with, so a dense spot costs its points.
+    `sure` are kept already. Only kept and uncertain points are compared with, so a dense spot costs its points. Points of different parts (blocks) don't see one another.
     """
     out = np.zeros(len(at), np.int8)
-    cell = np.floor(at / (sizes * (1 + 1e-9))).astype(np.int64)
-    around = list(product((-1, 0, 1), repeat=at.shape[1]))
+    cell = np.column_stack([np.zeros(len(at), np.int64) if part is None else part, np.floor(at / (sizes * (1 + 1e-9))).astype(np.int64)])
+    around = [(0, *step) for step in product((-1, 0, 1), repeat=at.shape[1])]
     held: dict[tuple, list[tuple]] = {}
     places, cells_of = at.tolist(), cell.tolist()
     r2, rz = float(sizes[0] ** 2), float(sizes[-1])
@@ -113,7 +114,7 @@ def thin(cells: DataFrame, *, r_xy: float, group: list[str], r_z: float | None =
     """cells with `kept`, the same as suppress() over near_pairs(), without making the pairs: a dense spot costs its points, not their square.
 
     Each round decides whatever is certain within blocks that see HALO radii around them, in one pass from the best point on; what hangs on points further away waits for the next round,
-    whose blocks lie half a block aside. If a block has more than BLOCK_POINTS undecided points, a round by cells comes first (by_cells). Points without a finite place or a group are kept.
+    whose blocks lie half a block aside. Blocks go to Python many at a time, so that a great many small groups don't cost a call each. If a block has more than BLOCK_POINTS undecided points, a round by cells comes first (by_cells). Points without a finite place or a group are kept.
     """
     tables = Tables(cells.sparkSession)
     dims = ["x", "y"] if r_z is None else ["x", "y", "z"]
@@ -124,17 +125,19 @@ def thin(cells: DataFrame, *, r_xy: float, group: list[str], r_z: float | None =
         ok = ok & F.coalesce(f, F.lit(False))
     base = cells.where(ok).select(*group, "cell_id", F.coalesce(score if score is not None else F.col("score"), F.lit(0.0)).cast("double").alias("s"), *[F.col(c).cast("double").alias(c) for c in dims], F.lit(False).alias("sure"))
     schema = "cell_id " + cells.schema["cell_id"].dataType.simpleString() + ", state int"
-    def judge(shift: float):
-        def run(key, pdf):
+
+    def judge(shift: float, at: list[str]):
+        def run(pdf):
             q = pdf[dims].to_numpy(float)
             scaled, sure = q / sizes - shift, pdf["sure"].to_numpy(bool)
-            block = np.array([float(k) for k in key[len(group) :]]) * BLOCK
+            block = pdf[at[len(group) :]].to_numpy(float) * BLOCK
+            part = pdf.groupby(at, sort=False).ngroup().to_numpy()
             inside = ((scaled >= block) & (scaled < block + BLOCK)).all(1)
             edge = ((scaled < block - HALO + 1.001) | (scaled > block + BLOCK + HALO - 1.001)).any(1)
             order = np.lexsort((pdf["cell_id"].to_numpy(), -pdf["s"].to_numpy()))
             rank = np.empty(len(order))
             rank[order] = -np.arange(len(order))
-            state = settled(q, sizes, r_z is None, rank, sure, edge)
+            state = settled(q, sizes, r_z is None, rank, sure, edge, part)
             mine = inside & ~sure & (state != 0)
             return pd.DataFrame({"cell_id": pdf["cell_id"][mine], "state": state[mine].astype(np.int32)})
 
@@ -146,7 +149,7 @@ def thin(cells: DataFrame, *, r_xy: float, group: list[str], r_z: float | None =
         shift = (number % 2) * BLOCK / 2
         place = [F.floor((F.col(c) / float(n) - shift) / BLOCK).alias(f"_b{c}") for c, n in zip(dims, sizes, strict=True)]
         at = [*group, *[f"_b{c}" for c in dims]]
-        most = undecided.groupBy(*group, *place).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        most, every = undecided.groupBy(*group, *place).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
         if most > BLOCK_POINTS:
             won, out = by_cells(undecided.drop("sure"), tables, dims=dims, group=group, r_xy=r_xy, r_z=r_z)
             kept = won.select(*group, "cell_id", "s", *dims, F.lit(True).alias("sure"))
@@ -156,7 +159,8 @@ def thin(cells: DataFrame, *, r_xy: float, group: list[str], r_z: float | None =
                 q = F.col(c) / float(n) - shift
                 seen = seen.withColumn(f"_b{c}", F.explode(F.sequence(F.floor((q - HALO) / BLOCK), F.floor((q + HALO) / BLOCK))))
 
-            out = tables.save(seen.groupBy(*at).applyInPandas(judge(shift), schema)).select("cell_id", (F.col("state") == 1).alias("_kept"))
+            call = F.pmod(F.xxhash64(*at), F.lit(every // CALL_POINTS + 1)).alias("_call")
+            out = tables.save(seen.groupBy(call).applyInPandas(judge(shift, at), schema)).select("cell_id", (F.col("state") == 1).alias("_kept"))
             kept = undecided.join(out.where("_kept"), "cell_id", "left_semi").withColumn("sure", F.lit(True))
         gone = out.where("not _kept") if gone is None else gone.unionByName(out.where("not _kept"))
         undecided = tables.save(undecided.join(out, "cell_id", "left_anti"))
