@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -22,65 +21,67 @@ NEVER = 2**62
 
 
 class TaskRegistry(StatefulProcessor):
+    """One value of state a task, read and written once a batch, and rows rather than frames: tasks are many and their events few, so each call to the state store and each frame would count."""
+
     def __init__(self, max_age_s: float = 3600.0):
         self.max_age_ms = int(max_age_s * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.task = handle.getValueState("task", "end_seq long, how string, ended_ms long, cancel_seq long, cancel_ms long, events long, version long")
-        self.seen = handle.getMapState("seen", "seq long", "percent int, message string, at_ms long")
+        reports = "array<struct<seq: long, percent: int, message: string, at_ms: long>>"
+        self.task = handle.getValueState("task", f"end_seq long, how string, ended_ms long, cancel_seq long, cancel_ms long, events long, version long, timer_ms long, seen {reports}")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        end, how, ended, cancel, cancelled, events, version = self.task.get() if self.task.exists() else (NEVER, None, NEVER, NEVER, NEVER, 0, 0)
+        end, how, ended, cancel, cancelled, events, version, timer, held = self.task.get() or (NEVER, None, NEVER, NEVER, NEVER, 0, 0, NEVER, [])
+        seen = {r[0]: tuple(r) for r in held}
         late, before = 0, events
-        for pdf in rows:
-            for seq, kind, percent, message, ms in zip(pdf["seq"].tolist(), pdf["kind"].tolist(), pdf["percent"].tolist(), pdf["message"].tolist(), pdf["at_ms"].tolist(), strict=True):
-                if ms < now:
-                    late += 1
-                    continue
-                events += 1
-                if kind in ("done", "error") and seq < end:
-                    end, how, ended = seq, kind, ms
-                elif kind == "cancel" and seq < cancel:
-                    cancel, cancelled = seq, ms
-                elif kind == "progress":
-                    self.seen.updateValue((seq,), (None if pd.isna(percent) else int(percent), message, ms))
+        for row in rows:
+            seq, kind, ms = row["seq"], row["kind"], row["at_ms"]
+            if ms < now:
+                late += 1
+                continue
+            events += 1
+            if kind in ("done", "error") and seq < end:
+                end, how, ended = seq, kind, ms
+            elif kind == "cancel" and seq < cancel:
+                cancel, cancelled = seq, ms
+            elif kind == "progress":
+                seen[seq] = (seq, row["percent"], row["message"], ms)
         if late:
             yield self.row(key, "late", None, None, late, -1)
         if events == before:
             return
         version += 1
-        self.task.update((end, how, ended, cancel, cancelled, events, version))
-        last = self.trimmed(cancel, now)
-        status = "cancelled" if cancel < end else how or "running"
-        yield self.row(key, status, (last[1][0] if last else None) or 0, last[1][1] if last else None, events, version)
+        last, seen = self.trimmed(seen, cancel, now)
         over = min(ended, cancelled)
         if over < NEVER:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
-            self.handle.registerTimer(max(over + self.max_age_ms, now + 1))
-
-    def trimmed(self, cancel: int, now: int):
-        """The latest progress before the cancel; of reports older than the watermark only the last that counts stays."""
-        reports = sorted((k[0], v) for k, v in self.seen.iterator())
-        counts = [r for r in reports if r[0] < cancel]
-        old = [r for r in counts if r[1][2] < now]
-        for r in reports:
-            if r[0] >= cancel or (r in old and r is not old[-1]):
-                self.seen.removeKey((r[0],))
-        return counts[-1] if counts else None
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.task.exists():
-            events, version = self.task.get()[5:7]
+            due = max(over + self.max_age_ms, now + 1)
+            if due != timer:
+                if timer < NEVER:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(due)
+                timer = due
+        self.task.update((end, how, ended, cancel, cancelled, events, version, timer, seen))
+        status = "cancelled" if cancel < end else how or "running"
+        yield self.row(key, status, (last[1] if last else None) or 0, last[2] if last else None, events, version)
+
+    @staticmethod
+    def trimmed(seen: dict, cancel: int, now: int) -> tuple[tuple | None, list[tuple]]:
+        """The latest progress before the cancel, and what stays: of reports older than the watermark only the last that counts."""
+        counts = sorted((r for r in seen.values() if r[0] < cancel), key=lambda r: r[0])
+        old = [r for r in counts if r[3] < now][-1:]
+        return (counts[-1] if counts else None), [r for r in counts if r[3] >= now or r in old]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        task = self.task.get()
+        if task:
             self.task.clear()
-            self.seen.clear()
-            yield self.row(key, "expired", None, None, events, version + 1)
+            yield self.row(key, "expired", None, None, task[5], task[6] + 1)
 
     @staticmethod
-    def row(key, status, percent, message, events, version) -> pd.DataFrame:
-        return pd.DataFrame({"task_id": [key[0]], "status": [status], "percent": pd.array([percent], "Int32"), "message": pd.Series([message], dtype=object), "events": [events], "version": [version]})
+    def row(key, status, percent, message, events, version) -> Row:
+        return Row(task_id=key[0], status=status, percent=percent, message=message, events=events, version=version)
 
     def close(self) -> None:
         pass
@@ -91,7 +92,7 @@ def task_stream(events: DataFrame, max_age_s: float = 3600.0, lateness: str = "1
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     out = StructType.fromDDL(OUT)
     keyed = events.select("task_id", "seq", "kind", "percent", "message", "at", F.unix_millis("at").alias("at_ms")).withWatermark("at", lateness).groupBy("task_id")
-    return keyed.transformWithStateInPandas(TaskRegistry(max_age_s), out, "Update", "EventTime")
+    return keyed.transformWithState(TaskRegistry(max_age_s), out, "Update", "EventTime")
 
 
 def latest_states(changes: DataFrame) -> DataFrame:
