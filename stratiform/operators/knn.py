@@ -16,6 +16,7 @@ def knn_join(left: DataFrame, right: DataFrame, group: str, k: int) -> DataFrame
     with sides twice as long. A group's points spread over its cells, so no task holds a group. Of right points
     at one place only the k smallest ids take part, and left points at one place are served together; a
     dense right cluster that many left places see from afar, with nothing nearer, still meets all of them.
+    Points are exploded over cells and saved in small files, so joins of points are told not to broadcast a side.
 
     Points without a finite place or a group, and groups on one side only, give no rows; a group of
     fewer than k right points gives all of them.
@@ -42,14 +43,14 @@ def knn_join(left: DataFrame, right: DataFrame, group: str, k: int) -> DataFrame
         ask = todo.select(*place, "need", (F.col("side") * scale * (1 - 1e-9)).alias("reach"), F.explode(off).alias("dx"), at("x").alias("cx"), at("y").alias("cy"))
         ask = ask.select("*", F.explode(off).alias("dy")).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")}).drop("dx", "dy")
         d2 = (F.col("x") - F.col("bx")) * (F.col("x") - F.col("bx")) + (F.col("y") - F.col("by")) * (F.col("y") - F.col("by"))
-        near = ask.join(cells, [group, "cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= F.col("reach") * F.col("reach"))
+        near = ask.join(cells.hint("merge"), [group, "cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= F.col("reach") * F.col("reach"))
         best = near.withColumn("k", F.row_number().over(Window.partitionBy(*place).orderBy("d2", "b"))).where(F.col("k") <= k)
         found = best.withColumn("got", F.count("*").over(Window.partitionBy(*place))).where("got = need").select(*place, "b", "k")
         found = tables.save(found)
         served = found if served is None else served.unionByName(found)
-        before, todo = todo, tables.save(todo.join(found.where("k = 1").select(*place), place, "left_anti"))
+        before, todo = todo, tables.save(todo.join(found.where("k = 1").select(*place).hint("merge"), place, "left_anti"))
         tables.drop(before)
         scale *= 2
     if served is None:
         return left.sparkSession.createDataFrame([], "a long, b long, k long")
-    return left.join(served, place).select(F.col("id").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("k").cast("long").alias("k"))
+    return left.join(served.hint("merge"), place).select(F.col("id").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("k").cast("long").alias("k"))
