@@ -44,8 +44,8 @@ def weight(y: Column, x: Column, s: Column, inside: Column | None = None) -> Col
 
 
 def composed_field(pixels: DataFrame, strokes: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, y, x, v, u: where each pixel fetches its label from, all strokes of its image one after another."""
-    p = pixels.select(*keys, "y", "x").join(strokes, keys)
+    """keys, y, x, v, u: where each pixel fetches its label from, all strokes of its image one after another. Pixels may be exploded from a small file and are never broadcast."""
+    p = pixels.select(*keys, "y", "x").join(strokes.hint("merge"), keys)
     at = F.struct(F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
 
     def step(q: Column, s: Column) -> Column:
@@ -58,7 +58,7 @@ def composed_field(pixels: DataFrame, strokes: DataFrame, keys: list[str]) -> Da
 
 def summed_field(pixels: DataFrame, strokes: DataFrame, keys: list[str], tissue: str | None = None) -> DataFrame:
     """keys, y, x, v, u: all strokes' pulls added up, within the tissue if it is told, smoothed, and scaled down where the longest ones are over the bound."""
-    p = pixels.select(*keys, "y", "x", *([F.col(tissue).alias("_in")] if tissue else [])).join(strokes, keys)
+    p = pixels.select(*keys, "y", "x", *([F.col(tissue).alias("_in")] if tissue else [])).join(strokes.hint("merge"), keys)
     total = lambda a, b: F.aggregate("strokes", F.lit(0.0), lambda t, s: t + (s[b] - s[a]) * weight(F.col("y"), F.col("x"), s, F.col("_in") > 0 if tissue else None))
     raw = p.select(*keys, "y", "x", total("y1", "y2").alias("v"), total("x1", "x2").alias("u"))
 
