@@ -29,6 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 SIDE = 24  # of a plane of the volume of events
+SLAB = 64  # planes that are looked at together
 
 
 # What must hold of the field: it keeps the mean of each voxel's points, and each other voxel is the mean of its neighbours.
@@ -37,9 +38,13 @@ SELECT z::INT AS z, {SIDE * SIDE}::BIGINT AS voxels, coalesce(known, 0)::BIGINT
 def m23_volume(spark, d):
     points = model.table(spark, d, "events").selectExpr("cast(event_id div 40 as int) z", f"cast(event_id div 3 % {SIDE} as int) y", f"cast(event_id * 7 % {SIDE} as int) x", "value a", "cast(event_id % 11 as double) b")
     field = volumes.harmonic_field(points, ["a", "b"], block=24, rtol=1e-6)
-    known = points.groupBy("z", "y", "x").agg(F.lit(True).alias("_known"))
-    f = field.join(known, ["z", "y", "x"], "left")
-    f = _harmonic(f, [], ["a", "b"], ["z", "y", "x"])
+    none = F.lit(None).cast("double")
+    f = field.select("z", "y", "x", "a", "b", F.lit(None).cast("boolean").alias("_known")).union(points.select("z", "y", "x", none, none, F.lit(True)))
+    # planes by slabs with the planes beside them: one exchange serves the windows along all axes
+    slab = F.floor(F.col("z") / SLAB).cast("int")
+    f = f.select("*", F.explode(F.array_distinct(F.array(slab, F.floor((F.col("z") - 1) / SLAB).cast("int"), F.floor((F.col("z") + 1) / SLAB).cast("int")))).alias("slab")).repartition("slab")
+    f = f.groupBy("slab", "z", "y", "x").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("_known").alias("_known"))
+    f = _harmonic(f, ["slab"], ["a", "b"], ["z", "y", "x"]).where(F.col("slab") == slab)
     k = F.coalesce("_known", F.lit(False))
     out = f.groupBy("z").agg(F.count("*").alias("voxels"), F.count_if(k).alias("known"), F.round(F.sum(F.when(k, F.col("a")).otherwise(0.0)), 3).alias("known_a"), F.round(F.sum(F.when(k, F.col("b")).otherwise(0.0)), 3).alias("known_b"), F.max(F.when(k, 0.0).otherwise(F.col("_off"))).alias("_off"))
     return out.select("z", "voxels", "known", "known_a", "known_b", (F.col("_off") < 0.01).alias("harmonic"))
