@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import _grid, _schema, label_components
+from .kernels import _grid, _schema, by_image, label_components
 
 # ---- stencils as windows: full images, edge pixels repeated -----------------------------------------------------------
 
@@ -175,7 +175,7 @@ def filtered(pixels: DataFrame, keys: list[str], kernel: str, value: str = "valu
         y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
         return pd.DataFrame({**dict(zip(keys, key, strict=True)), "y": y, "x": x, "value": KERNELS[kernel](a, **parameters)[y - y0, x - x0].astype(float)})
 
-    return pixels.groupBy(*keys).applyInPandas(run, _schema(pixels, keys, "y int, x int, value double"))
+    return by_image(pixels, keys, run, _schema(pixels, keys, "y int, x int, value double"))
 
 
 def tissue(a: np.ndarray) -> np.ndarray | None:
@@ -203,4 +203,4 @@ def detect_tissue(pixels: DataFrame, keys: list[str], value: str = "value") -> D
         y, x = np.nonzero(m)
         return pd.DataFrame([{**row, "ok": True, "top": y.min() + y0, "left": x.min() + x0, "bottom": y.max() + 1 + y0, "right": x.max() + 1 + x0, "cy": y.mean() + y0, "cx": x.mean() + x0, "area": len(y)}])
 
-    return pixels.groupBy(*keys).applyInPandas(run, _schema(pixels, keys, "ok boolean, top int, left int, bottom int, right int, cy double, cx double, area long"))
+    return by_image(pixels, keys, run, _schema(pixels, keys, "ok boolean, top int, left int, bottom int, right int, cy double, cx double, area long"))
