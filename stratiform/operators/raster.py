@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import id_rgb
+from .kernels import _grid, _schema, by_image
 from .registration import otsu
 
 
@@ -100,13 +103,24 @@ def tile_starts(length: Column, tile: int, overlap: int) -> Column:
 
 
 def mode3(raster: DataFrame, keys: list[str]) -> DataFrame:
-    """Most frequent label of each 3 x 3 neighbourhood of full images, the smallest on a tie (W13): rows of three, then columns of rows, so no pixel is copied over the network nine times."""
-    near = lambda c, w: F.array(F.lag(c).over(w), F.col(c), F.lead(c).over(w))
-    rows, cols = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
-    p = raster.select(*keys, "y", "x", "region_id").withColumn("_r", F.array_compact(near("region_id", rows)))
-    p = p.withColumn("_n", F.flatten(F.array_compact(near("_r", cols))))
-    votes = F.transform(F.array_distinct("_n"), lambda v: F.struct(F.size(F.filter("_n", lambda x: x == v)).alias("c"), (-v).alias("v")))
-    return p.select(*keys, "y", "x", (-F.array_max(votes)["v"]).alias("mode"))
+    """Most frequent label of each 3 x 3 neighbourhood of full images, the smallest on a tie."""
+
+    def run(key, pdf):
+        pdf = pdf.dropna()
+        y, x = (pdf[c].to_numpy() - (pdf[c].min() if len(pdf) else 0) for c in "yx")
+        shape = (int(y.max(initial=0)) + 1, int(x.max(initial=0)) + 1)
+        label, there = np.zeros((shape[0] + 2, shape[1] + 2), np.int64), np.zeros((shape[0] + 2, shape[1] + 2), bool)
+        label[y + 1, x + 1], there[y + 1, x + 1] = pdf["region_id"].to_numpy(np.int64), True
+        at = [(slice(i, i + shape[0]), slice(j, j + shape[1])) for i in range(3) for j in range(3)]
+        best, most = np.zeros(shape, np.int64), np.zeros(shape, np.int8)
+        for a in at:
+            votes = sum(((label[a] == label[b]) & there[b]).astype(np.int8) for b in at) * there[a]
+            more = (votes > most) | ((votes == most) & (votes > 0) & (label[a] < best))
+            best, most = np.where(more, label[a], best), np.where(more, votes, most)
+        return pd.DataFrame({**dict(zip(keys, key, strict=True)), "y": pdf["y"], "x": pdf["x"], "mode": best[y, x]})
+
+    label = raster.schema["region_id"].dataType.simpleString()
+    return by_image(raster.select(*keys, "y", "x", "region_id"), keys, run, _schema(raster, keys, f"y int, x int, mode {label}"))
 
 
 def centre(pixels: DataFrame, size: tuple[int, int], target: tuple[int, int]) -> DataFrame:
@@ -129,11 +143,20 @@ def colorize(raster: DataFrame, colors: DataFrame) -> DataFrame:
 
 def outlined(raster: DataFrame, keys: list[str], color: tuple[int, int, int] = (255, 255, 255)) -> DataFrame:
     """Coloured full images with the boundaries between labels and to the outside painted over (M30): pixels whose right or lower neighbour has another label, and those neighbours. raster: y, x, region_id, r, g, b."""
-    rows, cols = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
-    differs = lambda f, w: F.coalesce(f("region_id").over(w) != F.col("region_id"), F.lit(False))
-    line = differs(F.lead, rows) | differs(F.lag, rows) | differs(F.lead, cols) | differs(F.lag, cols)
-    p = raster.withColumn("_line", line & (F.col("region_id") > 0))
-    return p.withColumns({c: F.when(F.col("_line"), v).otherwise(F.col(c)) for c, v in zip("rgb", color, strict=True)}).drop("_line")
+
+    def run(key, pdf):
+        label, y0, x0 = _grid(pdf, "region_id", np.nan)
+        line = np.zeros(label.shape, bool)
+        for axis in (0, 1):
+            a, b = (np.moveaxis(label, axis, 0)[s] for s in (slice(None, -1), slice(1, None)))
+            differs = (a != b) & ~np.isnan(a) & ~np.isnan(b)
+            for s in (slice(None, -1), slice(1, None)):
+                np.moveaxis(line, axis, 0)[s] |= differs
+        on = (line & (label > 0))[pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0]
+        return pdf.assign(**dict(zip(keys, key, strict=True)), **{c: pdf[c].mask(on, v) for c, v in zip("rgb", color, strict=True)})
+
+    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in raster.schema if f.name not in keys)
+    return by_image(raster, keys, run, _schema(raster, keys, rest)).select(*raster.columns)
 
 
 def gamma(value: Column, g: float) -> Column:
