@@ -124,22 +124,36 @@ def boundary_f1(pred: DataFrame, target: DataFrame, keys: list[str], tol: int =
     return out.withColumn("f1", F.when(r + q > 0, 2 * r * q / (r + q)).otherwise(0.0))
 
 
-def label_components(mask: np.ndarray) -> np.ndarray:
-    """4-connected components of equal non-zero values; numbers are the smallest flat index plus one."""
+def label_components(mask: np.ndarray, corners: bool = False) -> np.ndarray:
+    """Components of equal non-zero values that touch at sides, or at corners too; numbers are the smallest flat index plus one.
+
+    Runs along rows are joined, not pixels: each takes the lowest number of the runs that it touches until none changes.
+    """
     h, w = mask.shape
-    lab = np.where(mask != 0, np.arange(1, h * w + 1).reshape(h, w), 0)
+    new = np.ones((h, w), bool)
+    new[:, 1:] = mask[:, 1:] != mask[:, :-1]
+    starts, run = np.flatnonzero(new), (np.cumsum(new) - 1).reshape(h, w)
+    up, low = [], []
+    for shift in (-1, 0, 1) if corners else (0,):
+        a, b = slice(max(0, -shift), w - max(0, shift)), slice(max(0, shift), w - max(0, -shift))
+        same = (mask[:-1, a] == mask[1:, b]) & (mask[:-1, a] != 0)
+        up.append(run[:-1, a][same])
+        low.append(run[1:, b][same])
+    up, low = np.concatenate(up), np.concatenate(low)
+    once = np.ones(len(up), bool)
+    once[1:] = (up[1:] != up[:-1]) | (low[1:] != low[:-1])
+    up, low, root = up[once], low[once], np.arange(len(starts))
     while True:
-        new = lab.copy()
-        for sl, sr in (((slice(1, None), slice(None)), (slice(None, -1), slice(None))), ((slice(None), slice(1, None)), (slice(None), slice(None, -1)))):
-            same = (mask[sl] == mask[sr]) & (mask[sl] != 0)
-            low = np.minimum(new[sl], new[sr])
-            new[sl] = np.where(same, low, new[sl])
-            new[sr] = np.where(same, np.minimum(low, new[sr]), new[sr])  # after the line before: the two overlap
-        flat = np.concatenate([[0], new.ravel()])
-        new = np.where(mask != 0, flat[new], 0)  # jump to the label's own label
-        if (new == lab).all():
-            return lab
-        lab = new
+        a, b = root[up], root[low]
+        if (a == b).all():
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:  # jump to the root's own root
+            far = root[root]
+            if (far == root).all():
+                break
+            root = far
+    return np.where(mask != 0, starts[root][run] + 1, 0)
 
 
 def connected_components(pixels: DataFrame, keys: list[str]) -> DataFrame:
