@@ -24,6 +24,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from .files import NiftiHead, tiff_directory, tiff_rows
 
 SLAB_VALUES = 1 << 20  # values of a partition, if a page or some planes have more
+SMALL_BYTES = 1 << 20  # a file below this is read whole where it is read at all: it is not opened for the plan
+FEW_FILES = 64
+TOGETHER_BYTES, TOGETHER_FILES = 4 << 20, 256  # small files of one partition
 
 
 def _system(path: str) -> tuple[fs.FileSystem, str]:
@@ -61,6 +64,11 @@ def listed(path: str, patterns: Iterable[str]) -> list[str]:
     return [head + f for f in every if any(fnmatch.fnmatch(f.rpartition("/")[2], p) for p in patterns)]
 
 
+def sizes(paths: list[str]) -> list[int]:
+    """Bytes of files of one file system."""
+    return [i.size for i in _system(paths[0])[0].get_file_info([_system(p)[1] for p in paths])] if paths else []
+
+
 @dataclass
 class Bounds:
     """What pushed conditions leave of the columns that partitions are cut by."""
@@ -104,6 +112,14 @@ class Slab(InputPartition):
         self.path, self.page, self.top, self.bottom = path, page, top, bottom
 
 
+class Several(InputPartition):
+    """Small files that one task reads."""
+
+    def __init__(self, paths: list[str]):
+        super().__init__(paths[0])
+        self.paths = paths
+
+
 class _Reader(DataSourceReader):
     columns: set[str] = set()
 
@@ -130,9 +146,26 @@ class _Reader(DataSourceReader):
 class TiffReader(_Reader):
     columns, default = {"path", "page", "y", "channel"}, "*.tif,*.tiff"
 
-    def partitions(self) -> list[Slab]:
+    def partitions(self) -> list[InputPartition]:
+        """Pages or slabs of them by the headers of large files, and small files many at a time, whose headers their task reads. Few files are all planned by headers."""
+        paths = self.files()
+        if len(paths) <= FEW_FILES:
+            return self.planned(paths)
+        large, out, held, size = [], [], [], 0
+        for path, n in zip(paths, sizes(paths), strict=True):
+            if n > SMALL_BYTES:
+                large.append(path)
+                continue
+            held.append(path)
+            size += n
+            if size >= TOGETHER_BYTES or len(held) >= TOGETHER_FILES:
+                out.append(Several(held))
+                held, size = [], 0
+        return out + [Several(held)] * bool(held) + self.planned(large)
+
+    def planned(self, paths: list[str]) -> list[Slab]:
         out = []
-        for path in self.files():
+        for path in paths:
             with Ranges(path) as fetch:
                 _, pages = tiff_directory(fetch)
             for page, tags in enumerate(pages):
@@ -140,7 +173,11 @@ class TiffReader(_Reader):
                     out += [s for s in self.slabs(path, page, tags[257][0], tags[256][0] * tags.get(277, [1])[0]) if self.bounds.may("y", s.top, s.bottom - 1)]
         return out
 
-    def read(self, part: Slab) -> Iterator[pa.RecordBatch]:
+    def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
+        for slab in self.planned(part.paths) if isinstance(part, Several) else [part]:
+            yield from self.rows(slab)
+
+    def rows(self, part: Slab) -> Iterator[pa.RecordBatch]:
         with Ranges(part.path) as fetch:
             order, pages = tiff_directory(fetch)
             a = tiff_rows(fetch, order, pages[part.page], part.top, part.bottom)
