@@ -27,6 +27,7 @@ _PLACE = "bz int, by int, bx int, side int, known binary, "
 _STATE = _PLACE + ", ".join(f"{a} binary" for a in _ARRAYS)
 _SUMS = ", g array<double>, d array<double>, rr array<double>"
 STRETCH, BLOCK_VOXELS = 8, 1 << 17  # a block is so many times longer than wide at most, with so many voxels
+TASK_BLOCKS = 16  # that a task starts with
 
 
 class Layout:
@@ -180,6 +181,13 @@ class Block:
             yield {**dict(zip(_KEY, to, strict=True)), "side": side ^ 1, name: np.ascontiguousarray(f[(slice(None), *_plane(side))]).tobytes()}
 
 
+def _rows(batches):
+    """Rows of Arrow batches one at a time: a batch may hold many blocks, and only one is spelled out."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
 def _schema(sums: bool) -> pa.Schema:
     fields = [*((k, pa.int32()) for k in _KEY), ("side", pa.int32()), ("known", pa.binary()), *((a, pa.binary()) for a in _ARRAYS)]
     return pa.schema(fields + [(s, pa.list_(pa.float64())) for s in ("g", "d", "rr")] * sums)
@@ -189,11 +197,10 @@ def _round(blocks: DataFrame, layout: Layout, name: str, before, after) -> DataF
     """`before` on each block, the faces of array `name` exchanged, then `after` with the neighbours' faces as ghosts."""
 
     def send(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                block = Block(layout, row)
-                before(block)
-                yield from pa.Table.from_pylist(list(block.with_faces(name)), _schema(False)).to_batches()
+        for row in _rows(batches):
+            block = Block(layout, row)
+            before(block)
+            yield from pa.Table.from_pylist(list(block.with_faces(name)), _schema(False)).to_batches()
 
     def meet(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -214,6 +221,35 @@ def harmonic_field(points: DataFrame, values: list[str], *, shape: tuple[int, in
 
     Without a shape the volume ends at the last point. Raises an error if the residual isn't `rtol` of the right side after `rounds` rounds.
     """
+    blocks, layout, finished = _solved(points, values, shape, spacing, block, rtol, rounds)
+
+    def spell(batches):
+        for row in _rows(batches):
+            at, f = finished(row)
+            z, y, x = (n.ravel() + k * e for n, k, e in zip(np.indices(f.shape[1:]), at, layout.edges, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(z, pa.int32()), pa.array(y, pa.int32()), pa.array(x, pa.int32()), *(pa.array(v.ravel()) for v in f)], names=[*AXES, *values])
+
+    return blocks.mapInArrow(spell, "z int, y int, x int, " + ", ".join(f"`{v}` double" for v in values))
+
+
+def harmonic_planes(points: DataFrame, values: list[str], **parameters) -> DataFrame:
+    """The field of harmonic_field as packed planes: z, the first y and x, the width, and for each of the `values` one array, row by row. A plane lies within a block; those wider than a block come in pieces."""
+    blocks, layout, finished = _solved(points, values, **{"shape": None, "spacing": (1.0, 1.0, 1.0), "block": 16, "rtol": 1e-6, "rounds": 500} | parameters)
+
+    def spell(batches):
+        for row in _rows(batches):
+            at, f = finished(row)
+            _, nz, ny, nx = f.shape
+            first = [k * e for k, e in zip(at, layout.edges, strict=True)]
+            ends = pa.array(np.arange(nz + 1) * ny * nx, pa.int32())
+            whole = [pa.array(np.full(nz, n), pa.int32()) for n in (first[1], first[2], nx)]
+            yield pa.RecordBatch.from_arrays([pa.array(first[0] + np.arange(nz), pa.int32()), *whole, *(pa.ListArray.from_arrays(ends, pa.array(v.ravel())) for v in f)], names=[*AXES, "width", *values])
+
+    return blocks.mapInArrow(spell, "z int, y int, x int, width int, " + ", ".join(f"`{v}` array<double>" for v in values))
+
+
+def _solved(points: DataFrame, values: list[str], shape, spacing, block: int, rtol: float, rounds: int) -> tuple:
+    """Solved blocks, their layout, and a function that gives a row's place and field [component, z, y, x]."""
     spark = points.sparkSession
     tables = Tables(spark)
     if shape is None:
@@ -224,38 +260,36 @@ def harmonic_field(points: DataFrame, values: list[str], *, shape: tuple[int, in
     layout, tight = Layout(shape, block, spacing, len(values)), min(1e-10, 1e-3 * rtol)
     inside = points.where(" and ".join(f"{a} between 0 and {n - 1}" for a, n in zip(AXES, layout.shape, strict=True)))
     mean = inside.groupBy(*[F.col(a).cast("int").alias(a) for a in AXES]).agg(*[F.avg(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
-    known = mean.select(*AXES, F.array(*[f"_v{i}" for i in range(len(values))]).alias("v"))
+    known = mean
     for a, k, b, n in zip(AXES, _KEY, layout.edges, layout.counts, strict=True):  # a point goes to each block that it lies in or within the margin of
         first, last = F.floor((F.col(a) - layout.margin) / b), F.floor((F.col(a) + layout.margin) / b)
         known = known.withColumn(k, F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit(n - 1)).cast("int"))))
-    # a block has a point for each of its voxels and of its margin's at most
-    known = known.groupBy(*_KEY).agg(F.collect_list(F.struct(*AXES, "v")).alias("points"))
     nz, ny, nx = layout.counts
     places = spark.range(nz * ny * nx).select((F.col("id") / (ny * nx)).cast("int").alias("bz"), (F.col("id") % (ny * nx) / nx).cast("int").alias("by"), (F.col("id") % nx).cast("int").alias("bx"))
 
     def total(a: np.ndarray) -> list[float]:
         return (a * a).reshape(layout.parts, -1).sum(1).tolist()
 
-    def begin(batches):
-        """Each block solved with its margin, the margin's own edges free. What its faces lack, but for the neighbours' voxels, is `r`; the right side's square is `goal`."""
-        for b in batches:
-            for row in b.to_pylist():
-                where = tuple(row[k] for k in _KEY)
-                box, size = layout.around(where), layout.size(where)
-                wide = tuple(b - a for a, b in box)
-                mask, f = np.zeros(wide, bool), np.zeros((layout.parts, *wide))
-                for p in row["points"] or []:
-                    i = tuple(p[a] - low for a, (low, _) in zip(AXES, box, strict=True))
-                    mask[i] = True
-                    f[(slice(None), *i)] = p["v"]
-                diagonal = layout.sums([(0, n) for n in wide], wide)
-                right = np.array([np.where(mask, 0.0, -layout.apply(v, diagonal)) for v in f])
-                own = tuple(slice(k * e - low, k * e - low + n) for k, e, (low, _), n in zip(where, layout.edges, box, size, strict=True))
-                goal = total(right[(slice(None), *own)])
-                f += layout.local_solve(right, ~mask, diagonal, tight)
-                mine, seen, faces, at = np.ascontiguousarray(f[(slice(None), *own)]), mask[own], layout.faces(where), layout.diagonal(where)
-                lack = np.array([-layout.apply(v, at)[faces] for v in mine]) if faces.any() else np.zeros((layout.parts, 0))
-                yield pa.RecordBatch.from_pylist([{**{k: row[k] for k in _KEY}, "side": -1, "known": _bits(seen), "r": lack.tobytes(), "x": mine.tobytes(), "u": np.ascontiguousarray(mine[:, faces]).tobytes(), "goal": goal}], pa.schema([*((k, pa.int32()) for k in _KEY), ("side", pa.int32()), ("known", pa.binary()), ("r", pa.binary()), ("x", pa.binary()), ("u", pa.binary()), ("goal", pa.list_(pa.float64()))]))
+    began = pa.schema([*((k, pa.int32()) for k in _KEY), ("side", pa.int32()), ("known", pa.binary()), ("r", pa.binary()), ("x", pa.binary()), ("u", pa.binary()), ("goal", pa.list_(pa.float64()))])
+
+    def begin(key, _, points: pa.Table) -> pa.Table:
+        """A block solved with its margin, the margin's own edges free. What its faces lack, but for the neighbours' voxels, is `r`; the right side's square is `goal`."""
+        where = tuple(k.as_py() for k in key)
+        box, size = layout.around(where), layout.size(where)
+        wide = tuple(b - a for a, b in box)
+        mask, f = np.zeros(wide, bool), np.zeros((layout.parts, *wide))
+        i = tuple(points.column(a).to_numpy() - low for a, (low, _) in zip(AXES, box, strict=True))
+        mask[i] = True
+        for k, part in enumerate(f):
+            part[i] = points.column(f"_v{k}").to_numpy()
+        diagonal = layout.sums([(0, n) for n in wide], wide)
+        right = np.array([np.where(mask, 0.0, -layout.apply(v, diagonal)) for v in f])
+        own = tuple(slice(k * e - low, k * e - low + n) for k, e, (low, _), n in zip(where, layout.edges, box, size, strict=True))
+        goal = total(right[(slice(None), *own)])
+        f += layout.local_solve(right, ~mask, diagonal, tight)
+        mine, seen, faces, at = np.ascontiguousarray(f[(slice(None), *own)]), mask[own], layout.faces(where), layout.diagonal(where)
+        lack = np.array([-layout.apply(v, at)[faces] for v in mine]) if faces.any() else np.zeros((layout.parts, 0))
+        return pa.Table.from_pylist([{**dict(zip(_KEY, where, strict=True)), "side": -1, "known": _bits(seen), "r": lack.tobytes(), "x": mine.tobytes(), "u": np.ascontiguousarray(mine[:, faces]).tobytes(), "goal": goal}], began)
 
     def residual(b: Block, ghosts) -> dict:
         b.arrays["r"] = b.free * (b.arrays["r"] + b.pull(ghosts))
@@ -284,7 +318,10 @@ def harmonic_field(points: DataFrame, values: list[str], *, shape: tuple[int, in
         """Each column's components over all blocks: a few numbers whatever the volume."""
         return np.array(df.agg(*[F.sum(F.get(c, F.lit(i))) for c in columns for i in range(layout.parts)]).first(), float).reshape(len(columns), -1)
 
-    start = tables.save(places.join(known, _KEY, "left").mapInArrow(begin, _PLACE + "r binary, x binary, u binary, goal array<double>"))
+    # a few blocks a task, whatever their points pack to: a block's points go to Python by themselves, and its solve takes its time
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, -(-nz * ny * nx // TASK_BLOCKS))
+    places, known = places.repartition(parts, *_KEY), known.repartition(parts, *_KEY)
+    start = tables.save(places.groupBy(*_KEY).cogroup(known.groupBy(*_KEY)).applyInArrow(begin, _PLACE + "r binary, x binary, u binary, goal array<double>"))
     goal = rtol * rtol * sums(start, "goal")[0]
     now = tables.save(_round(start.select("*", *[F.lit(None).cast("binary").alias(a) for a in ("c", "p", "s", "w")]), layout, "u", lambda b: None, residual))
     alpha = old = None
@@ -296,7 +333,7 @@ def harmonic_field(points: DataFrame, values: list[str], *, shape: tuple[int, in
     for _ in range(0 if done else rounds):
         g, d, rr = sums(now, "g", "d", "rr")
         if done := bool((rr <= np.maximum(goal, 1e-300)).all()):
-            field = start.select(*_KEY, "known", "x").join(now.select(*_KEY, "c"), _KEY)
+            field = start.select(*_KEY, "known", "x").join(now.select(*_KEY, "c").hint("shuffle_hash"), _KEY)
             break
         beta = np.zeros_like(g) if alpha is None else np.where(old > 0, g / np.where(old > 0, old, 1.0), 0.0)
         below = d - (beta * g / np.where(alpha != 0, alpha, 1.0) if alpha is not None else 0.0)
@@ -306,20 +343,17 @@ def harmonic_field(points: DataFrame, values: list[str], *, shape: tuple[int, in
     if not done:
         raise RuntimeError(f"no convergence within {rounds} rounds")
 
-    def spell(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                at = tuple(row[k] for k in _KEY)
-                size, faces = layout.size(at), layout.faces(at)
-                x = np.frombuffer(row["x"], float).reshape(layout.parts, *size)
-                if row["c"]:  # the correction within is harmonic between those of the faces
-                    c, diagonal = np.zeros_like(x), layout.diagonal(at)
-                    c[:, faces] = np.frombuffer(row["c"], float).reshape(layout.parts, -1)
-                    x = x + c + layout.local_solve(np.array([-layout.apply(v, diagonal) for v in c]), ~_mask(row["known"], size) & ~faces, diagonal, tight)
-                z, y, x_ = (n.ravel() + k * e for n, k, e in zip(np.indices(size), at, layout.edges, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(z, pa.int32()), pa.array(y, pa.int32()), pa.array(x_, pa.int32()), *(pa.array(v.ravel()) for v in x)], names=[*AXES, *values])
-
-    return field.mapInArrow(spell, "z int, y int, x int, " + ", ".join(f"`{v}` double" for v in values))
+    def finished(row: dict) -> tuple:
+        at = tuple(row[k] for k in _KEY)
+        size, faces = layout.size(at), layout.faces(at)
+        x = np.frombuffer(row["x"], float).reshape(layout.parts, *size)
+        if row["c"]:  # the correction within is harmonic between those of the faces
+            c, diagonal = np.zeros_like(x), layout.diagonal(at)
+            c[:, faces] = np.frombuffer(row["c"], float).reshape(layout.parts, -1)
+            x = x + c + layout.local_solve(np.array([-layout.apply(v, diagonal) for v in c]), ~_mask(row["known"], size) & ~faces, diagonal, tight)
+        return at, x
+
+    return field, layout, finished
 
 
 def sampled(volume: DataFrame, field: DataFrame, shape: tuple[int, int, int], *, value: str = "value", moves: tuple[str, str, str] = ("dz", "dy", "dx")) -> DataFrame:

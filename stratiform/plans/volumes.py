@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -37,17 +38,42 @@ SLAB = 64  # planes that are looked at together
 SELECT z::INT AS z, {SIDE * SIDE}::BIGINT AS voxels, coalesce(known, 0)::BIGINT AS known, round(coalesce(sa, 0), 3) AS known_a, round(coalesce(sb, 0), 3) AS known_b, true AS harmonic FROM (SELECT unnest(range((SELECT max(z) + 1 FROM p))) AS z) LEFT JOIN k USING (z)""")
 def m23_volume(spark, d):
     points = model.table(spark, d, "events").selectExpr("cast(event_id div 40 as int) z", f"cast(event_id div 3 % {SIDE} as int) y", f"cast(event_id * 7 % {SIDE} as int) x", "value a", "cast(event_id % 11 as double) b")
-    field = volumes.harmonic_field(points, ["a", "b"], block=24, rtol=1e-6)
-    none = F.lit(None).cast("double")
-    f = field.select("z", "y", "x", "a", "b", F.lit(None).cast("boolean").alias("_known")).union(points.select("z", "y", "x", none, none, F.lit(True)))
-    # planes by slabs with the planes beside them: one exchange serves the windows along all axes
-    slab = F.floor(F.col("z") / SLAB).cast("int")
-    f = f.select("*", F.explode(F.array_distinct(F.array(slab, F.floor((F.col("z") - 1) / SLAB).cast("int"), F.floor((F.col("z") + 1) / SLAB).cast("int")))).alias("slab")).repartition("slab")
-    f = f.groupBy("slab", "z", "y", "x").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("_known").alias("_known"))
-    f = _harmonic(f, ["slab"], ["a", "b"], ["z", "y", "x"]).where(F.col("slab") == slab)
-    k = F.coalesce("_known", F.lit(False))
-    out = f.groupBy("z").agg(F.count("*").alias("voxels"), F.count_if(k).alias("known"), F.round(F.sum(F.when(k, F.col("a")).otherwise(0.0)), 3).alias("known_a"), F.round(F.sum(F.when(k, F.col("b")).otherwise(0.0)), 3).alias("known_b"), F.max(F.when(k, 0.0).otherwise(F.col("_off"))).alias("_off"))
-    return out.select("z", "voxels", "known", "known_a", "known_b", (F.col("_off") < 0.01).alias("harmonic"))
+    planes = volumes.harmonic_planes(points, ["a", "b"], block=24, rtol=1e-6)
+    # planes by slabs with the planes beside them, packed; the points' voxels meet them there
+    slab = lambda z: F.floor(z / SLAB).cast("int")
+    z = F.col("z")
+    planes = planes.select("*", F.explode(F.array_distinct(F.array(slab(z), slab(z - 1), slab(z + 1)))).alias("slab"))
+    marks = points.select("z", "y", "x", slab(z).alias("slab"))
+    out = planes.groupBy("slab").cogroup(marks.groupBy("slab")).applyInArrow(_slab_summary, "z int, voxels long, known long, a double, b double, off double")
+    return out.select("z", "voxels", "known", F.round("a", 3).alias("known_a"), F.round("b", 3).alias("known_b"), (F.col("off") < 0.01).alias("harmonic"))
+
+
+def _slab_summary(key, planes: pa.Table, marks: pa.Table) -> pa.Table:
+    """For each plane of a slab: its voxels, the known ones, the sums of the field there, and how far the field is from its neighbours' means elsewhere, times their number."""
+    z = planes.column("z").to_numpy()
+    first, n = int(z.min()), int(z.max() - z.min() + 1)
+    f = np.full((2, n, SIDE, SIDE), np.nan)  # a voxel that is missing spoils its neighbours
+    at = [planes.column(c).to_numpy() for c in ("z", "y", "x", "width")]
+    for k, c in enumerate(("a", "b")):
+        lists = planes.column(c).combine_chunks()
+        v, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        for z0, y0, x0, w, i, j in zip(*at, ends[:-1], ends[1:], strict=True):
+            f[k, z0 - first, y0 : y0 + (j - i) // w, x0 : x0 + w] = v[i:j].reshape(-1, w)
+    known = np.zeros(f.shape[1:], bool)
+    known[tuple(marks.column(c).to_numpy() - low for c, low in (("z", first), ("y", 0), ("x", 0)))] = True
+    off = np.zeros_like(f)
+    for axis in (1, 2, 3):
+        d = np.diff(f, axis=axis)
+        ahead, behind = [slice(None)] * 4, [slice(None)] * 4
+        ahead[axis], behind[axis] = slice(None, -1), slice(1, None)
+        off[tuple(ahead)] += d
+        off[tuple(behind)] -= d
+    off = np.where(known, 0.0, np.abs(off).max(0))
+    own = np.unique(z[z // SLAB == key[0].as_py()])
+    f, known, off = f[:, own - first], known[own - first], off[own - first]
+    a, b = np.where(known, f, 0.0).sum((2, 3))
+    voxels = (~np.isnan(f[0])).sum((1, 2))
+    return pa.table({"z": pa.array(own, pa.int32()), "voxels": voxels, "known": known.sum((1, 2)), "a": a, "b": b, "off": off.max((1, 2))})
 
 
 def _harmonic(f, keys: list[str], columns: list[str], axes: list[str]):
