@@ -8,7 +8,9 @@ at the pixel itself, smooths and bounds the sum. A stroke is a few numbers, and
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import gaussian
@@ -18,6 +20,8 @@ from .tiles import tiled_components
 # Bounds of a stroke, its width and reach by its radius, and of the summed field.
 RADIUS, STRENGTH, SHORTEST = (8.0, 260.0, 80.0), (0.05, 1.5, 0.72), 0.75
 WIDTH_SHARE, WIDTH_LEAST, REACH_SHARE = 0.46, 4.0, 1.65
+BAND, TOGETHER = 64, 1 << 14  # rows of an image that travel together; pixels or strokes of images that are worked on together
+_STROKE = ("x1", "y1", "x2", "y2", "radius", "strength")
 BLUR, MOST_PERCENTILE, MOST_SHARE, MOST_LEAST = 1.0, 99.5, 0.11, 6.0
 
 
@@ -28,11 +32,16 @@ def live_strokes(log: DataFrame, keys: list[str], order: str = "seq") -> DataFra
     """
     held = lambda c, b: F.least(F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(b[2])), F.lit(b[0])), F.lit(b[1]))
     one = F.struct(F.col(order).alias("seq"), F.col("kind"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")], held("radius", RADIUS).alias("radius"), held("strength", STRENGTH).alias("strength"))
-    every = log.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("log"))
-    none = F.filter("log", lambda s: F.lit(False))
-    push = lambda held, s: F.when(s["kind"] == "undo", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(s)))
-    long = lambda s: F.coalesce(F.hypot(s["x2"] - s["x1"], s["y2"] - s["y1"]) >= SHORTEST, F.lit(False))
-    return every.select(*keys, F.filter(F.aggregate("log", none, push), long).alias("strokes"))
+    # how many hold after each row: the sum of all steps, lifted by the undos that found nothing; a stroke goes when fewer hold later than those up to it
+    w = Window.partitionBy(*keys).orderBy("_stroke")
+    past, later = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys).orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    undo = F.coalesce(F.col("_stroke.kind") == "undo", F.lit(False))
+    every = log.select(*keys, one.alias("_stroke")).withColumns({"_at": F.row_number().over(w), "_sum": F.sum(F.when(undo, -1).otherwise(1)).over(past)})
+    every = every.withColumn("_held", F.col("_sum") - F.least(F.min("_sum").over(past), F.lit(0)))
+    every = every.withColumn("_later", F.coalesce(F.min("_held").over(later), F.col("_held")))
+    long = F.coalesce(F.hypot(F.col("_stroke.x2") - F.col("_stroke.x1"), F.col("_stroke.y2") - F.col("_stroke.y1")) >= SHORTEST, F.lit(False))
+    live = ~undo & (F.col("_later") >= F.col("_held")) & long
+    return every.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(live, F.col("_stroke")))).alias("strokes"))
 
 
 def weight(y: Column, x: Column, s: Column, inside: Column | None = None) -> Column:
@@ -45,15 +54,63 @@ def weight(y: Column, x: Column, s: Column, inside: Column | None = None) -> Col
 
 def composed_field(pixels: DataFrame, strokes: DataFrame, keys: list[str]) -> DataFrame:
     """keys, y, x, v, u: where each pixel fetches its label from, all strokes of its image one after another. Pixels may be exploded from a small file and are never broadcast."""
-    p = pixels.select(*keys, "y", "x").join(strokes.hint("merge"), keys)
-    at = F.struct(F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
-
-    def step(q: Column, s: Column) -> Column:
-        w = weight(q["y"], q["x"], s)
-        return F.struct((q["y"] + (s["y2"] - s["y1"]) * w).alias("y"), (q["x"] + (s["x2"] - s["x1"]) * w).alias("x"))
-
-    end = F.aggregate(F.reverse("strokes"), at, step)
-    return p.withColumn("_q", end).select(*keys, "y", "x", (F.col("_q.y") - F.col("y")).alias("v"), (F.col("_q.x") - F.col("x")).alias("u"))
+    # an image's pixels travel as arrays, in bands of rows
+    packed = pixels.groupBy(*keys, F.floor(F.col("y") / BAND).alias("_band")).agg(F.collect_list(F.struct("y", "x")).alias("_at"))
+    numbers = [F.col(f"strokes.{c}").cast("array<double>").alias(f"_{c}") for c in _STROKE]
+    met = packed.join(strokes.select(*keys, *numbers).hint("merge"), keys).select(*keys, "_at", *[f"_{c}" for c in _STROKE])
+
+    def carry(batches):
+        for b in batches:
+            pixels_of, strokes_of = (pc.list_value_length(b.column(c)).to_numpy(zero_copy_only=False) for c in ("_at", "_x1"))
+            for some in _alike(pixels_of, strokes_of):
+                images = b.take(pa.array(some))
+                at, there = images.column("_at").flatten(), _places(pixels_of[some])
+                y0, x0 = (_filled(at.field(k), there) for k in (0, 1))
+                drawn = _places(strokes_of[some])
+                y, x = _carried(y0, x0, *(_filled(images.column(f"_{c}").flatten(), drawn) for c in _STROKE))
+                of = pa.array(np.repeat(np.arange(len(some)), pixels_of[some]))
+                yield pa.RecordBatch.from_arrays([*(images.column(k).take(of) for k in keys), at.field(0), at.field(1), pa.array((y - y0)[there]), pa.array((x - x0)[there])], names=[*keys, "y", "x", "v", "u"])
+
+    types = ", ".join(f"{c} {pixels.schema[c].dataType.simpleString()}" for c in ("y", "x"))
+    return met.mapInArrow(carry, _schema(pixels, keys, f"{types}, v double, u double"))
+
+
+def _alike(pixels: np.ndarray, strokes: np.ndarray):
+    """Numbers of images that are worked on together, those with about as many strokes: one at least, and else of so many pixels and strokes in all."""
+    some, most, longest = [], 0, 0
+    for i in np.lexsort((pixels, strokes)):
+        most, longest = max(most, pixels[i]), max(longest, strokes[i])
+        if some and (len(some) + 1) * max(most, longest) > TOGETHER:
+            yield some
+            some, most, longest = [], pixels[i], strokes[i]
+        some.append(i)
+    if some:
+        yield some
+
+
+def _places(lengths: np.ndarray) -> np.ndarray:
+    """[image, place]: whether the image has so many."""
+    return np.arange(lengths.max(initial=0)) < lengths[:, None]
+
+
+def _filled(flat: pa.Array, there: np.ndarray) -> np.ndarray:
+    """Values one image after another as rows of an array, with zeros behind: a stroke of zeros moves nothing."""
+    out = np.zeros(there.shape)
+    out[there] = flat.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _carried(y: np.ndarray, x: np.ndarray, x1, y1, x2, y2, radius, strength) -> tuple[np.ndarray, np.ndarray]:
+    """Places [image, pixel] carried through strokes [image, stroke], the last one first, each felt by its `weight`."""
+    width, reach = np.maximum(WIDTH_LEAST, WIDTH_SHARE * radius), REACH_SHARE * radius
+    square, oy, ox = width * width, y2 - y1, x2 - x1
+    for i in range(x1.shape[1] - 1, -1, -1):
+        one = np.s_[:, i : i + 1]
+        dy, dx = y - y1[one], x - x1[one]
+        w = strength[one] * np.exp(-0.5 * (dy * dy + dx * dx) / square[one])
+        w[(np.abs(dy) > reach[one]) | (np.abs(dx) > reach[one])] = 0.0
+        y, x = y + oy[one] * w, x + ox[one] * w
+    return y, x
 
 
 def summed_field(pixels: DataFrame, strokes: DataFrame, keys: list[str], tissue: str | None = None) -> DataFrame:
